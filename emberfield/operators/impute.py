@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberfield.functions import bands as B
-from emberfield.scale import exact_percentiles, scalar_struct
+from emberfield.scale import GROUP_ROWS, exact_percentiles, scalar_struct
 
 COVER = "LULC_ESA"
 
 
+def _limits(rows: int, columns: int, group_rows: int | None) -> dict:
+    """Percentile options: a table that is small as a whole needs no further group counting."""
+    limit = GROUP_ROWS if group_rows is None else group_rows
+    out: dict = {"group_rows": limit}
+    if rows <= limit // max(1, columns):
+        out["known_group_rows"] = rows
+    return out
+
+
 def fill_albedo(df: DataFrame, group_rows: int | None = None) -> DataFrame:
     """Fill null albedo: Landsat bands, then Sentinel bands, then the land-cover median, then the overall median.
 
@@ -26,7 +35,7 @@ def fill_albedo(df: DataFrame, group_rows: int | None = None) -> DataFrame:
         if have.issuperset(bands):
             tiers.append(B.albedo(*bands))
     out = df.withColumn("albedo", F.coalesce(*tiers))
-    limits = {} if group_rows is None else {"group_rows": group_rows}
+    limits = _limits(out.count(), 1, group_rows)
     if COVER in have:
         known = out.filter(F.col(COVER).isNotNull())
         medians = exact_percentiles(known, [COVER], {"_m": ("albedo", 0.5)}, **limits)
@@ -58,11 +67,11 @@ def impute_grouped_median(
     One pass finds which columns have nulls at all; only those are touched.
     """
     cols = list(cols) if cols is not None else numeric_fill_columns(df)
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    nulls = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     todo = [c for c in cols if nulls[c]]
     if not todo:
         return df
-    limits = {} if group_rows is None else {"group_rows": group_rows}
+    limits = _limits(nulls["_rows"], len(todo), group_rows)
     wanted = {f"_m_{c}": (c, 0.5) for c in todo}
     by_class = exact_percentiles(df.filter(F.col(by).isNotNull()), [by], wanted, **limits)
     filled = (

@@ -139,17 +139,14 @@ def pareto_front(
         (F.coalesce(F.try_divide(F.col(c) - g[f"{c}_lo"], g[f"{c}_hi"] - g[f"{c}_lo"]), F.lit(0.0)) for c in objs),
         F.lit(0.0),
     )
-    scored = kept.withColumns({"_all": F.lit(0), "_score": F.round(score, 12)})
+    scored = kept.withColumns({"_all": F.lit(0), "_score": score})
     ordered = cut_lineage(
         number_rows(scored, ["_all"], ["_score", *objs]).withColumn("_b", F.floor((F.col("_rn") - 1) / block_rows))
     )
-    # rows with one score may sit in two blocks, so blocks are compared by their score range
-    spans = ordered.groupBy("_b").agg(F.min("_score").alias("lo"), F.max("_score").alias("hi"))
-    pairs = spans.alias("t").join(spans.alias("s"), F.col("s.lo") <= F.col("t.hi") + F.lit(1e-9)).select(
-        F.col("t._b").alias("_t"), F.col("s._b").alias("_s")
-    )
-    targets = ordered.join(pairs, ordered["_b"] == pairs["_t"]).select("_t", "_s", "_rn", *objs)
-    sources = ordered.join(pairs, ordered["_b"] == pairs["_s"]).select("_t", "_s", *objs)
+    # A dominating row has a lower score, or an equal one and comes first in the objectives: never a later block.
+    last = scalar_struct(ordered, {"b": F.max("_b")})["b"]
+    targets = ordered.select(F.col("_b").alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("_s"), "_rn", *objs)
+    sources = ordered.select(F.explode(F.sequence(F.col("_b"), last)).alias("_t"), F.col("_b").alias("_s"), *objs)
 
     def beaten(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         hit = _dominated(t[objs].to_numpy(float), s[objs].to_numpy(float))
