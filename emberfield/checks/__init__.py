@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("tables", "formulas", "pixels", "places")
+MODULES = ("tables", "formulas", "pixels", "places", "choices")
 
 
 def load_all():

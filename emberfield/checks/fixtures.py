@@ -220,8 +220,12 @@ union all select ward_ord, ward_id, ward_name, x0, y00 + h, x0, y00 from wards)"
 WITHIN_CTE = """hits as (
 select c.cell_id, e.ward_ord, count(*) as k from cells c join ward_edge e
   on (e.ay > c.lat) <> (e.byy > c.lat) and c.lon < (e.bx - e.ax)*(c.lat - e.ay)/(e.byy - e.ay) + e.ax
-group by all), inside as (
-select cell_id, min(ward_ord) as ward_ord from hits where k % 2 = 1 group by cell_id)"""
+group by all), edge_hits as (
+select c.cell_id, e.ward_ord from cells c join ward_edge e
+  on c.lon between least(e.ax, e.bx) and greatest(e.ax, e.bx) and c.lat between least(e.ay, e.byy) and greatest(e.ay, e.byy)
+  and (e.bx - e.ax)*(c.lat - e.ay) - (e.byy - e.ay)*(c.lon - e.ax) = 0), inside as (
+select cell_id, min(ward_ord) as ward_ord from (select cell_id, ward_ord from hits where k % 2 = 1
+  union all select * from edge_hits) group by cell_id)"""
 PLANS_CTE = """plans as (
 select c.c_custkey as plan_id, cast(n.n_nationkey + 1 as varchar) as ward_id,
   cast((c.c_custkey*7 + n.n_nationkey*11) % 5 as int) as intervention_type,

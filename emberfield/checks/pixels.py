@@ -85,13 +85,13 @@ def r6a(spark, d):
 
 @check(
     "r6_composite_reducers",
-    OBS + f"""select px, py, {q(f'avg({_M(_RED)})', 'mean', 9)}, {q(f'max({_M(_RED)})', 'max', 9)}, {q(f'min({_M(_RED)})', 'min', 9)},
-      {q(f'sum({_M(_RED)})', 'sum', 9)}, count({_M(_RED)}) as count from obs group by px, py""",
+    OBS + f"""select px, py, {q(f'avg({_M(_RED)})', 'mean', 12)}, {q(f'max({_M(_RED)})', 'max', 12)}, {q(f'min({_M(_RED)})', 'min', 12)},
+      {q(f'sum({_M(_RED)})', 'sum', 12)}, count({_M(_RED)}) as count from obs group by px, py""",
 )
 def r6b(spark, d):
     o = R.with_reflectance(_obs(spark, d))
     parts = [R.composite(o, {k: "red"}, k) for k in ("mean", "max", "min", "sum", "count")]
-    return rounded(R.band_stack(*parts), 9)
+    return rounded(R.band_stack(*parts), 12)
 
 
 @check(

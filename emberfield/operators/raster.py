@@ -21,9 +21,11 @@ def scene_filter(
 ) -> DataFrame:
     """Dates in [start, end), cloud cover strictly below the limit, pixels inside the box (x0, y0, x1, y1).
 
-    Plain comparisons on stored columns, so they reach the file scan (and prune date partitions).
+    Plain comparisons of stored columns with literals of the same type, so they reach the file scan (and prune
+    date partitions).
     """
-    out = obs.filter((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
+    kind = obs.schema["ts"].dataType
+    out = obs.filter((F.col("ts") >= F.lit(start).cast(kind)) & (F.col("ts") < F.lit(end).cast(kind)))
     if max_cloud is not None:
         out = out.filter(F.col("cloud_cover") < max_cloud)
     if box is not None:

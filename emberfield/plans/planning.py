@@ -31,9 +31,12 @@ def ward_deltas(wards: DataFrame, model: Model) -> DataFrame:
     """
     typed = wards.withColumn("intervention_type", F.explode(F.array(*[F.lit(t) for t in S.INTERVENTION_TYPES])))
     out = delta_t(typed, model, F.col("intervention_type"))
-    return out.select(
-        "ward_id", "intervention_type", "delta_T", "area_m2",
-        F.coalesce("pop_density", F.lit(1.0)).alias("population"), F.coalesce("HVI", F.lit(0.5)).alias("hvi"),
+    # five rows per ward, used several times below: kept, so that the cells are read once
+    return cut_lineage(
+        out.select(
+            "ward_id", "intervention_type", "delta_T", "area_m2",
+            F.coalesce("pop_density", F.lit(1.0)).alias("population"), F.coalesce("HVI", F.lit(0.5)).alias("hvi"),
+        )
     )
 
 
@@ -118,7 +121,7 @@ def pareto_front(
        block is tested against the blocks of lower or equal score, one bounded pair of blocks per task.
     """
     objs = list(objectives)
-    rows = plans if feasible is None else plans.filter(feasible)
+    rows = cut_lineage(plans if feasible is None else plans.filter(feasible))
     vectors = rows.select(*objs).distinct()
     schema = ", ".join(f"{c} double" for c in objs)
 
@@ -177,7 +180,7 @@ def generate_plans(wards: DataFrame, n: int, seed: int = 42, chunk: int = 10_000
     )
     first = F.col("_c") * F.lit(chunk)
     last = F.least(first + F.lit(chunk), F.lit(n)) - F.lit(1)
-    rows = chunks.withColumn("plan_id", F.explode(F.sequence(first, last)).cast("long"))
+    rows = chunks.withColumn("plan_id", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     return rows.select(
         "plan_id", "ward_id",
         F.floor(hash_uniform(["plan_id", "ward_id"], f"{seed}:type") * F.lit(5.0)).cast("int").alias("intervention_type"),
