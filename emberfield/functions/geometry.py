@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.functions.bands import _c
@@ -48,6 +48,15 @@ def segment_distance_sq(px, py, ax, ay, bx, by) -> Column:
     return ex * ex + ey * ey
 
 
+def segment_position(px, py, ax, ay, bx, by) -> Column:
+    """Where along the segment (0 to 1) its nearest place to the point lies."""
+    px, py, ax, ay, bx, by = map(_c, (px, py, ax, ay, bx, by))
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = ((px - ax) * dx + (py - ay) * dy) / length
+    return F.when(length > 0, F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+
+
 def segment_disk_length(px, py, ax, ay, bx, by, r: float) -> Column:
     """Length of the part of a segment inside the disk of radius ``r`` around the point."""
     px, py, ax, ay, bx, by = map(_c, (px, py, ax, ay, bx, by))
@@ -106,9 +115,14 @@ def ring_area(ring) -> Column:
     )
 
 
+def signed_area(parts) -> Column:
+    """Sum of the signed ring areas: outlines one way, holes the other."""
+    return F.aggregate(_c(parts), F.lit(0.0), lambda s, r: s + ring_area(r))
+
+
 def parts_area(parts) -> Column:
-    """Area of a polygon whose first ring is the outline and whose oppositely wound rings are holes."""
-    return F.abs(F.aggregate(_c(parts), F.lit(0.0), lambda s, r: s + ring_area(r)))
+    """Area of a polygon whose holes are wound opposite to its outlines."""
+    return F.abs(signed_area(parts))
 
 
 def normalise_rings(polygons: Column) -> Column:
@@ -154,35 +168,42 @@ def point_in_edges(px, py, edges, predicate: str = "intersects") -> Column:
     return (edge | odd) if predicate == "intersects" else (~edge & odd)
 
 
-def edges_disk_area(px, py, edges, r: float) -> Column:
-    """Area shared by a polygon (consistently wound edges, holes reversed) and the disk around the point.
+def with_edge_disk_share(df: DataFrame, r: float, out: str = "share") -> DataFrame:
+    """Add the signed share of the boundary edge (ax, ay, bx, by) in the area common to its polygon and the disk
+    of radius ``r`` around (px, py); null for rows without an edge.
 
-    Each edge contributes its circular sectors outside the disk and its triangle inside; the sum over the
-    closed boundary is the signed area.
+    The edge contributes its circular sectors outside the disk and its triangle inside; summed over the closed
+    boundary this is the common area, positive for outlines wound counter-clockwise (holes subtract). Intermediate
+    values are columns of their own, so that each is computed once and the generated code stays small.
     """
-    px, py = _c(px), _c(py)
-    half_r2 = F.lit(r * r / 2.0)
-
-    def angle(ux, uy, vx, vy):
-        return F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
-
-    def share(e: Column) -> Column:
-        sx, sy = e.ax - px, e.ay - py
-        tx, ty = e.bx - px, e.by - py
-        dx, dy = e.bx - e.ax, e.by - e.ay
-        a = dx * dx + dy * dy
-        b = F.lit(2.0) * (sx * dx + sy * dy)
-        disc = b * b - F.lit(4.0) * a * (sx * sx + sy * sy - F.lit(r * r))
-        root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-        live = (a > 0) & (disc > 0)
-
-        def at(sign):
-            t = F.try_divide(-b + F.lit(sign) * root, F.lit(2.0) * a)
-            return F.when(live, F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-
-        s1, s2 = at(-1.0), at(1.0)
-        ux, uy = sx + s1 * dx, sy + s1 * dy
-        vx, vy = sx + s2 * dx, sy + s2 * dy
-        return half_r2 * (angle(sx, sy, ux, uy) + angle(vx, vy, tx, ty)) + (ux * vy - uy * vx) / F.lit(2.0)
-
-    return F.abs(F.aggregate(_c(edges), F.lit(0.0), lambda acc, e: acc + share(e)))
+    c = F.col
+    dot = lambda a, b: c(f"{a}x") * c(f"{b}x") + c(f"{a}y") * c(f"{b}y")
+    cross = lambda a, b: c(f"{a}x") * c(f"{b}y") - c(f"{a}y") * c(f"{b}x")
+    kept = df.columns
+    local = df.withColumns(
+        {"_sx": c("ax") - c("px"), "_sy": c("ay") - c("py"), "_tx": c("bx") - c("px"), "_ty": c("by") - c("py"),
+         "_dx": c("bx") - c("ax"), "_dy": c("by") - c("ay")}
+    )
+    quad = local.withColumns({"_a": dot("_d", "_d"), "_b": dot("_s", "_d"), "_c": dot("_s", "_s") - F.lit(r * r)})
+    disc = quad.withColumn("_disc", c("_b") * c("_b") - c("_a") * c("_c"))
+    live = (c("_a") > 0) & (c("_disc") > 0)
+    roots = disc.withColumn("_q", F.when(live, F.sqrt("_disc")))
+
+    def inside(t: Column) -> Column:
+        return F.coalesce(F.least(F.greatest(t / c("_a"), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+
+    cut = roots.withColumns(
+        {
+            "_s1": F.when(c("_q").isNotNull(), inside(-c("_b") - c("_q"))).otherwise(0.0),
+            "_s2": F.when(c("_q").isNotNull(), inside(-c("_b") + c("_q"))).otherwise(0.0),
+        }
+    )
+    ends = cut.withColumns(
+        {
+            "_ux": c("_sx") + c("_s1") * c("_dx"), "_uy": c("_sy") + c("_s1") * c("_dy"),
+            "_vx": c("_sx") + c("_s2") * c("_dx"), "_vy": c("_sy") + c("_s2") * c("_dy"),
+        }
+    )
+    sectors = F.atan2(cross("_s", "_u"), dot("_s", "_u")) + F.atan2(cross("_v", "_t"), dot("_v", "_t"))
+    share = F.lit(r * r / 2.0) * sectors + cross("_u", "_v") / F.lit(2.0)
+    return ends.select(*kept, share.alias(out))

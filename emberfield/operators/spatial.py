@@ -8,24 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.functions.geometry import (
-    edges_disk_area,
     line_segments,
-    parts_area,
     point_in_edges,
     ring_edges,
     segment_disk_length,
-    segment_distance_sq,
+    segment_position,
+    signed_area,
+    with_edge_disk_share,
 )
 from emberfield.operators.spatial_index import (
     BoxTree,
     box_far_sq,
-    box_near_sq,
     build_tree,
     candidates,
+    disk_parts,
     disk_sums,
     nearest,
 )
-from emberfield.scale import scalar_struct
+from emberfield.scale import scalar_struct, work_partitions
 
 EDGES_PER_STRIP = 32
 POLYGONS = ["Polygon", "MultiPolygon"]
@@ -80,7 +80,8 @@ def _containing(points: DataFrame, tree: BoxTree, predicate: str) -> DataFrame:
     def holds(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
         return px.between(x0, x1) & py.between(y0, y1)
 
-    found = candidates(points, tree, holds)
+    start = points.repartition(work_partitions(points.sparkSession), points.columns[0])
+    found = candidates(start, tree, holds)
     found = found.filter(holds(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
     return found.filter(point_in_edges("px", "py", "edges", predicate))
 
@@ -96,7 +97,7 @@ def within_join(
     order: str = "ward_ord",
 ) -> DataFrame:
     """Left outer point-in-polygon join, one row per point; where polygons overlap the first ward wins."""
-    tree = build_tree(polygon_strips(wards, [order, *ward_cols]), [order], size=F.size("edges"))
+    tree = build_tree(polygon_strips(wards, [order, *ward_cols]), [order], size=F.size("edges"), costly=True)
     if tree.tops is None:
         kinds = dict(wards.dtypes)
         return points.withColumns({c: F.lit(None).cast(kinds[c]) for c in ward_cols})
@@ -125,15 +126,25 @@ def segment_boxes(segments: DataFrame) -> DataFrame:
     )
 
 
+def with_segment_distance(df: DataFrame) -> DataFrame:
+    """Add ``_d``, the squared distance of (px, py) from the segment.
+
+    The position along the segment goes through a one-element explode: a later filter on the distance can then
+    not be pushed below it, which would repeat the position's formula inside join conditions.
+    """
+    at = df.withColumn("_t", F.explode(F.array(segment_position("px", "py", "ax", "ay", "bx", "by"))))
+    ex = F.col("px") - (F.col("ax") + F.col("_t") * (F.col("bx") - F.col("ax")))
+    ey = F.col("py") - (F.col("ay") + F.col("_t") * (F.col("by") - F.col("ay")))
+    return at.withColumn("_d", ex * ex + ey * ey)
+
+
 def nearest_segments(points: DataFrame, segments: DataFrame, pid: str, fid: str) -> DataFrame:
     """``pid``, ``dist_m`` and the nearest feature's id (smallest id on a tie), for points with px, py."""
-    tree = build_tree(segments, [fid])
+    tree = build_tree(segments, [fid], costly=True)
     if tree.tops is None:
         kind = dict(segments.dtypes)[fid]
         return points.select(pid, F.lit(None).cast("double").alias("dist_m"), F.lit(None).cast(kind).alias(fid))
-    near = nearest(
-        points, tree, pid, lambda px, py: segment_distance_sq(px, py, "ax", "ay", "bx", "by"), tie=[fid]
-    )
+    near = nearest(points, tree, pid, with_segment_distance, tie=[fid])
     return near.select(pid, F.sqrt("dist_sq").alias("dist_m"), fid)
 
 
@@ -151,7 +162,7 @@ def nearest_join(
     (or none within ``max_dist``). ``features``: feature id, geom_type, parts."""
     pts = _points(points, pid, x, y)
     near = nearest_segments(pts, feature_segments(features, fid), pid, fid).select(pid, F.col("dist_m").alias("_d"))
-    tree = build_tree(polygon_strips(features.filter(F.col("geom_type").isin(*POLYGONS)), [fid], "parts"), [fid], size=F.size("edges"))
+    tree = build_tree(polygon_strips(features.filter(F.col("geom_type").isin(*POLYGONS)), [fid], "parts"), [fid], size=F.size("edges"), costly=True)
     result = points.join(near, pid, "left")
     dist = F.col("_d")
     if tree.tops is not None:
@@ -182,11 +193,16 @@ def line_density(points: DataFrame, segments: DataFrame, pid: str, r: float, emp
 def area_density(points: DataFrame, polygons: DataFrame, pid: str, r: float, empty: float | None = None) -> DataFrame:
     """Share of the disk covered by polygons, overlaps counted twice, at most 1: ``pid``, ``area_density``.
 
-    Polygons: ``parts`` wound consistently (outlines one way, holes the other) + an id.
+    Polygons: ``parts`` wound consistently (outlines one way, holes the other) + an id. Only polygons cut by the
+    circle are opened into edges; the edge formula then runs in generated code.
     """
-    items = polygons.select(
-        ring_edges("parts").alias("edges"), parts_area("parts").alias("area")
-    ).filter(F.size("edges") > 0)
+    turned = F.transform(
+        "edges", lambda e: F.struct(e.bx.alias("ax"), e.by.alias("ay"), e.ax.alias("bx"), e.ay.alias("by"))
+    )
+    items = polygons.select(ring_edges("parts").alias("edges"), signed_area("parts").alias("_signed"))
+    items = items.filter(F.size("edges") > 0).select(
+        F.when(F.col("_signed") < 0, turned).otherwise(F.col("edges")).alias("edges"), F.abs("_signed").alias("area")
+    )
     items = items.withColumns(
         {
             "x0": F.array_min(F.transform("edges", lambda e: F.least(e.ax, e.bx))),
@@ -195,18 +211,24 @@ def area_density(points: DataFrame, polygons: DataFrame, pid: str, r: float, emp
             "y1": F.array_max(F.transform("edges", lambda e: F.greatest(e.ay, e.by))),
         }
     )
-    tree = build_tree(items, ["x0", "y0", "x1", "y1", "area"], sums=["area"], size=F.size("edges"))
+    tree = build_tree(items, ["x0", "y0", "x1", "y1", "area"], sums=["area"], size=F.size("edges"), costly=True)
     if tree.tops is None:
         return points.select(pid, F.lit(empty).cast("double").alias("area_density"))
     px, py, box = F.col("px"), F.col("py"), [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     limit = F.lit(r * r)
-    share = (
-        F.when(box_near_sq(px, py, *box) >= limit, F.lit(0.0))
-        .when(box_far_sq(px, py, *box) <= limit, F.col("area"))
-        .otherwise(edges_disk_area("px", "py", "edges", r))
+    inside = box_far_sq(px, py, *box) <= limit
+    cut = F.col("_sum").isNull() & ~inside
+    parts = disk_parts(points, tree, pid, r, "area").select(
+        pid, "px", "py",
+        F.coalesce(F.col("_sum"), F.when(inside, F.col("area")), F.lit(0.0)).alias("_whole"),
+        F.when(cut, F.col("edges")).alias("_edges"),
     )
-    sums = disk_sums(points, tree, pid, r, "area", F.coalesce(share, F.lit(0.0)))
-    return sums.select(pid, F.least(F.col("value") / F.lit(math.pi * r * r), F.lit(1.0)).alias("area_density"))
+    # an uncut entry stays one row; a cut polygon becomes one row per edge
+    rows = parts.select(pid, "px", "py", "_whole", F.expr("inline_outer(_edges)"))
+    shares = with_edge_disk_share(rows, r)
+    sums = shares.groupBy(pid).agg(F.sum(F.coalesce("share", "_whole")).alias("value"))
+    value = F.greatest(F.col("value") / F.lit(math.pi * r * r), F.lit(0.0))
+    return sums.select(pid, F.least(value, F.lit(1.0)).alias("area_density"))
 
 
 def nearest_cell(
@@ -219,12 +241,9 @@ def nearest_cell(
         F.col("lat").alias("y1"),
     )
     tree = build_tree(held, [cell_id])
+    dx, dy = F.col("x0") - F.col("px"), F.col("y0") - F.col("py")
     near = nearest(
-        _points(queries, qid, "lon", "lat"),
-        tree,
-        qid,
-        lambda px, py: (F.col("y0") - py) * (F.col("y0") - py) + (F.col("x0") - px) * (F.col("x0") - px),
-        tie=[cell_id],
+        _points(queries, qid, "lon", "lat"), tree, qid, lambda df: df.withColumn("_d", dy * dy + dx * dx), tie=[cell_id]
     ).select(qid, cell_id, F.col("dist_sq").alias("d2"))
     return near.join(cells.select(cell_id, *carry), cell_id) if carry else near
 

@@ -1,7 +1,7 @@
 """A packed box tree held in DataFrames, for spatial joins that do not depend on the density of the data.
 
-Items are sorted along a Z-order curve by one range shuffle and numbered; 64 neighbours form a leaf, 64 leaves
-a node, and so on: the parent of a number is the number shifted by six bits. Dense places simply get more,
+Items are sorted along a Hilbert curve by one range shuffle and numbered; 16 neighbours form a leaf, 32 leaves
+a node, and so on: the parent of a number is the number shifted by a few bits. Dense places simply get more,
 smaller leaves, so no bucket can hold a third of the data. A search is a chain of equi-joins on the node number
 with a box test after each; what it produces per point is bounded by the answer, not by the bucket.
 """
@@ -15,9 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfield.scale import BROADCAST_ROWS, cut_lineage
+from emberfield.scale import BROADCAST_ROWS, cut_lineage, work_partitions
 
-FAN_BITS = 6
+LEAF_BITS = 4  # items per leaf: 16
+FAN_BITS = 5  # children per node: 32
 ROWS_PER_PARTITION = 500_000
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -30,27 +31,31 @@ class BoxTree:
     sums: list[str]
 
 
-def _spread(x: Column) -> Column:
-    """Put a zero bit between the bits of a 31-bit number."""
-    # The usual masks of bit interleaving.
-    for shift, mask in (
-        (16, 0x0000FFFF0000FFFF),
-        (8, 0x00FF00FF00FF00FF),
-        (4, 0x0F0F0F0F0F0F0F0F),
-        (2, 0x3333333333333333),
-        (1, 0x5555555555555555),
-    ):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
-
-
-def z_order(x: Column, y: Column, x_lo: float, x_hi: float, y_lo: float, y_hi: float) -> Column:
-    steps = float(2**31 - 1)
+def curve_position(x: Column, y: Column, x_lo: float, x_hi: float, y_lo: float, y_hi: float, levels: int = 20) -> Column:
+    """Position of a place along the Hilbert curve over the extent. Neighbours on the curve are neighbours in the
+    plane (the curve never jumps), so runs of items have compact boxes."""
+    side = 2**levels
 
     def cell(v: Column, lo: float, hi: float) -> Column:
-        return ((v - F.lit(lo)) / F.lit(max(hi - lo, 1e-12)) * F.lit(steps)).cast("long")
+        return ((v - F.lit(lo)) / F.lit(max(hi - lo, 1e-12)) * F.lit(float(side - 1))).cast("long")
+
+    def step(acc: Column, s: Column) -> Column:
+        rx = F.when(acc.x.bitwiseAND(s) != 0, 1).otherwise(0)
+        ry = F.when(acc.y.bitwiseAND(s) != 0, 1).otherwise(0)
+        turn, flip = ry == 0, (ry == 0) & (rx == 1)
+        fx = F.when(flip, F.lit(side - 1) - acc.x).otherwise(acc.x)
+        fy = F.when(flip, F.lit(side - 1) - acc.y).otherwise(acc.y)
+        return F.struct(
+            F.when(turn, fy).otherwise(fx).cast("long").alias("x"),
+            F.when(turn, fx).otherwise(fy).cast("long").alias("y"),
+            (acc.d + s * s * (rx * 3).bitwiseXOR(ry)).cast("long").alias("d"),
+        )
 
-    return _spread(cell(x, x_lo, x_hi)).bitwiseOR(F.shiftleft(_spread(cell(y, y_lo, y_hi)), 1))
+    start = F.struct(
+        cell(x, x_lo, x_hi).alias("x"), cell(y, y_lo, y_hi).alias("y"), F.lit(0).cast("long").alias("d")
+    )
+    sides = F.array(*[F.lit(2**k).cast("long") for k in reversed(range(levels))])
+    return F.aggregate(sides, start, step)["d"]
 
 
 def build_tree(
@@ -58,13 +63,17 @@ def build_tree(
     id_cols: Sequence[str],
     sums: Sequence[str] = (),
     size: Column | None = None,
+    costly: bool = False,
     partition_rows: int = ROWS_PER_PARTITION,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> BoxTree:
     """Index ``items`` (with box columns x0, y0, x1, y1). ``sums`` are additive columns totalled per node.
 
-    ``size`` says how many narrow rows an item weighs (e.g. its number of edges) for the broadcast check.
+    ``size`` says how many narrow rows an item weighs (e.g. its number of edges) for the broadcast check;
+    ``costly`` items (built by array functions) are kept before they are measured, so that they are built once.
     """
+    if costly:
+        items = cut_lineage(items)
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     n, x_lo, x_hi, y_lo, y_hi, weight = items.agg(
         F.count(F.lit(1)), F.min(cx), F.max(cx), F.min(cy), F.max(cy),
@@ -72,11 +81,11 @@ def build_tree(
     ).first()
     if not n:
         return BoxTree(items.withColumn("_leaf", F.lit(0).cast("long")), [], None, list(sums))
-    coded = items.withColumn("_z", z_order(cx, cy, x_lo, x_hi, y_lo, y_hi))
+    coded = items.withColumn("_curve", curve_position(cx, cy, x_lo, x_hi, y_lo, y_hi))
     parts = min(math.ceil(n / partition_rows), 20_000)
-    spread = coded.repartition(1) if parts == 1 else coded.repartitionByRange(parts, "_z", *id_cols)
+    spread = coded.repartition(1) if parts == 1 else coded.repartitionByRange(parts, "_curve", *id_cols)
     placed = cut_lineage(
-        spread.sortWithinPartitions("_z", *id_cols).withColumn("_at", F.monotonically_increasing_id()).drop("_z")
+        spread.sortWithinPartitions("_curve", *id_cols).withColumn("_at", F.monotonically_increasing_id()).drop("_curve")
     )
     if parts == 1:
         longest = n
@@ -84,7 +93,7 @@ def build_tree(
         longest = (
             placed.groupBy(F.shiftright("_at", 33)).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0]
         )
-    shifts = [FAN_BITS]
+    shifts = [LEAF_BITS]
     while parts * math.ceil(longest / 2 ** shifts[-1]) > 64 and 2 ** shifts[-1] < longest:
         shifts.append(shifts[-1] + FAN_BITS)
     if parts > 64:
@@ -96,8 +105,8 @@ def build_tree(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         *[F.sum(s).alias(s) for s in sums],
     ]
-    leaves = placed.groupBy(F.shiftright("_at", FAN_BITS).alias("_node")).agg(*box)
-    many = n > broadcast_rows * 2**FAN_BITS
+    leaves = placed.groupBy(F.shiftright("_at", LEAF_BITS).alias("_node")).agg(*box)
+    many = n > broadcast_rows * 2**LEAF_BITS
     if many:
         leaves = cut_lineage(leaves)
     stages = [leaves]
@@ -109,17 +118,10 @@ def build_tree(
         level = stage.withColumn("_up", F.shiftright("_node", high - low))
         bound = parts * math.ceil(longest / 2**low) if low < 33 else math.ceil(parts / 2 ** (low - 33))
         levels.append(F.broadcast(level) if bound <= broadcast_rows else level)
-    held = placed.withColumn("_leaf", F.shiftright("_at", FAN_BITS)).drop("_at")
+    held = placed.withColumn("_leaf", F.shiftright("_at", LEAF_BITS)).drop("_at")
     return BoxTree(F.broadcast(held) if weight <= broadcast_rows else held, levels, tops, list(sums))
 
 
-def box_near_sq(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Squared distance of a point from a box (0 inside)."""
-    dx = F.greatest(x0 - px, px - x1, F.lit(0.0))
-    dy = F.greatest(y0 - py, py - y1, F.lit(0.0))
-    return dx * dx + dy * dy
-
-
 def box_far_sq(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Squared distance of a point from the farthest corner of a box."""
     dx = F.greatest(F.abs(px - x0), F.abs(px - x1))
@@ -137,95 +139,114 @@ def _box_cols() -> list[Column]:
 
 
 def candidates(points: DataFrame, tree: BoxTree, keep: Callable[..., Column]) -> DataFrame:
-    """Points joined with every item whose leaf box passes ``keep(x0, y0, x1, y1)`` on the whole way down."""
+    """Points joined with every item whose box passes ``keep(x0, y0, x1, y1)``, tested on the whole way down."""
     cols = points.columns
     front = _tops(points, tree).filter(keep(*_box_cols())).select(*cols, "_node")
     for level in tree.levels:
         front = (
             front.withColumnRenamed("_node", "_up").join(level, "_up").filter(keep(*_box_cols())).select(*cols, "_node")
         )
-    return front.withColumnRenamed("_node", "_leaf").join(tree.items, "_leaf").drop("_leaf")
+    found = front.withColumnRenamed("_node", "_leaf").join(tree.items, "_leaf").drop("_leaf")
+    return found.filter(keep(*_box_cols()))
 
 
 def nearest(
     points: DataFrame,
     tree: BoxTree,
     pid: str,
-    distance_sq: Callable[[Column, Column], Column],
+    measure: Callable[[DataFrame], DataFrame],
     tie: Sequence[str],
-    keep_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """For each point (``pid``, ``px``, ``py``) its nearest item: ``pid``, ``dist_sq``, the ``tie`` columns, ``keep_cols``.
+    """For each point (``pid``, ``px``, ``py``) its nearest item: ``pid``, ``dist_sq`` and the ``tie`` columns.
 
-    First a greedy walk down the tree (one child per level) gives an upper bound close to the answer; then the
-    tree is searched again with that bound, and only items within it reach the final aggregate.
+    ``measure`` adds the squared distance ``_d`` to rows of a point and an item. First a greedy walk down the tree
+    (one child per level: the nearest box, of several the one with the nearest centre) gives an upper bound close
+    to the answer; then the tree is searched again with that bound, and only items within it reach the final
+    aggregate. Box tests are plain comparisons, so the whole walk stays in small generated methods.
     """
     px, py = F.col("px"), F.col("py")
+    x0, y0, x1, y1 = _box_cols()
     base = [pid, "px", "py"]
+    zero = F.lit(0.0)
+    apart = F.greatest(x0 - px, px - x1, zero) + F.greatest(y0 - py, py - y1, zero)
+    choice = apart * F.lit(1e3) + F.abs(px + px - x0 - x1) + F.abs(py + py - y0 - y1)
 
     def best_child(front: DataFrame) -> DataFrame:
         return front.groupBy(pid).agg(
-            F.first("px").alias("px"),
-            F.first("py").alias("py"),
-            F.min_by("_node", box_far_sq(px, py, *_box_cols())).alias("_node"),
+            F.first("px").alias("px"), F.first("py").alias("py"), F.min_by("_node", choice).alias("_node")
         )
 
-    start = points.select(*base).repartition(pid)
+    start = points.select(*base).repartition(work_partitions(points.sparkSession), pid)
     front = best_child(_tops(start, tree))
     for level in tree.levels:
         front = best_child(front.withColumnRenamed("_node", "_up").join(level, "_up"))
     bounded = (
-        front.withColumnRenamed("_node", "_leaf")
-        .join(tree.items, "_leaf")
+        measure(front.withColumnRenamed("_node", "_leaf").join(tree.items, "_leaf"))
         .groupBy(pid)
-        .agg(F.first("px").alias("px"), F.first("py").alias("py"), F.min(distance_sq(px, py)).alias("_ub"))
+        .agg(F.first("px").alias("px"), F.first("py").alias("py"), F.min("_d").alias("_ub"))
+        .withColumn("_reach", F.sqrt("_ub") * F.lit(1.0 + 1e-9))
     )
-    reach = F.col("_ub") * F.lit(1.0 + 1e-9)
-    found = candidates(bounded, tree, lambda *b: box_near_sq(px, py, *b) <= reach)
+    reach = F.col("_reach")
+
+    def near(bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
+        return (bx0 - reach <= px) & (px <= bx1 + reach) & (by0 - reach <= py) & (py <= by1 + reach)
+
     return (
-        found.withColumn("_d", distance_sq(px, py))
+        measure(candidates(bounded, tree, near))
         .filter(F.col("_d") <= F.col("_ub"))
         .groupBy(pid)
-        .agg(F.min(F.struct(F.col("_d").alias("dist_sq"), *tie, *keep_cols)).alias("_m"))
+        .agg(F.min(F.struct(F.col("_d").alias("dist_sq"), *tie)).alias("_m"))
         .select(pid, "_m.*")
     )
 
 
-def disk_sums(
-    points: DataFrame, tree: BoxTree, pid: str, r: float, total: str, share: Column
-) -> DataFrame:
-    """Per point, the sum over items of their share inside the disk of radius ``r``: ``pid``, ``value``.
+def disk_parts(points: DataFrame, tree: BoxTree, pid: str, r: float, total: str) -> DataFrame:
+    """What each point's disk of radius ``r`` takes from the tree: rows of ``pid``, ``px``, ``py``, ``_sum`` and the
+    item columns.
 
-    A node that lies wholly inside the disk counts with its total and is not opened; a node outside is dropped;
-    only items of leaves cut by the circle are measured one by one. Points without items get 0.
+    A node that lies wholly inside the disk counts with its total (``_sum``, item columns null) and is not opened;
+    a node outside is dropped; the items of leaves cut by the circle come one by one with ``_sum`` null. Every
+    point has at least one row. All rows of a point stay in the partition of its id.
     """
     px, py = F.col("px"), F.col("py")
     base = [pid, "px", "py"]
-    limit = F.lit(r * r)
+    limit, reach = F.lit(r * r), F.lit(float(r))
+    x0, y0, x1, y1 = _box_cols()
+    near = (x0 - reach <= px) & (px <= x1 + reach) & (y0 - reach <= py) & (py <= y1 + reach)
     # Closed nodes keep a negative number, spread out so that they do not meet in one shuffle partition.
     closed = -F.lit(1).cast("long") - F.pmod(F.hash(pid), F.lit(1 << 20)).cast("long")
 
     def settle(front: DataFrame, done: Column) -> DataFrame:
         inside = ~done & (box_far_sq(px, py, *_box_cols()) <= limit)
-        near = box_near_sq(px, py, *_box_cols()) < limit
         return front.filter(done | near).select(
             *base,
             F.when(done | inside, closed).otherwise(F.col("_node")).alias("_node"),
             F.when(done, F.col("_sum")).when(inside, F.col(total)).otherwise(F.lit(0.0)).alias("_sum"),
         )
 
-    start = points.select(*base)
-    if tree.tops is None:
-        return start.select(pid, F.lit(0.0).alias("value"))
-    opened = _tops(start, tree).withColumn("_sum", F.lit(0.0))
-    front = settle(opened, F.lit(False))
-    # every point keeps one empty entry, so that points with nothing near still come out
-    zero = start.select(*base, closed.alias("_node"), F.lit(0.0).alias("_sum"))
-    front = front.unionByName(zero)
+    start = points.select(*base).repartition(work_partitions(points.sparkSession), pid)
+    # one empty entry next to the top nodes, so that points with nothing near still come out
+    far = float("inf")
+    empty = F.struct(
+        F.lit(-1).cast("long").alias("_node"), *[F.lit(far).alias(c) for c in BOX], *[F.lit(0.0).alias(c) for c in tree.sums]
+    )
+    opened = start.select("*", F.explode(F.concat(tree.tops, F.array(empty))).alias("_t")).select(
+        *base, F.col("_t._node").alias("_node"), *[F.col(f"_t.{c}").alias(c) for c in [*BOX, *tree.sums]],
+        F.lit(0.0).alias("_sum"),
+    )
+    front = settle(opened, F.col("_node") < 0)
     for level in tree.levels:
         step = front.withColumnRenamed("_node", "_up").join(level, "_up", "left")
         step = step.withColumn("_node", F.coalesce("_node", "_up"))
         front = settle(step, F.col("_up") < 0)
     held = front.withColumnRenamed("_node", "_leaf").join(tree.items, "_leaf", "left")
-    value = F.when(F.col("_leaf") < 0, F.col("_sum")).otherwise(share)
-    return held.groupBy(pid).agg(F.sum(value).alias("value"))
+    held = held.filter((F.col("_leaf") < 0) | near)
+    return held.withColumn("_sum", F.when(F.col("_leaf") < 0, F.col("_sum"))).drop("_leaf")
+
+
+def disk_sums(points: DataFrame, tree: BoxTree, pid: str, r: float, total: str, share: Column) -> DataFrame:
+    """Per point, the sum over items of their ``share`` inside the disk: ``pid``, ``value`` (0 without items)."""
+    if tree.tops is None:
+        return points.select(pid, F.lit(0.0).alias("value"))
+    parts = disk_parts(points, tree, pid, r, total)
+    return parts.groupBy(pid).agg(F.sum(F.coalesce(F.col("_sum"), share)).alias("value"))

@@ -41,6 +41,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions for stages that compute much on few bytes, where coalescing by size would starve the cores."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ship_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after the row count is known to be under the limit; otherwise a plain shuffle join."""
     n = df.count() if rows is None else rows

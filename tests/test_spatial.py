@@ -51,9 +51,7 @@ def _disk_len(p, a, b, r):
 def test_nearest_equals_brute_force(layers, rows, limit):
     points, segs, pts, a, b = layers
     tree = spatial_index.build_tree(spatial.segment_boxes(segs), ["fid"], partition_rows=rows, broadcast_rows=limit)
-    got = spatial_index.nearest(
-        points, tree, "pid", lambda px, py: spatial.segment_distance_sq(px, py, "ax", "ay", "bx", "by"), ["fid"]
-    ).toPandas().set_index("pid").sort_index()
+    got = spatial_index.nearest(points, tree, "pid", spatial.with_segment_distance, ["fid"]).toPandas().set_index("pid").sort_index()
     want = np.array([_seg_dist(p, a, b).min() for p in pts])
     assert len(got) == len(pts)
     assert np.allclose(np.sqrt(got["dist_sq"].to_numpy()), want, atol=1e-6)
