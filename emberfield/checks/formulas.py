@@ -338,9 +338,9 @@ def f26(spark, d):
 )
 def f27(spark, d):
     e = X.table(spark, d, "events").select("event_id", "user_id", ((F.col("event_id") * 31) % 257 / F.lit(100.0) - F.lit(1.2)).alias("v"))
-    return e.select(
-        "event_id", SC.relative_bar("v", "user_id").alias("driver_bar"),
-        SC.relative_bar("v", "user_id", 0.1, absolute=False).alias("action_bar"),
+    bars = SC.with_relative_bar(e, "v", "user_id", "driver_bar")
+    return SC.with_relative_bar(bars, "v", "user_id", "action_bar", 0.1, absolute=False).select(
+        "event_id", "driver_bar", "action_bar"
     )
 
 

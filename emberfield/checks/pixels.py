@@ -104,22 +104,22 @@ def r7(spark, d):
 
 @check(
     "r8_weather_summary",
-    OBS + f"""select px, py, {q('avg(t2m_k-273.15e0)', 'air_temp_C')}, {q('max(t2m_k-273.15e0)', 'air_temp_C_max')},
-      {q('min(t2m_k-273.15e0)', 'air_temp_C_min')}, {q('avg(sqrt(u10*u10+v10*v10))', 'wind_speed')}, {q(f'avg({_RH})', 'humidity_pct')},
-      {q('sum(rain_m*1e3)', 'rainfall_mm')} from obs group by px, py""",
+    OBS + f"""select px, py, {q('avg(t2m_k-273.15e0)', 'air_temp_C', 9)}, {q('max(t2m_k-273.15e0)', 'air_temp_C_max', 9)},
+      {q('min(t2m_k-273.15e0)', 'air_temp_C_min', 9)}, {q('avg(sqrt(u10*u10+v10*v10))', 'wind_speed', 9)}, {q(f'avg({_RH})', 'humidity_pct', 9)},
+      {q('sum(rain_m*1e3)', 'rainfall_mm', 9)} from obs group by px, py""",
 )
 def r8(spark, d):
-    return rounded(R.weather_summary(_obs(spark, d)))
+    return rounded(R.weather_summary(_obs(spark, d)), 9)
 
 
 @check(
     "r9_solar_summary",
-    OBS + f"""select px, py, {q('avg(solar_j/86400e0)', 'solar_rad_W_m2')},
-      {q('avg(case when month(ts) between 3 and 5 then solar_j/86400e0 end)', 'solar_hot')},
-      {q('avg(case when month(ts) between 6 and 9 then solar_j/86400e0 end)', 'solar_monsoon')} from obs group by px, py""",
+    OBS + f"""select px, py, {q('avg(solar_j/86400e0)', 'solar_rad_W_m2', 9)},
+      {q('avg(case when month(ts) between 3 and 5 then solar_j/86400e0 end)', 'solar_hot', 9)},
+      {q('avg(case when month(ts) between 6 and 9 then solar_j/86400e0 end)', 'solar_monsoon', 9)} from obs group by px, py""",
 )
 def r9(spark, d):
-    return rounded(R.solar_summary(_obs(spark, d)))
+    return rounded(R.solar_summary(_obs(spark, d)), 9)
 
 
 @check(
@@ -168,11 +168,11 @@ def r12(spark, d):
 _YEAR = lambda y: f"(select px, py, avg(t2m_k) as v from obs where year(ts) = {y} group by px, py)"
 
 
-@check("r13_change", OBS + f"select a.px, a.py, {q('a.v - b.v', 'change')} from {_YEAR(1998)} a join {_YEAR(1996)} b on a.px = b.px and a.py = b.py")
+@check("r13_change", OBS + f"select a.px, a.py, {q('a.v - b.v', 'change', 9)} from {_YEAR(1998)} a join {_YEAR(1996)} b on a.px = b.px and a.py = b.py")
 def r13(spark, d):
     o = _obs(spark, d)
     img = lambda y: R.composite(R.scene_filter(o, f"{y}-01-01", f"{y + 1}-01-01"), {"v": "t2m_k"}, "mean")
-    return rounded(R.change(img(1998), img(1996), "v"))
+    return rounded(R.change(img(1998), img(1996), "v"), 9)
 
 
 @check(
@@ -192,22 +192,22 @@ def r14(spark, d):
 
 @check(
     "r15_band_stack",
-    OBS + f"""select px, py, {q('avg(t2m_k)', 't')}, {q('max(solar_j)', 's')}, {q('min(dn_red)', 'r', 0)} from obs
+    OBS + f"""select px, py, {q('avg(t2m_k)', 't', 9)}, {q('max(solar_j)', 's', 9)}, {q('min(dn_red)', 'r', 0)} from obs
       where px between 3 and 35 and py between 1 and 22 group by px, py""",
 )
 def r15(spark, d):
     o = R.scene_filter(_obs(spark, d), "1900-01-01", "2100-01-01", None, (3, 1, 35, 22))
     a, b = R.composite(o, {"t": "t2m_k"}, "mean"), R.composite(o, {"s": "solar_j"}, "max")
     c = R.composite(o, {"r": "dn_red"}, "min").withColumn("r", F.col("r").cast("double"))
-    return rounded(R.band_stack(a, b, c))
+    return rounded(R.band_stack(a, b, c), 9)
 
 
 @check(
     "r16_sample_pixels",
-    OBS + f", img as (select px, py, avg(t2m_k) as v from obs group by px, py) select px, py, {q('v', 'v')} from img order by md5(concat(px, '|', py, '|42')) limit 400",
+    OBS + f", img as (select px, py, avg(t2m_k) as v from obs group by px, py) select px, py, {q('v', 'v', 9)} from img order by md5(concat(px, '|', py, '|42')) limit 400",
 )
 def r16(spark, d):
-    return rounded(R.sample_pixels(R.composite(_obs(spark, d), {"v": "t2m_k"}, "mean"), 400, 42))
+    return rounded(R.sample_pixels(R.composite(_obs(spark, d), {"v": "t2m_k"}, "mean"), 400, 42), 9)
 
 
 @check(

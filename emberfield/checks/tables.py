@@ -192,13 +192,13 @@ def s8(spark, d):
 
 @check(
     "s9_write_samples_csv",
-    f"""with {X.OBS_CTE}, img as (select px, py, {q('median(t2m_k)', 't2m_k')} from obs group by px, py)
+    f"""with {X.OBS_CTE}, img as (select px, py, {q('median(t2m_k)', 't2m_k', 9)} from obs group by px, py)
     select px, py, t2m_k from img order by md5(concat(px, '|', py, '|42')) limit 200""",
 )
 def s9(spark, d):
     from emberfield.operators.raster import composite, sample_pixels
 
-    img = rounded(composite(X.view(spark, d, X.PIXEL_OBS), ["t2m_k"]))
+    img = rounded(composite(X.view(spark, d, X.PIXEL_OBS), ["t2m_k"]), 9)
     path = scratch(spark, "samples")
     files.write_samples_csv(sample_pixels(img, 200, 42), path)
     return files.read_cells_csv(spark, path, img.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from itertools import chain
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield import schema as S
@@ -124,12 +124,18 @@ def hotspot_outlook(risk) -> Column:
     return F.when(_c(risk).isin("high", "very_high"), F.lit(1.0)).otherwise(F.lit(0.35))
 
 
-def relative_bar(value, by: str, floor: float = 0.001, absolute: bool = True) -> Column:
-    """Bar width in percent of the largest value shown for the same location, at least 4."""
-    v = F.coalesce(_c(value), F.lit(0.0))
+def with_relative_bar(
+    df: DataFrame, value: str, by: str, out: str = "bar", floor: float = 0.001, absolute: bool = True
+) -> DataFrame:
+    """Add the bar width in percent of the largest value shown for the same location, at least 4.
+
+    The largest values are aggregated and joined back (not a window), so a location may hold any share of the rows.
+    """
+    v = F.coalesce(F.col(value), F.lit(0.0))
     v = F.abs(v) if absolute else v
-    top = F.greatest(F.max(v).over(Window.partitionBy(by)), F.lit(floor))
-    return F.greatest(F.lit(4.0), F.floor(v / top * F.lit(100.0) + F.lit(0.5)).cast("double"))
+    top = df.groupBy(by).agg(F.greatest(F.max(v), F.lit(floor)).alias("_top"))
+    width = F.greatest(F.lit(4.0), F.floor(v / F.col("_top") * F.lit(100.0) + F.lit(0.5)).cast("double"))
+    return df.join(top, by).withColumn(out, width).drop("_top")
 
 
 def viewport_pos(lon, lat, min_lon, min_lat, max_lon, max_lat) -> tuple[Column, Column]:

@@ -12,6 +12,9 @@ from emberfield.functions.geometry import normalise_rings
 from emberfield.operators.columns import pick_column
 from emberfield.scale import cut_lineage
 
+# Features a single document may hold.
+COLLECTION_ROWS = 10_000
+
 _NUM1 = "array<double>"
 _NUM2 = f"array<{_NUM1}>"
 _NUM3 = f"array<{_NUM2}>"
@@ -134,9 +137,12 @@ def feature_lines(df: DataFrame, rings: str = "rings", properties: list[str] | N
 
 
 def write_geojson(df: DataFrame, path: str, rings: str = "rings", properties: list[str] | None = None, collection: bool = False) -> None:
-    """Feature-per-line text files; with ``collection`` a single FeatureCollection, meant for ward-sized output."""
+    """Feature-per-line text files; with ``collection`` a single FeatureCollection document, for ward-sized output
+    only (checked)."""
     lines = feature_lines(df, rings, properties)
     if collection:
+        if df.count() > COLLECTION_ROWS:
+            raise ValueError("too many features for one document; write one feature per line")
         lines = lines.agg(
             F.concat(
                 F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")
