@@ -13,9 +13,10 @@ from emberfield.checks.registry import check, q, r6, rounded, scratch
 from emberfield.checks.tables import WEATHER_SQL
 from emberfield.models import attribution as AT
 from emberfield.operators import actions as A
-from emberfield.operators.impute import fit_medians
+from emberfield.operators.impute import fill_albedo, fit_medians
 from emberfield.operators.wards import ward_features
 from emberfield.plans import planning as PL
+from emberfield.scale import cut_lineage
 from emberfield.streaming import observations as OB
 from emberfield.streaming import weather as WX
 
@@ -231,11 +232,8 @@ WARD_CTE = f""", {MED_CTE.replace('med as', 'med as').replace('from cells', 'fro
 
 
 def _deltas(spark, d):
-    placed = _placed(spark, d)
-    from emberfield.operators.impute import fill_albedo
-
-    model = _model(fill_albedo(X.cells(spark, d)))
-    return PL.ward_deltas(ward_features(placed), model)
+    cells = cut_lineage(fill_albedo(X.cells(spark, d)))
+    return PL.ward_deltas(ward_features(_placed(spark, d, cells)), _model(cells))
 
 
 _SCORED = PLACED_ALB + WARD_CTE + f""", tot as (select plan_id, sum({_COST}*10000e0*frac) as total from plans group by plan_id),

@@ -166,9 +166,9 @@ def j7(spark, d):
     return rounded(out.select("event_id", "city_mean", "city_std"))
 
 
-def _placed(spark, d):
+def _placed(spark, d, cells=None):
     """Cells with wards (containment only), albedo filled."""
-    c = fill_albedo(X.cells(spark, d))
+    c = fill_albedo(X.cells(spark, d)) if cells is None else cells
     return SP.within_join(c, X.wards(spark, d), "cell_id").withColumn(
         "ward_join_method", F.when(F.col("ward_id").isNotNull(), "within")
     )
