@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.llm import spans
@@ -113,15 +113,19 @@ def scores(weights: np.ndarray, bias: float, data: np.ndarray, at: np.ndarray, r
     return out
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, text: str = "text", doc_id: str = "doc_id", condition=None) -> DataFrame:
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, text: str = "text", doc_id: str = "doc_id", condition: Column | None = None, balanced: bool = False) -> DataFrame:
     """(doc_id, y, text): at most ``limit`` labelled documents, those of least hash. Null labels are left out.
 
+    ``balanced`` takes half of them from either label, as far as there are so many.
+
     The chosen ids are at most ``limit`` rows, so they are broadcast to the documents.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
     if condition is not None:
         known = known.filter(condition)
-    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
+    first = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = first(known.filter("y = 1"), limit // 2).unionByName(first(known.filter("y = 0"), limit // 2)) if balanced else first(known, limit)
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberfield.llm import bpe, line_dedup, quality, token_records, toxicity
+from emberfield.llm import bpe, line_dedup, ngram_join, quality, token_records, toxicity
 
 
 def vocabulary() -> str:
@@ -29,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_bpe_encode_decode,
         op5_quality_rules,
+        op6_ngram_jaccard_join,
         op8_toxicity,
         op9_line_dedup,
         op10_token_records,

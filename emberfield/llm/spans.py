@@ -16,6 +16,12 @@ import pyarrow as pa
 # Bytes of text handled at once; a longer document makes a slice of its own.
 SLICE_BYTES = 1 << 20
 
+# Words of letters and digits: ASCII ones and all characters beyond ASCII; and the lower-casing of A-Z.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (splitmix64 finaliser)."""

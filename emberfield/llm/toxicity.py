@@ -14,8 +14,8 @@ from emberfield.llm import spans
 from emberfield.llm.cluster import map_arrow
 from emberfield.llm.quality import labelled_rows
 
-# Labelled rows that the model is fitted on at most (those of least hash), and the hashed features.
-SAMPLE_ROWS = 4_000
+# Labelled rows that the model is fitted on at most (of each label, those of least hash), and the hashed features.
+SAMPLE_ROWS = 5_000
 FEATURES = 1 << 30
 # A feature enters the model once so many sample documents have it.
 MIN_DOCS = 10
@@ -27,12 +27,6 @@ GRAMS = ((0,), (0, 1), (0, 2))
 # Bytes at a word's beginning that stand for its inflected forms.
 STEMS = (4, 5, 6)
 
-# Words are runs of ASCII letters, digits and all characters beyond ASCII; A-Z are lower-cased.
-_WORD = np.zeros(256, dtype=bool)
-_WORD[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 
 @dataclass
 class SparseModel:
@@ -64,8 +58,8 @@ class SparseModel:
 
 def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, hashed feature) of all word grams and word stems of a slice, repeats included."""
-    data = _LOWER[data]
-    starts, ends, rows = spans.words(data, at, _WORD)
+    data = spans.LOWER[data]
+    starts, ends, rows = spans.words(data, at, spans.LETTERS)
     hashes = spans.hash_spans(data, starts, ends)
     owner, feature = [], []
     for k, steps in enumerate(GRAMS):
@@ -109,7 +103,7 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 != 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 3) -> SparseModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 5) -> SparseModel:
     """Fit on at most ``sample_rows`` labelled rows outside the held-out third.
 
     Tasks turn the sample's texts into sets of hashed grams; the driver learns from them document by document, in an
@@ -126,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epoc
                 sets = pa.ListArray.from_arrays(pa.array(cuts), pa.array((pair % FEATURES).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), sets], ["doc_id", "y", "grams"])
 
-    sample = labelled_rows(docs, labels, "toxic", sample_rows, condition=learnable()).select("doc_id", "y", "text")
+    sample = labelled_rows(docs, labels, "toxic", sample_rows, condition=learnable(), balanced=True).select("doc_id", "y", "text")
     table = map_arrow(sample, work, "doc_id long, y int, grams array<int>").toArrow()
     table = table.sort_by("doc_id")
     y = np.asarray(table["y"].combine_chunks(), dtype=np.int64)
