@@ -38,6 +38,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows as (uid, row), written once to the shared folder so that a row's number never changes."""
+    folder = shared_path(rows.sparkSession, "numbered")
+    rows.select(F.monotonically_increasing_id().alias("uid"), F.struct(*rows.columns).alias("row")).write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship_package(df.sparkSession)
     return df.mapInArrow(work, schema)
@@ -87,6 +94,43 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+def column(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].combine_chunks().to_numpy(zero_copy_only=False)
+
+
+CELL = ["key", "a", "b"]
+
+
+def cells(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each cell's rows together and in one task, a task holding many cells."""
+    flat = rows.select("key", F.col("_cell.a").alias("a"), F.col("_cell.b").alias("b"), F.col("_part").alias("part"), *columns)
+    return flat.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def earlier(keys: list[np.ndarray], key: int) -> list[np.ndarray]:
+    """Of each row's groups, in their common order, those before the group ``key``."""
+    return [k[: int(np.flatnonzero(k == key)[0])] for k in keys]
+
+
+def open_pairs(earlier: list[np.ndarray]) -> np.ndarray:
+    """Square mask of the pairs that share no earlier group, which therefore belong to this one."""
+    n = len(earlier)
+    if n == 2:
+        return np.full((2, 2), not np.intersect1d(*earlier).size)
+    values, place = np.unique(np.concatenate(earlier), return_inverse=True)
+    has = np.zeros((n, len(values)), dtype=np.float32)
+    has[np.repeat(np.arange(n), [len(e) for e in earlier]), place] = 1
+    has = has[:, has.sum(axis=0) > 1]
+    return has @ has.T < 0.5
+
+
+def cell_pairs(part: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Square mask of a cell's own pairs, each once: inside one part, or across two."""
+    if a == b:
+        return np.triu(np.ones((len(part), len(part)), dtype=bool), 1)
+    return (part == a)[:, None] & (part == b)[None, :]
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (pairs of indices below n) of the links a[i]-b[i]: each vertex points to its tree's least one."""
     root = np.arange(n)
@@ -132,7 +176,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return edge.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
     whole = maps.pop()
     while maps:
-        later = whole.withColumnsRenamed({"v": "to", "to": "then"})
+        later = whole.select(F.col("v").alias("to"), F.col("to").alias("then"))
         whole = maps.pop().join(later, "to", "left").select("v", F.coalesce("then", "to").alias("to"))
     whole = cut_lineage(whole)
     least = whole.groupBy("to").agg(F.min("v").alias("component"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.llm import spans
-from emberfield.llm.cluster import block_pairs, components, forest, map_arrow, runs, shared_path
+from emberfield.llm.cluster import CELL, block_pairs, cell_pairs, cells, column, components, earlier, forest, map_arrow, numbered, open_pairs, runs
 from emberfield.scale import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -93,30 +93,6 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return map_arrow(docs.select("uid", "doc_id", "text"), work, "uid long, doc_id long, f1 long, f2 long, bands array<long>")
 
 
-def _earlier(keys: list[np.ndarray], key: int) -> list[np.ndarray]:
-    """Of each row's groups, in their common order, those before the group ``key``."""
-    return [k[: int(np.flatnonzero(k == key)[0])] for k in keys]
-
-
-def _open_pairs(earlier: list[np.ndarray]) -> np.ndarray:
-    """Square mask of the pairs that share no earlier group, which therefore belong to this one."""
-    n = len(earlier)
-    if n == 2:
-        return np.full((2, 2), not np.intersect1d(*earlier).size)
-    values, place = np.unique(np.concatenate(earlier), return_inverse=True)
-    has = np.zeros((n, len(values)), dtype=np.float32)
-    has[np.repeat(np.arange(n), [len(e) for e in earlier]), place] = 1
-    has = has[:, has.sum(axis=0) > 1]
-    return has @ has.T < 0.5
-
-
-def _cell_pairs(part: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Square mask of a cell's own pairs, each once: inside one part, or across two."""
-    if a == b:
-        return np.triu(np.ones((len(part), len(part)), dtype=bool), 1)
-    return (part == a)[:, None] & (part == b)[None, :]
-
-
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Numbers of common elements of all pairs of sets."""
     n = len(sets)
@@ -130,38 +106,25 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     same = flat[1:] == flat[:-1]
     shared = np.append(same, False) | np.append(False, same)
     flat, owner = flat[shared], owner[shared]
-    column = np.cumsum(np.append(False, flat[1:] != flat[:-1])) if len(flat) else np.empty(0, dtype=np.int64)
+    at = np.cumsum(np.append(False, flat[1:] != flat[:-1])) if len(flat) else np.empty(0, dtype=np.int64)
     out = np.zeros((n, n), dtype=np.float32)
     width = 4096
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        i, j = np.searchsorted(column, [start, start + width])
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        i, j = np.searchsorted(at, [start, start + width])
         has = np.zeros((n, width), dtype=np.float32)
-        has[owner[i:j], column[i:j] - start] = 1
+        has[owner[i:j], at[i:j] - start] = 1
         out += has @ has.T
     return out.astype(np.int64)
 
 
-def _column(table: pa.Table, name: str) -> np.ndarray:
-    return table[name].combine_chunks().to_numpy(zero_copy_only=False)
-
-
-CELL = ["key", "a", "b"]
-
-
-def _cells(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Each cell's rows together and in one task, a task holding many cells."""
-    flat = rows.select("key", F.col("_cell.a").alias("a"), F.col("_cell.b").alias("b"), F.col("_part").alias("part"), *columns)
-    return flat.repartition(*CELL).sortWithinPartitions(*CELL)
-
-
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, uid) of the rows that have a pair of their own in the group."""
     for cell in runs(batches, CELL):
         key, a, b = (int(cell[c][0].as_py()) for c in CELL)
-        uid, keys = _column(cell, "uid"), [np.asarray(k) for k in _column(cell, "keys")]
+        uid, keys = column(cell, "uid"), [np.asarray(k) for k in column(cell, "keys")]
         if len(uid) < 2:
             continue
-        mine = _open_pairs(_earlier(keys, key)) & _cell_pairs(_column(cell, "part"), a, b)
+        mine = open_pairs(earlier(keys, key)) & cell_pairs(column(cell, "part"), a, b)
         met = np.flatnonzero(mine.any(axis=0) | mine.any(axis=1))
         if len(met):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), key)), pa.array(uid[met])], ["key", "uid"])
@@ -171,11 +134,11 @@ def _verify(threshold: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in runs(batches, CELL):
             key, a, b = (int(cell[c][0].as_py()) for c in CELL)
-            uid, size = _column(cell, "uid"), _column(cell, "size")
+            uid, size = column(cell, "uid"), column(cell, "size")
             if len(uid) < 2:
                 continue
-            mine = _open_pairs(_earlier([np.asarray(k) for k in _column(cell, "keys")], key)) & _cell_pairs(_column(cell, "part"), a, b)
-            sets = [np.asarray(s) for s in _column(cell, "grams")]
+            mine = open_pairs(earlier([np.asarray(k) for k in column(cell, "keys")], key)) & cell_pairs(column(cell, "part"), a, b)
+            sets = [np.asarray(s) for s in column(cell, "grams")]
             common = _overlaps(sets)
             count = np.array([len(s) for s in sets])
             linked = mine & (common >= threshold * (count[:, None] + count[None, :] - common) - 1e-9)
@@ -221,14 +184,14 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     order = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "key"))), lambda s: s["key"])
     members = cut_lineage(members.groupBy("uid").agg(order.alias("keys")))  # at most one entry a band
     dealt = block_pairs(members.select("uid", "keys", F.explode("keys").alias("key")), kept, "key", "uid")
-    needed = map_arrow(_cells(dealt, ["uid", "keys"]), _needed, "key long, uid long").distinct()
+    needed = map_arrow(cells(dealt, ["uid", "keys"]), _needed, "key long, uid long").distinct()
     needed = cut_lineage(needed)
 
     wanted = needed.select("uid").distinct().join(leaders.select("uid", "doc_id", "size"), "uid")
     sets = _sets(docs.select("uid", "text").join(wanted.select("uid", "size"), "uid"))
     sizes = needed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    cells = block_pairs(needed, sizes, "key", "uid").join(members, "uid").join(sets, "uid")
-    found = map_arrow(_cells(cells, ["uid", "keys", "size", "grams"]), _verify(threshold), "uid long, other long, texts long, rows long")
+    dealt = block_pairs(needed, sizes, "key", "uid").join(members, "uid").join(sets, "uid")
+    found = map_arrow(cells(dealt, ["uid", "keys", "size", "grams"]), _verify(threshold), "uid long, other long, texts long, rows long")
     found = cut_lineage(found)
 
     degrees = found.filter("other < 0").groupBy("uid").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))
@@ -266,13 +229,6 @@ def _sets(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("uid", "size", "text"), work, "uid long, size long, grams array<long>")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows as (uid, row), written once to the shared folder so that a row's number never changes."""
-    folder = shared_path(docs.sparkSession, "numbered")
-    docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*docs.columns).alias("row")).write.parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
-
-
 def _plain(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     return rows.select("uid", F.col("row")[doc_id].cast("long").alias("doc_id"), F.col("row")[text].cast("string").alias("text"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberfield.llm import bpe, line_dedup, ngram_join, quality, token_records, toxicity
+from emberfield.llm import bpe, embed_dedup, line_dedup, ngram_join, quality, token_records, toxicity
 
 
 def vocabulary() -> str:
@@ -33,6 +33,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_bpe_encode_decode,
         op5_quality_rules,
         op6_ngram_jaccard_join,
+        op7_embedding_near_dedup,
         op8_toxicity,
         op9_line_dedup,
         op10_token_records,
@@ -59,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_embedding_near_dedup": embed_dedup.EMBED_DEDUP_SQL,
     "op9_line_dedup": line_dedup.LINE_DEDUP_SQL,
 }
