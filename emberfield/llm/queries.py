@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberfield.llm import bpe, embed_dedup, line_dedup, ngram_join, quality, token_records, toxicity
+from emberfield.llm import bpe, embed_dedup, html_text, licenses, line_dedup, mixing, ngram_join, quality, token_records, toxicity
 
 
 def vocabulary() -> str:
@@ -24,6 +24,19 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -54,6 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe_encode_decode,
+        op2_source_mixing,
+        op3_html_text,
+        op4_license_scan,
         op5_quality_rules,
         op6_ngram_jaccard_join,
         op7_embedding_near_dedup,
@@ -64,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_license_scan": licenses.LICENSES_SQL,
     "op7_embedding_near_dedup": embed_dedup.EMBED_DEDUP_SQL,
     "op9_line_dedup": line_dedup.LINE_DEDUP_SQL,
 }
