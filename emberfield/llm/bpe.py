@@ -254,6 +254,12 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return batch.column(batch.schema.get_field_index(name)).fill_null("").to_pylist()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The rows with a column ``ids`` (array<int>) added; a column of that name is replaced. Null text has no ids."""
     rest = [c for c in docs.columns if c not in (ids, text)]
@@ -262,7 +268,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
-        for batch in batches:
+        for batch in sliced(batches):
             values = [x.astype(np.int32) for x in model.encode(_texts(batch, "_text"))]
             at = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
             flat = pa.array(np.concatenate(values) if values else np.empty(0, dtype=np.int32))
@@ -280,7 +286,7 @@ def decode_documents(rows: DataFrame, path: str, ids: str = "ids", text: str = "
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [model.decode(np.asarray(x if x is not None else [], dtype=np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["_row", "_ids", "_text"])
 
