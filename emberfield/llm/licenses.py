@@ -71,7 +71,7 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 )
 
 # A sentence ends after .!?:; and white space, and at a line end unless the next line goes on in lower case.
-BOUNDARY = r"(?<=[.!?:;])[ \t\r\n]+|\n+(?![a-z])"
+BOUNDARY = r"(?<=[.!?:;])[ \t\r\n]+|\n(?![ \t]*[a-z])"
 # Any known sentence has one of these; other documents are done after one look.
 HINT = r"(?i)licen[sc]e|permission|warranty|redistribut|public domain|rights reserved|free software|any later version"
 
@@ -133,7 +133,7 @@ def _sql() -> str:
         last = f"f{k}"
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-t AS (SELECT doc_id, row_number() OVER () AS r, regexp_replace(regexp_replace(COALESCE(text, ''), '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n+([^a-z\\n]|$)', chr(1) || '\\1', 'g') AS marked FROM documents),
+t AS (SELECT doc_id, row_number() OVER () AS r, replace(regexp_replace(regexp_replace(COALESCE(text, ''), '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n([ \\t]*[a-z])', ' \\1', 'g'), chr(10), chr(1)) AS marked FROM documents),
 s AS (SELECT doc_id, r, unnest(string_split(marked, chr(1))) AS sentence, generate_subscripts(string_split(marked, chr(1)), 1) AS place FROM t),
 m AS (SELECT s.r, list(k.id ORDER BY place) AS ids FROM s JOIN known k ON k.sentence = lower(trim(regexp_replace(s.sentence, '[^0-9A-Za-z]+', ' ', 'g'))) GROUP BY s.r),
 f0 AS (SELECT doc_id, COALESCE(ids, []) AS ids, ',' || array_to_string(COALESCE(ids, []), ',,') || ',' AS rest, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS kinds FROM t LEFT JOIN m ON t.r = m.r),

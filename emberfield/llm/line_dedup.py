@@ -45,26 +45,23 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return lost.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The rows with ``text`` shortened, and ``n_lines`` (before) and ``n_dropped`` added (such columns are replaced).
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
+    """The rows with ``text`` shortened, and with ``counts`` also ``n_lines`` (before) and ``n_dropped`` (replaced if there).
 
     A key of at least ``min_chars`` code points found in ``min_docs`` documents or more stays only in the largest
     doc_id holding it, with all its lines there. The other lines are joined by \\n in their order. Null text counts as
     one empty line and becomes empty text. Rows with the same doc_id are one document; a null doc_id is a document
     below all others. An empty table gives an empty table.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     lost = repeated_lines(docs, doc_id, text, min_chars, min_docs)
     whole = docs.select(F.struct(*names).alias("_row"), F.col(doc_id).alias("_doc"))
     both = whole.join(lost, whole["_doc"].eqNullSafe(lost["doc"]), "left")
     lines = _lines(F.col("_row")[text])
     kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("drop"), line_hash(x, min_chars)), F.lit(False))))
     out = both.select("_row", F.size(lines).cast("long").alias("n_lines"), kept.alias("_kept"))
-    return out.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names],
-        "n_lines",
-        (F.col("n_lines") - F.size("_kept")).alias("n_dropped"),
-    )
+    added = [F.col("n_lines"), (F.col("n_lines") - F.size("_kept")).alias("n_dropped")] if counts else []
+    return out.select(*[F.array_join("_kept", "\n").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names], *added)
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:

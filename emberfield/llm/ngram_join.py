@@ -34,7 +34,7 @@ def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MA
     """
     found = (1, 1)
     for rows in range(1, most + 1):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
+        bands = max(1, math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows))))
         if bands * rows <= most:
             found = (bands, rows)
     return found
