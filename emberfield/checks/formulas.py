@@ -261,16 +261,20 @@ _ACT_SQL = "case " + " ".join(f"when o_orderkey % {len(_ACT)} = {i} then '{f}'"
 
 @check(
     "f24_co_benefits",
-    f"""with e as (select o_orderkey as cell_id, {_ACT_SQL} as intervention, ((o_orderkey*7) % 64)/17e0 as delta from orders)
-    select cell_id, {q("delta*coalesce(" + "case intervention " + " ".join(f"when '{k}' then {v[1]}e0" for k, v in S.DISPLAY.items()) + " end, 5e0)", 'co2', 1)},
-      {q("delta*coalesce(" + "case intervention " + " ".join(f"when '{k}' then {v[2]}e0" for k, v in S.DISPLAY.items()) + " end, 3e0)", 'energy', 1)},
-      {_values({k: v[3] for k, v in S.DISPLAY.items()}, 'intervention')} end as effect from e""",
+    f"""with e as (select o_orderkey as cell_id, {_ACT_SQL} as intervention,
+      case when o_orderkey % 11 <> 0 then ((o_orderkey*7) % 64)/17e0 end as delta from orders)
+    select cell_id, {q("coalesce(delta, 0e0)*case intervention when 'trees' then 12.5e0 when 'cool_roofs' then 8.2e0"
+      " when 'reflective_pavement' then 3.8e0 when 'blue_green' then 10.8e0 else 26.4e0 end", 'co2', 1)},
+      {q("coalesce(delta, 0e0)*case intervention when 'trees' then 3.2e0 when 'cool_roofs' then 7.5e0"
+      " when 'reflective_pavement' then 2.1e0 when 'blue_green' then 4.8e0 else 11.5e0 end", 'energy', 1)},
+      case intervention when 'trees' then '3-5 yrs' when 'cool_roofs' then 'Immediate' when 'reflective_pavement' then '1-2 yrs'
+      when 'blue_green' then '2-3 yrs' else '3-7 yrs' end as effect from e""",
 )
 def f24(spark, d):
     e = X.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("cell_id"),
         F.element_at(F.array(*[F.lit(a) for a in _ACT]), (F.col("o_orderkey") % len(_ACT) + 1).cast("int")).alias("intervention"),
-        ((F.col("o_orderkey") * 7) % 64 / F.lit(17.0)).alias("delta"),
+        F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_orderkey") * 7) % 64 / F.lit(17.0)).alias("delta"),
     )
     return e.select(
         "cell_id", SC.co2_tonnes("delta", "intervention").alias("co2"), SC.energy_saving_pct("delta", "intervention").alias("energy"),

@@ -225,8 +225,9 @@ _ND = lambda a, b: f"({a}-{b})/nullif({a}+{b}, 0)"
 
 @check(
     "r18_hot_season_table",
-    OBS + f""", hot as (select px, py, median({_M(_LST)}) as lst_celsius, median({_M(_ND(_NIR, _RED))}) as NDVI_L,
-      median({_M(_ND(_SW, _NIR))}) as NDBI_L from obs where month(ts) between 3 and 5 group by px, py),
+    OBS + f""", bands as (select px, py, median({_M(_LST)}) as lst_celsius, median({_M(_RED)}) as red, median({_M(_NIR)}) as nir,
+      median({_M(_SW)}) as swir1 from obs where month(ts) between 3 and 5 group by px, py),
+    hot as (select px, py, lst_celsius, {_ND('nir', 'red')} as NDVI_L, {_ND('swir1', 'nir')} as NDBI_L from bands),
     shared as (select px, py, avg(t2m_k-273.15e0) as air_temp_C from obs group by px, py),
     img as (select hot.*, air_temp_C from hot join shared using (px, py))
     select px, py, {', '.join(q(c, c) for c in ('lst_celsius', 'NDVI_L', 'NDBI_L', 'air_temp_C'))} from img

@@ -109,15 +109,15 @@ def risk_text(risk) -> Column:
 
 
 def co2_tonnes(delta, name) -> Column:
-    return F.round(_c(delta) * lookup(name, {k: v[1] for k, v in S.DISPLAY.items()}, 5.0), 1)
+    return F.round(F.coalesce(_c(delta), F.lit(0.0)) * lookup(name, {k: v[1] for k, v in S.DISPLAY.items()}, S.DISPLAY["combined"][1]), 1)
 
 
 def energy_saving_pct(delta, name) -> Column:
-    return F.round(_c(delta) * lookup(name, {k: v[2] for k, v in S.DISPLAY.items()}, 3.0), 1)
+    return F.round(F.coalesce(_c(delta), F.lit(0.0)) * lookup(name, {k: v[2] for k, v in S.DISPLAY.items()}, S.DISPLAY["combined"][2]), 1)
 
 
 def time_to_effect(name) -> Column:
-    return lookup(name, {k: v[3] for k, v in S.DISPLAY.items()})
+    return lookup(name, {k: v[3] for k, v in S.DISPLAY.items()}, S.DISPLAY["combined"][3])
 
 
 def hotspot_outlook(risk) -> Column:
@@ -133,9 +133,10 @@ def with_relative_bar(
     """
     v = F.coalesce(F.col(value), F.lit(0.0))
     v = F.abs(v) if absolute else v
-    top = df.groupBy(by).agg(F.greatest(F.max(v), F.lit(floor)).alias("_top"))
+    top = df.groupBy(F.col(by).alias("_by")).agg(F.greatest(F.max(v), F.lit(floor)).alias("_top"))
     width = F.greatest(F.lit(4.0), F.floor(v / F.col("_top") * F.lit(100.0) + F.lit(0.5)).cast("double"))
-    return df.join(top, by).withColumn(out, width).drop("_top")
+    # a null location is a location
+    return df.join(top, F.col(by).eqNullSafe(F.col("_by"))).withColumn(out, width).drop("_by", "_top")
 
 
 def viewport_pos(lon, lat, min_lon, min_lat, max_lon, max_lat) -> tuple[Column, Column]:

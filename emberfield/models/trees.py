@@ -45,8 +45,6 @@ class TreeParams:
 
 
 # Tree counts, depths and rates of the two full-size trainers.
-FULL_MAIN = TreeParams(rounds=800, depth=6, rate=0.03)
-FULL_MODULE = TreeParams(rounds=1000, depth=7, rate=0.05)
 
 
 @dataclass

@@ -16,19 +16,6 @@ from emberfield.operators.stats import top_k_per_group
 Model = Callable[[DataFrame], DataFrame]  # adds a column ``prediction``
 
 
-def catalog_frame(spark, profile: str = "recommend") -> DataFrame:
-    """The catalog as rows, in catalog order."""
-    rows = [
-        (i, n, c["label"], float(c["cost"]), c["typical_delta"], c["lifespan"], c["color"], S.DESCRIPTIONS[n])
-        for i, (n, c) in enumerate(S.CATALOG.items())
-    ]
-    return spark.createDataFrame(
-        rows,
-        "catalog_ord int, intervention string, label string, cost double, typical_delta double, lifespan int, "
-        "color string, description string",
-    )
-
-
 def _catalog_array(names: Sequence[str], fields: Mapping[str, Mapping]) -> Column:
     return F.array(
         *[

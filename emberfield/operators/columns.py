@@ -51,10 +51,17 @@ def require_columns(df: DataFrame, cols: Iterable[str] = S.REQUIRED_COLUMNS) ->
 
 
 def schema_audit(df: DataFrame, expected: Sequence[str] = tuple(S.EXPECTED_FEATURES)) -> DataFrame:
-    """(column, status): expected columns that are missing and columns nobody expects. Schema only, no job."""
+    """(column, status, n_filled): expected columns that are missing, and columns nobody expects with the number of
+    their non-null rows (0 for missing ones). Names that only identify a cell are no surplus. One counting pass."""
     have, known = set(df.columns), set(expected) | set(S.ID_COLUMNS)
-    rows = [(c, "missing") for c in expected if c not in have] + [(c, "extra") for c in df.columns if c not in known]
-    return df.sparkSession.createDataFrame(rows, "column string, status string")
+    missing = [c for c in expected if c not in have]
+    extra = [c for c in df.columns if c not in known]
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in extra], *[F.lit(0).cast("long").alias(c) for c in missing])
+    row = lambda c, status: F.struct(F.lit(c).alias("column"), F.lit(status).alias("status"), F.col(f"`{c}`").alias("n_filled"))
+    rows = [row(c, "missing") for c in missing] + [row(c, "extra") for c in extra]
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column string, status string, n_filled long")
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def null_report(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberfield.functions import bands as B
-from emberfield.scale import GROUP_ROWS, exact_percentiles, scalar_struct
+from emberfield.scale import GROUP_ROWS, cut_lineage, exact_percentiles, scalar_struct, ship_if_small
 
 COVER = "LULC_ESA"
 
@@ -39,7 +39,7 @@ def fill_albedo(df: DataFrame, group_rows: int | None = None) -> DataFrame:
     if COVER in have:
         known = out.filter(F.col(COVER).isNotNull())
         medians = exact_percentiles(known, [COVER], {"_m": ("albedo", 0.5)}, **limits)
-        out = out.join(medians, COVER, "left").withColumn("albedo", F.coalesce("albedo", "_m")).drop("_m")
+        out = out.join(ship_if_small(cut_lineage(medians)), COVER, "left").withColumn("albedo", F.coalesce("albedo", "_m")).drop("_m")
     overall = exact_percentiles(out, [], {"_m": ("albedo", 0.5)}, **limits)
     g = scalar_struct(overall, {"m": F.first("_m")})
     return out.withColumn("albedo", F.coalesce("albedo", g["m"])).select(*df.columns, *([] if "albedo" in have else ["albedo"]))
@@ -75,7 +75,7 @@ def impute_grouped_median(
     wanted = {f"_m_{c}": (c, 0.5) for c in todo}
     by_class = exact_percentiles(df.filter(F.col(by).isNotNull()), [by], wanted, **limits)
     filled = (
-        df.join(by_class, by, "left")
+        df.join(ship_if_small(cut_lineage(by_class)), by, "left")
         .withColumns({c: F.coalesce(c, f"_m_{c}") for c in todo})
         .drop(*wanted)
     )

@@ -295,17 +295,15 @@ def attach_coords(
 
 
 def hot_season_table(obs: DataFrame, shared: DataFrame | None, n: int, seed: int = 42, **limits) -> DataFrame:
-    """Lean hot-season stack (months 3-5): surface temperature, indices and shared layers; n/2 samples, seed + 1."""
+    """Lean hot-season stack (months 3-5): surface temperature, indices and shared layers; n/2 samples, seed + 1.
+
+    Bands are reduced first and the indices taken of the composite; only the temperature is taken per scene.
+    """
     hot = season_filter(obs, 3, 5)
     scenes = with_reflectance(hot).withColumn("emissivity", B.emissivity("red", "nir"))
-    scenes = scenes.withColumns(
-        {
-            "lst_celsius": B.lst_from_bt("bt_k", "emissivity"),
-            "NDVI_L": B.ndvi("nir", "red", None),
-            "NDBI_L": B.ndbi("swir1", "nir", None),
-        }
-    )
-    image = composite(scenes, ["lst_celsius", "NDVI_L", "NDBI_L"], **limits)
+    scenes = scenes.withColumn("lst_celsius", B.lst_from_bt("bt_k", "emissivity"))
+    image = composite(scenes, ["lst_celsius", "red", "nir", "swir1"], **limits)
+    image = image.withColumns({"NDVI_L": B.ndvi("nir", "red", None), "NDBI_L": B.ndbi("swir1", "nir", None)}).drop("red", "nir", "swir1")
     if shared is not None:
         image = band_stack(image, shared)
     return sample_pixels(image, n // 2, seed + 1)

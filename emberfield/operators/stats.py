@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberfield.scale import GROUP_ROWS, cut_lineage, exact_percentiles, number_rows, scalar_struct
+from emberfield.scale import GROUP_ROWS, cut_lineage, exact_percentiles, number_rows, scalar_struct, ship_if_small
 
 
 def describe(df: DataFrame, col: str = "lst_celsius") -> DataFrame:
@@ -106,7 +106,7 @@ def gini(df: DataFrame, keys: Sequence[str], value: Column, name: str = "gini",
         ranked = rows.withColumn("_r", F.row_number().over(w))
     else:
         rows = cut_lineage(rows)
-        hot = cut_lineage(sizes.filter(F.col("_m") > group_rows).drop("_m"))
+        hot = ship_if_small(cut_lineage(sizes.filter(F.col("_m") > group_rows).drop("_m")))
         ranked = rows.join(hot, keys, "left_anti").withColumn("_r", F.row_number().over(w)).unionByName(
             number_rows(rows.join(hot, keys, "left_semi"), keys, ["_x", "_id"], "_r").withColumn("_r", F.col("_r").cast("int"))
         )

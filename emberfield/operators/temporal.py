@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberfield.scale import first_in_hash_order, hash_uniform, scalar_struct, split_series
+from emberfield.scale import cut_lineage, first_in_hash_order, hash_order, hash_uniform, number_rows, scalar_struct, ship_if_small, split_series
 
 SEASONS = 4
 TREND_ROWS = 20
@@ -76,8 +76,8 @@ def city_stats(df: DataFrame, by: str = "date", col: str = "lst_celsius") -> Dat
 
 def join_city_stats(df: DataFrame, by: str = "date", col: str = "lst_celsius") -> DataFrame:
     """Per-date mean and deviation next to each row. Aggregate and join rather than a window: a date may hold a
-    third of all rows, and the aggregate is combined before the shuffle."""
-    return df.join(city_stats(df, by, col), by, "left")
+    third of all rows. The aggregate is combined before its shuffle and broadcast while it has few dates."""
+    return df.join(ship_if_small(cut_lineage(city_stats(df, by, col))), by, "left")
 
 
 def hotspot_label(df: DataFrame, by: str | None = "date", col: str = "lst_celsius") -> DataFrame:
@@ -151,28 +151,22 @@ def train_val_test_split(
 ) -> DataFrame:
     """Add ``split`` (train, val, test): disjoint parts of exact size, in seeded hash order, per class if asked.
 
-    The cut points are found by radix counting on the hash, so the table is neither sorted nor shuffled.
+    Without classes the cut points are found by radix counting on the hash, so the table is neither sorted nor
+    shuffled. With classes, of any number, one range shuffle numbers the rows of all of them at once; a null is a class.
     """
     if min(parts) < 0 or parts[0] <= 0 or abs(sum(parts) - 1.0) > 1e-9:
         raise ValueError("split shares must be positive and sum to 1")
-    if stratify is None:
-        classes: list = [None]
-    else:
-        classes = [r[0] for r in df.select(stratify).distinct().limit(1001).collect()]
-        if len(classes) > 1000:
-            raise ValueError("too many classes to stratify by")
-    label = F.lit(None).cast("string")
-    for k in classes:
-        inside = F.lit(True) if stratify is None else F.col(stratify).eqNullSafe(F.lit(k))
-        rows = df.filter(inside)
-        n = rows.count()
-        n_train = math.floor(n * parts[0] + 1e-9)
-        n_val = math.floor(n * (parts[0] + parts[1]) + 1e-9)
-        to_train = first_in_hash_order(rows, ids, seed, n_train)
-        to_val = first_in_hash_order(rows, ids, seed, n_val)
-        name = F.when(to_train, "train").when(to_val, "val").otherwise("test")
-        label = F.when(inside, name).otherwise(label)
-    return df.withColumn("split", label)
+    if stratify is not None:
+        known = df.withColumns({"_class": F.to_json(F.struct(stratify)), "_hash": hash_order(ids, seed)})
+        sizes = cut_lineage(known.groupBy("_class").agg(F.count(F.lit(1)).alias("_n")))
+        ranked = number_rows(known, ["_class"], ["_hash", *ids]).join(ship_if_small(sizes), "_class")
+        upto = lambda share: F.floor(F.col("_n") * F.lit(share) + F.lit(1e-9))
+        name = F.when(F.col("_rn") <= upto(parts[0]), "train").when(F.col("_rn") <= upto(parts[0] + parts[1]), "val").otherwise("test")
+        return ranked.withColumn("split", name).select(*df.columns, "split")
+    n = df.count()
+    to_train = first_in_hash_order(df, ids, seed, math.floor(n * parts[0] + 1e-9))
+    to_val = first_in_hash_order(df, ids, seed, math.floor(n * (parts[0] + parts[1]) + 1e-9))
+    return df.withColumn("split", F.when(to_train, "train").when(to_val, "val").otherwise("test"))
 
 
 def sample_rows(df: DataFrame, ids: Sequence[str], n: int, seed: int = 42) -> DataFrame:

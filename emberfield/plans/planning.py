@@ -14,7 +14,7 @@ from emberfield.functions.bands import clip
 from emberfield.functions.scalars import intervention_color, intervention_label, lookup
 from emberfield.operators.actions import Model, delta_t
 from emberfield.operators.stats import gini
-from emberfield.scale import cut_lineage, hash_uniform, number_rows, scalar_struct, ship_if_small
+from emberfield.scale import cut_lineage, hash_uniform, number_rows, scalar_struct, ship_if_small, ship_package
 
 
 def clean_types(plan: DataFrame) -> DataFrame:
@@ -59,9 +59,17 @@ def repair_budget(plan: DataFrame, budget: float = S.PLAN_BUDGET, area: Column |
     return priced.join(totals, "plan_id").withColumn("frac_repaired", clip(scaled, 0.0, 1.0)).drop("_total")
 
 
+def _with_deltas(plan: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Plan rows beside the temperature drop of their ward and type; a row without one stops the job."""
+    known = ship_if_small(deltas.withColumn("_known", F.lit(True)))
+    both = plan.join(known, ["ward_id", "intervention_type"], "left")
+    unknown = F.concat(F.lit("no temperature drop for ward "), F.coalesce(F.col("ward_id").cast("string"), F.lit("null")))
+    return both.filter(F.when(F.col("_known"), True).otherwise(F.raise_error(unknown).cast("boolean"))).drop("_known")
+
+
 def score_plans(plan: DataFrame, deltas: DataFrame, budget: float = S.PLAN_BUDGET) -> DataFrame:
     """Fitness and its parts per plan, after budget repair."""
-    joined = plan.join(ship_if_small(deltas), ["ward_id", "intervention_type"])
+    joined = _with_deltas(plan, deltas)
     fixed = repair_budget(joined, budget, F.col("area_m2"))
     f = F.col("frac_repaired")
     cooling = F.col("delta_T") * f
@@ -83,9 +91,7 @@ def score_plans(plan: DataFrame, deltas: DataFrame, budget: float = S.PLAN_BUDGE
 
 def plan_objectives(plan: DataFrame, deltas: DataFrame, budget: float = S.PLAN_BUDGET) -> DataFrame:
     """Four objectives to minimise (cooling and benefit negated, cost, inequality) and the budget excess."""
-    joined = clean_types(plan).withColumn("frac", clip("frac", 0.0, 1.0)).join(
-        ship_if_small(deltas), ["ward_id", "intervention_type"]
-    )
+    joined = _with_deltas(clean_types(plan).withColumn("frac", clip("frac", 0.0, 1.0)), deltas)
     treated = F.col("area_m2") * F.col("frac")
     sums = joined.groupBy("plan_id").agg(
         (-F.sum(F.col("delta_T") * treated)).alias("neg_cooling"),
@@ -113,7 +119,7 @@ def _dominated(targets: np.ndarray, sources: np.ndarray) -> np.ndarray:
 def pareto_front(
     plans: DataFrame, objectives: Sequence[str], feasible: Column | None = None, block_rows: int = 4096
 ) -> DataFrame:
-    """Feasible plans that no other feasible plan dominates.
+    """Feasible plans that no other feasible plan dominates. A null objective stops the job: it cannot be compared.
 
     1. Equal objective vectors are merged, so copies cost nothing.
     2. Every task drops what its own rows dominate (dominance is transitive, so nothing is lost).
@@ -121,6 +127,10 @@ def pareto_front(
        block is tested against the blocks of lower or equal score, one bounded pair of blocks per task.
     """
     objs = list(objectives)
+    ship_package(plans.sparkSession)
+    for c in objs:
+        known = F.col(c).isNotNull()
+        plans = plans.filter(F.when(known, True).otherwise(F.raise_error(F.lit(f"null objective {c}")).cast("boolean")))
     rows = cut_lineage(plans if feasible is None else plans.filter(feasible))
     vectors = rows.select(*objs).distinct()
     schema = ", ".join(f"{c} double" for c in objs)
@@ -130,7 +140,8 @@ def pareto_front(
         for pdf in batches:
             v = pdf[objs].to_numpy(float)
             v = v[~_dominated(v, best)] if len(best) else v
-            v = v[~_dominated(v, v)] if len(v) <= 20_000 else v
+            slices = [v[i : i + block_rows] for i in range(0, len(v), block_rows)]
+            v = np.concatenate([s[~_dominated(s, s)] for s in slices]) if slices else v
             yield pd.DataFrame(v, columns=objs)
             pool = np.concatenate([best, v])
             best = pool[np.argsort(pool.sum(1), kind="stable")[:512]]
@@ -159,7 +170,7 @@ def pareto_front(
         targets.groupBy("_t", "_s").cogroup(sources.groupBy("_t", "_s")).applyInPandas(beaten, "_rn long").distinct()
     )
     front = ordered.join(lost, "_rn", "left_anti").select(*objs)
-    return rows.join(front, objs, "left_semi")
+    return rows.join(front, objs, "left_semi").select(*plans.columns)
 
 
 # --------------------------------------------------------------------------------------------------

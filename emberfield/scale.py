@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import math
 import tempfile
+import zipfile
 from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,10 +27,12 @@ _GRID = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared scratch folder. Without one, a local session makes its own; a cluster must name one."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="emberfield-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -41,6 +45,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Put this package on the workers' path, once a session, wherever the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_emberfield_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    with tempfile.NamedTemporaryFile(prefix="emberfield-", suffix=".zip", delete=False) as f, zipfile.ZipFile(f, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(f.name)  # served by the driver to every executor
+    sc._emberfield_shipped = True
+
+
 def work_partitions(spark: SparkSession) -> int:
     """Partitions for stages that compute much on few bytes, where coalescing by size would starve the cores."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -96,6 +113,7 @@ def exact_percentiles(
         return _narrowed(df, [], wanted, budget)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = cut_lineage(sizes.filter(F.col("_n") > budget).drop("_n"))
+    hot = ship_if_small(hot)
     return direct(df.join(hot, keys, "left_anti")).unionByName(
         _narrowed(df.join(hot, keys, "left_semi"), keys, wanted, budget)
     )
@@ -142,7 +160,7 @@ def _narrowed(
             )
         )
         while (state.agg(F.max("_open")).first()[0] or 0) > limit:
-            todo = values.join(state, gk).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+            todo = values.join(ship_if_small(state), gk).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
             grid = todo.groupBy(*gk).agg(
                 F.percentile_approx("_v", [i / _GRID for i in range(_GRID + 1)], 100_000).alias("_q")
             )
@@ -165,7 +183,7 @@ def _narrowed(
             )
             tight = cut_lineage(tight)
             state = cut_lineage(
-                values.join(tight, gk)
+                values.join(ship_if_small(tight), gk)
                 .groupBy(*gk, "_n", "_k0", "_k1", "_lo", "_hi")
                 .agg(
                     F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
@@ -174,7 +192,7 @@ def _narrowed(
                 )
             )
         held = (
-            values.join(state, gk)
+            values.join(ship_if_small(state), gk)
             .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
             .groupBy(*gk, "_v", "_k0", "_k1", "_below", "_n")
             .agg(F.count(F.lit(1)).alias("_m"))
@@ -245,7 +263,7 @@ def split_series(
     peak = sizes.agg(F.max("_n")).first()[0] or 0
     if peak <= group_rows:
         return df.withColumns(plain)
-    hot = cut_lineage(sizes.filter(F.col("_n") > group_rows).drop("_n"))
+    hot = ship_if_small(cut_lineage(sizes.filter(F.col("_n") > group_rows).drop("_n")))
     size = max(group_rows, back)
     numbered = cut_lineage(number_rows(df.join(hot, key, "left_semi"), [key], order))
     slot = F.col("_rn") - 1

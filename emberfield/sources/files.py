@@ -20,19 +20,23 @@ def read_cells_csv(
         if schema is None:
             return nan_to_null(reader.option("inferSchema", True).csv(path))
         return nan_to_null(reader.schema(schema).option("enforceSchema", False).csv(path))
-    except AnalysisException:
-        if required:
-            raise FileNotFoundError(path) from None
-        return None
+    except AnalysisException as error:
+        return _absent(error, path, required)
+
+
+def _absent(error: AnalysisException, path: str, required: bool) -> None:
+    """Nothing for a missing optional file; any other error is passed on."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+    if required:
+        raise FileNotFoundError(path) from None
 
 
 def read_cells(spark: SparkSession, path: str, required: bool = True) -> DataFrame | None:
     try:
         return nan_to_null(spark.read.parquet(path))
-    except AnalysisException:
-        if required:
-            raise FileNotFoundError(path) from None
-        return None
+    except AnalysisException as error:
+        return _absent(error, path, required)
 
 
 def write_cells(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:

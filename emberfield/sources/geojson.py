@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberfield import schema as S
 from emberfield.functions.geometry import normalise_rings
 from emberfield.operators.columns import pick_column
-from emberfield.scale import cut_lineage
-
-# Features a single document may hold.
-COLLECTION_ROWS = 10_000
+from emberfield.scale import cut_lineage, number_rows
 
 _NUM1 = "array<double>"
 _NUM2 = f"array<{_NUM1}>"
@@ -74,20 +71,22 @@ def wards_from_features(features: DataFrame) -> DataFrame:
     """
     polys = cut_lineage(
         features.filter(F.col("geom_type").isin("Polygon", "MultiPolygon"))
-        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumns({"_all": F.lit(0), "_order": F.monotonically_increasing_id()})
     )
-    keys = [r[0] for r in polys.select(F.explode(F.map_keys("properties"))).distinct().limit(1000).collect()]
+    # of all keys only spellings of the candidates are listed
+    wanted = sorted({c.lower() for c in [*S.WARD_ID_CANDIDATES, *S.WARD_NAME_CANDIDATES]})
+    spelled = polys.select(F.explode(F.map_keys("properties")).alias("k")).filter(F.lower("k").isin(wanted)).distinct()
+    keys = sorted(r[0] for r in spelled.collect())
     id_key, name_key = pick_column(keys, S.WARD_ID_CANDIDATES), pick_column(keys, S.WARD_NAME_CANDIDATES)
-    # wards are a bounded administrative table, so one ordered numbering is fine
-    numbered = polys.withColumn("ward_ord", F.row_number().over(Window.orderBy("_at")).cast("long"))
-    wid = F.element_at("properties", F.lit(id_key)) if id_key else F.col("ward_ord").cast("string")
+    numbered = number_rows(polys, ["_all"], ["_order"], "ward_ord")
+    wid = F.try_element_at("properties", F.lit(id_key)) if id_key else F.col("ward_ord").cast("string")
     out = numbered.withColumn("ward_id", wid)
-    name = F.element_at("properties", F.lit(name_key)) if name_key else F.col("ward_id")
+    name = F.try_element_at("properties", F.lit(name_key)) if name_key else F.col("ward_id")
     return out.select("ward_ord", "ward_id", name.alias("ward_name"), F.col("parts").alias("rings"))
 
 
-def read_wards_geojson(spark: SparkSession, path: str) -> DataFrame:
-    return wards_from_features(read_features(spark, path))
+def read_wards_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return wards_from_features(read_features(spark, path, lines))
 
 
 # Geometry types kept per layer.
@@ -137,15 +136,15 @@ def feature_lines(df: DataFrame, rings: str = "rings", properties: list[str] | N
 
 
 def write_geojson(df: DataFrame, path: str, rings: str = "rings", properties: list[str] | None = None, collection: bool = False) -> None:
-    """Feature-per-line text files; with ``collection`` a single FeatureCollection document, for ward-sized output
-    only (checked)."""
+    """Feature-per-line text files; with ``collection`` one FeatureCollection document of any length.
+
+    A single document has a single writer: the features stream through one task, line by line, none held back.
+    """
     lines = feature_lines(df, rings, properties)
     if collection:
-        if df.count() > COLLECTION_ROWS:
-            raise ValueError("too many features for one document; write one feature per line")
-        lines = lines.agg(
-            F.concat(
-                F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")
-            ).alias("value")
-        )
+        ordered = number_rows(lines.withColumns({"_all": F.lit(0), "_order": F.monotonically_increasing_id()}), ["_all"], ["_order"])
+        comma = F.when(F.col("_rn") > 1, ",").otherwise("")
+        ends = df.sparkSession.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2**62, "]}")], "_rn long, value string")
+        whole = ordered.select("_rn", F.concat(comma, "value").alias("value")).unionByName(ends)
+        lines = whole.repartition(1).sortWithinPartitions("_rn").select("value")
     lines.write.mode("overwrite").text(path)
