@@ -1,38 +1,22 @@
-"""What several operators need from the cluster: the package on the workers, shared folders, whole groups in blocks and
+"""What several operators need from the cluster: shared folders, whole groups in blocks and
 connected components without a driver-side graph."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.scale import cut_lineage, shared_dir
+from emberfield.scale import cut_lineage, shared_dir, ship_package
 
 # Rows of one group that are compared with each other at once.
 BLOCK_ROWS = 256
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Put this package on the workers' path, once a session, wherever the driver was started from."""
-    sc = spark.sparkContext
-    if getattr(sc, "_emberfield_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    with tempfile.NamedTemporaryFile(prefix="emberfield-", suffix=".zip", delete=False) as f, zipfile.ZipFile(f, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(f.name)  # served by the driver to every executor
-    sc._emberfield_shipped = True
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the cluster's shared scratch folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
