@@ -25,16 +25,19 @@ from emberfield.operators.spatial_index import (
     disk_sums,
     nearest,
 )
-from emberfield.scale import scalar_struct, work_partitions
+from emberfield.scale import cut_lineage, scalar_struct, work_partitions
 
 EDGES_PER_STRIP = 32
 POLYGONS = ["Polygon", "MultiPolygon"]
 
 
+def placed(c: str) -> Column:
+    """The coordinate is there: neither null nor NaN."""
+    return F.col(c).isNotNull() & ~F.isnan(c)
+
+
 def _points(points: DataFrame, pid: str, x: str, y: str) -> DataFrame:
-    return points.select(pid, F.col(x).alias("px"), F.col(y).alias("py")).filter(
-        F.col("px").isNotNull() & F.col("py").isNotNull()
-    )
+    return points.select(pid, F.col(x).alias("px"), F.col(y).alias("py")).filter(placed("px") & placed("py"))
 
 
 def polygon_strips(polygons: DataFrame, keep: list[str], parts: str = "rings") -> DataFrame:
@@ -101,9 +104,11 @@ def within_join(
     if tree.tops is None:
         kinds = dict(wards.dtypes)
         return points.withColumns({c: F.lit(None).cast(kinds[c]) for c in ward_cols})
-    hits = _containing(_points(points, pid, x, y), tree, predicate)
-    first = hits.groupBy(pid).agg(F.min(F.struct(order, *ward_cols)).alias("_w"))
-    return points.join(first, pid, "left").select(*points.columns, *[F.col(f"_w.{c}").alias(c) for c in ward_cols])
+    # rows are told apart by a number of their own, so that repeated point ids stay apart
+    held = cut_lineage(points.withColumn("_own", F.monotonically_increasing_id()))
+    hits = _containing(_points(held, "_own", x, y), tree, predicate)
+    first = hits.groupBy("_own").agg(F.min(F.struct(order, *ward_cols)).alias("_w"))
+    return held.join(first, "_own", "left").select(*points.columns, *[F.col(f"_w.{c}").alias(c) for c in ward_cols])
 
 
 def feature_segments(features: DataFrame, fid: str = "feature_id", parts: str = "parts") -> DataFrame:
@@ -235,8 +240,8 @@ def nearest_cell(
     queries: DataFrame, cells: DataFrame, qid: str = "qid", cell_id: str = "cell_id", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """For each query the cell at the smallest squared degree distance; lowest cell id on a tie; cells without
-    coordinates are skipped. Output: ``qid``, ``cell_id``, ``d2`` and the carried cell columns."""
-    held = cells.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+    coordinates (null or NaN) are skipped. Output: ``qid``, ``cell_id``, ``d2`` and the carried cell columns."""
+    held = cells.filter(placed("lat") & placed("lon")).select(
         cell_id, F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.col("lon").alias("x1"),
         F.col("lat").alias("y1"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from emberfield.functions.bands import clip
 from emberfield.functions.scalars import hvi_class
 from emberfield.operators.columns import filter_strict
-from emberfield.operators.spatial import nearest_segments, segment_boxes, within_join
+from emberfield.operators.spatial import nearest_segments, segment_boxes, within_join, placed
 from emberfield.functions.geometry import ring_edges
 from emberfield.operators.temporal import minmax_norm
 from emberfield.scale import cut_lineage
@@ -46,7 +46,7 @@ def ward_join(
             {"ward_id": text, "ward_name": text, "ward_join_method": text, "ward_distance_m": F.lit(None).cast("double")}
         )
     joined = cut_lineage(within_join(points, wards, pid, predicate=predicate))
-    misses = joined.filter(F.col("ward_id").isNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    misses = joined.filter(F.col("ward_id").isNull() & placed("lon") & placed("lat"))
     x, y = to_plane(F.col("lon"), F.col("lat"))
     segments = segment_boxes(project_rings(wards, to_plane).select("ward_ord", F.inline(ring_edges("rings_m"))))
     near = nearest_segments(misses.select(pid, x.alias("px"), y.alias("py")), segments, pid, "ward_ord")

@@ -16,8 +16,9 @@ from emberfield.scale import cut_lineage
 
 def clean_cells(raw: DataFrame) -> DataFrame:
     """Align, type, fill albedo, drop rows without target, fill land cover, fill the rest by class medians."""
-    aligned = require_columns(cast_types(align_columns(nan_to_null(raw))))
-    filled = fill_mode(drop_missing_target(fill_albedo(aligned)))
+    # each step looks at its input several times, so the input is written once and not made anew
+    aligned = cut_lineage(require_columns(cast_types(align_columns(nan_to_null(raw)))))
+    filled = cut_lineage(fill_mode(drop_missing_target(fill_albedo(aligned))))
     return impute_grouped_median(filled)
 
 
@@ -27,8 +28,10 @@ def add_map_features(
 ) -> DataFrame:
     """Road and building density, impervious share and the distances to roads, parks and water.
 
-    Layers: feature_id, geom_type, parts in the cells' planar coordinates.
+    Layers: feature_id, geom_type, parts in the cells' planar coordinates. Such columns are replaced where the cells
+    already have them.
     """
+    cells = cells.drop("road_density", "building_density", "impervious_ratio", "dist_road_m", "dist_park_m", "dist_water_m")
     pts = cells.select(cell_id, F.col(x).alias("px"), F.col(y).alias("py"))
     segments = feature_segments(roads).select("ax", "ay", "bx", "by")
     road = line_density(pts, segments, cell_id, radius).withColumnRenamed("line_density", "road_density")
@@ -41,6 +44,6 @@ def add_map_features(
 
 def ward_table(cells: DataFrame, wards: DataFrame, cell_id: str, to_plane) -> DataFrame:
     """Indices, ward assignment, hotspot label and anomaly, then the ward aggregate with its vulnerability index."""
-    joined = ward_join(with_indices(cells), wards, cell_id, to_plane)
+    joined = cut_lineage(ward_join(with_indices(cells), wards, cell_id, to_plane))
     labelled = lst_anomaly(hotspot_label(joined, by=None))
     return hvi(cut_lineage(ward_aggregate(labelled, skip=(cell_id,))))

@@ -80,3 +80,17 @@ def test_only_a_missing_path_is_missing(spark, tmp_path):
 def test_unknown_intervention_counts_as_combined(spark):
     row = spark.createDataFrame([("other", None), ("other", 2.0)], "n string, d double").select(scalars.co2_tonnes("d", "n").alias("c"), scalars.energy_saving_pct("d", "n").alias("e"), scalars.time_to_effect("n").alias("t"))
     assert sorted((r["c"], r["e"], r["t"]) for r in row.collect()) == [(0.0, 0.0, "3-7 yrs"), (52.8, 23.0, "3-7 yrs")]
+
+
+def test_points_without_place_and_with_repeated_ids(spark):
+    from emberfield.operators import spatial
+
+    ring = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]
+    wards = spark.createDataFrame([(1, "w", "n", ring)], "ward_ord long, ward_id string, ward_name string, rings array<array<struct<x:double,y:double>>>")
+    nan = float("nan")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (1, 9.0, 9.0), (2, nan, 0.5), (3, None, 0.5)], "id long, lon double, lat double")
+    got = sorted((r["id"], r["ward_id"]) for r in spatial.within_join(points, wards, "id").collect() if r["ward_id"])
+    assert got == [(1, "w")]
+    cells = spark.createDataFrame([(7, nan, 0.0), (8, 1.0, 1.0), (9, None, 0.0)], "cell_id long, lon double, lat double")
+    near = spatial.nearest_cell(spark.createDataFrame([(1, 0.0, 0.0)], "qid long, lon double, lat double"), cells).collect()
+    assert [(r["qid"], r["cell_id"]) for r in near] == [(1, 8)]
