@@ -16,23 +16,25 @@ Spark's, commits each task's file at once and survives lost executors.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm.bpe import Pieces
+from emberfield.llm.bpe import Pieces, byte_letters
 from emberfield.llm.cluster import map_arrow, shared_path
 from emberfield.scale import work_partitions
 
 END_ID = 0
 # Bytes of text a file's task takes: the number of files follows the input.
 FILE_TEXT_BYTES = 24 << 20
-PIECES = 250_000
+PIECES = 160_000
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qBB")
 INDEX = "file int, doc_id long, offset long, length long, n_tokens long, ids_crc32 long"
@@ -63,8 +65,34 @@ def parse(data: bytes, offset: int = 0) -> tuple[int | None, np.ndarray, int]:
     return None if null else doc_id, np.frombuffer(payload, dtype=f"<u{size}", offset=BODY.size), stop + 5
 
 
+class Generations:
+    """A bounded memory: when the young half is full it becomes the old half, and what is used again moves back."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ready(self, keys: set[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A dictionary that has all of ``keys``; ``make`` gives the values of those that are not remembered."""
+        new = keys.difference(self.young)
+        if new:
+            if len(self.young) + len(new) > self.size:
+                self.old, self.young, new = self.young, {}, keys
+            again = new.intersection(self.old)
+            old = self.old
+            for k in again:
+                self.young[k] = old[k]
+            new = list(new - again if again else new)
+            self.young.update(zip(new, make(new), strict=True))
+        return self.young
+
+
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct piece of the texts in hand (see Pieces)."""
+    """The tokenizers library's byte-level BPE, asked once for each distinct word of the texts in hand.
+
+    Texts are cut into pieces and words as the library cuts them; pieces with special tokens go to it as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one it may use
@@ -73,28 +101,43 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self._of = Pieces().of
-        self._known: dict[str, bytes] = {}
-        self._head: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        self._kind = "H" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.dtype = np.dtype(self._kind)
+        specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, specials)) or r"(?!)").search
+        self._letters = dict(enumerate(byte_letters()))
+        self._cut = Pieces()
+        self._pieces, self._heads, self._words = Generations(PIECES), Generations(PIECES // 8), Generations(PIECES)
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        tokenize, letters, kind = self.library.model.tokenize, self._letters, self._kind
+        space = letters[32]
+        out = []
+        for w in words:
+            # printable ASCII letters but the space stand for themselves
+            shown = w.replace(" ", space) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)
+            out.append(array(kind, [t.id for t in tokenize(shown)]).tobytes())
+        return out
+
+    def _learn(self, pieces: list[str], before: str = "") -> list[bytes]:
+        """The ids of the pieces, each with ``before`` in front."""
+        find, special = self._cut.words.findall, self._special
+        whole = [before + p for p in pieces]
+        # letters alone are one word
+        plan = [None if p.isalpha() else () if special(p) else find(w) for p, w in zip(pieces, whole, strict=True)]
+        words = {w for w, q in zip(whole, plan, strict=True) if q is None}
+        ids = self._words.ready(words.union(*filter(None, plan)), self._merged)
+        return [ids[w] if q is None else b"".join([ids[x] for x in q]) if q else self._library(w) for w, q in zip(whole, plan, strict=True)]
+
+    def _library(self, piece: str) -> bytes:
+        return np.array(self.library.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        known, head = self._known, self._head
-        for text in texts:
-            first, *rest = self._of(text)
-            if new := list(set(rest).difference(known)):
-                if len(known) > PIECES:
-                    known.clear()
-                    new = list(set(rest))
-                known.update(zip(new, self._learn([" " + p for p in new]), strict=True))
-            if first not in head:
-                if len(head) > PIECES // 10:
-                    head.clear()
-                head[first] = self._learn([first])[0]
-            yield np.frombuffer(head[first] + b"".join(map(known.__getitem__, rest)), dtype=self.dtype)
+        cut = [self._cut.of(t) for t in texts]
+        heads = self._heads.ready({c[0] for c in cut}, self._learn)
+        rest = self._pieces.ready(set().union(*(c[1:] for c in cut)), lambda new: self._learn(new, " "))
+        for pieces in cut:
+            yield np.frombuffer(b"".join([heads[pieces[0]], *map(rest.__getitem__, pieces[1:])]), dtype=self.dtype)
 
 
 _loaded: dict[str, LibraryEncoder] = {}
@@ -121,10 +164,10 @@ def write_records(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id
         model = library_encoder(path)
         for batch in batches:
             texts = batch.column(1)
-            for start in range(0, batch.num_rows, 500):
+            for start in range(0, batch.num_rows, 1000):
                 end = np.array([end_id], dtype=model.dtype)
-                ids = model.encode(texts.slice(start, 500).to_pylist())
-                out = [frame(d, np.concatenate([x, end])) for d, x in zip(batch.column(0).slice(start, 500).to_pylist(), ids, strict=True)]
+                ids = model.encode(texts.slice(start, 1000).to_pylist())
+                out = [frame(d, np.concatenate([x, end])) for d, x in zip(batch.column(0).slice(start, 1000).to_pylist(), ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     ordered = frame_of.repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
