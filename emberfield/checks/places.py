@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberfield.checks import fixtures as X
-from emberfield.checks.registry import check, q, r6, rounded
+from emberfield.checks.registry import ORACLES, check, q, r6, rounded
 from emberfield.checks.tables import ALBEDO_CTE
+from emberfield.functions.bands import clip
 from emberfield.operators import spatial as SP
 from emberfield.operators import stats as ST
 from emberfield.operators import temporal as TM
@@ -90,14 +91,15 @@ def j2c(spark, d):
     PLACED + f""", miss as (select cell_id, x_m, y_m from cells where cell_id not in (select cell_id from inside)),
     we as (select ward_ord, (ax-73.85e0)*105560e0 as ax, (ay-18.55e0)*110650e0 as ay, (bx-73.85e0)*105560e0 as bx, (byy-18.55e0)*110650e0 as byy from ward_edge),
     t as (select cell_id, ward_ord, x_m, y_m, ax, ay, bx, byy, {_SEG} as t from miss, we),
-    n as (select cell_id, min(sqrt((x_m-(ax+t*(bx-ax)))**2 + (y_m-(ay+t*(byy-ay)))**2)) as dd from t group by cell_id)
-    select c.cell_id, case when i.ward_ord is not null then w.ward_id end as within_id, case when i.ward_ord is not null then 'within' else 'nearest' end as ward_join_method,
-      {q('coalesce(n.dd, 0e0)', 'ward_distance_m', 3)} from cells c left join inside i using (cell_id) left join wards w using (ward_ord) left join n using (cell_id)""",
+    e as (select cell_id, ward_ord, sqrt((x_m-(ax+t*(bx-ax)))**2 + (y_m-(ay+t*(byy-ay)))**2) as dist from t),
+    n as (select cell_id, min(dist) as dd, min({{'d': round(dist, 6), 'w': ward_ord}}) as m from e group by cell_id)
+    select c.cell_id, w.ward_id, case when i.ward_ord is not null then 'within' else 'nearest' end as ward_join_method,
+      {q('coalesce(n.dd, 0e0)', 'ward_distance_m', 3)} from cells c left join inside i using (cell_id) left join n using (cell_id)
+      left join wards w on w.ward_ord = coalesce(i.ward_ord, n.m.w)""",
 )
 def j3(spark, d):
     out = W.ward_join(X.cells(spark, d), X.wards(spark, d), "cell_id", X.to_plane)
-    within = F.when(F.col("ward_join_method") == "within", F.col("ward_id"))
-    return out.select("cell_id", within.alias("within_id"), "ward_join_method", r6("ward_distance_m", 3).alias("ward_distance_m"))
+    return out.select("cell_id", "ward_id", "ward_join_method", r6("ward_distance_m", 3).alias("ward_distance_m"))
 
 
 _A = "((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay))"
@@ -536,3 +538,48 @@ def flagship(spark, d):
     """Which wards are most heat-vulnerable? Cells, albedo tiers, wards by containment, ward means, index, order."""
     out = W.ward_hvi(_placed(spark, d), strict=True)
     return rounded(out.select("ward_name", "lst_celsius", "grid_count", "HVI", "hvi_class"))
+
+
+# ---- whole flows ---------------------------------------------------------------------------------
+
+
+def _water(spark, d):
+    return X.view(spark, d, X.WATER).select(
+        F.col("water_id").alias("feature_id"), F.lit("Point").alias("geom_type"),
+        F.array(F.array(F.struct(F.col("x_m").alias("x"), F.col("y_m").alias("y")))).alias("parts"),
+    )
+
+
+@check(
+    "batch_map_features",
+    f"""select cell_id, road_density, building_density, dist_road_m, dist_m as dist_park_m, dist_water_m,
+      round(least(greatest(building_density + 3e-2*road_density, 0e0), 1e0), 9) + 0e0 as impervious_ratio
+    from ({ORACLES['j4_line_density']}) join ({ORACLES['j5_area_density']}) using (cell_id) join ({ORACLES['j2_nearest_road']}) using (cell_id)
+      join ({ORACLES['j2_nearest_building']}) using (cell_id) join ({CELLS} , w as ({X.oracle(X.WATER)})
+      select cell_id, {q('sqrt(min((c.x_m-w.x_m)*(c.x_m-w.x_m)+(c.y_m-w.y_m)*(c.y_m-w.y_m)))', 'dist_water_m', 4)} from cells c, w group by cell_id) using (cell_id)""",
+)
+def batch_map_features(spark, d):
+    from emberfield.plans.batch import add_map_features
+
+    line = F.array(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))))
+    roads = _roads(spark, d).select(F.col("road_id").alias("feature_id"), F.lit("LineString").alias("geom_type"), line.alias("parts"))
+    houses = _buildings(spark, d)
+    # the cells already have densities, which the flow replaces
+    cells = X.metres(X.cells(spark, d)).select("cell_id", "x_m", "y_m", "road_density", "building_density")
+    out = add_map_features(cells, "cell_id", roads, houses, houses, _water(spark, d))
+    return out.select(
+        "cell_id", r6("road_density").alias("road_density"), r6("building_density").alias("building_density"),
+        *[r6(c, 4).alias(c) for c in ("dist_road_m", "dist_park_m", "dist_water_m")],
+        r6(clip(F.round("building_density", 6) + F.lit(0.03) * F.round("road_density", 6), 0.0, 1.0), 9).alias("impervious_ratio"),
+    )
+
+
+@check(
+    "batch_ward_table",
+    PLACED_ALB + f"select ward_id, ward_name, {q('avg(lst_celsius)', 'lst_celsius')}, {q('max(lst_celsius)', 'lst_max')}, count(lst_celsius) as grid_count, {q('avg(NDVI_L)', 'NDVI_L')} from placed group by ward_id, ward_name",
+)
+def batch_ward_table(spark, d):
+    from emberfield.plans.batch import ward_table
+
+    out = ward_table(X.cells(spark, d), X.wards(spark, d), "cell_id", X.to_plane)
+    return rounded(out.select("ward_id", "ward_name", "lst_celsius", "lst_max", "grid_count", "NDVI_L"))
