@@ -252,3 +252,27 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     rows = numbered(docs)
     kept = link(_plain(rows), threshold, recall).filter("kept").select("uid")
     return rows.join(kept, "uid", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+# Brute force over all pairs of documents that share a gram, for tables whose doc_id is unique and not null.
+NGRAM_JOIN_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-/:-`{-\\x7F]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+s AS (SELECT DISTINCT doc_id, g FROM g),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (
+  SELECT p.a, p.b, p.c = x.n AND p.c = y.n AS same FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+  WHERE p.c >= 0.8 * (x.n + y.n - p.c) - 1e-9),
+o AS (SELECT d.doc_id, LEAST(d.doc_id, COALESCE(MIN(l.b), d.doc_id)) AS copy_of FROM documents d LEFT JOIN l ON l.a = d.doc_id AND l.same GROUP BY d.doc_id),
+r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.to_id = l.a),
+c AS (SELECT doc_id, MIN(to_id) AS class_id FROM r GROUP BY doc_id),
+k AS (SELECT l.a, COUNT(*) AS n_links, COUNT(DISTINCT CASE WHEN NOT l.same THEN o.copy_of END) AS n_texts FROM l JOIN o ON o.doc_id = l.b GROUP BY l.a)
+SELECT c.doc_id, c.class_id, o.copy_of, CAST(COALESCE(k.n_links, 0) AS BIGINT) AS n_links, CAST(COALESCE(k.n_texts, 0) AS BIGINT) AS n_texts,
+       c.doc_id = c.class_id AS kept
+FROM c JOIN o ON o.doc_id = c.doc_id LEFT JOIN k ON k.a = c.doc_id
+"""

@@ -81,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_license_scan": licenses.LICENSES_SQL,
+    "op6_ngram_jaccard_join": ngram_join.NGRAM_JOIN_SQL,
     "op7_embedding_near_dedup": embed_dedup.EMBED_DEDUP_SQL,
     "op9_line_dedup": line_dedup.LINE_DEDUP_SQL,
 }
