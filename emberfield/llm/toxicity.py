@@ -15,7 +15,7 @@ from emberfield.llm.cluster import map_arrow
 from emberfield.llm.quality import labelled_rows
 
 # Labelled rows that the model is fitted on at most (of each label, those of least hash), and the hashed features.
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS = 3_000
 FEATURES = 1 << 30
 # A feature enters the model once so many sample documents have it.
 MIN_DOCS = 10
@@ -122,26 +122,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epoc
 
     sample = labelled_rows(docs, labels, "toxic", sample_rows, condition=learnable(), balanced=True).select("doc_id", "y", "text")
     table = map_arrow(sample, work, "doc_id long, y int, grams array<int>").toArrow()
-    table = table.sort_by("doc_id")
+    in_turn = np.argsort(np.asarray(table["doc_id"].combine_chunks()), kind="stable")
     y = np.asarray(table["y"].combine_chunks(), dtype=np.int64)
     lists = table["grams"].combine_chunks()
     at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    lists_at, flat = at.astype(np.int64), flat.astype(np.int64)
-    seen, times = np.unique(flat[lists_at[0] : lists_at[-1]], return_counts=True)
-    entered = seen[times >= MIN_DOCS]
+    in_order = np.sort(flat[at[0] : at[-1]])
+    first = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1])[: len(in_order)])
+    entered = in_order[first[np.diff(np.append(first, len(in_order))) >= MIN_DOCS]]
+    del in_order, first
+    known = []
+    for d in range(len(y)):
+        own = flat[at[d] : at[d + 1]]
+        place = np.searchsorted(entered, own)
+        known.append(place[entered[np.minimum(place, len(entered) - 1)] == own] if len(entered) else place[:0])
+    del table, lists, flat
     ftrl = Ftrl(len(entered))
     # both labels weigh alike in sum
     share = {1: max(1, int((y == 1).sum())) / max(1, len(y)), 0: max(1, int((y == 0).sum())) / max(1, len(y))}
-    place = np.minimum(np.searchsorted(entered, flat), max(0, len(entered) - 1))
-    inside = entered[place] == flat if len(entered) else np.zeros(len(flat), dtype=bool)
-    known, owner_at = place[inside], np.append(0, np.cumsum(inside))[lists_at]
     for epoch in range(epochs):
-        for d in np.argsort(spans.random_words(len(y), epoch), kind="stable"):
-            i = np.append(known[owner_at[d] : owner_at[d + 1]], len(entered))
+        for d in in_turn[np.argsort(spans.random_words(len(y), epoch), kind="stable")]:
+            i = np.append(known[d], len(entered))
             ftrl.learn(i, int(y[d]), min(4.0, 0.5 / share[int(y[d])]))
     w = ftrl.weights(np.arange(len(entered) + 1))
     left = np.flatnonzero(w[:-1])
-    return SparseModel(entered[left], w[left], float(w[-1]))
+    return SparseModel(entered[left].astype(np.int64), w[left], float(w[-1]))
 
 
 def toxicity(docs: DataFrame, model: SparseModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
