@@ -24,17 +24,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberfield.llm.bpe import Pieces, byte_letters
 from emberfield.llm.cluster import map_arrow, shared_path
+from emberfield.llm.spans import slices
 from emberfield.scale import work_partitions
 
 END_ID = 0
-# Bytes of text a file's task takes: the number of files follows the input.
-FILE_TEXT_BYTES = 24 << 20
-PIECES = 160_000
+# Bytes of text a file's task takes. The number of files follows the input; past MANY_FILES files grow first, as far as
+# one can still be read as one value.
+FILE_TEXT_BYTES, LARGEST_FILE_TEXT_BYTES, MANY_FILES = 24 << 20, 256 << 20, 20_000
+PIECES = 300_000
+# Characters of the texts that are cut at once.
+TEXT_BYTES = 6_000_000
+# Texts in which a space stands before white space or at the end; for Arrow's expressions, so in RE2's terms.
+ODD = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\p{Z}]|$)"
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qBB")
 INDEX = "file int, doc_id long, offset long, length long, n_tokens long, ids_crc32 long"
@@ -70,10 +77,10 @@ class Generations:
 
     def __init__(self, size: int):
         self.size = size
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def ready(self, keys: set[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+    def ready(self, keys: set, make: Callable[[list], list[bytes]]) -> dict:
         """A dictionary that has all of ``keys``; ``make`` gives the values of those that are not remembered."""
         new = keys.difference(self.young)
         if new:
@@ -110,34 +117,78 @@ class LibraryEncoder:
         self._pieces, self._heads, self._words = Generations(PIECES), Generations(PIECES // 8), Generations(PIECES)
 
     def _merged(self, words: list[str]) -> list[bytes]:
-        tokenize, letters, kind = self.library.model.tokenize, self._letters, self._kind
-        space = letters[32]
-        out = []
-        for w in words:
-            # printable ASCII letters but the space stand for themselves
-            shown = w.replace(" ", space) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)
-            out.append(array(kind, [t.id for t in tokenize(shown)]).tobytes())
-        return out
-
-    def _learn(self, pieces: list[str], before: str = "") -> list[bytes]:
-        """The ids of the pieces, each with ``before`` in front."""
-        find, special = self._cut.words.findall, self._special
-        whole = [before + p for p in pieces]
-        # letters alone are one word
-        plan = [None if p.isalpha() else () if special(p) else find(w) for p, w in zip(pieces, whole, strict=True)]
-        words = {w for w, q in zip(whole, plan, strict=True) if q is None}
-        ids = self._words.ready(words.union(*filter(None, plan)), self._merged)
-        return [ids[w] if q is None else b"".join([ids[x] for x in q]) if q else self._library(w) for w, q in zip(whole, plan, strict=True)]
+        tokenize, kind = self.library.model.tokenize, self._kind
+        # all words at once in the vocabulary's letters; no text has the byte that parts them
+        shown = b"\xff".join([w.encode() for w in words]).decode("latin-1").translate(self._letters).split(self._letters[255])
+        return [array(kind, [t.id for t in tokenize(w)]).tobytes() for w in shown]
+
+    def _learn(self, pieces: list[bytes], before: bytes = b"") -> list[bytes]:
+        """The ids of the pieces (in UTF-8), each with ``before`` in front."""
+        if before != b" ":
+            return [self._library((before + p).decode()) for p in pieces]
+        out = {}
+        if self._special(b" ".join(pieces).decode()):
+            out = {p: self._library(" " + p.decode()) for p in pieces if self._special(p.decode())}
+        plain = [p for p in pieces if p not in out] if out else pieces
+        if plain:
+            # set side by side the pieces are cut into the same words as alone, all in one call
+            words = self._cut.words.findall((b" " + b" ".join(plain)).decode())
+            ids = self._words.ready(set(words), self._merged)
+            parts = list(map(ids.__getitem__, words))
+            places = np.cumsum(np.fromiter(map(len, map(str.encode, words)), dtype=np.int64, count=len(words)))
+            sizes = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+            ends = np.cumsum(np.fromiter(map(len, plain), dtype=np.int64, count=len(plain)) + 1)
+            flat, cuts = b"".join(parts), sizes[np.searchsorted(places, ends)].tolist()
+            found = [flat[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+            if not out:
+                return found
+            out.update(zip(plain, found, strict=True))
+        return [out[p] for p in pieces]
 
     def _library(self, piece: str) -> bytes:
         return np.array(self.library.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut = [self._cut.of(t) for t in texts]
-        heads = self._heads.ready({c[0] for c in cut}, self._learn)
-        rest = self._pieces.ready(set().union(*(c[1:] for c in cut)), lambda new: self._learn(new, " "))
-        for pieces in cut:
-            yield np.frombuffer(b"".join([heads[pieces[0]], *map(rest.__getitem__, pieces[1:])]), dtype=self.dtype)
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text. Arrow cuts the texts and numbers the distinct pieces; only these are looked at one by one."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not len(column):
+            return
+        odd = np.asarray(pc.match_substring_regex(column, ODD))
+        lists = pc.split_pattern(column, " ")
+        if odd.any():
+            python = column.filter(pa.array(odd)).to_pylist()
+            lists = _replaced(lists, odd, [self._cut.of(t) for t in python])
+        at = np.asarray(lists.offsets).astype(np.int64)
+        at, flat = at - at[0], lists.flatten()
+        begins = np.zeros(len(flat), dtype=bool)
+        begins[at[:-1]] = True
+        codes = np.empty(len(flat), dtype=np.int64)
+        table: list[bytes] = []
+        for mask, memory, before in ((begins, self._heads, b""), (~begins, self._pieces, b" ")):
+            coded = flat.filter(pa.array(mask)).dictionary_encode()
+            names = _parted(coded.dictionary)
+            ids = memory.ready(set(names), lambda new, before=before: self._learn(new, before))
+            codes[mask] = np.asarray(coded.indices) + len(table)
+            table += map(ids.__getitem__, names)
+        get, codes = table.__getitem__, codes.tolist()
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield np.frombuffer(b"".join(map(get, codes[i:j])), dtype=self.dtype)
+
+
+def _parted(strings: pa.LargeStringArray) -> list[bytes]:
+    """The strings in UTF-8, by way of one long one; no text has the byte that parts them."""
+    if not len(strings):
+        return []
+    listed = pa.LargeListArray.from_arrays(pa.array([0, len(strings)], pa.int64()), strings.cast(pa.large_binary()))
+    return pc.binary_join(listed, pa.scalar(b"\xff", pa.large_binary()))[0].as_py().split(b"\xff")
+
+
+def _replaced(lists: pa.LargeListArray, where: np.ndarray, values: list[list[str]]) -> pa.LargeListArray:
+    """The lists with some of them replaced."""
+    other = pa.array(values, lists.type)
+    index = np.arange(len(lists))
+    index[where] = len(lists) + np.arange(len(values))
+    return pa.concat_arrays([lists, other]).take(pa.array(index))
 
 
 _loaded: dict[str, LibraryEncoder] = {}
@@ -158,16 +209,16 @@ def write_records(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id
     """
     frame_of = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = frame_of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(work_partitions(docs.sparkSession), -(-size // FILE_TEXT_BYTES))
+    each = min(max(FILE_TEXT_BYTES, size // MANY_FILES), LARGEST_FILE_TEXT_BYTES)
+    files = max(work_partitions(docs.sparkSession), -(-size // each))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = library_encoder(path)
+        end = np.array([end_id], dtype=model.dtype)
         for batch in batches:
-            texts = batch.column(1)
-            for start in range(0, batch.num_rows, 1000):
-                end = np.array([end_id], dtype=model.dtype)
-                ids = model.encode(texts.slice(start, 1000).to_pylist())
-                out = [frame(d, np.concatenate([x, end])) for d, x in zip(batch.column(0).slice(start, 1000).to_pylist(), ids, strict=True)]
+            for start, _, at in slices(batch.column(1), TEXT_BYTES):
+                rows = batch.slice(start, len(at) - 1)
+                out = [frame(d, np.concatenate([x, end])) for d, x in zip(rows.column(0).to_pylist(), model.encode(rows.column(1)), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     ordered = frame_of.repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
