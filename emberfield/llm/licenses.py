@@ -72,6 +72,8 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 
 # A sentence ends after .!?:; and white space, and at a line end unless the next line goes on in lower case.
 BOUNDARY = r"(?<=[.!?:;])[ \t\r\n]+|\n(?![ \t]*[a-z])"
+# Stands for a boundary between words.
+MARK = "\x01"
 # Any known sentence has one of these; other documents are done after one look.
 HINT = r"(?i)licen[sc]e|permission|warranty|redistribut|public domain|rights reserved|free software|any later version"
 
@@ -81,15 +83,23 @@ def normalised(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence).lower().split())
 
 
-def _normalised(sentence: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(sentence, "[^0-9A-Za-z]+", " ")))
+def _pattern() -> str:
+    """The known sentences over words held apart by one space or MARK, from boundary to boundary, longest first."""
+    words = sorted({normalised(s) for _, s in SENTENCES}, key=lambda s: (-len(s), s))
+    return f"(?<![^{MARK}])(?:{'|'.join(words).replace(' ', f'[ {MARK}]')})(?![^{MARK}])"
 
 
 def recognised(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
+    """The identifiers of the known sentences of a text, in order.
+
+    A known sentence begins and ends at boundaries. It may have others inside, such as its own colons and semicolons
+    or line ends before a capital, a bracket or a comment mark; of sentences that begin alike the longest counts.
+    """
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES for x in (normalised(s), i)])
-    ids = F.transform(F.split(text, BOUNDARY, -1), lambda s: known[_normalised(s)])
-    found = F.filter(ids, lambda i: i.isNotNull())
+    marked = F.regexp_replace(F.translate(text, MARK, "\x02"), BOUNDARY, MARK)
+    words = F.lower(F.regexp_replace(F.regexp_replace(marked, f"[^0-9A-Za-z{MARK}]+", " "), f" ?{MARK}[ {MARK}]*", MARK))
+    spans = F.regexp_extract_all(F.trim(words), F.lit(_pattern()), F.lit(0))
+    found = F.transform(spans, lambda s: known[F.translate(s, MARK, " ")])
     return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
 
 

@@ -46,3 +46,32 @@ def test_license_rules(docs_of):
     texts = [f"Story.\nReleased under the MIT License.\n{gpl}", "\n".join(mit), f"{gpl} or (at your option) any later version.", "LICENSED UNDER CC BY-NC 4.0!", "the license of poets", None, mit[0].replace("software", "software\n")]
     got = {r["doc_id"]: (r["licenses"], r["license_class"]) for r in licenses.scan(docs_of(texts)).collect()}
     assert got == {0: ("GPL-3.0-only,MIT", "copyleft"), 1: ("MIT", "permissive"), 2: ("GPL-3.0-or-later", "copyleft"), 3: ("CC-BY-NC-4.0", "restricted"), 4: ("", "none"), 5: ("", "none"), 6: ("MIT", "permissive")}
+
+
+GPL_NOTICE = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+
+
+def test_every_sentence_and_rule_fires(docs_of):
+    forms = [lambda s: s, lambda s: f"Story\x01 goes. {s} More of it."]
+    texts = [(i, form(s)) for i, s in licenses.SENTENCES for form in forms]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_of([t for _, t in texts])).collect()}
+    assert [(got[k]["sentence_ids"], got[k]["n_sentences"]) for k in range(len(texts))] == [(i, 1) for i, _ in texts]
+    sentence = {i: s for i, s in reversed(licenses.SENTENCES)}
+    rules = licenses.scan(docs_of(["\n".join(sentence[i] for i in seq) for _, _, seq in licenses.RULES])).collect()
+    assert [(r["licenses"], r["license_class"]) for r in sorted(rules)] == [(name, kind) for name, kind, _ in licenses.RULES]
+
+
+def test_wrapped_notices(docs_of):
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed"
+    texts = [GPL_NOTICE, "\n".join("# " + x.strip() for x in GPL_NOTICE.split("\n")), mpl, "not released under the MIT License.", "Released under the MIT License. Or not"]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.scan(docs_of(texts)).collect()}
+    gpl = ("gpl-header,gpl-warranty", "GPL-3.0-or-later")
+    assert got == {0: gpl, 1: gpl, 2: ("mpl2-notice", "MPL-2.0"), 3: ("", ""), 4: ("mit-notice", "MIT")}
