@@ -74,8 +74,8 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 BOUNDARY = r"(?<=[.!?:;])[ \t\r\n]+|\n(?![ \t]*[a-z])"
 # Stands for a boundary between words.
 MARK = "\x01"
-# Any known sentence has one of these; other documents are done after one look.
-HINT = r"(?i)licen[sc]e|permission|warranty|redistribut|public domain|rights reserved|free software|any later version"
+# Any known sentence has one of these, with any white space and marks between words; other documents are done after one look.
+HINT = r"(?i)licen[sc]e|permission|warranty|redistribut|public domain|rights reserved|free software|any later version".replace(" ", "[^0-9A-Za-z]+")
 
 
 def normalised(sentence: str) -> str:

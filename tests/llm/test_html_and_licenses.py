@@ -75,3 +75,10 @@ def test_wrapped_notices(docs_of):
     got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.scan(docs_of(texts)).collect()}
     gpl = ("gpl-header,gpl-warranty", "GPL-3.0-or-later")
     assert got == {0: gpl, 1: gpl, 2: ("mpl2-notice", "MPL-2.0"), 3: ("", ""), 4: ("mit-notice", "MIT")}
+
+
+@pytest.mark.parametrize("gap", ["  ", "\n", "\r\n * ", "\n// "])
+def test_sentences_with_any_gap_between_words(docs_of, gap):
+    texts = [gap + s.replace(" ", gap) for _, s in licenses.SENTENCES]
+    got = licenses.scan(docs_of(texts)).collect()
+    assert [r["sentence_ids"] for r in sorted(got)] == [i for i, _ in licenses.SENTENCES]
