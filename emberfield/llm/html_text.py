@@ -7,9 +7,12 @@ best contiguous region; its blocks, without nested boilerplate, are the text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html import unescape
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,14 @@ BOILERPLATE_NAMES = frozenset(
     "comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations widget widgets "
     "toolbar pagination pager skip tags toc copyright legal".split()
 )
+# Words before such a word that tell of a page's layout.
+STATES = frozenset("has have with without no non not hide".split())
 CONTENT = ("article", "main")
+# Boilerplate that may hold a whole page, and the kinds that stand in a head.
+WRAPPERS = frozenset(("form",))
+HEAD = frozenset("title style script noscript template meta link base".split())
+# An element named as boilerplate is a wrapper if it has so many times the words that stand free around it.
+MOST_WORDS = 4
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -58,67 +68,196 @@ def inline(kind: str) -> bool:
     return kind.removeprefix("/") in INLINE
 
 
-def boilerplate(name: str, rest: str) -> bool:
-    """Whether an element is no part of an article, by its name or its class, id and role."""
+def boilerplate(name: str, rest: str) -> str:
+    """Whether an element is no part of an article: "sure" by its name, "named" by its class, id or role, or ""."""
     if name in BOILERPLATE:
-        return True
+        return "sure" if name not in WRAPPERS else "named"
     if name in ("html", "body") or "=" not in rest and "hidden" not in rest.lower():
-        return False
+        return ""
     for key, *values in NAMED.findall(rest):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return "sure"
         if key == "role" and value.lower() in BOILERPLATE_ROLES:
-            return True
-        if key in ("class", "id") and any(p.lower() in BOILERPLATE_NAMES for v in value.split() for p in PARTS.findall(v)):
-            return name not in CONTENT
-    return False
+            return "named"
+        if key in ("class", "id") and any(listed(v) for v in value.split()):
+            return "" if name in CONTENT else "named"
+    return ""
 
 
-def items(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(tag kind or "", text or "", dropped) in page order; texts are decoded, tags are "p", "/p" and so on.
+def listed(value: str) -> bool:
+    """Whether a class or id has a boilerplate word that doesn't follow a word such as "has" or "no"."""
+    parts = [p.lower() for p in PARTS.findall(value)]
+    return any(p in BOILERPLATE_NAMES and before not in STATES for before, p in zip(["", *parts], parts))
+
+
+@dataclass
+class Drop:
+    """The items of a boilerplate element, from its tag to its end tag."""
+
+    start: int
+    end: int
+    name: str
+    sure: bool
+    closed: bool = False
 
-    What stands in boilerplate elements is marked as dropped. An end tag closes the nearest open element of its name with all
-    in it; other stray end tags close nothing; what is never closed runs to the end of what holds it.
+
+def parsed(page: str) -> tuple[list[tuple[str, str]], list[Drop]]:
+    """(tag kind or "", text or "") in page order, and the boilerplate elements.
+
+    An end tag closes the nearest open element of its name with all in it; other stray end tags close nothing; what is
+    never closed runs to the end of what holds it.
     """
-    open_: list[str] = []
-    dropped_at: int | None = None
+    out: list[tuple[str, str]] = []
+    drops: list[Drop] = []
+    open_: list[tuple[str, Drop | None]] = []
+
+    def close(at: int, closed: bool) -> str:
+        name, drop = open_.pop()
+        if drop:
+            drop.end, drop.closed = at, closed
+        return name
+
     at = 0
     while at < len(page):
         m = TAG.search(page, at)
         if m is None or m.start() > at:
             text = page[at : m.start() if m else len(page)]
-            yield "", unescape(text) if "&" in text else text, dropped_at is not None
+            out.append(("", unescape(text) if "&" in text else text))
         if m is None:
-            return
+            break
         at = m.end()
         name = m["name"]
         if name is None:
             if m.group().startswith("<![CDATA["):
-                yield "", m.group()[9:].removesuffix("]]>"), dropped_at is not None
+                out.append(("", m.group()[9:].removesuffix("]]>")))
             continue
         name = name.lower()
         if m["close"]:
-            if name in open_:
-                while open_.pop() != name:
-                    pass
-                yield "/" + name, "", dropped_at is not None
-                if dropped_at is not None and len(open_) <= dropped_at:
-                    dropped_at = None
+            if any(n == name for n, _ in open_):
+                while open_[-1][0] != name:
+                    close(len(out), False)
+                close(len(out) + 1, True)
+                out.append(("/" + name, ""))
             continue
-        if dropped_at is None and boilerplate(name, m["rest"]):
-            dropped_at = len(open_)
-        yield name, "", dropped_at is not None
+        if name in ("p", "li") and open_ and open_[-1][0] == name:
+            close(len(out), True)  # these end where the next one begins
+        how = boilerplate(name, m["rest"])
+        drop = Drop(len(out), len(out) + 1, name, how == "sure", True) if how else None
+        if drop:
+            drops.append(drop)
+        out.append((name, ""))
         if name in RAW:  # its content is no markup; it ends at its own end tag only
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID and not m["rest"].endswith("/>"):
-            if name in ("p", "li") and open_ and open_[-1] == name:
-                open_.pop()  # these end where the next one begins
-            open_.append(name)
-            continue
-        if dropped_at is not None and len(open_) <= dropped_at:
-            dropped_at = None
+            open_.append((name, drop))
+    while open_:
+        close(len(out), False)
+    return out, drops
+
+
+def close_at_content(seen: list[tuple[str, str]], drops: list[Drop]) -> None:
+    """End boilerplate elements that are never closed where content starts in them."""
+    wide = [d for d in drops if not d.closed]
+    if not wide:
+        return
+    in_head = HEAD | {"/" + k for k in HEAD} | {""}
+    starts = [[k for k, x in enumerate(seen) if x[0] in kinds] for kinds in (("body", *CONTENT), ("h1", "p"))]
+    beyond_head = [k for k, x in enumerate(seen) if x[0] not in in_head]
+    for d in wide:
+        for places in [beyond_head] if d.name == "head" else starts:
+            first = bisect_right(places, d.start)
+            if first < len(places) and places[first] < d.end:
+                d.end = places[first]
+                break
+
+
+def items(page: str) -> list[tuple[str, str, bool]]:
+    """(tag kind or "", text or "", dropped) in page order; texts are decoded, tags are "p", "/p" and so on.
+
+    What stands in boilerplate elements is marked as dropped, with these exceptions. One that is never closed ends
+    where content starts. One so named only by class, id or role, or a form, is a wrapper and stays if it holds the
+    page's label (a single main, or a single article of more words than stand free around it) or nearly all words.
+    """
+    seen, drops = parsed(page)
+    close_at_content(seen, drops)
+    sure = [d for d in drops if d.sure]
+    named = [d for d in drops if not d.sure]
+
+    def depth(among: list[Drop]) -> list[int]:
+        """How many of the elements hold each item."""
+        steps = [0] * (len(seen) + 1)
+        for d in among:
+            steps[d.start] += 1
+            steps[d.end] -= 1
+        return list(accumulate(steps))
+
+    def marked() -> list[tuple[str, str, bool]]:
+        return [(kind, text, n > 0) for (kind, text), n in zip(seen, depth(drops))]
+
+    out = marked()
+    if not named:
+        return out
+    if any(x[0] in CONTENT and x[2] for x in out):
+        drops = sure + open_labels(seen, sure, named, depth)
+        out = marked()
+    start, end = labelled(out) or (0, len(seen))
+    inside = sorted((d for d in drops if not d.sure and start <= d.start and d.end <= end), key=lambda d: (d.start, -d.end))
+    if inside:
+        upto = words_upto(seen, depth(sure))
+        free = words_upto(seen, [x[2] for x in out])
+        for d in inside:
+            if upto[d.end] - upto[d.start] > MOST_WORDS * (free[end] - free[start]):
+                drops = [x for x in drops if x is not d]
+                out = marked()
+                free = words_upto(seen, [x[2] for x in out])
+    return out
+
+
+def words_upto(seen: list[tuple[str, str]], dropped: list) -> list[int]:
+    """The number of words that are not dropped before each item, and of all."""
+    return list(accumulate((0 if kind or out else len(text.split()) for (kind, text), out in zip(seen, dropped)), initial=0))
+
+
+def open_labels(seen: list[tuple[str, str]], sure: list[Drop], named: list[Drop], depth: Callable[[list[Drop]], list[int]]) -> list[Drop]:
+    """The named elements without those that hold the page's label."""
+    gone = depth(sure)
+
+    def outermost(label: str) -> int | None:
+        """The label that the fewest named elements hold, if it is one."""
+        held = depth(named)
+        places = [(held[k], k) for k, x in enumerate(seen) if x[0] == label and not gone[k]]
+        fewest = min(places, default=(0, 0))[0]
+        least = [k for n, k in places if n == fewest]
+        return least[0] if len(least) == 1 else None
+
+    main = outermost("main")
+    if main is not None:
+        named = [d for d in named if not d.start <= main < d.end]
+    article = outermost("article")
+    if article is None:
+        return named
+    inner = [d for d in named if not d.start <= article < d.end]
+    if len(inner) < len(named):
+        start, end = 0, len(seen)
+        if main is not None and main < article < element_end(seen, main):
+            start, end = main, element_end(seen, main)
+        own = words_upto(seen, depth(sure + inner))
+        free = words_upto(seen, depth(sure + named))
+        if own[element_end(seen, article)] - own[article] > free[end] - free[start]:
+            return inner
+    return named
+
+
+def element_end(seen: list[tuple], start: int) -> int:
+    """The item of the end tag of the element that starts at an item, or the number of items."""
+    label, depth = seen[start][0], 0
+    for k in range(start, len(seen)):
+        depth += (seen[k][0] == label) - (seen[k][0] == "/" + label)
+        if not depth:
+            return k
+    return len(seen)
 
 
 def labelled(seen: list[tuple[str, str, bool]]) -> tuple[int, int] | None:
@@ -126,12 +265,7 @@ def labelled(seen: list[tuple[str, str, bool]]) -> tuple[int, int] | None:
     for label in CONTENT:
         opens = [k for k, x in enumerate(seen) if x[0] == label and not x[2]]
         if len(opens) == 1:
-            depth = 0
-            for k in range(opens[0], len(seen)):
-                depth += (seen[k][0] == label) - (seen[k][0] == "/" + label)
-                if not depth:
-                    return opens[0] + 1, k
-            return opens[0] + 1, len(seen)
+            return opens[0] + 1, element_end(seen, opens[0])
     return None
 
 
@@ -140,7 +274,7 @@ def label_counts(page: str) -> Counter | None:
 
     The labelling element's own tags count as outside, so leaving or entering it has its price.
     """
-    seen = list(items(page))
+    seen = items(page)
     region = labelled(seen)
     if region is None:
         return None
@@ -168,7 +302,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
 
     In a page that labels its article the region lies inside the label.
     """
-    seen = list(items(page))
+    seen = items(page)
     region = labelled(seen)
     if region is not None:
         seen = seen[slice(*region)]

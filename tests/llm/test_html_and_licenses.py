@@ -82,3 +82,30 @@ def test_sentences_with_any_gap_between_words(docs_of, gap):
     texts = [gap + s.replace(" ", gap) for _, s in licenses.SENTENCES]
     got = licenses.scan(docs_of(texts)).collect()
     assert [r["sentence_ids"] for r in sorted(got)] == [i for i, _ in licenses.SENTENCES]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *[f"<div class='{c}'><div>x</div>{ARTICLE}</div>" for c in ("page has-sidebar", "with-navbar", "no-ads", "sidebar", "page-widgets")],
+        f"<section id='discussion'>{ARTICLE}<div class=ad>Buy this</div></section>",
+        f"<main><div class='widget'>{ARTICLE}<div class=related><article>t</article></div></div></main>",
+        f"<form action=x>{ARTICLE}</form>",
+        f"<body><nav><a>menu</a>{ARTICLE}</body>",
+        f"<div><div class='ad'>Buy this<main>{ARTICLE}</main></div><footer>foot",
+        f"<head><title>t</title><body>{ARTICLE}",
+        ARTICLE.replace("<h1>", "<div class=toc-entry><h1>").replace("after<", "after</div><"),
+        ARTICLE.replace("<p>Second", "<div class='ad'>Buy this<p>Second"),
+        ARTICLE.replace("<p>Second", "<p class='ad'>Buy this<p>Second"),
+    ],
+)
+def test_boilerplate_names_and_open_ends_keep_the_article(page, weights):
+    assert html_text.main_text(page, weights) == TEXT
+
+
+def test_teasers_and_comments_as_articles_stay_out(weights):
+    story = "real words of the story " * 6
+    for rest in ("<div class=sidebar><article>a teaser</article></div>", "<section id=comments><article>one reply</article></section>"):
+        assert html_text.main_text(f"<div><p>{story}</p></div>{rest}", weights) == story.strip()
+        assert html_text.main_text(f"<main><p>{story}</p>{rest}</main>", weights) == story.strip()
+    assert html_text.main_text(f"<div class='legal'><p>{story}</p></div><div>z</div>", weights).startswith(story.strip())
