@@ -297,15 +297,8 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return out
 
 
-def main_text(page: str, weights: dict[str, float]) -> str:
-    """The text of the best region: its blocks with white space made single, joined by one space.
-
-    In a page that labels its article the region lies inside the label.
-    """
-    seen = items(page)
-    region = labelled(seen)
-    if region is not None:
-        seen = seen[slice(*region)]
+def best_run(seen: list[tuple[str, str, bool]], weights: dict[str, float]) -> tuple[int, int]:
+    """The item range of the best score."""
     word = weights.get("#word", WORD)
     best, best_range = 0.0, (0, 0)
     run, start = 0.0, 0
@@ -316,9 +309,18 @@ def main_text(page: str, weights: dict[str, float]) -> str:
             run += weights.get(kind, UNSEEN_INLINE if inline(kind) else UNSEEN_BLOCK) if kind else word * len(text.split())
         if run > best:
             best, best_range = run, (start, k + 1)
+    return best_range
+
+
+def main_text(page: str, weights: dict[str, float]) -> str:
+    """The text of the best region: its blocks with white space made single, joined by one space.
+
+    In a page that labels its article the region is the whole inside of the label.
+    """
+    seen = items(page)
     blocks: list[str] = []
     held: list[str] = []
-    for kind, text, dropped in seen[slice(*best_range)]:
+    for kind, text, dropped in seen[slice(*(labelled(seen) or best_run(seen, weights)))]:
         if kind and not inline(kind):
             blocks.append("".join(held))
             held = []

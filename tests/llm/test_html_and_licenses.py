@@ -109,3 +109,10 @@ def test_teasers_and_comments_as_articles_stay_out(weights):
         assert html_text.main_text(f"<div><p>{story}</p></div>{rest}", weights) == story.strip()
         assert html_text.main_text(f"<main><p>{story}</p>{rest}</main>", weights) == story.strip()
     assert html_text.main_text(f"<div class='legal'><p>{story}</p></div><div>z</div>", weights).startswith(story.strip())
+
+
+def test_label_is_kept_to_its_ends():
+    heavy = {"#word": 0.3, "p": -12.0, "/p": -12.0, "h1": -12.0, "/h1": -12.0, "div": -12.0, "/div": -12.0}
+    story = "real words of the story " * 40
+    page = f"<div>x</div><article><h1>A head</h1><p>{story}</p><div>A line</div><p>The end.</p></article><p>{story}</p>"
+    assert html_text.main_text(page, heavy) == f"A head {story}A line The end."
