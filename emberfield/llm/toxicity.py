@@ -17,8 +17,8 @@ from emberfield.llm.quality import labelled_rows
 # Labelled rows that the model is fitted on at most (of each label, those of least hash), and the hashed features.
 SAMPLE_ROWS = 3_000
 FEATURES = 1 << 30
-# A feature enters the model once so many sample documents have it.
-MIN_DOCS = 10
+# The penalty that decides which features get a weight; no other bound on how rare a feature may be.
+L1 = 10.0
 # Size of the bit table that tells most grams without a weight apart before the exact look-up.
 SIEVE = 1 << 20
 TOXIC_SCORE = 0.7
@@ -77,7 +77,7 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal with per-coordinate rates: weights are derived from two sums per feature and mostly stay zero."""
 
-    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.1):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = L1, l2: float = 0.1):
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.alpha, self.beta = alpha, beta
         # the bias, the last coordinate, is not penalised
@@ -103,11 +103,13 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 != 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 5) -> SparseModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 5, l1: float = L1) -> SparseModel:
     """Fit on at most ``sample_rows`` labelled rows outside the held-out third.
 
     Tasks turn the sample's texts into sets of hashed grams; the driver learns from them document by document, in an
-    order fixed by hash. Without rows of both labels every score is 0.5 or the one label's share.
+    order fixed by hash. A document moves a feature's sum by its importance at most in each epoch, one label up and
+    the other down, so features that neither label's documents can move beyond ``l1`` keep weight zero: only those
+    are left out beforehand. Without rows of both labels every score is 0.5 or the one label's share.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,23 +128,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epoc
     y = np.asarray(table["y"].combine_chunks(), dtype=np.int64)
     lists = table["grams"].combine_chunks()
     at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    in_order = np.sort(flat[at[0] : at[-1]])
-    first = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1])[: len(in_order)])
-    entered = in_order[first[np.diff(np.append(first, len(in_order))) >= MIN_DOCS]]
-    del in_order, first
+    # both labels weigh alike in sum
+    share = {k: max(1, int((y == k).sum())) / max(1, len(y)) for k in (0, 1)}
+    importance = {k: min(4.0, 0.5 / share[k]) for k in (0, 1)}
+    entered = np.empty(0, dtype=np.int32)
+    for k in (0, 1):
+        in_order = np.sort(np.concatenate([flat[:0], *[flat[at[d] : at[d + 1]] for d in np.flatnonzero(y == k)]]))
+        first = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1])[: len(in_order)])
+        entered = np.union1d(entered, in_order[first[np.diff(np.append(first, len(in_order))) * importance[k] * epochs > l1]])
+        del in_order, first
     known = []
     for d in range(len(y)):
         own = flat[at[d] : at[d + 1]]
-        place = np.searchsorted(entered, own)
+        place = np.searchsorted(entered, own).astype(np.int32)
         known.append(place[entered[np.minimum(place, len(entered) - 1)] == own] if len(entered) else place[:0])
     del table, lists, flat
-    ftrl = Ftrl(len(entered))
-    # both labels weigh alike in sum
-    share = {1: max(1, int((y == 1).sum())) / max(1, len(y)), 0: max(1, int((y == 0).sum())) / max(1, len(y))}
+    ftrl = Ftrl(len(entered), l1=l1)
     for epoch in range(epochs):
         for d in in_turn[np.argsort(spans.random_words(len(y), epoch), kind="stable")]:
             i = np.append(known[d], len(entered))
-            ftrl.learn(i, int(y[d]), min(4.0, 0.5 / share[int(y[d])]))
+            ftrl.learn(i, int(y[d]), importance[int(y[d])])
     w = ftrl.weights(np.arange(len(entered) + 1))
     left = np.flatnonzero(w[:-1])
     return SparseModel(entered[left].astype(np.int64), w[left], float(w[-1]))

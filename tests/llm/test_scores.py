@@ -84,3 +84,15 @@ def test_one_label_only(docs_of, labels_of):
     known = labels_of([(0, 1, 0), (1, 1, 0), (2, 1, 0)])
     assert all(r["kept"] in (True, False) and r["probability"] == 1.0 for r in quality.quality(frame, quality.fit(frame, known)).collect())
     assert all(r["score"] < 0.7 for r in toxicity.toxicity(frame, toxicity.fit(frame, known)).collect())
+
+
+def test_grams_of_few_toxic_rows_are_learned(docs_of, labels_of):
+    r = random.Random(9)
+    text = lambda toxic: " ".join([*(f"word{r.randrange(200)}" for _ in range(30)), *["vileness"] * toxic])
+    docs = [(i, text(i % 9 == 0)) for i in range(90)]
+    learned = sum(i % 9 == 0 and zlib.crc32(str(i).encode()) % 3 != 1 for i in range(90))
+    assert 3 <= learned < 10
+    model = toxicity.fit(docs_of(docs), labels_of([(i, 1, int(i % 9 == 0)) for i in range(90)]))
+    fresh = docs_of([(i, text(i % 2)) for i in range(1000, 1040)])
+    rows = toxicity.toxicity(fresh, model).collect()
+    assert all((x["score"] > 0.5) == bool(x["doc_id"] % 2) for x in rows)
