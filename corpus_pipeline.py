@@ -28,8 +28,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources repeat, up to the limit on passes; every document stays at least once."""
-    return mixing.mix(docs).select("row.*")
+    """Small sources repeat, up to the limit on passes; every document stays at least once; rows go in mixed order."""
+    return mixing.in_order(mixing.mix(docs)).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,6 +144,11 @@ def mix(docs: DataFrame, entropy: float | None = None, passes: float | None = MA
     return out.select("row", "source", "n_tokens", "pass", block().alias("block"), F.struct("pass", order(F.col("pass") - 1).alias("block_order"), F.xxhash64("h", "pass").alias("doc_order")).alias("position"))
 
 
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The rows of a mix by position: pass after pass, each a permutation of blocks; one range of positions per task."""
+    return mixed.repartitionByRange("position").sortWithinPartitions("position")
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, source, n_tokens, pass, block, block_order, doc_order of every row of the default mix."""
     out = mix(docs.select("doc_id", "text", "source"))

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from emberfield.llm import mixing
 
 
@@ -63,3 +64,9 @@ def test_pass_is_a_permutation_of_blocks(sources):
 def test_main_path_is_native(sources):
     plan = mixing.mix(sources)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_pipeline_stage_writes_rows_by_position(spark, sources):
+    mixed = mixing.mix(sources).select("position", "row.doc_id").collect()
+    rows = corpus_pipeline.mix_sources(spark, sources, "").collect()
+    assert [r["doc_id"] for r in rows] == [r["doc_id"] for r in sorted(mixed)]
