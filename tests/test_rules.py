@@ -123,3 +123,9 @@ def test_no_cartesian_product_in_spatial_plans(spark):
 
     plan = load_all()[0]["j2_nearest_road"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_full_size_trainers():
+    from emberfield.models import trees
+
+    assert [(p.rounds, p.depth, p.rate) for p in (trees.FULL_MAIN, trees.FULL_MODULE)] == [(800, 6, 0.03), (1000, 7, 0.05)]
