@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberfield.llm import bpe, embed_dedup, html_text, licenses, line_dedup, mixing, ngram_join, quality, token_records, toxicity
+from emberfield.llm import bpe, centroids, embed_dedup, html_text, licenses, line_dedup, mixing, ngram_join, quality, token_records, toxicity, url_filter, whitening
 
 
 def vocabulary() -> str:
@@ -63,6 +63,18 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_line_dedup,
         op10_token_records,
+        op11_embedding_whitening,
+        op12_url_filter,
+        op13_centroid_clustering,
     )
 }
 
@@ -84,4 +99,6 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard_join": ngram_join.NGRAM_JOIN_SQL,
     "op7_embedding_near_dedup": embed_dedup.EMBED_DEDUP_SQL,
     "op9_line_dedup": line_dedup.LINE_DEDUP_SQL,
+    "op12_url_filter": url_filter.URL_FILTER_SQL,
+    "op13_centroid_clustering": centroids.clusters_sql(),
 }
