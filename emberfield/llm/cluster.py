@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberfield.scale import cut_lineage, shared_dir, ship_package
@@ -34,6 +34,12 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(work, schema)
 
 
+def map_column(spark: SparkSession, work: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], kind: str) -> Callable[..., Column]:
+    """A function of one column whose values alone go to Python, in Arrow batches."""
+    ship_package(spark)
+    return F.arrow_udf(work, kind)
+
+
 def block_pairs(rows: DataFrame, sizes: DataFrame, key: str, item: str, block: int = BLOCK_ROWS) -> DataFrame:
     """Deal each group's rows out so that every pair of them meets in exactly one small cell.
 

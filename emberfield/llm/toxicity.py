@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.llm import spans
-from emberfield.llm.cluster import map_arrow
+from emberfield.llm.cluster import map_arrow, map_column
 from emberfield.llm.quality import labelled_rows
 
 # Labelled rows that the model is fitted on at most (of each label, those of least hash), and the hashed features.
@@ -177,18 +177,18 @@ def toxicity(docs: DataFrame, model: SparseModel, doc_id: str = "doc_id", text:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text the fitted model does not reject, in one pass over the documents.
 
+    Only the texts go to Python and only scores come back; the rows stay where they are.
+
     Null and empty texts are judged as above; all columns and repeated rows stay as they are.
     """
     model = fit(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("_text"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = held.value
         sieve = model.sieve()
-        for batch in batches:
-            for row, data, at in spans.slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(at) - 1), pa.array(model.scores(sieve, data, at))], ["_row", "_score"])
+        for column in texts:
+            yield pa.array(np.concatenate([np.empty(0), *[model.scores(sieve, data, at) for _, data, at in spans.slices(column)]]))
 
-    out = map_arrow(whole, work, f"_row {whole.schema['_row'].dataType.simpleString()}, _score double")
-    return out.filter(F.col("_score") < TOXIC_SCORE).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    score = map_column(docs.sparkSession, work, "double")(F.col("text").cast("string"))
+    return docs.filter(score < TOXIC_SCORE)
