@@ -11,23 +11,29 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberfield.llm.cluster import map_arrow
+from emberfield.llm.cluster import map_arrow, map_column
+from emberfield.llm.spans import slices
 
 # The pattern and special token of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-# Bounds of what a worker holds: characters of the documents in hand, pieces whose ids are remembered.
-TEXT_CHARS = 4_000_000
-PIECES = 400_000
+# Bounds of what a worker holds: bytes of the texts in hand (a longer text makes a slice of its own), and of the words
+# whose ids are remembered, each of which takes about WORD_COST bytes beside its own.
+TEXT_BYTES = 4_000_000
+MEMORY_BYTES, WORD_COST = 64_000_000, 160
+# Texts in which a space stands before white space or at the end; for Arrow's expressions, so in RE2's terms.
+ODD = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\p{Z}]|$)"
 
 
 def byte_letters() -> list[str]:
@@ -59,6 +65,118 @@ class Pieces:
         return text.split(" ") if self._odd.search(text) is None else self._cut.split(text)
 
 
+class WordEncoder:
+    """Texts to ids, word by word: each distinct word of a slice of texts is encoded once and remembered for a while.
+
+    Arrow cuts the texts into pieces and numbers the distinct ones; only these are cut into words. The ids of the words
+    that are remembered lie in one flat array, from which every text's ids are gathered. ``words`` gives the ids of new
+    words, one after the other, and their numbers of ids.
+    """
+
+    def __init__(self, words: Callable[[list[str]], tuple[np.ndarray, Sequence[int]]], specials: dict[str, int], dtype: np.dtype):
+        self._words, self._dtype, self._specials = words, dtype, specials
+        self._special = regex.compile("|".join(regex.escape(t) for t in sorted(specials, key=len, reverse=True))) if specials else None
+        self._cut = Pieces()
+        self.forget()
+
+    def forget(self) -> None:
+        """Remember the special tokens alone."""
+        self._known = {t: i for i, t in enumerate(self._specials)}
+        self._flat = np.array(list(self._specials.values()), dtype=self._dtype)
+        self._ends = np.arange(len(self._specials) + 1)
+        self._held = 0
+
+    def _around(self, piece: str) -> list[str]:
+        """The words of a piece that may hold special tokens; what stands between those is cut on its own."""
+        find = self._cut.words.findall
+        if self._special is None or self._special.search(piece) is None:
+            return find(piece)
+        out: list[str] = []
+        start = 0
+        for m in self._special.finditer(piece):
+            out += [*find(piece[start : m.start()]), m.group()]
+            start = m.end()
+        return out + find(piece[start:])
+
+    def _codes(self, words: list[str]) -> np.ndarray:
+        """The places of the words in what is remembered; all of that goes first where it would pass the bound."""
+        distinct_words = set(words)
+        new = list(distinct_words.difference(self._known))
+        if new:
+            cost = len(new) * WORD_COST + sum(map(len, new))
+            if self._held and self._held + cost > MEMORY_BYTES:
+                self.forget()
+                new = list(distinct_words.difference(self._known))
+                cost = len(new) * WORD_COST + sum(map(len, new))
+            ids, sizes = self._words(new)
+            self._known.update(zip(new, range(len(self._known), len(self._known) + len(new)), strict=True))
+            self._flat = np.concatenate([self._flat, ids])
+            self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(sizes)])
+            self._held += cost
+        return np.fromiter(map(self._known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; null is empty."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        for row, _, at in slices(column, TEXT_BYTES):
+            yield from self._slice(column.slice(row, len(at) - 1).cast(pa.large_string()).fill_null(""))
+
+    def _slice(self, column: pa.LargeStringArray) -> list[np.ndarray]:
+        lists = pc.split_pattern(column, " ")
+        odd = np.asarray(pc.match_substring_regex(column, ODD))
+        if odd.any():
+            lists = _replaced(lists, odd, [self._cut.of(t) for t in column.filter(pa.array(odd)).to_pylist()])
+        at = np.asarray(lists.offsets).astype(np.int64)
+        at -= at[0]
+        coded = lists.flatten().dictionary_encode()
+        codes, names = np.array(coded.indices), coded.dictionary
+        # a text's first piece has no space before it, so it is another piece than the same letters further on
+        heads, place = np.unique(codes[at[:-1]], return_inverse=True)
+        codes[at[:-1]] = len(names) + place
+        inner = np.zeros(len(names), dtype=bool)
+        rest = np.ones(len(codes), dtype=bool)
+        rest[at[:-1]] = False
+        inner[codes[rest]] = True
+        special = np.zeros(len(names), dtype=bool)
+        if self._special is not None:
+            special = np.asarray(pc.match_substring_regex(names, "|".join(map(re.escape, self._specials))))
+        plain, marked = np.flatnonzero(inner & ~special), np.flatnonzero(inner & special)
+        words: list[str] = []
+        count = np.zeros(len(names) + len(heads), dtype=np.int64)  # words of each piece
+        if len(plain):
+            # set side by side the pieces are cut into the same words as alone, all in one call
+            own = names.take(pa.array(plain))
+            words = self._cut.words.findall(" " + " ".join(own.to_pylist()))
+            ends = np.cumsum(np.asarray(pc.utf8_length(own)).astype(np.int64) + 1)
+            places = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+            count[plain] = np.diff(np.searchsorted(places, ends, side="right"), prepend=0)
+        alone = [self._around(" " + p) for p in names.take(pa.array(marked)).to_pylist()] + [self._around(p) for p in names.take(pa.array(heads)).to_pylist()]
+        order = np.concatenate([plain, marked, len(names) + np.arange(len(heads))])
+        count[order[len(plain) :]] = [len(w) for w in alone]
+        known = self._codes([*words, *chain.from_iterable(alone)])
+        flat, ends = gather(self._flat, self._ends[known], np.diff(self._ends)[known])
+        cuts = ends[np.concatenate([[0], np.cumsum(count[order])])]
+        start, size = np.zeros(len(count), dtype=np.int64), np.zeros(len(count), dtype=np.int64)
+        start[order], size[order] = cuts[:-1], np.diff(cuts)
+        ids, ends = gather(flat, start[codes], size[codes])
+        return np.split(ids, ends[at[1:-1]])
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[start : start + size] side by side, and the place where each begins (and the last one ends)."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    narrow = np.int32 if max(ends[-1], len(flat)) < 2**31 else np.int64
+    return flat[np.repeat((start - ends[:-1]).astype(narrow), size) + np.arange(ends[-1], dtype=narrow)], ends
+
+
+def _replaced(lists: pa.LargeListArray, where: np.ndarray, values: list[list[str]]) -> pa.LargeListArray:
+    """The lists with some of them replaced."""
+    other = pa.array(values, lists.type)
+    index = np.arange(len(lists))
+    index[where] = len(lists) + np.arange(len(values))
+    return pa.concat_arrays([lists, other]).take(pa.array(index))
+
+
 class PairIndexBpe:
     """Encoder and decoder of a byte-level BPE vocabulary file (``tokenizers`` JSON)."""
 
@@ -87,10 +205,7 @@ class PairIndexBpe:
         pairs = (left << 32) | right
         self._order = np.argsort(pairs, kind="stable")
         self._pairs = pairs[self._order]
-        self._pieces = Pieces()
-        self._special = regex.compile("|".join(f"(?:{regex.escape(t)})" for t in sorted(self.specials, key=len, reverse=True))) if self.specials else None
-        self._known: dict[str, bytes] = {}
-        self._head: dict[str, bytes] = {}
+        self._encoder = WordEncoder(self.merge, self.specials, self.dtype)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair of ids, -1 where there is none."""
@@ -98,10 +213,11 @@ class PairIndexBpe:
         at = np.minimum(np.searchsorted(self._pairs, pairs), len(self._pairs) - 1)
         return np.where(self._pairs[at] == pairs, self._order[at], -1)
 
-    def merge(self, words: list[bytes]) -> list[bytes]:
-        """The ids (as bytes) of each (non-empty) word: the pair occurrence index over all of them at once."""
-        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the (non-empty) words and their numbers: the pair occurrence index over all of them at once."""
+        coded = [w.encode() for w in words]
+        raw = np.frombuffer(b"".join(coded), dtype=np.uint8)
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
         ends = np.cumsum(sizes)
         n = len(raw)
         ids = self.first[raw]
@@ -157,61 +273,15 @@ class PairIndexBpe:
             before[then[inner]] = at[inner]
             prior = before[at]
             enter(distinct(np.concatenate([at, prior[prior < n]])))
-        ids = ids[alive].astype(self.dtype)
-        counts = np.add.reduceat(alive, ends - sizes, dtype=np.int64)
-        flat, cuts = ids.tobytes(), (np.cumsum(counts) * ids.itemsize).tolist()
-        return [flat[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
-
-    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """The ids of whole pieces, as bytes."""
-        pieces = list(pieces)
-        find = self._pieces.words.findall
-        plan = [find(p) if self._special is None or self._special.search(p) is None else self._around(p) for p in pieces]
-        words = list(set(chain.from_iterable(plan)).difference(self.specials))
-        ids = dict(zip(words, self.merge([w.encode() for w in words]), strict=True)) if words else {}
-        ids |= {t: np.array([i], dtype=self.dtype).tobytes() for t, i in self.specials.items()}
-        get = ids.__getitem__
-        return {p: get(q[0]) if len(q) == 1 else b"".join(map(get, q)) for p, q in zip(pieces, plan, strict=True)}
-
-    def _around(self, piece: str) -> list[str]:
-        """The words of a piece with special tokens in it; what stands between those is cut on its own."""
-        out: list[str] = []
-        start = 0
-        for m in self._special.finditer(piece):
-            out += [*self._pieces.words.findall(piece[start : m.start()]), m.group()]
-            start = m.end()
-        return out + self._pieces.words.findall(piece[start:])
+        return ids[alive].astype(self.dtype), np.add.reduceat(alive, ends - sizes, dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        of, known, head = self._pieces.of, self._known, self._head
-        start = 0
-        while start < len(texts):
-            stop, chars = start, 0
-            while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= TEXT_CHARS):
-                chars += len(texts[stop])
-                stop += 1
-            new: set[str] = set()
-            new_head: set[str] = set()
-            cut = [of(text) for text in texts[start:stop]]
-            for pieces in cut:
-                new_head.add(pieces[0])
-                new.update(pieces[1:])
-            if len(known) + len(head) > PIECES:  # what the documents in hand don't need goes
-                for held, wanted in ((known, new), (head, new_head)):
-                    for p in [p for p in held if p not in wanted]:
-                        del held[p]
-            new.difference_update(known)
-            new_head.difference_update(head)
-            found = self._learn([*(" " + p for p in new), *new_head])
-            known.update({p: found[" " + p] for p in new})
-            head.update({p: found[p] for p in new_head})
-            get = known.__getitem__
-            for pieces in cut:
-                pieces[0] = head[pieces[0]]
-                pieces[1:] = map(get, pieces[1:])
-                yield np.frombuffer(b"".join(pieces), dtype=self.dtype)
-            start = stop
+        return self._encoder.encode(texts)
+
+    def forget(self) -> None:
+        """Give back what is remembered of earlier texts."""
+        self._encoder.forget()
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return self.text_of(ids)
@@ -250,48 +320,31 @@ def bpe(path: str) -> PairIndexBpe:
     return _loaded[path]
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
-    return batch.column(batch.schema.get_field_index(name)).fill_null("").to_pylist()
-
-
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The rows with a column ``ids`` (array<int>) added; a column of that name is replaced. Null text has no ids."""
-    rest = [c for c in docs.columns if c not in (ids, text)]
-    frame = docs.select(F.struct(*rest).alias("_row") if rest else F.lit(None).cast("int").alias("_row"), F.col(text).alias("_text"))
-    kind = frame.schema["_row"].dataType.simpleString()
+    """The rows with a column ``ids`` (array<int>) added; a column of that name is replaced. Null text has no ids.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only the text goes to Python; the rows stay where they are.
+    """
+
+    def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = bpe(path)
-        for batch in sliced(batches):
-            values = [x.astype(np.int32) for x in model.encode(_texts(batch, "_text"))]
+        for column in texts:
+            values = list(model.encode(column))
             at = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
-            flat = pa.array(np.concatenate(values) if values else np.empty(0, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), flat)], ["_row", "_text", "_ids"])
+            yield pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, dtype=model.dtype), *values]).astype(np.int32)))
 
-    out = map_arrow(frame, work, f"_row {kind}, _text string, _ids array<int>")
-    return out.select(*[F.col("_row")[c].alias(c) if c != text else F.col("_text").alias(c) for c in docs.columns if c != ids], F.col("_ids").alias(ids))
+    return docs.withColumn(ids, map_column(docs.sparkSession, work, "array<int>")(F.col(text).cast("string")))
 
 
 def decode_documents(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """The rows with the text of ``ids`` in column ``text``. Null ids give empty text."""
-    rest = [c for c in rows.columns if c not in (ids, text)]
-    frame = rows.select(F.struct(*rest).alias("_row") if rest else F.lit(None).cast("int").alias("_row"), F.col(ids).alias("_ids"))
-    kind = frame.schema["_row"].dataType.simpleString()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = bpe(path)
-        for batch in sliced(batches):
-            texts = [model.decode(np.asarray(x if x is not None else [], dtype=np.int64)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["_row", "_ids", "_text"])
+        for column in lists:
+            yield pa.array([model.decode(np.asarray(x.values if x.is_valid else [], dtype=np.int64)) for x in column], pa.string())
 
-    out = map_arrow(frame, work, f"_row {kind}, _ids array<int>, _text string")
-    return out.select(*[F.col("_row")[c].alias(c) if c != ids else F.col("_ids").alias(c) for c in rows.columns if c != text], F.col("_text").alias(text))
+    return rows.withColumn(text, map_column(rows.sparkSession, work, "string")(F.col(ids)))
 
 
 def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,7 +358,7 @@ def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         model = bpe(path)
         for batch in batches:
             counts, digits, decoded = [], [], []
-            for ids in model.encode(_texts(batch, "text")):
+            for ids in model.encode(batch.column(1)):
                 counts.append(len(ids))
                 digits.append(hashlib.sha256(memoryview(model.digits_of(ids))[:-1]).hexdigest())
                 decoded.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())

@@ -16,19 +16,16 @@ Spark's, commits each task's file at once and survives lost executors.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm.bpe import Pieces, byte_letters
+from emberfield.llm.bpe import TEXT_BYTES, WordEncoder, byte_letters
 from emberfield.llm.cluster import map_arrow, shared_path
 from emberfield.llm.spans import slices
 from emberfield.scale import work_partitions
@@ -37,11 +34,6 @@ END_ID = 0
 # Bytes of text a file's task takes. The number of files follows the input; past MANY_FILES files grow first, as far as
 # one can still be read as one value.
 FILE_TEXT_BYTES, LARGEST_FILE_TEXT_BYTES, MANY_FILES = 24 << 20, 256 << 20, 20_000
-PIECES = 300_000
-# Characters of the texts that are cut at once.
-TEXT_BYTES = 6_000_000
-# Texts in which a space stands before white space or at the end; for Arrow's expressions, so in RE2's terms.
-ODD = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\p{Z}]|$)"
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qBB")
 INDEX = "file int, doc_id long, offset long, length long, n_tokens long, ids_crc32 long"
@@ -72,123 +64,43 @@ def parse(data: bytes, offset: int = 0) -> tuple[int | None, np.ndarray, int]:
     return None if null else doc_id, np.frombuffer(payload, dtype=f"<u{size}", offset=BODY.size), stop + 5
 
 
-class Generations:
-    """A bounded memory: when the young half is full it becomes the old half, and what is used again moves back."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def ready(self, keys: set, make: Callable[[list], list[bytes]]) -> dict:
-        """A dictionary that has all of ``keys``; ``make`` gives the values of those that are not remembered."""
-        new = keys.difference(self.young)
-        if new:
-            if len(self.young) + len(new) > self.size:
-                self.old, self.young, new = self.young, {}, keys
-            again = new.intersection(self.old)
-            old = self.old
-            for k in again:
-                self.young[k] = old[k]
-            new = list(new - again if again else new)
-            self.young.update(zip(new, make(new), strict=True))
-        return self.young
-
-
 class LibraryEncoder:
     """The tokenizers library's byte-level BPE, asked once for each distinct word of the texts in hand.
 
-    Texts are cut into pieces and words as the library cuts them; pieces with special tokens go to it as they are.
+    Texts are cut into pieces and words as the library cuts them (see ``WordEncoder``).
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one it may use
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self._kind = "H" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        self.dtype = np.dtype(self._kind)
-        specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self._special = re.compile("|".join(map(re.escape, specials)) or r"(?!)").search
+        library = Tokenizer.from_file(path)
+        self._model = library.model
+        self.dtype = np.dtype("<u2" if library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self._letters = dict(enumerate(byte_letters()))
-        self._cut = Pieces()
-        self._pieces, self._heads, self._words = Generations(PIECES), Generations(PIECES // 8), Generations(PIECES)
+        specials = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        self._encoder = WordEncoder(self._merged, specials, self.dtype)
 
-    def _merged(self, words: list[str]) -> list[bytes]:
-        tokenize, kind = self.library.model.tokenize, self._kind
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        tokenize = self._model.tokenize
         # all words at once in the vocabulary's letters; no text has the byte that parts them
-        shown = b"\xff".join([w.encode() for w in words]).decode("latin-1").translate(self._letters).split(self._letters[255])
-        return [array(kind, [t.id for t in tokenize(w)]).tobytes() for w in shown]
-
-    def _learn(self, pieces: list[bytes], before: bytes = b"") -> list[bytes]:
-        """The ids of the pieces (in UTF-8), each with ``before`` in front."""
-        if before != b" ":
-            return [self._library((before + p).decode()) for p in pieces]
-        out = {}
-        if self._special(b" ".join(pieces).decode()):
-            out = {p: self._library(" " + p.decode()) for p in pieces if self._special(p.decode())}
-        plain = [p for p in pieces if p not in out] if out else pieces
-        if plain:
-            # set side by side the pieces are cut into the same words as alone, all in one call
-            words = self._cut.words.findall((b" " + b" ".join(plain)).decode())
-            ids = self._words.ready(set(words), self._merged)
-            parts = list(map(ids.__getitem__, words))
-            places = np.cumsum(np.fromiter(map(len, map(str.encode, words)), dtype=np.int64, count=len(words)))
-            sizes = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
-            ends = np.cumsum(np.fromiter(map(len, plain), dtype=np.int64, count=len(plain)) + 1)
-            flat, cuts = b"".join(parts), sizes[np.searchsorted(places, ends)].tolist()
-            found = [flat[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
-            if not out:
-                return found
-            out.update(zip(plain, found, strict=True))
-        return [out[p] for p in pieces]
-
-    def _library(self, piece: str) -> bytes:
-        return np.array(self.library.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        shown = b"\xff".join([w.encode() for w in words]).decode("latin-1")
+        ids: list[int] = []
+        sizes: list[int] = []
+        for word in shown.translate(self._letters).split(self._letters[255]):
+            found = tokenize(word)
+            sizes.append(len(found))
+            ids += [t.id for t in found]
+        return np.array(ids, dtype=self.dtype), sizes
+
 
     def encode(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text. Arrow cuts the texts and numbers the distinct pieces; only these are looked at one by one."""
-        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
-        if not len(column):
-            return
-        odd = np.asarray(pc.match_substring_regex(column, ODD))
-        lists = pc.split_pattern(column, " ")
-        if odd.any():
-            python = column.filter(pa.array(odd)).to_pylist()
-            lists = _replaced(lists, odd, [self._cut.of(t) for t in python])
-        at = np.asarray(lists.offsets).astype(np.int64)
-        at, flat = at - at[0], lists.flatten()
-        begins = np.zeros(len(flat), dtype=bool)
-        begins[at[:-1]] = True
-        codes = np.empty(len(flat), dtype=np.int64)
-        table: list[bytes] = []
-        for mask, memory, before in ((begins, self._heads, b""), (~begins, self._pieces, b" ")):
-            coded = flat.filter(pa.array(mask)).dictionary_encode()
-            names = _parted(coded.dictionary)
-            ids = memory.ready(set(names), lambda new, before=before: self._learn(new, before))
-            codes[mask] = np.asarray(coded.indices) + len(table)
-            table += map(ids.__getitem__, names)
-        get, codes = table.__getitem__, codes.tolist()
-        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield np.frombuffer(b"".join(map(get, codes[i:j])), dtype=self.dtype)
-
-
-def _parted(strings: pa.LargeStringArray) -> list[bytes]:
-    """The strings in UTF-8, by way of one long one; no text has the byte that parts them."""
-    if not len(strings):
-        return []
-    listed = pa.LargeListArray.from_arrays(pa.array([0, len(strings)], pa.int64()), strings.cast(pa.large_binary()))
-    return pc.binary_join(listed, pa.scalar(b"\xff", pa.large_binary()))[0].as_py().split(b"\xff")
-
-
-def _replaced(lists: pa.LargeListArray, where: np.ndarray, values: list[list[str]]) -> pa.LargeListArray:
-    """The lists with some of them replaced."""
-    other = pa.array(values, lists.type)
-    index = np.arange(len(lists))
-    index[where] = len(lists) + np.arange(len(values))
-    return pa.concat_arrays([lists, other]).take(pa.array(index))
+        """The ids of each text."""
+        return self._encoder.encode(texts)
+
+    def forget(self) -> None:
+        """Give back what is remembered of earlier texts."""
+        self._encoder.forget()
 
 
 _loaded: dict[str, LibraryEncoder] = {}

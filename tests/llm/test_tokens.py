@@ -38,14 +38,24 @@ def test_every_character_class(library):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_forgetting_pieces_changes_nothing(texts, monkeypatch):
+def test_forgetting_words_changes_nothing(texts, monkeypatch):
     whole = [x.tolist() for x in bpe.PairIndexBpe(PATH).encode(texts)]
-    monkeypatch.setattr(bpe, "PIECES", 50)
-    monkeypatch.setattr(bpe, "TEXT_CHARS", 500)
-    assert [x.tolist() for x in bpe.PairIndexBpe(PATH).encode(texts)] == whole
-    monkeypatch.setattr(token_records, "PIECES", 40)
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 5_000)
+    monkeypatch.setattr(bpe, "TEXT_BYTES", 500)
+    for encoder in (bpe.PairIndexBpe(PATH), token_records.LibraryEncoder(PATH)):
+        assert [x.tolist() for x in encoder.encode(texts)] == whole
+        assert [x.tolist() for i in range(0, len(texts), 10) for x in encoder.encode(texts[i : i + 10])] == whole
+        encoder.forget()
+        assert [x.tolist() for x in encoder.encode(texts[:50])] == whole[:50]
+
+
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 50_000)
     encoder = token_records.LibraryEncoder(PATH)
-    assert [x.tolist() for i in range(0, len(texts), 10) for x in encoder.encode(texts[i : i + 10])] == whole
+    for i in range(40):
+        list(encoder.encode([" ".join(f"w{i}x{j}" for j in range(20))]))
+        assert encoder._encoder._held <= 50_000
+        assert len(encoder._encoder._known) * bpe.WORD_COST <= 60_000
 
 
 def test_digests(docs_of, library):
