@@ -13,6 +13,7 @@ from emberfield.checks.registry import check, q, r6, rounded, scratch
 from emberfield.checks.tables import WEATHER_SQL
 from emberfield.models import attribution as AT
 from emberfield.operators import actions as A
+from emberfield.operators import spatial as SP
 from emberfield.operators.impute import fill_albedo, fit_medians
 from emberfield.operators.wards import ward_features
 from emberfield.plans import planning as PL
@@ -183,25 +184,34 @@ def g10(spark, d):
 _RISK_P = "case when p >= 42 then 'very_high' when p >= 38 then 'high' when p >= 34 then 'moderate' else 'low' end"
 
 
+_AT_WARDS = f"with {X.CELLS_CTE}, {X.WARDS_CTE}, {X.WITHIN_CTE}, {MED_CTE}, {AT_CTE}"
+_ITS_WARD = "left join inside i on i.cell_id = {0}.cell_id left join wards w on w.ward_ord = i.ward_ord"
+
+
+def _warded(c, spark, d):
+    return SP.within_join(c, X.wards(spark, d), "cell_id")
+
+
 @check(
     "g11_heat_at",
-    CELLS + f""", {MED_CTE}, {AT_CTE}, p as (select *, {_lin()} as p from nearby, med)
-    select qid, cell_id, {q('p', 'pred_lst_C')}, {_RISK_P} as risk_level, lat, lon, grid_id, lst_celsius, air_temp_C, humidity_pct from p""",
+    f"""{_AT_WARDS}, p as (select *, {_lin()} as p from nearby, med)
+    select p.qid, p.cell_id, {q('p', 'pred_lst_C')}, {_RISK_P} as risk_level, lat, lon, grid_id, lst_celsius, air_temp_C, humidity_pct, w.ward_id, w.ward_name
+    from p {_ITS_WARD.format('p')}""",
 )
 def g11(spark, d):
     c = X.cells(spark, d)
-    out = A.heat_at(X.view(spark, d, X.QUERY_POINTS), c, _model(c))
+    out = A.heat_at(X.view(spark, d, X.QUERY_POINTS), _warded(c, spark, d), _model(c))
     return out.withColumn("pred_lst_C", r6("pred_lst_C"))
 
 
 @check(
     "g12_recommend_at",
-    CELLS + f""", {MED_CTE}, {AT_CTE}, s as ({_long_sql('serve', 'none', 'nearby, med', 'qid, cell_id')}), b as (select *, base as p, row_number() over (partition by qid order by round(base-after, 9) desc, catalog_ord) as rn from s)
-    select qid, intervention, {q('base-after', 'delta_C')}, {_RISK_P} as risk_level from b where rn = 1""",
+    f"""{_AT_WARDS}, s as ({_long_sql('serve', 'none', 'nearby, med', 'qid, cell_id')}), b as (select *, base as p, row_number() over (partition by qid order by round(base-after, 9) desc, catalog_ord) as rn from s)
+    select b.qid, b.intervention, {q('base-after', 'delta_C')}, {_RISK_P} as risk_level, w.ward_id, w.ward_name from b {_ITS_WARD.format('b')} where rn = 1""",
 )
 def g12(spark, d):
     c = X.cells(spark, d)
-    return rounded(A.recommend_at(X.view(spark, d, X.QUERY_POINTS), c, _model(c)))
+    return rounded(A.recommend_at(X.view(spark, d, X.QUERY_POINTS), _warded(c, spark, d), _model(c)))
 
 
 # ---- plans ---------------------------------------------------------------------------------------

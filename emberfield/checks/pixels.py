@@ -250,25 +250,30 @@ def r19(spark, d):
     return out.select(*[r6(c).alias(c) for c in ("min", "max", "p25", "p50", "p75", "p95")], r6("sum", 4).alias("sum"))
 
 
+_CHOSEN = ("3", "13", "14", "25")
+
+
 @check(
     "r20_aoi_buffer",
-    f"""with {X.CELLS_CTE}, a as ({X.oracle(X.WARDS)}), w as (select * from a where ward_id = '13'),
-    m as (select (x0-73.85e0)*105560e0 as x0, (x1-73.85e0)*105560e0 as x1, (y00-18.55e0)*110650e0 as y00, (y01-18.55e0)*110650e0 as y01, h*110650e0 as h from w),
-    e as (select x0 as ax, y00 as ay, x1 as bx, y01 as byy from m union all select x1, y01, x1, y01+h from m
-      union all select x1, y01+h, x0, y00+h from m union all select x0, y00+h, x0, y00 from m),
-    p as (select cell_id, x_m, y_m, ax, ay, bx, byy, ((x_m-ax)*(bx-ax)+(y_m-ay)*(byy-ay))/((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)) as t from cells, e),
-    r as (select cell_id, sqrt(min((x_m-(ax+least(greatest(t,0),1)*(bx-ax)))**2 + (y_m-(ay+least(greatest(t,0),1)*(byy-ay)))**2)) as dist,
-      count(*) filter (where (ay > y_m) <> (byy > y_m) and x_m < (bx-ax)*(y_m-ay)/nullif(byy-ay,0)+ax) % 2 = 1 as inside from p group by cell_id)
-    select cell_id, (select {q('(x1-x0)*h/1e6', None, 4)} from m) as area_km2 from r where inside or dist <= 2000""",
+    f"""with {X.CELLS_CTE}, a as ({X.oracle(X.WARDS)}), w as (select * from a where ward_id in {_CHOSEN}),
+    m as (select ward_ord, (x0-73.85e0)*105560e0 as x0, (x1-73.85e0)*105560e0 as x1, (y00-18.55e0)*110650e0 as y00, (y01-18.55e0)*110650e0 as y01, h*110650e0 as h from w),
+    e as (select ward_ord, x0 as ax, y00 as ay, x1 as bx, y01 as byy from m union all select ward_ord, x1, y01, x1, y01+h from m
+      union all select ward_ord, x1, y01+h, x0, y00+h from m union all select ward_ord, x0, y00+h, x0, y00 from m),
+    p as (select cell_id, ward_ord, x_m, y_m, ax, ay, bx, byy, ((x_m-ax)*(bx-ax)+(y_m-ay)*(byy-ay))/((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)) as t from cells, e),
+    r as (select cell_id, ward_ord, sqrt(min((x_m-(ax+least(greatest(t,0),1)*(bx-ax)))**2 + (y_m-(ay+least(greatest(t,0),1)*(byy-ay)))**2)) as dist,
+      count(*) filter (where (ay > y_m) <> (byy > y_m) and x_m < (bx-ax)*(y_m-ay)/nullif(byy-ay,0)+ax) % 2 = 1 as inside from p group by cell_id, ward_ord),
+    f as (select cell_id, min(ward_ord) as ward_ord from r where inside or dist <= 2000 group by cell_id)
+    select cell_id, f.ward_ord, {q('(x1-x0)*h/1e6', 'area_km2', 4)} from f join m on f.ward_ord = m.ward_ord""",
 )
 def r20(spark, d):
+    from emberfield.operators.spatial import within_areas
     from emberfield.operators.wards import project_rings
 
-    w = project_rings(X.wards(spark, d), X.to_plane).select("ward_id", F.col("rings_m").alias("rings"))
-    area = R.aoi(w, {"ward_id": "13"})
-    g = area.agg(F.first(F.struct("rings", "area_km2"))).scalar()
+    w = project_rings(X.wards(spark, d), X.to_plane).select("ward_id", "ward_ord", F.col("rings_m").alias("rings"))
+    areas = R.aoi(w, {"ward_id": _CHOSEN})
     pts = X.metres(X.cells(spark, d)).select("cell_id", "x_m", "y_m")
-    return pts.withColumn("_a", g).filter(R.within_buffer("x_m", "y_m", "_a.rings")).select("cell_id", r6("_a.area_km2", 4).alias("area_km2"))
+    near = within_areas(pts, areas, 2000.0, key="ward_ord")
+    return near.join(F.broadcast(areas), "ward_ord").select("cell_id", "ward_ord", r6("area_km2", 4).alias("area_km2"))
 
 
 @check(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberfield.checks import fixtures as X
-from emberfield.checks.registry import ORACLES, check, q, r6, rounded
+from emberfield.checks.registry import ORACLES, check, q, r6, rounded, scratch
 from emberfield.checks.tables import ALBEDO_CTE
 from emberfield.functions.bands import clip
 from emberfield.operators import spatial as SP
@@ -13,6 +13,7 @@ from emberfield.operators import stats as ST
 from emberfield.operators import temporal as TM
 from emberfield.operators import wards as W
 from emberfield.operators.impute import fill_albedo
+from emberfield.operators.point_index import open_point_index, write_point_index
 
 CELLS = f"with {X.CELLS_CTE} "
 PLACED = CELLS + f", {X.WARDS_CTE}, {X.WITHIN_CTE} "
@@ -158,6 +159,18 @@ def j6(spark, d):
     return out.select("qid", "cell_id", r6("d2", 12).alias("d2"))
 
 
+@check(
+    "j6_kept_index",
+    CELLS + f""", {X.QUERIES_CTE}, n as (select qid, cell_id, lst_celsius, (c.lat-q.lat)*(c.lat-q.lat)+(c.lon-q.lon)*(c.lon-q.lon) as d2 from queries q, cells c)
+    select qid, cell_id, lst_celsius, {q('d2', 'd2', 12)} from (select *, row_number() over (partition by qid order by d2, cell_id) as rn from n) where rn = 1""",
+)
+def j6_kept(spark, d):
+    folder = scratch(spark, "cells")
+    write_point_index(X.cells(spark, d).select("cell_id", "lon", "lat", "lst_celsius"), folder, node_rows=2_000)
+    out = SP.nearest_cell(X.view(spark, d, X.QUERY_POINTS), open_point_index(spark, folder), carry=("lst_celsius",))
+    return out.select("qid", "cell_id", "lst_celsius", r6("d2", 12).alias("d2"))
+
+
 @check(
     "j7_join_city_stats",
     SERIES + f""", g as (select date, avg(lst_celsius) as m, stddev_samp(lst_celsius) as s from series group by date)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.functions import bands as B
-from emberfield.functions.geometry import parts_area, point_in_edges, ring_edges, segment_distance_sq
+from emberfield.functions.geometry import parts_area
 from emberfield.operators.columns import with_grid_id
 from emberfield.scale import GROUP_ROWS, exact_percentiles, first_in_hash_order, scalar_struct
 
@@ -319,19 +319,13 @@ def region_stats(image: DataFrame, col: str) -> DataFrame:
     )
 
 
-def aoi(admin: DataFrame, where: Mapping[str, str]) -> DataFrame:
-    """Study polygons chosen by attributes, with their area in square kilometres (rings in metres)."""
-    picked = reduce(lambda d, kv: d.filter(F.col(kv[0]) == F.lit(kv[1])), where.items(), admin)
+def aoi(admin: DataFrame, where: Mapping[str, str | Sequence[str]]) -> DataFrame:
+    """Study polygons chosen by attributes (one value or several), with their area in square kilometres (rings in metres)."""
+    chosen = {c: [v] if isinstance(v, str) else list(v) for c, v in where.items()}
+    picked = reduce(lambda d, kv: d.filter(F.col(kv[0]).isin(kv[1])), chosen.items(), admin)
     return picked.withColumn("area_km2", parts_area("rings") / F.lit(1e6))
 
 
-def within_buffer(x: str, y: str, rings: str, buffer_m: float = 2000.0) -> Column:
-    """The point is inside the polygon or within the buffer of its outline."""
-    edges = ring_edges(rings)
-    near = F.exists(edges, lambda e: segment_distance_sq(x, y, e.ax, e.ay, e.bx, e.by) <= F.lit(buffer_m**2))
-    return near | point_in_edges(x, y, edges)
-
-
 def plausible_lst(obs: DataFrame, kelvin: str = "lst_k", qc: str = "qc", **limits) -> DataFrame:
     """Kelvin to Celsius, kept only strictly between 5 and 65 with a quality flag; median per pixel and day."""
     c = B.kelvin_to_celsius(kelvin)

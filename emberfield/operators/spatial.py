@@ -16,6 +16,7 @@ from emberfield.functions.geometry import (
     signed_area,
     with_edge_disk_share,
 )
+from emberfield.operators.point_index import PointIndex, nearest_by_passes, numbered_queries
 from emberfield.operators.spatial_index import (
     BoxTree,
     box_far_sq,
@@ -25,9 +26,12 @@ from emberfield.operators.spatial_index import (
     disk_sums,
     nearest,
 )
-from emberfield.scale import cut_lineage, scalar_struct, work_partitions
+from emberfield.scale import BROADCAST_ROWS, cut_lineage, scalar_struct, work_partitions
 
 EDGES_PER_STRIP = 32
+# Queries that are answered in passes over the cells; strips that each row is tested against without a join.
+FEW_QUERIES = 2_000
+ROW_STRIPS = 4_096
 POLYGONS = ["Polygon", "MultiPolygon"]
 
 
@@ -89,6 +93,27 @@ def _containing(points: DataFrame, tree: BoxTree, predicate: str) -> DataFrame:
     return found.filter(point_in_edges("px", "py", "edges", predicate))
 
 
+def _first_containing(points: DataFrame, tree: BoxTree, x: str, y: str, predicate: str, order: str, keep: tuple[str, ...]) -> DataFrame:
+    """The points with a struct ``_w`` of the first containing polygon's columns, found in each row by itself.
+
+    The tree's leaves and their strips are one constant array: a row tests the leaves' boxes, opens those that hold it
+    and takes the least of the strips that contain it. Nothing is joined or shuffled.
+    """
+    px, py = F.col(x), F.col(y)
+
+    def holds(b: Column) -> Column:
+        return px.between(b["x0"], b["x1"]) & py.between(b["y0"], b["y1"])
+
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    strips = F.collect_list(F.struct(order, *keep, "edges", "x0", "y0", "x1", "y1")).alias("strips")
+    leaves = tree.items.groupBy("_leaf").agg(*box, strips).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", "strips"))).scalar()
+    # a subquery may not stand inside an array function, so it is a column first
+    opened = F.flatten(F.transform(F.filter("_leaves", holds), lambda b: b["strips"]))
+    inside = F.filter(opened, lambda s: holds(s) & point_in_edges(px, py, s["edges"], predicate))
+    first = F.array_min(F.transform(inside, lambda s: F.struct(s[order].alias(order), *[s[c].alias(c) for c in keep])))
+    return points.withColumn("_leaves", leaves).withColumn("_w", first).drop("_leaves")
+
+
 def within_join(
     points: DataFrame,
     wards: DataFrame,
@@ -98,12 +123,22 @@ def within_join(
     predicate: str = "intersects",
     ward_cols: tuple[str, ...] = ("ward_id", "ward_name"),
     order: str = "ward_ord",
+    row_strips: int = ROW_STRIPS,
 ) -> DataFrame:
-    """Left outer point-in-polygon join, one row per point; where polygons overlap the first ward wins."""
-    tree = build_tree(polygon_strips(wards, [order, *ward_cols]), [order], size=F.size("edges"), costly=True)
+    """Left outer point-in-polygon join, one row per point; where polygons overlap the first ward wins.
+
+    While the wards' strips are few (``row_strips``, and a broadcast's worth of edges), every row finds its ward by
+    itself; beyond that, points and strips meet through the tree's joins.
+    """
+    strips = cut_lineage(polygon_strips(wards, [order, *ward_cols]))
+    count, edges = strips.agg(F.count(F.lit(1)), F.sum(F.size("edges"))).first()
+    tree = build_tree(strips, [order], size=F.size("edges"))
     if tree.tops is None:
         kinds = dict(wards.dtypes)
         return points.withColumns({c: F.lit(None).cast(kinds[c]) for c in ward_cols})
+    if count <= row_strips and edges <= BROADCAST_ROWS:
+        found = _first_containing(points, tree, x, y, predicate, order, ward_cols)
+        return found.select(*points.columns, *[F.col("_w")[c].alias(c) for c in ward_cols])
     # rows are told apart by a number of their own, so that repeated point ids stay apart
     held = cut_lineage(points.withColumn("_own", F.monotonically_increasing_id()))
     hits = _containing(_points(held, "_own", x, y), tree, predicate)
@@ -165,20 +200,45 @@ def nearest_join(
 ) -> DataFrame:
     """Left outer nearest join: planar distance to the nearest feature, 0 inside a polygon, null for no feature
     (or none within ``max_dist``). ``features``: feature id, geom_type, parts."""
-    pts = _points(points, pid, x, y)
-    near = nearest_segments(pts, feature_segments(features, fid), pid, fid).select(pid, F.col("dist_m").alias("_d"))
+    # rows are told apart by a number of their own, so that repeated ids stay apart
+    held = cut_lineage(points.withColumn("_own", F.monotonically_increasing_id()))
+    pts = _points(held, "_own", x, y)
+    near = nearest_segments(pts, feature_segments(features, fid), "_own", fid).select("_own", F.col("dist_m").alias("_d"))
     tree = build_tree(polygon_strips(features.filter(F.col("geom_type").isin(*POLYGONS)), [fid], "parts"), [fid], size=F.size("edges"), costly=True)
-    result = points.join(near, pid, "left")
+    result = held.join(near, "_own", "left")
     dist = F.col("_d")
     if tree.tops is not None:
-        inside = _containing(pts, tree, "intersects").select(pid).distinct().withColumn("_in", F.lit(True))
-        result = result.join(inside, pid, "left")
+        inside = _containing(pts, tree, "intersects").select("_own").distinct().withColumn("_in", F.lit(True))
+        result = result.join(inside, "_own", "left")
         dist = F.when(F.col("_in"), F.lit(0.0)).otherwise(dist)
     if max_dist is not None:
         dist = F.when(dist <= F.lit(max_dist), dist)
     return result.select(*points.columns, dist.alias(out))
 
 
+def within_areas(points: DataFrame, areas: DataFrame, buffer_m: float, key: str = "area_id", x: str = "x_m", y: str = "y_m", rings: str = "rings") -> DataFrame:
+    """The points inside any of the polygons or within the buffer of an outline, with the least ``key`` of those.
+
+    Outlines and strips are two box trees; a point goes down only where the inflated boxes hold it, so any number of
+    polygons may be given and none is attached to a row. Repeated points stay apart; unplaced points are left out.
+    """
+    held = cut_lineage(points.withColumn("_own", F.monotonically_increasing_id()))
+    pts = _points(held, "_own", x, y)
+    px, py, reach = F.col("px"), F.col("py"), F.lit(float(buffer_m))
+    outlines = build_tree(segment_boxes(areas.select(key, F.inline(ring_edges(rings)))), [key], costly=True)
+    if outlines.tops is None:
+        return points.limit(0).withColumn(key, F.lit(None).cast(dict(areas.dtypes)[key]))
+
+    def near(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        return px.between(x0 - reach, x1 + reach) & py.between(y0 - reach, y1 + reach)
+
+    start = pts.repartition(work_partitions(points.sparkSession), "_own")
+    close = with_segment_distance(candidates(start, outlines, near)).filter(F.col("_d") <= reach * reach).select("_own", key)
+    strips = build_tree(polygon_strips(areas, [key], rings), [key], size=F.size("edges"), costly=True)
+    found = close.unionByName(_containing(pts, strips, "intersects").select("_own", key)).groupBy("_own").agg(F.min(key).alias(key))
+    return held.join(found, "_own").select(*points.columns, key)
+
+
 def line_density(points: DataFrame, segments: DataFrame, pid: str, r: float, empty: float | None = None) -> DataFrame:
     """Kilometres of line per square kilometre inside the disk: ``pid``, ``line_density``.
 
@@ -237,20 +297,33 @@ def area_density(points: DataFrame, polygons: DataFrame, pid: str, r: float, emp
 
 
 def nearest_cell(
-    queries: DataFrame, cells: DataFrame, qid: str = "qid", cell_id: str = "cell_id", carry: tuple[str, ...] = ()
+    queries: DataFrame, cells: DataFrame | PointIndex, qid: str = "qid", cell_id: str = "cell_id", carry: tuple[str, ...] = (),
+    few: int = FEW_QUERIES,
 ) -> DataFrame:
     """For each query the cell at the smallest squared degree distance; lowest cell id on a tie; cells without
-    coordinates (null or NaN) are skipped. Output: ``qid``, ``cell_id``, ``d2`` and the carried cell columns."""
-    held = cells.filter(placed("lat") & placed("lon")).select(
-        cell_id, F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.col("lon").alias("x1"),
-        F.col("lat").alias("y1"),
-    )
-    tree = build_tree(held, [cell_id])
-    dx, dy = F.col("x0") - F.col("px"), F.col("y0") - F.col("py")
-    near = nearest(
-        _points(queries, qid, "lon", "lat"), tree, qid, lambda df: df.withColumn("_d", dy * dy + dx * dx), tie=[cell_id]
-    ).select(qid, cell_id, F.col("dist_sq").alias("d2"))
-    return near.join(cells.select(cell_id, *carry), cell_id) if carry else near
+    coordinates (null or NaN) are skipped. Output, one row per placed query: ``qid``, ``cell_id``, ``d2`` and the carried
+    cell columns.
+
+    A kept index is read only in the nodes that can hold an answer. Up to ``few`` queries are answered in passes over
+    the cells without moving them; for more, the cells are put into a box tree.
+    """
+    asked = numbered_queries(queries, qid)
+    if isinstance(cells, PointIndex):
+        near = cells.nearest(asked, carry)
+    elif asked.count() <= few:
+        near = nearest_by_passes(asked, cells, cell_id, carry)
+    else:
+        held = cells.filter(placed("lat") & placed("lon")).select(
+            cell_id, F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.col("lon").alias("x1"),
+            F.col("lat").alias("y1"),
+        )
+        tree = build_tree(held, [cell_id])
+        dx, dy = F.col("x0") - F.col("px"), F.col("y0") - F.col("py")
+        points = asked.select("_own", F.col("qx").alias("px"), F.col("qy").alias("py"))
+        near = nearest(points, tree, "_own", lambda df: df.withColumn("_d", dy * dy + dx * dx), tie=[cell_id])
+        near = near.withColumnRenamed("dist_sq", "d2")
+        near = near.join(cells.select(cell_id, *carry), cell_id) if carry else near
+    return asked.select("_own", qid).join(near, "_own").select(qid, cell_id, "d2", *[c for c in carry if c not in (qid, cell_id, "d2")])
 
 
 def bbox_filter(df: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:

@@ -37,23 +37,25 @@ def ward_join(
     pid: str,
     to_plane,
     predicate: str = "intersects",
+    without: str | None = None,
 ) -> DataFrame:
     """Containing ward, else the nearest ward by planar distance. Adds ward_id, ward_name, ward_join_method
-    (within / nearest) and ward_distance_m (0 inside). Without wards the four columns are null."""
+    (within / nearest) and ward_distance_m (0 inside). Without wards the columns are null, the method ``without``
+    (the module form says ``none`` there). Rows are told apart by a number of their own, not by ``pid``."""
     if wards is None:
         text = F.lit(None).cast("string")
         return points.withColumns(
-            {"ward_id": text, "ward_name": text, "ward_join_method": text, "ward_distance_m": F.lit(None).cast("double")}
+            {"ward_id": text, "ward_name": text, "ward_join_method": F.lit(without).cast("string"), "ward_distance_m": F.lit(None).cast("double")}
         )
-    joined = cut_lineage(within_join(points, wards, pid, predicate=predicate))
+    joined = cut_lineage(within_join(points, wards, pid, predicate=predicate).withColumn("_own", F.monotonically_increasing_id()))
     misses = joined.filter(F.col("ward_id").isNull() & placed("lon") & placed("lat"))
     x, y = to_plane(F.col("lon"), F.col("lat"))
     segments = segment_boxes(project_rings(wards, to_plane).select("ward_ord", F.inline(ring_edges("rings_m"))))
-    near = nearest_segments(misses.select(pid, x.alias("px"), y.alias("py")), segments, pid, "ward_ord")
+    near = nearest_segments(misses.select("_own", x.alias("px"), y.alias("py")), segments, "_own", "ward_ord")
     names = wards.select("ward_ord", F.col("ward_id").alias("_wid"), F.col("ward_name").alias("_wname"))
-    near = near.join(names, "ward_ord").select(pid, "_wid", "_wname", F.col("dist_m").alias("_d"))
+    near = near.join(names, "ward_ord").select("_own", "_wid", "_wname", F.col("dist_m").alias("_d"))
     inside = F.col("ward_id").isNotNull()
-    return joined.join(near, pid, "left").select(
+    return joined.join(near, "_own", "left").select(
         *points.columns,
         F.coalesce("ward_id", "_wid").alias("ward_id"),
         F.coalesce("ward_name", "_wname").alias("ward_name"),

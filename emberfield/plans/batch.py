@@ -32,14 +32,16 @@ def add_map_features(
     already have them.
     """
     cells = cells.drop("road_density", "building_density", "impervious_ratio", "dist_road_m", "dist_park_m", "dist_water_m")
-    pts = cells.select(cell_id, F.col(x).alias("px"), F.col(y).alias("py"))
+    # rows are told apart by a number of their own, so that repeated ids stay apart
+    out = cut_lineage(cells.withColumn("_cell_row", F.monotonically_increasing_id()))
+    pts = out.select("_cell_row", F.col(x).alias("px"), F.col(y).alias("py"))
     segments = feature_segments(roads).select("ax", "ay", "bx", "by")
-    road = line_density(pts, segments, cell_id, radius).withColumnRenamed("line_density", "road_density")
-    built = area_density(pts, buildings, cell_id, radius).withColumnRenamed("area_density", "building_density")
-    out = cells.join(road, cell_id).join(built, cell_id)
+    road = line_density(pts, segments, "_cell_row", radius).withColumnRenamed("line_density", "road_density")
+    built = area_density(pts, buildings, "_cell_row", radius).withColumnRenamed("area_density", "building_density")
+    out = out.join(road, "_cell_row").join(built, "_cell_row")
     for layer, name in ((roads, "dist_road_m"), (parks, "dist_park_m"), (water, "dist_water_m")):
         out = nearest_join(out, layer, cell_id, name, x, y)
-    return out.withColumn("impervious_ratio", impervious_ratio("building_density", "road_density"))
+    return out.drop("_cell_row").withColumn("impervious_ratio", impervious_ratio("building_density", "road_density"))
 
 
 def ward_table(cells: DataFrame, wards: DataFrame, cell_id: str, to_plane) -> DataFrame:
