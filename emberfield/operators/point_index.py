@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberfield.operators.spatial_index import box_far_sq, curve_position
-from emberfield.scale import cut_lineage, ship_if_small
+from emberfield.scale import cut_lineage, ship_if_small, work_partitions
 
-# Cells of the passing grid on each side; rows of a kept node; nodes that an index has at most (nodes grow beyond).
-GRID = 64
+# Most squares of the passing grid on each side; rows of a kept node; nodes that an index has at most (nodes grow beyond).
+GRID = 128
 NODE_ROWS = 100_000
 NODES = 16_384
 # Visited nodes that are named to the reader one by one.
@@ -39,21 +39,22 @@ def _near_sq(x: Column, y: Column, box: Column) -> Column:
 def _wanted(queries: DataFrame, boxes: DataFrame, bucket: Sequence[str]) -> DataFrame:
     """(_own, qx, qy, _ub, bucket columns): the boxes that may hold the answer of each query."""
     all_boxes = boxes.agg(F.collect_list(F.struct(*bucket, "x0", "y0", "x1", "y1"))).scalar()
-    x, y = F.col("qx"), F.col("qy")
-    far = F.array_min(F.transform("_boxes", lambda b: box_far_sq(x, y, b["x0"], b["y0"], b["x1"], b["y1"])))
-    reach = F.col("_ub") * F.lit(1.0 + 1e-9)
-    # a subquery may not stand inside an array function, so it is a column first
-    near = queries.withColumn("_boxes", all_boxes).withColumn("_ub", far).withColumn("_box", F.explode(F.filter("_boxes", lambda b: _near_sq(x, y, b) <= reach)))
-    return near.select("_own", "qx", "qy", "_ub", *[F.col("_box")[c].alias(c) for c in bucket])
+    x, y, box = F.col("qx"), F.col("qy"), F.col("_box")
+    spread = queries.repartition(work_partitions(queries.sparkSession), "_own")
+    met = spread.withColumn("_box", F.explode(all_boxes))
+    reach = met.groupBy("_own").agg(F.min(box_far_sq(x, y, box["x0"], box["y0"], box["x1"], box["y1"])).alias("_ub"))
+    near = met.join(reach, "_own").filter(_near_sq(x, y, box) <= F.col("_ub") * F.lit(1.0 + 1e-9))
+    return near.select("_own", "qx", "qy", "_ub", *[box[c].alias(c) for c in bucket])
 
 
 def _answers(wanted: DataFrame, cells: DataFrame, bucket: Sequence[str], cell_id: str, carry: Sequence[str]) -> DataFrame:
     """(_own, cell_id, d2, carried columns): first the least distance (a plain aggregate), then the rows that have it."""
     dx, dy = F.col("lon") - F.col("qx"), F.col("lat") - F.col("qy")
-    met = cells.join(ship_if_small(wanted), list(bucket)).withColumn("_d2", dy * dy + dx * dx)
+    rows = wanted.count()
+    met = cells.join(ship_if_small(wanted, rows), list(bucket)).withColumn("_d2", dy * dy + dx * dx)
     least = cut_lineage(met.filter(F.col("_d2") <= F.col("_ub") * F.lit(1.0 + 1e-9)).groupBy("_own").agg(F.min("_d2").alias("_ub")))
     exact = wanted.drop("_ub").join(F.broadcast(least), "_own")  # one row per query
-    found = cells.join(ship_if_small(exact), list(bucket)).withColumn("_d2", dy * dy + dx * dx).filter(F.col("_d2") <= F.col("_ub"))
+    found = cells.join(ship_if_small(exact, rows), list(bucket)).withColumn("_d2", dy * dy + dx * dx).filter(F.col("_d2") <= F.col("_ub"))
     first = F.min(F.struct(F.col("_d2").alias("d2"), cell_id, *[c for c in carry if c not in (cell_id, "d2")]))
     return found.groupBy("_own").agg(first.alias("_m")).select("_own", "_m.*")
 
@@ -68,13 +69,15 @@ def nearest_by_passes(queries: DataFrame, cells: DataFrame, cell_id: str, carry:
     """Answers of few queries in three passes over the cells, none of which shuffles a cell: extent and occupied grid
     squares with their bounds, least distances, rows that have them. ``queries`` come from ``numbered_queries``."""
     held = placed_points(cells).select(*dict.fromkeys([cell_id, "lon", "lat", *carry]))
-    w, e, s, n = held.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    count, w, e, s, n = held.agg(F.count(F.lit(1)), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    # about as many squares as cells in the few squares that a query opens
+    side = min(GRID, max(8, math.ceil((4 * count) ** 0.25)))
     if w is None:
         kinds = dict(cells.dtypes)
         return queries.limit(0).select("_own", *[F.lit(None).cast(k).alias(c) for c, k in {"d2": "double", **{c: kinds[c] for c in (cell_id, *carry)}}.items()])
 
     def square(v: str, low: float, high: float) -> Column:
-        return F.least(F.floor((F.col(v) - F.lit(low)) / F.lit(max(high - low, 1e-12)) * F.lit(float(GRID))), F.lit(GRID - 1)).cast("int")
+        return F.least(F.floor((F.col(v) - F.lit(low)) / F.lit(max(high - low, 1e-12)) * F.lit(float(side))), F.lit(side - 1)).cast("int")
 
     held = held.withColumns({"_cx": square("lon", w, e), "_cy": square("lat", s, n)})
     bounds = [F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1")]
