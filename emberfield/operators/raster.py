@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.functions import bands as B
 from emberfield.functions.geometry import parts_area
 from emberfield.operators.columns import with_grid_id
-from emberfield.scale import GROUP_ROWS, exact_percentiles, first_in_hash_order, scalar_struct
+from emberfield.scale import GROUP_ROWS, exact_percentiles, in_hash_order, scalar_struct, ship_package
 
 PIXEL = ("px", "py")
 
@@ -186,17 +188,50 @@ def neighbour_sums(
     )
 
 
+def disk_sums_of_tile(tile: pd.DataFrame, k: int, half: Sequence[int], value: str, tx: int, ty: int) -> pd.DataFrame:
+    """Sum and number of the values in the disk around each of the tile's own pixels, by running sums along the rows.
+
+    ``half[d]`` is the disk's half width d rows off its centre, so a disk is 2k + 1 differences of running sums.
+    """
+    side = TILE + 2 * k
+    x = (tile["px"] - (tx * TILE - k)).to_numpy()
+    y = (tile["py"] - (ty * TILE - k)).to_numpy()
+    base = tile[value].mean()  # keeps the running sums small
+    grid, known = np.zeros((side, side + 1)), np.zeros((side, side + 1), dtype=np.int64)
+    np.add.at(grid, (y, x + 1), tile[value].to_numpy() - base)
+    np.add.at(known, (y, x + 1), 1)
+    grid, known = grid.cumsum(axis=1), known.cumsum(axis=1)
+    own = (x >= k) & (x < k + TILE) & (y >= k) & (y < k + TILE)
+    x, y, rows = x[own], y[own], tile[own]
+    total, count = np.zeros(len(x)), np.zeros(len(x), dtype=np.int64)
+    for d in range(-k, k + 1):
+        w = half[abs(d)]
+        total += grid[y + d, x + w + 1] - grid[y + d, x - w]
+        count += known[y + d, x + w + 1] - known[y + d, x - w]
+    return pd.DataFrame({"px": rows["px"], "py": rows["py"], value: rows[value], "_mean": base + total / count})
+
+
 def terrain_tpi(dem: DataFrame, radius_m: float = 500.0, pixel_m: float = 100.0, value: str = "elevation") -> DataFrame:
-    """Elevation minus the mean of the pixels within the radius (the pixel itself included)."""
+    """Elevation minus the mean of the pixels within the radius (the pixel itself included).
+
+    Pixels are shuffled once, into square tiles with a rim; a tile's task takes each disk from running sums, so the
+    work per pixel follows the disk's height and no row is multiplied beyond the rim. A pixel listed twice counts twice.
+    """
     k = int(radius_m // pixel_m)
-    disk = {
-        (dx, dy): {"_s": 1.0}
-        for dx in range(-k, k + 1)
-        for dy in range(-k, k + 1)
-        if (dx * dx + dy * dy) * pixel_m * pixel_m <= radius_m * radius_m
-    }
-    sums = neighbour_sums(dem.filter(F.col(value).isNotNull()), disk, ["_s"], value, k)
-    return sums.select("px", "py", value, (F.col(value) - F.col("_s") / F.col("neighbours")).alias("tpi"))
+    half = [max(w for w in range(k + 1) if (w * w + d * d) * pixel_m * pixel_m <= radius_m * radius_m) for d in range(k + 1)]
+    ship_package(dem.sparkSession)
+
+    def tiles(v: str) -> Column:
+        return F.sequence(F.floor((F.col(v) - k) / F.lit(TILE)), F.floor((F.col(v) + k) / F.lit(TILE)))
+
+    def means(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        return disk_sums_of_tile(tile, k, half, value, int(key[0]), int(key[1]))
+
+    known = dem.filter(F.col(value).isNotNull()).select(F.col("px").cast("long"), F.col("py").cast("long"), F.col(value).cast("double").alias(value))
+    spread = known.withColumn("tx", F.explode(tiles("px"))).withColumn("ty", F.explode(tiles("py")))
+    out = spread.groupBy("tx", "ty").applyInPandas(means, f"px long, py long, {value} double, _mean double")
+    kinds = dict(dem.dtypes)
+    return out.select(F.col("px").cast(kinds["px"]), F.col("py").cast(kinds["py"]), value, (F.col(value) - F.col("_mean")).alias("tpi"))
 
 
 def slope_aspect(dem: DataFrame, pixel_m: float = 100.0, value: str = "elevation", az: float = 315.0, alt: float = 45.0) -> DataFrame:
@@ -272,9 +307,9 @@ def band_stack(*images: DataFrame, keys: Sequence[str] = PIXEL, how: str = "inne
 
 
 def sample_pixels(image: DataFrame, n: int, seed: int = 42, keys: Sequence[str] = PIXEL) -> DataFrame:
-    """``n`` pixels in seeded hash order after dropping incomplete ones."""
-    whole = image.na.drop("any")
-    return whole.filter(first_in_hash_order(whole, keys, seed, n))
+    """``n`` pixels in seeded hash order after dropping incomplete ones. The image is computed once and written."""
+    held, (first,) = in_hash_order(image.na.drop("any"), keys, seed, [n])
+    return held.filter(first).drop("_h")
 
 
 def attach_coords(

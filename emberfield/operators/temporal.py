@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberfield.scale import cut_lineage, first_in_hash_order, hash_order, hash_uniform, number_rows, scalar_struct, ship_if_small, split_series
+from emberfield.scale import cut_lineage, hash_cuts, hash_order, hash_uniform, in_hash_order, number_rows, scalar_struct, ship_if_small, split_series
 
 SEASONS = 4
 TREND_ROWS = 20
@@ -163,14 +163,15 @@ def train_val_test_split(
         upto = lambda share: F.floor(F.col("_n") * F.lit(share) + F.lit(1e-9))
         name = F.when(F.col("_rn") <= upto(parts[0]), "train").when(F.col("_rn") <= upto(parts[0] + parts[1]), "val").otherwise("test")
         return ranked.withColumn("split", name).select(*df.columns, "split")
-    n = df.count()
-    to_train = first_in_hash_order(df, ids, seed, math.floor(n * parts[0] + 1e-9))
-    to_val = first_in_hash_order(df, ids, seed, math.floor(n * (parts[0] + parts[1]) + 1e-9))
-    return df.withColumn("split", F.when(to_train, "train").when(to_val, "val").otherwise("test"))
+    hashed = cut_lineage(df.withColumn("_h", hash_order(ids, seed)))
+    n = hashed.count()
+    cuts = hash_cuts(hashed.select("_h"), [math.floor(n * share + 1e-9) for share in (parts[0], parts[0] + parts[1])])
+    to_train, to_val = (F.lit(True) if c is None else F.col("_h") <= F.lit(c) for c in cuts)
+    return hashed.withColumn("split", F.when(to_train, "train").when(to_val, "val").otherwise("test")).drop("_h")
 
 
 def sample_rows(df: DataFrame, ids: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """The first ``n`` rows in seeded hash order (all rows if there are fewer); a filter, not a sort."""
-    return df.filter(first_in_hash_order(df, ids, seed, n))
-
-
+    """The first ``n`` rows in seeded hash order (all rows if there are fewer); a filter, not a sort. The input is
+    computed once and written."""
+    held, (first,) = in_hash_order(df, ids, seed, [n])
+    return held.filter(first).drop("_h")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from emberfield.functions.bands import clip
 from emberfield.functions.scalars import intervention_color, intervention_label, lookup
 from emberfield.operators.actions import Model, delta_t
 from emberfield.operators.stats import gini
-from emberfield.scale import cut_lineage, hash_uniform, number_rows, scalar_struct, ship_if_small, ship_package
+from emberfield.scale import cut_lineage, hash_uniform, ship_if_small, ship_package, work_partitions
 
 
 def clean_types(plan: DataFrame) -> DataFrame:
@@ -116,6 +117,45 @@ def _dominated(targets: np.ndarray, sources: np.ndarray) -> np.ndarray:
     return out
 
 
+def front_blocks(vectors: DataFrame, objs: Sequence[str], rows: int, block_rows: int) -> DataFrame:
+    """The vectors as blocks of neighbours, one row each: ``block``, ``n``, corners ``lo`` and ``hi``, ``points``.
+
+    Every objective is cut at its quantiles, so that a block is a cell of a grid that follows the data; a cell of more
+    than ``block_rows`` vectors is dealt out by hash.
+    """
+    wanted = -(-rows // block_rows)
+    cuts = max(1, round(wanted ** (1 / len(objs)))) if wanted > 1 else 1
+    placed = vectors
+    if cuts > 1:
+        steps = [i / cuts for i in range(1, cuts)]
+        bounds = vectors.agg(*[F.percentile_approx(c, steps).alias(c) for c in objs]).first()
+        bins = [sum((F.col(c) > F.lit(v)).cast("int") for v in sorted(set(bounds[c]))) for c in objs]
+    else:
+        bins = [F.lit(0) for _ in objs]
+    placed = vectors.withColumn("_cell", F.array(*bins))
+    if wanted > 1:
+        parts = placed.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long").alias("_parts"))
+        placed = placed.join(F.broadcast(parts), "_cell")  # at most cuts ^ objectives rows, about rows / block_rows
+        placed = placed.withColumn("_part", F.pmod(F.xxhash64(*objs), F.col("_parts")))
+    else:
+        placed = placed.withColumn("_part", F.lit(0).cast("long"))
+    packed = placed.groupBy("_cell", "_part").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.min(c) for c in objs]).alias("lo"), F.array(*[F.max(c) for c in objs]).alias("hi"),
+        *[F.collect_list(c).alias(c) for c in objs],
+    )
+    return packed.withColumn("block", F.monotonically_increasing_id()).drop("_cell", "_part")
+
+
+def meeting_blocks(blocks: DataFrame, dims: int) -> DataFrame:
+    """(t, s) of the blocks in which a vector of s can dominate one of t: s begins nowhere beyond t's end, and they are not
+    a pair of which one corner box lies beyond the other's. Only corners are compared here, no vectors."""
+    heads = cut_lineage(blocks.select("block", "lo", "hi"))
+    t = heads.select(F.col("block").alias("t"), F.col("hi").alias("_hi"))
+    s = heads.select(F.col("block").alias("s"), F.col("lo").alias("_lo"))
+    possible = [F.col("_lo")[i] <= F.col("_hi")[i] for i in range(dims)]
+    return t.join(F.broadcast(s), reduce(lambda a, b: a & b, possible)).select("t", "s")
+
+
 def pareto_front(
     plans: DataFrame, objectives: Sequence[str], feasible: Column | None = None, block_rows: int = 4096
 ) -> DataFrame:
@@ -123,8 +163,8 @@ def pareto_front(
 
     1. Equal objective vectors are merged, so copies cost nothing.
     2. Every task drops what its own rows dominate (dominance is transitive, so nothing is lost).
-    3. Survivors are numbered by a score that grows along dominance and cut into blocks of ``block_rows``; each
-       block is tested against the blocks of lower or equal score, one bounded pair of blocks per task.
+    3. Survivors are packed into blocks of neighbours; only blocks whose corners allow dominance meet, one bounded pair of
+       blocks at a time, and there only the vectors within the other block's reach are compared.
     """
     objs = list(objectives)
     ship_package(plans.sparkSession)
@@ -132,7 +172,7 @@ def pareto_front(
         known = F.col(c).isNotNull()
         plans = plans.filter(F.when(known, True).otherwise(F.raise_error(F.lit(f"null objective {c}")).cast("boolean")))
     rows = cut_lineage(plans if feasible is None else plans.filter(feasible))
-    vectors = rows.select(*objs).distinct()
+    vectors = rows.select(*[F.col(c).cast("double").alias(c) for c in objs]).distinct()
     schema = ", ".join(f"{c} double" for c in objs)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,30 +186,23 @@ def pareto_front(
             pool = np.concatenate([best, v])
             best = pool[np.argsort(pool.sum(1), kind="stable")[:512]]
 
-    kept = cut_lineage(vectors.mapInPandas(local, schema))
-    lo_hi = {f"{c}_{s}": f(c) for c in objs for s, f in (("lo", F.min), ("hi", F.max))}
-    g = scalar_struct(kept, lo_hi)
-    score = sum(
-        (F.coalesce(F.try_divide(F.col(c) - g[f"{c}_lo"], g[f"{c}_hi"] - g[f"{c}_lo"]), F.lit(0.0)) for c in objs),
-        F.lit(0.0),
-    )
-    scored = kept.withColumns({"_all": F.lit(0), "_score": score})
-    ordered = cut_lineage(
-        number_rows(scored, ["_all"], ["_score", *objs]).withColumn("_b", F.floor((F.col("_rn") - 1) / block_rows))
-    )
-    # A dominating row has a lower score, or an equal one and comes first in the objectives: never a later block.
-    last = scalar_struct(ordered, {"b": F.max("_b")})["b"]
-    targets = ordered.select(F.col("_b").alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("_s"), "_rn", *objs)
-    sources = ordered.select(F.explode(F.sequence(F.col("_b"), last)).alias("_t"), F.col("_b").alias("_s"), *objs)
-
-    def beaten(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        hit = _dominated(t[objs].to_numpy(float), s[objs].to_numpy(float))
-        return t.loc[hit, ["_rn"]]
+    def beaten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(len(pdf)):
+                row = pdf.iloc[i]
+                t, s = (np.column_stack([row[f"{side}_{c}"] for c in objs]) for side in "ts")
+                s = s[(s <= t.max(axis=0)).all(axis=1)]
+                if len(s):
+                    t = t[(t >= s.min(axis=0)).all(axis=1)]
+                yield pd.DataFrame(t[_dominated(t, s)] if len(s) else t[:0], columns=objs)
 
-    lost = (
-        targets.groupBy("_t", "_s").cogroup(sources.groupBy("_t", "_s")).applyInPandas(beaten, "_rn long").distinct()
-    )
-    front = ordered.join(lost, "_rn", "left_anti").select(*objs)
+    kept = cut_lineage(vectors.mapInPandas(local, schema))
+    count = kept.count()
+    blocks = cut_lineage(front_blocks(kept, objs, count, block_rows))
+    side = lambda k: blocks.select(F.col("block").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in objs])
+    met = meeting_blocks(blocks, len(objs)).repartition(work_partitions(plans.sparkSession), "t", "s").join(side("t"), "t").join(side("s"), "s")
+    lost = met.drop("t", "s").mapInPandas(beaten, schema).distinct()
+    front = kept.join(lost, objs, "left_anti")
     return rows.join(front, objs, "left_semi").select(*plans.columns)
 
 

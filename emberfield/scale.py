@@ -10,7 +10,10 @@ Four recurring needs are met here, so that no operator has to gather an unbounde
 
 from __future__ import annotations
 
+import atexit
+import bisect
 import math
+import os
 import tempfile
 import zipfile
 from collections.abc import Mapping, Sequence
@@ -55,6 +58,7 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
     sc.addPyFile(f.name)  # served by the driver to every executor
+    atexit.register(lambda: os.path.exists(f.name) and os.remove(f.name))
     sc._emberfield_shipped = True
 
 
@@ -289,38 +293,50 @@ def hash_order(ids: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids], F.lit(str(seed))))
 
 
-def first_in_hash_order(df: DataFrame, ids: Sequence[str], seed: int, n: int) -> Column:
-    """Predicate true for exactly the first ``n`` rows in hash order (ids unique), without sorting the table.
+def hash_cuts(hashes: DataFrame, counts: Sequence[int], digits: int = 5, last_rows: int = 4096) -> list[str | None]:
+    """For each n of ``counts`` the n-th hash in order, of the column ``_h`` of hex hashes; None if there are no more than
+    n rows ("" for n = 0).
 
-    Radix selection on the hex digits: 4,096 counters per round, each round one aggregate over the rows that
-    share the prefix found so far; only the last bucket (at most 4,096 rows) is sorted.
+    Radix selection for all cuts at once: one aggregate counts the rows of 16^digits prefixes, and what remains of each
+    cut is looked for among the rows of its prefix alone, until these are few.
     """
-    if n <= 0:
-        return F.lit(False)
+    found: list[str | None] = ["" if n <= 0 else None for n in counts]
+    todo = {i: ("", n) for i, n in enumerate(counts) if n > 0}
+    while todo:
+        inside = [p for p, _ in todo.values()]
+        width = len(inside[0]) + digits
+        here = hashes if width == digits else hashes.filter(F.substring("_h", 1, width - digits).isin(inside))
+        table = here.groupBy(F.substring("_h", 1, width).alias("b")).agg(F.count(F.lit(1)).alias("m")).toArrow().sort_by("b")
+        names, sizes = table["b"].to_pylist(), table["m"].to_numpy()
+        few, later = {}, {}
+        for i, (prefix, n) in todo.items():
+            first, last = bisect.bisect_left(names, prefix), bisect.bisect_left(names, prefix + "g")
+            upto = sizes[first:last].cumsum()
+            at = int(upto.searchsorted(n))
+            if at == len(upto):
+                continue  # fewer than n rows
+            left = n - int(upto[at] - sizes[first + at])
+            (few if sizes[first + at] <= last_rows or width >= 30 else later)[i] = (names[first + at], left)
+        for i, (prefix, left) in few.items():
+            ends = hashes.filter(F.col("_h").startswith(prefix)).orderBy("_h").limit(left)
+            found[i] = ends.agg(F.max("_h")).first()[0]
+        todo = later
+    return found
+
+
+def in_hash_order(df: DataFrame, ids: Sequence[str], seed: int, counts: Sequence[int]) -> tuple[DataFrame, list[Column]]:
+    """The table, written once, and for each n of ``counts`` a predicate true for exactly its first ``n`` rows in hash
+    order (ids unique). The input is computed once however many cuts there are, and never sorted."""
+    held = cut_lineage(df.withColumn("_h", hash_order(ids, seed)))
+    cuts = hash_cuts(held.select("_h"), counts)
+    return held, [F.lit(True) if c is None else F.col("_h") <= F.lit(c) for c in cuts]
+
+
+def first_in_hash_order(df: DataFrame, ids: Sequence[str], seed: int, n: int) -> Column:
+    """Predicate on ``df`` itself true for exactly the first ``n`` rows in hash order (ids unique)."""
     h = hash_order(ids, seed)
-    prefix, left = "", n
-    rows = df.select(h.alias("_h"), *[F.col(c) for c in ids])
-    while True:
-        width = len(prefix) + 3
-        here = rows.filter(F.col("_h").startswith(prefix)) if prefix else rows
-        counts = (
-            here.groupBy(F.substring("_h", 1, width).alias("_b")).agg(F.count(F.lit(1)).alias("_m")).collect()
-        )
-        found = None
-        for b, m in sorted((r["_b"], r["_m"]) for r in counts):
-            if left <= m:
-                found = (b, m)
-                break
-            left -= m
-        if found is None:
-            return F.lit(True)
-        prefix = found[0]
-        if found[1] <= 4096 or width >= 30:
-            break
-    last = (
-        rows.filter(F.col("_h").startswith(prefix)).select("_h").orderBy("_h").limit(left).agg(F.max("_h")).first()[0]
-    )
-    return h <= F.lit(last)
+    cut = hash_cuts(df.select(h.alias("_h")), [n])[0]
+    return F.lit(True) if cut is None else h <= F.lit(cut)
 
 
 def hash_uniform(cols: Sequence[Column | str], salt: str) -> Column:
