@@ -59,8 +59,8 @@ TAG = re.compile(
 NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>"']|$)""", re.IGNORECASE)
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
-# Scores of tags that labelled pages have less than MIN_SEEN times (inline, others) and of a word; bounds of learned ones.
-UNSEEN_INLINE, UNSEEN_BLOCK, WORD, MIN_SEEN = -0.1, -1.0, 0.7, 20
+# Scores of tags that no labelled page has (inline, others) and of a word; bounds of learned ones.
+UNSEEN_INLINE, UNSEEN_BLOCK, WORD = -0.1, -1.0, 0.7
 LEAST_INLINE, LEAST_BLOCK, MOST = -0.5, -12.0, -0.02
 
 
@@ -290,8 +290,6 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     total = {side: sum(n for (_, s), n in counts.items() if s == side) + 1 for side in (True, False)}
     out = {}
     for kind in sorted({k for k, _ in counts}):
-        if kind != "#word" and counts.get((kind, True), 0) + counts.get((kind, False), 0) < MIN_SEEN:
-            continue
         odds = float(np.log((counts.get((kind, True), 0) + 0.5) / total[True]) - np.log((counts.get((kind, False), 0) + 0.5) / total[False]))
         out[kind] = min(max(odds, 0.3), 1.0) if kind == "#word" else min(max(odds, LEAST_INLINE if inline(kind) else LEAST_BLOCK), MOST)
     return out
@@ -312,15 +310,27 @@ def best_run(seen: list[tuple[str, str, bool]], weights: dict[str, float]) -> tu
     return best_range
 
 
-def main_text(page: str, weights: dict[str, float]) -> str:
-    """The text of the best region: its blocks with white space made single, joined by one space.
+def region(seen: list[tuple[str, str, bool]], weights: dict[str, float]) -> tuple[int, int]:
+    """The item range of a page's text: the best-scoring run.
 
-    In a page that labels its article the region is the whole inside of the label.
+    A label (a single article or main) only chooses among runs and sets the ends: the best run that meets it, or else the
+    best one inside it, becomes the label's whole inside. A label without any run leaves the page's best run.
     """
+    best, label = best_run(seen, weights), labelled(seen)
+    if label is None:
+        return best
+    start, end = label
+    meets = max(best[0], start) < min(best[1], end)
+    inner = best if meets else best_run(seen[start:end], weights)
+    return label if inner[0] < inner[1] else best
+
+
+def main_text(page: str, weights: dict[str, float]) -> str:
+    """The text of the best region: its blocks with white space made single, joined by one space."""
     seen = items(page)
     blocks: list[str] = []
     held: list[str] = []
-    for kind, text, dropped in seen[slice(*(labelled(seen) or best_run(seen, weights)))]:
+    for kind, text, dropped in seen[slice(*region(seen, weights))]:
         if kind and not inline(kind):
             blocks.append("".join(held))
             held = []

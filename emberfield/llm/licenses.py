@@ -70,6 +70,9 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("LicenseRef-All-Rights-Reserved", "restricted", ("all-rights",)),
 )
 
+# A rule that counts only where no other one matches: many grants carry its sentence too.
+ALONE = "LicenseRef-All-Rights-Reserved"
+
 # A sentence ends after .!?:; and white space, and at a line end unless the next line goes on in lower case.
 BOUNDARY = r"(?<=[.!?:;])[ \t\r\n]+|\n(?![ \t]*[a-z])"
 # Stands for a boundary between words.
@@ -107,7 +110,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """doc_id, n_sentences, sentence_ids, licenses, license_class: one row per input row, without a shuffle.
 
     ``sentence_ids``: the known sentences in order, joined by commas; ``licenses``: those of the rules that match, in
-    the order of the rules, each once; ``license_class``: the strictest (restricted, copyleft, permissive,
+    the order of the rules, each once (all rights reserved only where nothing else matches); ``license_class``: the strictest (restricted, copyleft, permissive,
     public-domain), or none. A rule matches identifiers that follow each other; unknown sentences between them don't
     count. Null and empty texts have no sentences. Repeated rows give repeated results; a null doc_id stays null.
     """
@@ -117,7 +120,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     start = F.struct(F.col("left").alias("left"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("kinds"))
 
     def apply(state: Column, rule: Column) -> Column:
-        hit = F.contains(state["left"], rule["seq"])
+        hit = F.contains(state["left"], rule["seq"]) & ((rule["name"] != ALONE) | (F.size(state["names"]) == 0))
         return F.struct(
             F.replace(state["left"], rule["seq"], F.lit("")).alias("left"),
             F.when(hit, F.array_append(state["names"], rule["name"])).otherwise(state["names"]).alias("names"),
@@ -134,18 +137,23 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def _sql() -> str:
+    """SQL twin over the same marked words: boundaries are doubled marks, so that neighbours have one each to end with."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(normalised(s))}, {quoted(i)})" for i, s in SENTENCES)
+    sentences = sorted({normalised(s) for _, s in SENTENCES}, key=lambda s: (-len(s), s))
+    pattern = r"(?:^|\x01)(?:" + "|".join(sentences).replace(" ", r"(?: |\x01\x01)") + r")(?:\x01|$)"
     steps, last = [], "f0"
     for k, (name, kind, seq) in enumerate(RULES, 1):
-        pattern = quoted("".join(f",{i}," for i in seq))
-        steps.append(f"f{k} AS (SELECT doc_id, ids, replace(rest, {pattern}, '') AS rest, CASE WHEN contains(rest, {pattern}) THEN list_append(names, {quoted(name)}) ELSE names END AS names, CASE WHEN contains(rest, {pattern}) THEN list_append(kinds, {quoted(kind)}) ELSE kinds END AS kinds FROM {last})")
+        ids = quoted("".join(f",{i}," for i in seq))
+        hit = f"contains(rest, {ids})" + (" AND len(names) = 0" if name == ALONE else "")
+        steps.append(f"f{k} AS (SELECT doc_id, ids, replace(rest, {ids}, '') AS rest, CASE WHEN {hit} THEN list_append(names, {quoted(name)}) ELSE names END AS names, CASE WHEN {hit} THEN list_append(kinds, {quoted(kind)}) ELSE kinds END AS kinds FROM {last})")
         last = f"f{k}"
     return f"""
-WITH known(sentence, id) AS (VALUES {known}),
-t AS (SELECT doc_id, row_number() OVER () AS r, replace(regexp_replace(regexp_replace(COALESCE(text, ''), '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n([ \\t]*[a-z])', ' \\1', 'g'), chr(10), chr(1)) AS marked FROM documents),
-s AS (SELECT doc_id, r, unnest(string_split(marked, chr(1))) AS sentence, generate_subscripts(string_split(marked, chr(1)), 1) AS place FROM t),
-m AS (SELECT s.r, list(k.id ORDER BY place) AS ids FROM s JOIN known k ON k.sentence = lower(trim(regexp_replace(s.sentence, '[^0-9A-Za-z]+', ' ', 'g'))) GROUP BY s.r),
+WITH known(sentence, id) AS (SELECT DISTINCT * FROM (VALUES {known}) v(sentence, id)),
+t AS (SELECT doc_id, row_number() OVER () AS r, replace(regexp_replace(regexp_replace(replace(COALESCE(text, ''), chr(1), chr(2)), '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n([ \\t]*[a-z])', ' \\1', 'g'), chr(10), chr(1)) AS marked FROM documents),
+w AS (SELECT doc_id, r, trim(lower(regexp_replace(regexp_replace(marked, '[^0-9A-Za-z\\x01]+', ' ', 'g'), ' ?\\x01[ \\x01]*', chr(1) || chr(1), 'g'))) AS words FROM t),
+s AS (SELECT r, unnest(regexp_extract_all(words, {quoted(pattern)})) AS found, generate_subscripts(regexp_extract_all(words, {quoted(pattern)}), 1) AS place FROM w),
+m AS (SELECT s.r, list(k.id ORDER BY place) AS ids FROM s JOIN known k ON k.sentence = trim(regexp_replace(found, '[ \\x01]+', ' ', 'g')) GROUP BY s.r),
 f0 AS (SELECT doc_id, COALESCE(ids, []) AS ids, ',' || array_to_string(COALESCE(ids, []), ',,') || ',' AS rest, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS kinds FROM t LEFT JOIN m ON t.r = m.r),
 {", ".join(steps)},
 d AS (SELECT *, list_filter(names, lambda x, i: list_position(names, x) = i) AS once FROM {last})

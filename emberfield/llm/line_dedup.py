@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfield.scale import cut_lineage
+from emberfield.scale import BROADCAST_ROWS, cut_lineage
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+# Lines of more documents than that are not gathered by their key.
+HOT_DOCS = 100_000
 # The ASCII white space that is stripped, the letters that are lower-cased.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,30 +21,51 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """A 128-bit hash of the line's key; null for keys under ``min_chars`` code points, which are always kept."""
-    key = line_key(line)
-    long_enough = F.char_length(key) >= min_chars
-    return F.when(long_enough, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def _text_key(text: Column) -> list[Column]:
+    """128 bits of a text: rows of one document with equal texts lose equal lines."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc, drop): for each document that loses lines, the hashes of the keys it loses.
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, hot_docs: int = HOT_DOCS) -> DataFrame:
+    """(doc, t1, t2, gone): for each text that loses lines, the positions of these in ascending order.
 
-    Lines are exploded and hashed once per document and distinct key; only (document, hash) pairs shuffle. Documents
-    per hash are counted with partial sums, so a line that a third of all documents hold is no hot spot.
+    Lines are exploded with their positions and hashed; texts stay where they are. Documents per hash are counted with
+    partial sums. Lines of more than ``hot_docs`` documents, which can't be many, find their lines by broadcast (once
+    their number is known), so that no task gets all lines of one key.
+    """
+    whole = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # the text's key is a column before lines are exploded, not worked out for each of them
+    whole = whole.select("doc", "text", *_text_key(F.col("text")))
+    held = whole.select("doc", "t1", "t2", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
+    held = held.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
+    held = cut_lineage(held.select("doc", "t1", "t2", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
+    found = held.select("doc", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper"))
+    found = cut_lineage(found.filter(F.col("docs") >= min_docs))
+    hot = found.filter(F.col("docs") > hot_docs)
+    key, other = ["h1", "h2"], ~F.col("doc").eqNullSafe(F.col("keeper"))
+    if 0 < hot.count() <= BROADCAST_ROWS:
+        lost = held.join(F.broadcast(hot), key).filter(other).select("doc", "t1", "t2", "at")
+        rest = held.join(F.broadcast(hot.select(*key)), key, "left_anti").join(found.filter(F.col("docs") <= hot_docs), key).filter(other)
+        lost = lost.unionByName(rest.select("doc", "t1", "t2", "at"))
+    else:
+        lost = held.join(found, key).filter(other)
+    return lost.groupBy("doc", "t1", "t2").agg(F.sort_array(F.collect_set("at")).alias("gone"))
+
+
+def without_positions(lines: Column, gone: Column) -> Column:
+    """The array without the elements at the (ascending, 0-based) positions.
+
+    The runs between the positions become one array of flags, so no element is looked up; the lines stand outside all
+    lambdas, which would split the text anew for every element.
     """
-    hashes = F.array_distinct(F.filter(F.transform(_lines(F.col(text)), lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))
-    held = docs.select(F.col(doc_id).alias("doc"), F.explode(hashes).alias("h")).select("doc", "h.h1", "h.h2").distinct()
-    held = cut_lineage(held)
-    found = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper"))
-    found = cut_lineage(found.filter(F.col("docs") >= min_docs).drop("docs"))
-    lost = held.join(found, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g + 1))
+    ends = F.concat(gone, F.array(F.size(lines)))
+    flags = F.flatten(F.zip_with(starts, ends, lambda a, b: F.concat(F.array_repeat(F.lit(True), b - a), F.array(F.lit(False)))))
+    return F.filter(F.zip_with(lines, flags, lambda x, stays: F.when(stays, x)), lambda x: x.isNotNull())
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
@@ -51,17 +74,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     A key of at least ``min_chars`` code points found in ``min_docs`` documents or more stays only in the largest
     doc_id holding it, with all its lines there. The other lines are joined by \\n in their order. Null text counts as
     one empty line and becomes empty text. Rows with the same doc_id are one document; a null doc_id is a document
-    below all others. An empty table gives an empty table.
+    below all others. An empty table gives an empty table. Work grows with the lines, also in one document of very many.
     """
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     lost = repeated_lines(docs, doc_id, text, min_chars, min_docs)
-    whole = docs.select(F.struct(*names).alias("_row"), F.col(doc_id).alias("_doc"))
-    both = whole.join(lost, whole["_doc"].eqNullSafe(lost["doc"]), "left")
-    lines = _lines(F.col("_row")[text])
-    kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("drop"), line_hash(x, min_chars)), F.lit(False))))
-    out = both.select("_row", F.size(lines).cast("long").alias("n_lines"), kept.alias("_kept"))
-    added = [F.col("n_lines"), (F.col("n_lines") - F.size("_kept")).alias("n_dropped")] if counts else []
-    return out.select(*[F.array_join("_kept", "\n").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names], *added)
+    whole = docs.select(F.struct(*names).alias("_row"), F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    whole = whole.select("*", *[c.alias(f"_{k}") for k, c in zip(("t1", "t2"), _text_key(F.col("_text")), strict=True)])
+    both = whole.join(lost, whole["_doc"].eqNullSafe(lost["doc"]) & (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left")
+    lines = _lines(F.col("_text"))
+    # a text without repeated lines stays as it is
+    kept = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(without_positions(lines, F.col("gone")), "\n"))
+    breaks = F.char_length("_text") - F.char_length(F.translate("_text", "\n", ""))
+    added = [(breaks + 1).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")] if counts else []
+    return both.select(*[kept.alias(c) if c == text else F.col("_row")[c].alias(c) for c in names], *added)
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:

@@ -118,7 +118,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, te
 
     ``balanced`` takes half of them from either label, as far as there are so many.
 
-    The chosen ids are at most ``limit`` rows, so they are broadcast to the documents.
+    The chosen ids are at most ``limit`` rows, so they are broadcast to the documents. Of several documents with one id
+    the one of least text hash counts.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
     if condition is not None:
@@ -126,7 +127,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, te
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     first = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(known.filter("y = 1"), limit // 2).unionByName(first(known.filter("y = 0"), limit // 2)) if balanced else first(known, limit)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    return one.select("doc_id", "y", F.col("least.text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = 80) -> Model:

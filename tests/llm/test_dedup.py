@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -94,3 +95,29 @@ def test_lines_by_definition(docs_of):
     assert out[1]["text"] == "own one" and out[1]["n_dropped"] == 2
     assert out[2]["text"] == "short" and out[3]["text"] == rows[2][1] and out[4]["text"] == rows[3][1]
     assert (out[5]["text"], out[5]["n_lines"], out[5]["n_dropped"]) == ("", 1, 0)
+
+
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_lines_against_the_definition(docs_of, hot, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_DOCS", hot)
+    monkeypatch.setattr(line_dedup.repeated_lines, "__defaults__", (*line_dedup.repeated_lines.__defaults__[:-1], hot))
+    r = random.Random(8)
+    pool = [f"  Line number {i} that is long enough " for i in range(30)] + ["short", "", " \t", "x" * 20, "é" * 20, "é" * 19]
+    rows = [(i // 2 if i < 20 else i, "\n".join(r.choice(pool) for _ in range(r.randrange(12)))) for i in range(80)]
+    keys = lambda t: [x.strip(" \t\n\x0b\x0c\r").lower() for x in t.split("\n")]
+    docs = {}
+    for i, t in rows:
+        for k in keys(t):
+            docs.setdefault(k, set()).add(i)
+    gone = {k: max(d) for k, d in docs.items() if len(k) >= 20 and len(d) >= 3}
+    want = sorted((i, "\n".join(x for x, k in zip(t.split("\n"), keys(t), strict=True) if gone.get(k, i) == i), t.count("\n") + 1) for i, t in rows)
+    got = sorted((x["doc_id"], x["text"], x["n_lines"]) for x in line_dedup.dedup_lines(docs_of(rows)).collect())
+    assert got == want
+
+
+def test_a_document_of_very_many_repeated_lines(docs_of):
+    text = "\n".join(f"this is line number {i} of a long list" for i in range(100_000))
+    began = time.time()
+    out = line_dedup.dedup_lines(docs_of([(1, text), (2, text), (3, text)])).collect()
+    assert {r["doc_id"]: (len(r["text"]), r["n_dropped"]) for r in out} == {1: (0, 100_000), 2: (0, 100_000), 3: (len(text), 0)}
+    assert time.time() - began < 60

@@ -1,3 +1,6 @@
+import random
+
+import duckdb
 import pytest
 
 from emberfield.llm import html_text, licenses
@@ -111,6 +114,45 @@ def test_teasers_and_comments_as_articles_stay_out(weights):
     assert html_text.main_text(f"<div class='legal'><p>{story}</p></div><div>z</div>", weights).startswith(story.strip())
 
 
+def test_best_run_is_the_maximum_of_all_runs():
+    r = random.Random(5)
+    weights = {"#word": 0.5, "p": -0.7, "/p": -0.3, "b": -0.05, "div": -2.0}
+    for _ in range(300):
+        seen = [(k, "", False) if (k := r.choice(["p", "/p", "b", "div", "em", "section", ""])) else ("", " w" * r.randrange(6), r.random() < 0.2) for _ in range(r.randrange(14))]
+
+        def score(part):
+            return sum(0.0 if out else (weights.get(k, html_text.UNSEEN_INLINE if html_text.inline(k) else html_text.UNSEEN_BLOCK) if k else 0.5 * len(t.split())) for k, t, out in part)
+
+        start, end = html_text.best_run(seen, weights)
+        assert score(seen[start:end]) == pytest.approx(max(score(seen[i:j]) for i in range(len(seen) + 1) for j in range(i, len(seen) + 1)))
+
+
+def test_the_run_decides_where_a_label_has_no_text(weights):
+    story = "real words of the story " * 6
+    assert html_text.main_text(f"<article></article><p>{story}</p>", weights) == story.strip()
+    assert html_text.main_text(ARTICLE.replace("article>", "div>"), weights) == TEXT  # the same without the label
+
+
+def test_bsd_notice_with_all_rights_reserved(docs_of):
+    known = dict((i, s) for i, s in reversed(licenses.SENTENCES))
+    bsd = "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + "\n".join(known[i] for i in ("bsd-grant", "bsd-source", "bsd-binary"))
+    texts = [bsd, "All rights reserved.", "All rights reserved. All rights reserved. Licensed under CC BY 4.0."]
+    got = {r["doc_id"]: (r["licenses"], r["license_class"]) for r in licenses.scan(docs_of(texts)).collect()}
+    assert got == {0: ("BSD-2-Clause", "permissive"), 1: ("LicenseRef-All-Rights-Reserved", "restricted"), 2: ("CC-BY-4.0", "permissive")}
+
+
+def test_twin_agrees_on_wrapped_notices(docs_of):
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed"
+    commented = "\n".join("# " + x.strip() for x in GPL_NOTICE.split("\n"))
+    known = [s for _, s in licenses.SENTENCES]
+    docs = docs_of([GPL_NOTICE, commented, mpl, " ".join(known), "\n".join(known), "not " + known[0], "All rights\nreserved.", None, "", *known])
+    want = sorted(map(tuple, licenses.scan(docs).collect()))
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    got = con.execute(f"SELECT doc_id, n_sentences, sentence_ids, licenses, license_class FROM ({licenses.LICENSES_SQL})").fetchall()
+    assert sorted(got) == want
+
+
 def test_label_is_kept_to_its_ends():
     heavy = {"#word": 0.3, "p": -12.0, "/p": -12.0, "h1": -12.0, "/h1": -12.0, "div": -12.0, "/div": -12.0}
     story = "real words of the story " * 40
