@@ -353,6 +353,44 @@ def m2(spark, d):
     return train_future(cells, ["cell_id"], feats, _small())[2]
 
 
+@check(
+    "m1_train_report",
+    CELLS + """, n as (select count(*) as n from cells) select 'val' as split, cast(floor(n*0.9e0 + 1e-9) - floor(n*0.8e0 + 1e-9) as bigint) as rows, true as fits from n
+      union all select 'test', cast(n - floor(n*0.9e0 + 1e-9) as bigint), true from n""",
+)
+def m1_report(spark, d):
+    """Exact sizes of both held-out parts, and a fit that explains well over half of their variance."""
+    from emberfield.models.trees import train_lst
+
+    metrics = train_lst(_learnable(spark, d), ["cell_id"], _FIT, params=_small())[2]
+    return metrics.select("split", "rows", (F.col("r2") > 0.6).alias("fits"))
+
+
+@check("m3_reload_report", CELLS + "select count(*) as rows, cast(0 as bigint) as different from cells")
+def m3_report(spark, d):
+    """A saved and reloaded model predicts every row exactly as the fitted one."""
+    from emberfield.models.trees import FittedTrees, train_lst
+
+    cells = _learnable(spark, d)
+    model = train_lst(cells, ["cell_id"], _FIT, params=_small())[0]
+    path = scratch(spark, "model")
+    model.save(path, spark)
+    both = FittedTrees.load(path, spark)(model(cells).withColumnRenamed("prediction", "_first"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("prediction").eqNullSafe(F.col("_first"))).alias("different"))
+
+
+@check("m6_importance_report", f"select {len(_FIT)} as features, true as sums_to_one, true as none_negative, true as driver_first from nation limit 1")
+def m6_report(spark, d):
+    """Importances of all features, none negative, in sum one, with a feature of the target's formula in front."""
+    from emberfield.models.trees import feature_importance, train_lst
+
+    top = feature_importance(train_lst(_learnable(spark, d), ["cell_id"], _FIT, params=_small())[0], spark)
+    return top.agg(
+        F.count(F.lit(1)).cast("int").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
+        (F.min("importance") >= 0).alias("none_negative"), F.max_by("feature", "importance").isin(list(S.LINEAR_SLOPES)).alias("driver_first"),
+    )
+
+
 @check("m3_predict")
 def m3(spark, d):
     from emberfield.models.trees import FittedTrees, train_lst
@@ -389,10 +427,25 @@ def m6(spark, d):
     return feature_importance(train_lst(_learnable(spark, d), ["cell_id"], _FIT, params=_small())[0], spark)
 
 
-@check("m7_permutation_importance")
+_FIXED = {f: f"coalesce({f}, 0.2e0)" for f in S.LINEAR_SLOPES}
+_PERMUTED = " union all ".join(
+    f"select '{f}' as feature, {q('avg(abs(a.y - ' + '(' + _lin({f: f'z.{f}'}, 'a.') + ')) - a.e0)', 'importance')} from asked a join base z on z.i = a.j, med" for f in S.LINEAR_SLOPES
+)
+
+
+@check(
+    "m7_permutation_importance",
+    CELLS + f""", {MED_CTE}, base as (select c.*, {_lin(_FIXED)} + (cell_id*17 % 29)/29e0 as y, abs({_lin(_FIXED)} + (cell_id*17 % 29)/29e0 - {_lin()}) as e0,
+      row_number() over (order by md5(concat(cell_id, '|42'))) - 1 as i from cells c, med),
+    n as (select count(*) as n from cells), r as (select unnest([0, 1, 2]) as r),
+    maps as (select r, (select min(k) from (select unnest(generate_series(cast(floor(n*0.61803e0) as bigint) + 7*r + 1, cast(floor(n*0.61803e0) as bigint) + 7*r + 200)) as k) where gcd(k, n) = 1) % n as a,
+      (42 + 101*r) % n as b, n from r, n),
+    asked as (select base.*, (i*m.a + m.b) % m.n as j from base, maps m)
+    {_PERMUTED}""",
+)
 def m7(spark, d):
     c = _learnable(spark, d)
-    return AT.permutation_importance(c, _model(c), list(S.LINEAR_SLOPES), ["cell_id"], repeats=3)
+    return rounded(AT.permutation_importance(c, _model(c), list(S.LINEAR_SLOPES), ["cell_id"], repeats=3))
 
 
 _ATTR = " union all ".join(

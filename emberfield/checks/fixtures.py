@@ -78,7 +78,9 @@ from {supplier}
 PIXEL_OBS = """
 select l_partkey % 40 as px, l_suppkey % 25 as py, l_shipdate as ts,
   7000 + ((l_orderkey*13) % 6000) as dn_red, 7500 + ((l_orderkey*17) % 14000) as dn_nir,
-  7600 + ((l_orderkey*19) % 9000) as dn_swir1, 40000 + ((l_orderkey*29) % 9000) as dn_st,
+  7600 + ((l_orderkey*19) % 9000) as dn_swir1, 7100 + ((l_orderkey*61) % 5000) as dn_blue,
+  7200 + ((l_orderkey*67) % 6000) as dn_green, 7300 + ((l_orderkey*71) % 8000) as dn_swir2,
+  l_orderkey*8 + l_linenumber as scene_id, l_linenumber + 2 as scene_class, 40000 + ((l_orderkey*29) % 9000) as dn_st,
   cast(l_quantity as int) as qa, (l_orderkey*7) % 40 as cloud_cover,
   280e0 + ((l_orderkey*31) % 250)/1e1 as t2m_k, 275e0 + ((l_orderkey*37) % 150)/1e1 as td_k,
   ((l_orderkey*41) % 80)/1e1 - 4e0 as u10, ((l_orderkey*43) % 80)/1e1 - 4e0 as v10,

@@ -229,6 +229,40 @@ _FEATS = [*S.FEATURE_TITLES, "other"]
 _FEAT_SQL = "case " + " ".join(f"when event_id % {len(_FEATS)} = {i} then '{f}'" for i, f in enumerate(_FEATS)) + " end"
 
 
+@check(
+    "f23_driver_explanations",
+    f"""with e as (select event_id, {_FEAT_SQL} as feature from events)
+    select event_id, feature, case feature
+      when 'NDVI_L' then 'Less shade and evapotranspiration makes surfaces hotter.'
+      when 'EVI_L' then 'Sparse or stressed vegetation reduces natural cooling.'
+      when 'SAVI_L' then 'Open dry soil and low vegetation can raise local heat.'
+      when 'NDBI_L' then 'Concrete, roofs, and roads store heat during the day.'
+      when 'MNDWI_L' then 'Water bodies and moist areas usually cool the surroundings.'
+      when 'albedo' then 'Darker roofs and pavements absorb more sunlight.'
+      when 'solar_rad_W_m2' then 'High solar radiation increases surface heating.'
+      when 'air_temp_C' then 'Higher air temperature adds to heat stress.'
+      when 'air_temp_C_max' then 'High daily peaks increase heat exposure.'
+      when 'air_temp_C_min' then 'Night heat can keep surfaces from cooling down.'
+      when 'humidity_pct' then 'Humidity makes the body cool itself less effectively.'
+      when 'wind_speed' then 'Weak wind reduces natural cooling and ventilation.'
+      when 'rainfall_mm' then 'Dry ground and dry vegetation heat up faster.'
+      when 'Elevation_m' then 'Terrain affects air flow, shade, and heat accumulation.'
+      when 'Slope_deg' then 'Land shape changes sunlight exposure and drainage.'
+      when 'TPI_500m' then 'Local land shape can trap heat in dense areas.'
+      when 'pop_density' then 'More people and activity often means more waste heat.'
+      when 'ntl_radiance' then 'Bright night-time areas often mark dense urban use.'
+      when 'road_density' then 'Road surfaces absorb heat and reduce green cover.'
+      when 'building_density' then 'Dense buildings store heat and limit air movement.'
+      when 'impervious_ratio' then 'Hard surfaces stop soil moisture cooling.'
+      when 'dist_road_m' then 'Nearby roads add hot pavement and traffic heat.'
+      else 'This local condition is linked with higher heat.' end as explanation from e""",
+)
+def f23_explained(spark, d):
+    names = F.array(*[F.lit(f) for f in _FEATS])
+    e = X.table(spark, d, "events").select("event_id", F.element_at(names, (F.col("event_id") % len(_FEATS) + 1).cast("int")).alias("feature"))
+    return e.select("event_id", "feature", SC.driver_explanation("feature").alias("explanation"))
+
+
 @check(
     "f23_lookups",
     f"""with e as (select event_id, cast(event_id % 100 as int) as code, {_FEAT_SQL} as feature, cast(event_id % 6 as int) as type_id,

@@ -223,20 +223,72 @@ def r17(spark, d):
 _ND = lambda a, b: f"({a}-{b})/nullif({a}+{b}, 0)"
 
 
+_SR = lambda b: f"(dn_{b}*2.75e-5-0.2e0)"
+_BANDS = ("blue", "green", "red", "nir", "swir1", "swir2")
+_ALBEDO = "least(greatest(0.356e0*blue + 0.130e0*red + 0.373e0*nir + 0.085e0*swir1 + 0.072e0*swir2 - 0.0018e0, 0e0), 1e0)"
+
+
+def _seven(s):
+    return f"""{_ND('nir', 'red')} as NDVI_{s}, {_ND('green', 'nir')} as NDWI_{s}, {_ND('green', 'swir1')} as MNDWI_{s}, {_ND('swir1', 'nir')} as NDBI_{s},
+      2.5e0*(nir-red)/nullif(nir+6e0*red-7.5e0*swir1+1e0, 0) as EVI_{s}, 1.5e0*(nir-red)/nullif(nir+red+0.5e0, 0) as SAVI_{s}, red*swir1/nullif(nir, 0) as NBI_{s}"""
+
+
+_SEVEN = ("NDVI", "NDWI", "MNDWI", "NDBI", "EVI", "SAVI", "NBI")
+_LANDSAT = "select px, py, " + ", ".join(f"median({_M(_SR(b))}) as {b}" for b in _BANDS) + f", median({_M(_LST)}) as lst_celsius, median({_M(_EM)}) as emissivity"
+_CLOUD_SQL = "select distinct l_orderkey*8 + l_linenumber as scene_id, (l_orderkey*73) % 40 as probability from lineitem where l_orderkey % 6 <> 0"
+_S2_SQL = "select px, py, " + ", ".join(f"median(case when probability < 20 and scene_class not in (3, 8, 9, 10) then dn_{b}/10000e0 end) as {b}" for b in _BANDS) + " from obs join clouds using (scene_id) group by px, py"
+
+
+def _clouds(spark, d):
+    li = X.table(spark, d, "lineitem").filter("l_orderkey % 6 <> 0")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("scene_id"), ((F.col("l_orderkey") * 73) % 40).alias("probability"))
+
+
 @check(
     "r18_hot_season_table",
-    OBS + f""", bands as (select px, py, median({_M(_LST)}) as lst_celsius, median({_M(_RED)}) as red, median({_M(_NIR)}) as nir,
-      median({_M(_SW)}) as swir1 from obs where month(ts) between 3 and 5 group by px, py),
-    hot as (select px, py, lst_celsius, {_ND('nir', 'red')} as NDVI_L, {_ND('swir1', 'nir')} as NDBI_L from bands),
-    shared as (select px, py, avg(t2m_k-273.15e0) as air_temp_C from obs group by px, py),
-    img as (select hot.*, air_temp_C from hot join shared using (px, py))
-    select px, py, {', '.join(q(c, c) for c in ('lst_celsius', 'NDVI_L', 'NDBI_L', 'air_temp_C'))} from img
-      where lst_celsius is not null and NDVI_L is not null and NDBI_L is not null order by md5(concat(px, '|', py, '|43')) limit 300""",
+    OBS + f""", bands as ({_LANDSAT} from obs where month(ts) between 3 and 5 group by px, py),
+    hot as (select px, py, lst_celsius, emissivity, {_ALBEDO} as albedo, {_seven('L')} from bands),
+    shared as (select px, py, avg(t2m_k-273.15e0) as air_temp_C, avg(case when month(ts) between 3 and 5 then solar_j/86400e0 end) as solar_hot_W_m2 from obs group by px, py),
+    img as (select px, py, lst_celsius, emissivity, NDVI_L, NDBI_L, MNDWI_L, EVI_L, albedo, air_temp_C, solar_hot_W_m2 from hot join shared using (px, py))
+    select px, py, {', '.join(q(c, c) for c in ('lst_celsius', 'emissivity', 'NDVI_L', 'NDBI_L', 'MNDWI_L', 'EVI_L', 'albedo', 'air_temp_C', 'solar_hot_W_m2'))} from img
+      where lst_celsius is not null and emissivity is not null and NDVI_L is not null and NDBI_L is not null and MNDWI_L is not null and EVI_L is not null and albedo is not null
+        and solar_hot_W_m2 is not null order by md5(concat(px, '|', py, '|43')) limit 300""",
 )
 def r18(spark, d):
     o = _obs(spark, d)
     shared = o.groupBy("px", "py").agg(F.avg(B.kelvin_to_celsius("t2m_k")).alias("air_temp_C"))
-    return rounded(R.hot_season_table(o, shared, 600, 42))
+    solar = R.solar_summary(o).select("px", "py", F.col("solar_hot").alias("solar_hot_W_m2"))
+    return rounded(R.hot_season_table(o, R.band_stack(shared, solar), 600, 42))
+
+
+@check(
+    "r7_sentinel_composite",
+    OBS + f""", clouds as ({_CLOUD_SQL}), s as ({_S2_SQL}), i as (select *, {_seven('S2')} from s)
+    select px, py, {', '.join(q(b, n) for b, n in zip(_BANDS, ('S2_Blue', 'S2_Green', 'S2_Red', 'S2_NIR', 'S2_SWIR1', 'S2_SWIR2')))}, {', '.join(q(f'{c}_S2', f'{c}_S2') for c in _SEVEN)} from i""",
+)
+def r7_sentinel(spark, d):
+    return rounded(R.sentinel_composite(_obs(spark, d), _clouds(spark, d)))
+
+
+_STACK = ["lst_celsius", "emissivity", "L_Blue", "L_Green", "L_Red", "L_NIR", "L_SWIR1", "L_SWIR2", *[f"{c}_L" for c in _SEVEN], "albedo",
+          "S2_Blue", "S2_Green", "S2_Red", "S2_NIR", "S2_SWIR1", "S2_SWIR2", *[f"{c}_S2" for c in _SEVEN], "air_temp_C"]
+
+
+@check(
+    "batch_base_stack",
+    OBS + f""", clouds as ({_CLOUD_SQL}), lb as ({_LANDSAT} from obs group by px, py), sb as ({_S2_SQL}),
+    l as (select px, py, lst_celsius, emissivity, {', '.join(f'{b} as L_{n}' for b, n in zip(_BANDS, ('Blue', 'Green', 'Red', 'NIR', 'SWIR1', 'SWIR2')))}, {_ALBEDO} as albedo, {_seven('L')} from lb),
+    s as (select px, py, {', '.join(f'{b} as S2_{n}' for b, n in zip(_BANDS, ('Blue', 'Green', 'Red', 'NIR', 'SWIR1', 'SWIR2')))}, {_seven('S2')} from sb),
+    a as (select px, py, avg(t2m_k-273.15e0) as air_temp_C from obs group by px, py),
+    img as (select * from l join s using (px, py) join a using (px, py) where {' and '.join(f'{c} is not null' for c in _STACK)})
+    select px, py, 73.7e0 + px*1e-3 as lon, 18.4e0 + py*1e-3 as lat, '2023' as year, 'annual' as season, format('{{:.4f}}_{{:.4f}}', 18.4e0 + py*1e-3, 73.7e0 + px*1e-3) as grid_id,
+      {', '.join(q(c, c) for c in _STACK)} from img order by md5(concat(px, '|', py, '|42')) limit 400""",
+)
+def base_stack(spark, d):
+    o = _obs(spark, d)
+    air = o.groupBy("px", "py").agg(F.avg(B.kelvin_to_celsius("t2m_k")).alias("air_temp_C"))
+    out = R.base_stack(o, o, _clouds(spark, d), air, 400, (73.7, 18.4, 1e-3))
+    return rounded(out, skip=("lon", "lat"))
 
 
 @check(

@@ -230,11 +230,13 @@ def j10(spark, d):
     CELLS + f", m as (select LULC_ESA as k, median(albedo) as v from cells where LULC_ESA is not null group by 1) select cell_id, {q('v', 'class_median')} from cells left join m on LULC_ESA = k",
 )
 def j11(spark, d):
-    from emberfield.scale import cut_lineage, exact_percentiles, ship_if_small
+    from emberfield.operators.columns import map_values
+    from emberfield.scale import exact_percentiles
 
     c = X.cells(spark, d).select("cell_id", "LULC_ESA", "albedo")
     m = exact_percentiles(c.filter("LULC_ESA is not null"), ["LULC_ESA"], {"class_median": ("albedo", 0.5)})
-    return c.join(ship_if_small(cut_lineage(m)), "LULC_ESA", "left").select("cell_id", r6("class_median").alias("class_median"))
+    out = map_values(c, "LULC_ESA", m, "class_median", "LULC_ESA", "class_median")
+    return out.select("cell_id", r6("class_median").alias("class_median"))
 
 
 # ---- aggregates ----------------------------------------------------------------------------------

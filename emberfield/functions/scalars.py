@@ -87,6 +87,10 @@ def driver_text(feature) -> Column:
     return lookup(feature, S.DRIVER_HEADLINES, _c(feature))
 
 
+def driver_explanation(feature) -> Column:
+    return lookup(feature, S.DRIVER_EXPLANATIONS, S.OTHER_EXPLANATION)
+
+
 def feature_title(feature) -> Column:
     return lookup(feature, S.FEATURE_TITLES, _c(feature))
 

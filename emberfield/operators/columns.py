@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from emberfield.scale import cut_lineage, ship_if_small
 from pyspark.sql import types as T
 
 from emberfield import schema as S
@@ -168,9 +170,10 @@ def with_grid_id(df: DataFrame) -> DataFrame:
 
 def filter_strict(df: DataFrame) -> DataFrame:
     """Rows assigned by containment; if there are none, every row with a ward. A table without the method column
-    counts as wholly contained."""
+    counts as wholly contained. The table is written once, so that what made it runs once for the question and the rows."""
     if "ward_join_method" not in df.columns:
         return df.filter(F.col("ward_id").isNotNull())
+    df = cut_lineage(df)
     within = F.col("ward_join_method") == "within"
     some = df.agg(F.count_if(within).alias("n")).scalar() > 0
     return df.filter(F.when(some, F.coalesce(within, F.lit(False))).otherwise(F.col("ward_id").isNotNull()))
@@ -201,3 +204,12 @@ def with_indices(df: DataFrame) -> DataFrame:
             if name not in have and all(b[k] in have for k in need):
                 new[name] = fn(*[F.col(b[k]) for k in need])
     return df.withColumns(new) if new else df
+
+
+def map_values(df: DataFrame, key: str, mapping: DataFrame, out: str, map_key: str = "key", map_value: str = "value", only_missing: bool = False) -> DataFrame:
+    """Add ``out``, the mapped value of the row's key; null for unknown and null keys. ``mapping`` has one row per key
+    (of several the least value counts). ``only_missing`` fills an existing ``out`` where it is null."""
+    held = mapping.filter(F.col(map_key).isNotNull()).groupBy(F.col(map_key).alias("_key")).agg(F.min(map_value).alias("_value"))
+    met = df.join(ship_if_small(cut_lineage(held)), F.col(key) == F.col("_key"), "left")
+    value = F.coalesce(F.col(out), F.col("_value")) if only_missing and out in df.columns else F.col("_value")
+    return met.withColumn(out, value).drop("_key", "_value")

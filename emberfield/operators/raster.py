@@ -86,15 +86,48 @@ def composite(
     return obs.groupBy(*keys).agg(*[fn(s).alias(o) for o, s in names.items()])
 
 
+SURFACE_BANDS = ("blue", "green", "red", "nir", "swir1", "swir2")
+
+
 def with_reflectance(obs: DataFrame) -> DataFrame:
-    """Scale raw numbers and hide clouded pixels: red, nir, swir1 (reflectance) and bt_k (kelvin)."""
-    out = obs.withColumns(
-        {
-            "red": B.scale_sr("dn_red"), "nir": B.scale_sr("dn_nir"), "swir1": B.scale_sr("dn_swir1"),
-            "bt_k": B.scale_st("dn_st"),
-        }
-    )
-    return mask(out, B.qa_mask("qa"), ["red", "nir", "swir1", "bt_k"])
+    """Scale raw numbers and hide clouded pixels: the surface bands that are there (reflectance) and bt_k (kelvin)."""
+    bands = [b for b in SURFACE_BANDS if f"dn_{b}" in obs.columns]
+    out = obs.withColumns({**{b: B.scale_sr(f"dn_{b}") for b in bands}, "bt_k": B.scale_st("dn_st")})
+    return mask(out, B.qa_mask("qa"), [*bands, "bt_k"])
+
+
+def raster_indices(suffix: str) -> dict[str, Column]:
+    """The seven indices of a composite's bands, in the raster's own forms (no epsilon, vegetation index over SWIR1)."""
+    nir, red = F.col("nir"), F.col("red")
+    out = {
+        "NDVI": B.ndvi("nir", "red", None), "NDWI": B.ndwi("green", "nir", None), "MNDWI": B.mndwi("green", "swir1", None),
+        "NDBI": B.ndbi("swir1", "nir", None), "EVI": B.evi("nir", "red", "swir1", "swir1"),
+        "SAVI": F.try_divide((nir - red) * F.lit(1.5), nir + red + F.lit(0.5)), "NBI": F.try_divide(red * F.col("swir1"), nir),
+    }
+    return {f"{k}_{suffix}": v for k, v in out.items()}
+
+
+def sentinel_composite(scenes: DataFrame, clouds: DataFrame, key: str = "scene_id", keys: Sequence[str] = PIXEL, **limits) -> DataFrame:
+    """Cloud-probability link, mask, scale, median per pixel, seven indices: S2_Blue ... S2_SWIR2 and NDVI_S2 ... NBI_S2.
+
+    ``scenes`` has dn_blue ... dn_swir2 and ``scene_class``, ``clouds`` the key and ``probability`` (of several the least
+    counts). A scene without a cloud probability is dropped, as in an inner link.
+    """
+    linked = scenes.join(clouds.groupBy(key).agg(F.min("probability").alias("probability")), key)
+    scaled = linked.withColumns({b: B.s2_reflectance(f"dn_{b}") for b in SURFACE_BANDS})
+    clear = mask(scaled, B.s2_good("probability", "scene_class"), SURFACE_BANDS)
+    image = composite(clear, SURFACE_BANDS, keys=keys, **limits)
+    names = dict(zip(SURFACE_BANDS, ("S2_Blue", "S2_Green", "S2_Red", "S2_NIR", "S2_SWIR1", "S2_SWIR2"), strict=True))
+    return image.withColumns(raster_indices("S2")).withColumnsRenamed(names)
+
+
+def landsat_composite(obs: DataFrame, **limits) -> DataFrame:
+    """Median bands L_Blue ... L_SWIR2, surface temperature and emissivity (per scene first), seven indices and albedo."""
+    scenes = with_reflectance(obs).withColumn("emissivity", B.emissivity("red", "nir"))
+    scenes = scenes.withColumn("lst_celsius", B.lst_from_bt("bt_k", "emissivity"))
+    image = composite(scenes, ["lst_celsius", "emissivity", *SURFACE_BANDS], **limits)
+    names = dict(zip(SURFACE_BANDS, ("L_Blue", "L_Green", "L_Red", "L_NIR", "L_SWIR1", "L_SWIR2"), strict=True))
+    return image.withColumns({**raster_indices("L"), "albedo": B.albedo("blue", "red", "nir", "swir1", "swir2")}).withColumnsRenamed(names)
 
 
 def lst_stack(obs: DataFrame, **limits) -> DataFrame:
@@ -330,18 +363,25 @@ def attach_coords(
 
 
 def hot_season_table(obs: DataFrame, shared: DataFrame | None, n: int, seed: int = 42, **limits) -> DataFrame:
-    """Lean hot-season stack (months 3-5): surface temperature, indices and shared layers; n/2 samples, seed + 1.
-
-    Bands are reduced first and the indices taken of the composite; only the temperature is taken per scene.
+    """The hot-season sample: months 3 to 5, temperature and emissivity per scene, then medians; four indices and the albedo
+    of the composite; the bands of ``shared`` beside them. Incomplete pixels are dropped, ``n`` // 2 are sampled, and of
+    these only rows with temperature, vegetation index and (where it is among the bands) hot-season radiation count.
     """
-    hot = season_filter(obs, 3, 5)
-    scenes = with_reflectance(hot).withColumn("emissivity", B.emissivity("red", "nir"))
-    scenes = scenes.withColumn("lst_celsius", B.lst_from_bt("bt_k", "emissivity"))
-    image = composite(scenes, ["lst_celsius", "red", "nir", "swir1"], **limits)
-    image = image.withColumns({"NDVI_L": B.ndvi("nir", "red", None), "NDBI_L": B.ndbi("swir1", "nir", None)}).drop("red", "nir", "swir1")
+    image = landsat_composite(season_filter(obs, 3, 5), **limits)
+    image = image.select(*PIXEL, "lst_celsius", "emissivity", "NDVI_L", "NDBI_L", "MNDWI_L", "EVI_L", "albedo")
+    if shared is not None:
+        image = band_stack(image, shared)
+    needed = [c for c in ("lst_celsius", "NDVI_L", "solar_hot_W_m2") if c in image.columns]
+    return sample_pixels(image, n // 2, seed + 1).na.drop("any", subset=needed)
+
+
+def base_stack(obs: DataFrame, scenes: DataFrame, clouds: DataFrame, shared: DataFrame | None, n: int, place: tuple[float, float, float], seed: int = 42, **limits) -> DataFrame:
+    """From scenes to the sampled cell table: Landsat and Sentinel composites with their indices, the shared bands, a
+    sample of ``n`` complete pixels, and coordinates from (lon0, lat0, step)."""
+    image = band_stack(landsat_composite(obs, **limits), sentinel_composite(scenes, clouds, **limits))
     if shared is not None:
         image = band_stack(image, shared)
-    return sample_pixels(image, n // 2, seed + 1)
+    return attach_coords(sample_pixels(image, n, seed), *place, season="annual")
 
 
 def region_stats(image: DataFrame, col: str) -> DataFrame:

@@ -117,6 +117,10 @@ def filter_tags(features: DataFrame, tags: Mapping[str, object], col: str = "tag
     return features.filter(hit)
 
 
+# Features in one part file of a document.
+FILE_ROWS = 100_000
+
+
 def feature_json(df: DataFrame, rings: str = "rings", properties: list[str] | None = None) -> Column:
     """One GeoJSON Feature per row, as text."""
     props = properties or [c for c in df.columns if c != rings]
@@ -135,16 +139,26 @@ def feature_lines(df: DataFrame, rings: str = "rings", properties: list[str] | N
     return df.select(feature_json(df, rings, properties).alias("value"))
 
 
-def write_geojson(df: DataFrame, path: str, rings: str = "rings", properties: list[str] | None = None, collection: bool = False) -> None:
+def write_geojson(df: DataFrame, path: str, rings: str = "rings", properties: list[str] | None = None, collection: bool = False, file_rows: int = FILE_ROWS) -> None:
     """Feature-per-line text files; with ``collection`` one FeatureCollection document of any length.
 
-    A single document has a single writer: the features stream through one task, line by line, none held back.
+    A document is written by many tasks: its features are numbered, ranges of ``file_rows`` of them go to one part file
+    each, the first row opens and the last one closes the document. The parts, one after the other, are the document; up
+    to ``file_rows`` features it is one file.
     """
     lines = feature_lines(df, rings, properties)
     if collection:
-        ordered = number_rows(lines.withColumns({"_all": F.lit(0), "_order": F.monotonically_increasing_id()}), ["_all"], ["_order"])
-        comma = F.when(F.col("_rn") > 1, ",").otherwise("")
-        ends = df.sparkSession.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2**62, "]}")], "_rn long, value string")
-        whole = ordered.select("_rn", F.concat(comma, "value").alias("value")).unionByName(ends)
-        lines = whole.repartition(1).sortWithinPartitions("_rn").select("value")
+        opening, closing = '{"type":"FeatureCollection","features":[', "]}"
+        ordered = cut_lineage(number_rows(lines.withColumns({"_all": F.lit(0), "_order": F.monotonically_increasing_id()}), ["_all"], ["_order"]))
+        n = ordered.count()
+        before = F.when(F.col("_rn") == 1, opening).otherwise(",")
+        after = F.when(F.col("_rn") == n, closing).otherwise("")
+        whole = ordered.select("_rn", F.concat(before, "value", after).alias("value"))
+        if not n:
+            whole = df.sparkSession.createDataFrame([(1, opening + closing)], "_rn long, value string")
+        # consecutive numbers fall into the part files in order
+        parts = max(1, -(-n // file_rows))
+        part = F.least(F.floor((F.col("_rn") - 1) / F.lit(file_rows)), F.lit(parts - 1))
+        spread = whole.repartition(1) if parts == 1 else whole.withColumn("_part", part).repartitionByRange(parts, "_part")
+        lines = spread.sortWithinPartitions("_rn").select("value")
     lines.write.mode("overwrite").text(path)

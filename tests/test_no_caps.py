@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberfield.functions import scalars
-from emberfield.operators import temporal
+from emberfield.operators import columns, temporal
 from emberfield.plans import planning
 from emberfield.sources import files, geojson
 
@@ -94,3 +94,25 @@ def test_points_without_place_and_with_repeated_ids(spark):
     cells = spark.createDataFrame([(7, nan, 0.0), (8, 1.0, 1.0), (9, None, 0.0)], "cell_id long, lon double, lat double")
     near = spatial.nearest_cell(spark.createDataFrame([(1, 0.0, 0.0)], "qid long, lon double, lat double"), cells).collect()
     assert [(r["qid"], r["cell_id"]) for r in near] == [(1, 8)]
+
+
+def test_one_document_from_many_tasks(spark, tmp_path):
+    lines = spark.createDataFrame([(feature(i, n=i),) for i in range(50)], "value string")
+    polys = geojson.parse_features(lines).select(F.col("properties")["n"].alias("n"), F.col("parts").alias("rings"))
+    for rows, files in ((7, 8), (50, 1), (100, 1)):
+        path = tmp_path / f"layer{rows}"
+        geojson.write_geojson(polys.repartition(5), str(path), properties=["n"], collection=True, file_rows=rows)
+        parts = sorted(path.glob("part-*"))
+        assert sum(p.stat().st_size > 0 for p in parts) == files
+        document = json.loads("".join(p.read_text() for p in parts))
+        assert document["type"] == "FeatureCollection" and sorted(int(f["properties"]["n"]) for f in document["features"]) == list(range(50))
+    geojson.write_geojson(polys.limit(0), str(tmp_path / "none"), properties=["n"], collection=True)
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "none").glob("part-*")))["features"] == []
+
+
+def test_mapped_values(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", 5.0), (3, None, None), (3, "c", None)], "id int, k string, v double")
+    mapping = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 1.5), (None, 9.0)], "key string, value double")
+    got = sorted((r["id"], str(r["v"])) for r in columns.map_values(df, "k", mapping, "v", only_missing=True).collect())
+    assert got == [(1, "1.0"), (2, "5.0"), (3, "None"), (3, "None")]
+    assert {r["k"]: r["v"] for r in columns.map_values(df, "k", mapping, "v").collect()} == {"a": 1.0, "b": 1.5, None: None, "c": None}
