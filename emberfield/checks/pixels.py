@@ -282,13 +282,13 @@ _STACK = ["lst_celsius", "emissivity", "L_Blue", "L_Green", "L_Red", "L_NIR", "L
     a as (select px, py, avg(t2m_k-273.15e0) as air_temp_C from obs group by px, py),
     img as (select * from l join s using (px, py) join a using (px, py) where {' and '.join(f'{c} is not null' for c in _STACK)})
     select px, py, 73.7e0 + px*1e-3 as lon, 18.4e0 + py*1e-3 as lat, '2023' as year, 'annual' as season, format('{{:.4f}}_{{:.4f}}', 18.4e0 + py*1e-3, 73.7e0 + px*1e-3) as grid_id,
-      {', '.join(q(c, c) for c in _STACK)} from img order by md5(concat(px, '|', py, '|42')) limit 400""",
+      {', '.join(q(c, c, 9) for c in _STACK)} from img order by md5(concat(px, '|', py, '|42')) limit 400""",
 )
 def base_stack(spark, d):
     o = _obs(spark, d)
     air = o.groupBy("px", "py").agg(F.avg(B.kelvin_to_celsius("t2m_k")).alias("air_temp_C"))
     out = R.base_stack(o, o, _clouds(spark, d), air, 400, (73.7, 18.4, 1e-3))
-    return rounded(out, skip=("lon", "lat"))
+    return rounded(out, 9, skip=("lon", "lat"))
 
 
 @check(
