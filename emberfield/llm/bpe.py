@@ -73,8 +73,8 @@ class WordEncoder:
     words, one after the other, and their numbers of ids.
     """
 
-    def __init__(self, words: Callable[[list[str]], tuple[np.ndarray, Sequence[int]]], specials: dict[str, int], dtype: np.dtype):
-        self._words, self._dtype, self._specials = words, dtype, specials
+    def __init__(self, words: Callable[[list[str]], tuple[np.ndarray, Sequence[int]]], specials: dict[str, int], dtype: np.dtype, share: float = 1.0):
+        self._words, self._dtype, self._specials, self._share = words, dtype, specials, share
         self._special = regex.compile("|".join(regex.escape(t) for t in sorted(specials, key=len, reverse=True))) if specials else None
         self._cut = Pieces()
         self.forget()
@@ -104,7 +104,7 @@ class WordEncoder:
         new = list(distinct_words.difference(self._known))
         if new:
             cost = len(new) * WORD_COST + sum(map(len, new))
-            if self._held and self._held + cost > MEMORY_BYTES:
+            if self._held and self._held + cost > MEMORY_BYTES * self._share:
                 self.forget()
                 new = list(distinct_words.difference(self._known))
                 cost = len(new) * WORD_COST + sum(map(len, new))
@@ -205,7 +205,7 @@ class PairIndexBpe:
         pairs = (left << 32) | right
         self._order = np.argsort(pairs, kind="stable")
         self._pairs = pairs[self._order]
-        self._encoder = WordEncoder(self.merge, self.specials, self.dtype)
+        self._encoder = WordEncoder(self.merge, self.specials, self.dtype, 0.5)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair of ids, -1 where there is none."""
@@ -332,6 +332,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
             values = list(model.encode(column))
             at = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, dtype=model.dtype), *values]).astype(np.int32)))
+        model.forget()  # the worker may go on with tasks of other stages
 
     return docs.withColumn(ids, map_column(docs.sparkSession, work, "array<int>")(F.col(text).cast("string")))
 
@@ -363,6 +364,7 @@ def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                 digits.append(hashlib.sha256(memoryview(model.digits_of(ids))[:-1]).hexdigest())
                 decoded.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digits, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        model.forget()  # the worker may go on with tasks of other stages
 
     frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return map_arrow(frame, work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
