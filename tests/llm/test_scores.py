@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -5,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from emberfield.llm import quality, spans, toxicity
 
@@ -96,3 +98,36 @@ def test_grams_of_few_toxic_rows_are_learned(docs_of, labels_of):
     fresh = docs_of([(i, text(i % 2)) for i in range(1000, 1040)])
     rows = toxicity.toxicity(fresh, model).collect()
     assert all((x["score"] > 0.5) == bool(x["doc_id"] % 2) for x in rows)
+
+
+def test_ftrl_against_a_loop_per_coordinate():
+    r = random.Random(6)
+    rows = [(sorted(r.sample(range(12), r.randrange(1, 7))), r.randrange(2), r.choice([0.5, 1.0, 3.0])) for _ in range(400)]
+    alpha, beta, l1, l2 = 0.7, 1.3, 0.4, 0.2
+    fast = toxicity.Ftrl(12, alpha, beta, l1, l2)
+    z, n = [0.0] * 13, [0.0] * 13
+
+    def weight(i):
+        a, b = (l1, l2) if i < 12 else (0.0, 0.0)
+        if abs(z[i]) <= a:
+            return 0.0
+        return -(z[i] - math.copysign(a, z[i])) / ((beta + math.sqrt(n[i])) / alpha + b)
+
+    for features, y, importance in rows:
+        on = [*features, 12]  # the last is the bias
+        w = {i: weight(i) for i in on}
+        g = importance * (1 / (1 + math.exp(-sum(w.values()))) - y)
+        for i in on:
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+        fast.learn(np.array(on), y, importance)
+    assert fast.weights(np.arange(13)) == pytest.approx([weight(i) for i in range(13)], abs=1e-12)
+
+
+def test_sample_takes_one_row_per_id(docs_of, labels_of):
+    docs = docs_of([(i % 7, f"text {i} of a document") for i in range(3000)])
+    labels = labels_of([(i, i % 2, 0) for i in range(7)])
+    rows = quality.labelled_rows(docs, labels, "quality", 5).collect()
+    assert len(rows) == 5 and len({r["doc_id"] for r in rows}) == 5
+    assert all(r["y"] == r["doc_id"] % 2 for r in rows)
