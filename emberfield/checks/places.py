@@ -14,6 +14,7 @@ from emberfield.operators import temporal as TM
 from emberfield.operators import wards as W
 from emberfield.operators.impute import fill_albedo
 from emberfield.operators.point_index import open_point_index, write_point_index
+from emberfield.scale import quantile_sketches
 
 CELLS = f"with {X.CELLS_CTE} "
 PLACED = CELLS + f", {X.WARDS_CTE}, {X.WITHIN_CTE} "
@@ -302,6 +303,18 @@ def a4(spark, d):
     return rounded(ST.describe(X.cells(spark, d)))
 
 
+@check(
+    "a4_describe_kept",
+    CELLS + f"""select count(lst_celsius) as count, {q('avg(lst_celsius)', 'mean')}, {q('stddev_samp(lst_celsius)', 'std')}, {q('min(lst_celsius)', 'min')}, {q('max(lst_celsius)', 'max')},
+      {q('quantile_cont(lst_celsius, 0.25)', 'q25')}, {q('quantile_cont(lst_celsius, 0.5)', 'q50')}, {q('quantile_cont(lst_celsius, 0.75)', 'q75')} from cells""",
+)
+def a4_kept(spark, d):
+    """Sketches of each land cover's cells are written beside the table; the quartiles of all cells come through them."""
+    cells, folder = X.cells(spark, d), scratch(spark, "sketches")
+    quantile_sketches(cells, ["LULC_ESA"], ["lst_celsius"]).write.parquet(folder)
+    return rounded(ST.describe(cells, sketches=spark.read.parquet(folder), group_rows=2_000))
+
+
 @check("a5_city_summary", CELLS + f"select {q('min(lst_celsius)', 'lst_min')}, {q('max(lst_celsius)', 'lst_max')}, {q('avg(lst_celsius)', 'lst_mean')}, count(*) as total_rows from cells")
 def a5(spark, d):
     return rounded(ST.city_summary(X.cells(spark, d)))

@@ -84,9 +84,9 @@ def impute_grouped_median(
     return filled.withColumns({c: F.coalesce(F.col(c), g[f"_m_{c}"]) for c in todo}).select(*df.columns)
 
 
-def fit_medians(train: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+def fit_medians(train: DataFrame, cols: Sequence[str], sketches: DataFrame | None = None) -> dict[str, float | None]:
     """Exact medians of the training rows (one row to the driver)."""
-    row = exact_percentiles(train, [], {c: (c, 0.5) for c in cols}).first()
+    row = exact_percentiles(train, [], {c: (c, 0.5) for c in cols}, sketches=sketches).first()
     return {c: row[c] for c in cols}
 
 

@@ -384,10 +384,10 @@ def base_stack(obs: DataFrame, scenes: DataFrame, clouds: DataFrame, shared: Dat
     return attach_coords(sample_pixels(image, n, seed), *place, season="annual")
 
 
-def region_stats(image: DataFrame, col: str) -> DataFrame:
+def region_stats(image: DataFrame, col: str, sketches: DataFrame | None = None) -> DataFrame:
     """min, max, percentiles 25/50/75/95 and sum over the region in one row."""
     ps = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    q = exact_percentiles(image, [], {n: (col, p) for n, p in ps.items()})
+    q = exact_percentiles(image, [], {n: (col, p) for n, p in ps.items()}, sketches=sketches)
     g = scalar_struct(q, {n: F.first(n) for n in ps})
     return image.agg(F.min(col).alias("min"), F.max(col).alias("max"), F.sum(col).alias("sum")).withColumns(
         {n: g[n] for n in ps}

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 GROUP_ROWS = 2_000_000
 # Rows of a narrow (numeric) table that may be shipped to every executor.
 BROADCAST_ROWS = 200_000
-_GRID = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,147 +82,166 @@ def scalar_struct(df: DataFrame, aggs: Mapping[str, Column]) -> Column:
 # --------------------------------------------------------------------------------------------------
 
 
+# Size of a quantile sketch (bytes grow with it); its brackets leave about SLACK / k^0.9 of the rows on either side.
+SKETCH_K = 4096
+SLACK = 4.0
+
+
+def quantile_sketches(df: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int = SKETCH_K) -> DataFrame:
+    """Mergeable quantile sketches to keep beside a table: one row per key and column (``_c``, ``_n``, ``_s``).
+
+    Sketches of a table's parts (days, say) are appended as the parts land; ``exact_percentiles`` merges whatever rows of
+    a key it is given. They only say where to look, so outdated or foreign sketches cost time and change no result.
+    """
+    rows = _long(df, list(keys), cols).filter(F.col("_v").isNotNull())
+    return rows.groupBy(*keys, "_c").agg(F.count("_v").alias("_n"), F.kll_sketch_agg_double("_v", F.lit(k)).alias("_s"))
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
     group_rows: int = GROUP_ROWS,
     known_group_rows: int | None = None,
+    sketches: DataFrame | None = None,
+    k: int = SKETCH_K,
 ) -> DataFrame:
     """Exact interpolated percentiles: one row per key with a column per ``wanted`` (name -> (column, p)).
 
     Spark's ``percentile`` holds every distinct value of a group in one task. That is right for ordinary
-    groups; groups above ``group_rows`` are instead narrowed round by round to a small value bracket.
+    groups; groups above ``group_rows`` are instead narrowed to a small value bracket and read off there.
     ``known_group_rows`` is a bound on the group size that the caller already knows (saves the counting job).
+    ``sketches`` are kept ones of the same keys and columns: they give sizes and brackets without a pass.
     """
     keys = list(keys)
     cols = sorted({c for c, _ in wanted.values()})
     budget = max(1, group_rows // max(1, len(cols)))
+    if sketches is not None:
+        sketches = sketches.filter(F.col("_c").isin(cols))
 
     def direct(part: DataFrame) -> DataFrame:
         aggs = [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
         return part.groupBy(*keys).agg(*aggs) if keys else part.agg(*aggs)
 
+    def sizes() -> DataFrame:
+        if sketches is None:
+            return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        return sketches.groupBy(*keys, "_c").agg(F.sum("_n").alias("_n")).groupBy(*keys).agg(F.max("_n").alias("_n"))
+
     if known_group_rows is not None:
         peak = known_group_rows
-    elif keys:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        peak = sizes.agg(F.max("_n")).first()[0] or 0
+    elif keys or sketches is not None:
+        peak = sizes().agg(F.max("_n")).first()[0] or 0
     else:
         peak = df.count()
     if peak <= budget:
         return direct(df)
     if not keys:
-        return _narrowed(df, [], wanted, budget)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = cut_lineage(sizes.filter(F.col("_n") > budget).drop("_n"))
+        return _narrowed(df, [], wanted, k, sketches)
+    hot = cut_lineage(sizes().filter(F.col("_n") > budget).drop("_n"))
     hot = ship_if_small(hot)
     return direct(df.join(hot, keys, "left_anti")).unionByName(
-        _narrowed(df.join(hot, keys, "left_semi"), keys, wanted, budget)
+        _narrowed(df.join(hot, keys, "left_semi"), keys, wanted, k, sketches)
     )
 
 
+def _long(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(keys, _c, _v): one row per row and column."""
+    pairs = [F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols]
+    return df.select(*keys, F.explode(F.array(*pairs)).alias("_s")).select(*keys, "_s._c", "_s._v")
+
+
+def _brackets(merged: DataFrame, gk: list[str], wanted: Mapping[str, tuple[str, float]], k: int) -> DataFrame:
+    """(keys, _c, _at): an array of (p, lo, hi) for each percentile wanted of the column; null bounds are open."""
+    slack = SLACK / k**0.9
+    quantile = lambda r: F.kll_sketch_get_quantile_double("_s", F.lit(r))
+    open_end = F.lit(None).cast("double")
+    every = F.array(*[
+        F.struct(
+            F.lit(c).alias("c"), F.lit(p).alias("p"),
+            (open_end if p <= slack else quantile(p - slack)).alias("lo"),
+            (open_end if p >= 1 - slack else quantile(p + slack)).alias("hi"),
+        )
+        for c, p in sorted(set(wanted.values()))
+    ])
+    mine = F.filter(every, lambda b: b["c"] == F.col("_c"))
+    return merged.select(*gk, F.transform(mine, lambda b: F.struct(b["p"], b["lo"], b["hi"])).alias("_at"))
+
+
 def _narrowed(
-    df: DataFrame, keys: list[str], wanted: Mapping[str, tuple[str, float]], limit: int
+    df: DataFrame, keys: list[str], wanted: Mapping[str, tuple[str, float]], k: int, sketches: DataFrame | None
 ) -> DataFrame:
-    """Percentiles of very large groups.
+    """Percentiles of very large groups, all of them in two passes over the rows, or one where sketches are kept.
 
-    Each round takes 1,025 approximate quantiles of the rows still in the bracket (bounded sketch, partial
-    aggregation) and keeps the three grid steps around the wanted rank, so the open interior shrinks about
-    340-fold. When the interior is small, values are counted (copies collapse) and the rank is read off.
+    Merged sketches give every percentile a bracket of values. One pass counts the rows below and above each bracket
+    and the copies of each value inside (partial sums), so ranks are exact whatever the sketches said; a rank outside
+    its bracket has another pass without bounds. Running counts over ranges of the kept values find the range that
+    holds the rank, and only its values are put in order.
     """
     gk = [*keys, "_c"]
     cols = sorted({c for c, _ in wanted.values()})
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])
-        ).alias("_s"),
-    ).select(*keys, "_s._c", "_s._v").filter(F.col("_v").isNotNull())
-
-    by_p: dict[float, list[tuple[str, str]]] = {}
-    for name, (c, p) in wanted.items():
-        by_p.setdefault(p, []).append((name, c))
-
-    out: DataFrame | None = None
-    for p, names in by_p.items():
-        used = [c for _, c in names]
-        values = long.filter(F.col("_c").isin(used))
-        rank = F.lit(p) * (F.col("_n") - 1)
-        state = cut_lineage(
-            values.groupBy(*gk)
-            .agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-            .withColumns(
-                {
-                    "_k0": F.floor(rank),
-                    "_k1": F.ceil(rank),
-                    "_below": F.lit(0).cast("long"),
-                    "_in": F.col("_n"),
-                    "_open": F.col("_n"),
-                }
-            )
-        )
-        while (state.agg(F.max("_open")).first()[0] or 0) > limit:
-            todo = values.join(ship_if_small(state), gk).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            grid = todo.groupBy(*gk).agg(
-                F.percentile_approx("_v", [i / _GRID for i in range(_GRID + 1)], 100_000).alias("_q")
-            )
-            i0 = F.floor((F.col("_k0") - F.col("_below")) / F.col("_in") * _GRID) - 1
-            i1 = F.ceil((F.col("_k1") - F.col("_below")) / F.col("_in") * _GRID) + 1
-            tight = (
-                state.join(grid, gk)
-                .withColumns({"_i0": i0.cast("int"), "_i1": i1.cast("int")})
-                .withColumns(
-                    {
-                        "_lo": F.when(F.col("_i0") <= 0, F.col("_lo")).otherwise(
-                            F.element_at("_q", F.greatest(F.col("_i0"), F.lit(0)) + 1)
-                        ),
-                        "_hi": F.when(F.col("_i1") >= _GRID, F.col("_hi")).otherwise(
-                            F.element_at("_q", F.least(F.col("_i1"), F.lit(_GRID)) + 1)
-                        ),
-                    }
-                )
-                .select(*gk, "_n", "_k0", "_k1", "_lo", "_hi")
-            )
-            tight = cut_lineage(tight)
-            state = cut_lineage(
-                values.join(ship_if_small(tight), gk)
-                .groupBy(*gk, "_n", "_k0", "_k1", "_lo", "_hi")
-                .agg(
-                    F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-                    F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_in"),
-                    F.count_if((F.col("_v") > F.col("_lo")) & (F.col("_v") < F.col("_hi"))).alias("_open"),
-                )
-            )
-        held = (
-            values.join(ship_if_small(state), gk)
-            .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(*gk, "_v", "_k0", "_k1", "_below", "_n")
-            .agg(F.count(F.lit(1)).alias("_m"))
+    long = _long(df, keys, cols)
+    if sketches is None:
+        sketches = quantile_sketches(df, keys, cols, k)
+    merged = sketches.groupBy(*gk).agg(F.kll_merge_agg_double("_s").alias("_s"))
+    brackets = ship_if_small(cut_lineage(_brackets(merged, gk, wanted, k)))
+    open_end = F.lit(None).cast("double")
+    ends = {c: sorted({p for d, p in wanted.values() if d == c}) for c in cols}
+    anywhere = F.array(*[F.struct(F.lit(c).alias("c"), F.array(*[F.lit(p) for p in ps]).alias("ps")) for c, ps in ends.items()])
+    mine = F.filter(anywhere, lambda b: b["c"] == F.col("_c"))[0]["ps"]
+    unbounded = F.transform(mine, lambda p: F.struct(p.alias("p"), open_end.alias("lo"), open_end.alias("hi")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """(keys, _c, _p, _side, _v, _m): side -1 below, 0 inside with its value, 1 above, 2 null."""
+        v, lo, hi = F.col("_v"), F.col("_b.lo"), F.col("_b.hi")
+        side = F.when(v.isNull(), 2).when(v < lo, -1).when(v > hi, 1).otherwise(0)
+        met = rows.withColumn("_b", F.explode("_at")).select(*gk, F.col("_b.p").alias("_p"), side.alias("_side"), "_v")
+        inside = F.when(F.col("_side") == 0, F.col("_v"))
+        return cut_lineage(met.groupBy(*gk, "_p", "_side", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_m")))
+
+    def ranked(held: DataFrame) -> DataFrame:
+        """(keys, _c, _p, _n, _below, _held, _pos): where the wanted ranks are."""
+        total = lambda which: F.coalesce(F.sum(F.when(which, F.col("_m"))), F.lit(0))
+        side = F.col("_side")
+        tally = held.groupBy(*gk, "_p").agg(
+            total(side < 2).alias("_n"), total(side == -1).alias("_below"), total(side == 0).alias("_held")
         )
-        w = Window.partitionBy(*gk).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = F.col("_below") + F.sum("_m").over(w)
-        pick = held.withColumn("_cum", cum).groupBy(*gk, "_k0", "_k1", "_n").agg(
-            F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_v"))).alias("_a"),
-            F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_v"))).alias("_b"),
-        )
-        pos = F.lit(p) * (F.col("_n") - 1)
-        value = F.when(F.col("_k0") == F.col("_k1"), F.col("_a")).otherwise(
-            (F.col("_k1") - pos) * F.col("_a") + (pos - F.col("_k0")) * F.col("_b")
-        )
-        aggs = [F.max(F.when(F.col("_c") == c, value)).alias(n) for n, c in names]
-        part = pick.groupBy(*keys).agg(*aggs) if keys else pick.agg(*aggs)
-        if out is None:
-            out = part
-        elif keys:
-            out = out.join(part, keys, "full")
-        else:
-            held_struct = part.agg(F.struct(*[F.max(n).alias(n) for n, _ in names])).scalar()
-            out = out.withColumns({n: held_struct[n] for n, _ in names})
-    if keys:
-        # a key whose values are all null still has a row, as with the direct aggregate
-        out = df.select(*keys).distinct().join(out, keys, "left")
-    return out.select(*keys, *wanted)
+        return cut_lineage(tally.withColumn("_pos", F.col("_p") * (F.col("_n") - 1)))
+
+    near = long.join(brackets, gk, "left").withColumn("_at", F.coalesce("_at", unbounded))
+    held = counted(near)
+    ranks = ranked(held)
+    first, last = F.floor("_pos"), F.ceil("_pos")
+    missed = (F.col("_n") > 0) & ((first < F.col("_below")) | (last >= F.col("_below") + F.col("_held")))
+    lost = ranks.filter(missed).select(*gk, "_p")
+    again = lost.count()
+    if again:
+        everywhere = F.collect_list(F.struct(F.col("_p").alias("p"), open_end.alias("lo"), open_end.alias("hi")))
+        whole = lost.groupBy(*gk).agg(everywhere.alias("_at"))
+        lost = ship_if_small(lost, again)
+        held = held.join(lost, [*gk, "_p"], "left_anti").unionByName(counted(long.join(ship_if_small(whole, again), gk)))
+        ranks = ranked(held)
+
+    # the range of kept values that holds the rank, by running counts over ranges
+    kept = held.filter("_side = 0").repartitionByRange(*gk, "_p", "_v")
+    kept = cut_lineage(kept.select(*gk, "_p", "_v", "_m", F.spark_partition_id().alias("_part")))
+    spans = kept.groupBy(*gk, "_p", "_part").agg(F.sum("_m").alias("_w"))
+    earlier = Window.partitionBy(*gk, "_p").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_below") + F.coalesce(F.sum("_w").over(earlier), F.lit(0))
+    spans = spans.join(ranks.drop("_held"), [*gk, "_p"]).withColumn("_before", before)
+    holds = lambda rank: (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_w"))
+    spans = cut_lineage(spans.filter(holds(first) | holds(last)).drop("_w", "_below"))
+    w = Window.partitionBy(*gk, "_p", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = kept.join(ship_if_small(spans), [*gk, "_p", "_part"]).withColumn("_upto", F.col("_before") + F.sum("_m").over(w))
+    pick = here.groupBy(*gk, "_p", "_pos").agg(
+        F.min(F.when(F.col("_upto") > first, F.col("_v"))).alias("_a"), F.min(F.when(F.col("_upto") > last, F.col("_v"))).alias("_b")
+    )
+    value = F.when(first == last, F.col("_a")).otherwise((last - F.col("_pos")) * F.col("_a") + (F.col("_pos") - first) * F.col("_b"))
+    aggs = [F.max(F.when((F.col("_c") == c) & (F.col("_p") == p), value)).alias(n) for n, (c, p) in wanted.items()]
+    if not keys:
+        return pick.agg(*aggs)
+    # a key whose values are all null still has a row, as with the direct aggregate
+    return ranks.select(*keys).distinct().join(pick.groupBy(*keys).agg(*aggs), keys, "left").select(*keys, *wanted)
 
 
 # --------------------------------------------------------------------------------------------------

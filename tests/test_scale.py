@@ -113,3 +113,48 @@ def test_repaired_plans_fit_the_budget(spark):
     fixed = planning.repair_budget(plan, 1e7).withColumn("frac", F.col("frac_repaired"))
     cost = planning.plan_costs(fixed.drop("cost")).groupBy("plan_id").agg(F.sum("cost").alias("c")).agg(F.max("c")).first()[0]
     assert cost <= 1e7 * (1 + 1e-9)
+
+
+def _counting(spark, df):
+    """The same rows, and a counter of how many of them were ever computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(count, df.schema), seen
+
+
+def test_percentiles_of_large_groups_read_the_rows_twice(spark):
+    pdf = _hot(np.random.default_rng(13))
+    ps = {f"p{i}": (c, i / 10) for i, c in enumerate("vwvwvwvwvwv")}
+    df, seen = _counting(spark, spark.createDataFrame(pdf))
+    got = scale.exact_percentiles(df, [], ps, group_rows=60, known_group_rows=900).first()
+    assert all(np.isclose(got[n], pdf[c].quantile(p)) for n, (c, p) in ps.items())
+    assert seen.value == 2 * 900
+
+
+def test_kept_sketches_save_a_pass_and_never_change_results(spark):
+    pdf = _hot(np.random.default_rng(14))
+    base = spark.createDataFrame(pdf).withColumn("v", F.when(F.col("k") != 5, F.col("v")))
+    pdf.loc[pdf.k == 5, "v"] = np.nan
+    wanted = {"m": ("v", 0.5), "top": ("v", 1.0), "low": ("w", 0.0), "q": ("w", 0.37)}
+    parts = [scale.quantile_sketches(base.filter(f"id % 3 = {i}"), ["k"], ["v", "w"], k=64) for i in range(3)]
+    good = scale.cut_lineage(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    shifted = scale.cut_lineage(scale.quantile_sketches(base.withColumns({"v": F.col("v") + 9, "w": F.col("w") - 9}), ["k"], ["v", "w"]))
+    foreign = good.withColumn("k", F.when(F.col("k") == 3, 77).otherwise(F.col("k")))
+    for kept in (good, shifted, foreign, good.filter("_c = 'w'")):
+        df, seen = _counting(spark, base)
+        got = scale.exact_percentiles(df, ["k"], wanted, group_rows=60, sketches=kept, k=64).toPandas().set_index("k").sort_index()
+        assert len(got) == pdf.k.nunique()
+        for k, g in pdf.groupby("k"):
+            for n, (c, p) in wanted.items():
+                assert np.isclose(got.loc[k, n], g[c].quantile(p), equal_nan=True), (k, n)
+        if kept is good:  # the ordinary groups are read once by the direct aggregate, the large ones once as well
+            assert seen.value == 2 * 900
+    one = scale.exact_percentiles(base, [], wanted, group_rows=60, sketches=scale.quantile_sketches(base, [], ["v", "w"])).first()
+    assert np.isclose(one["m"], pdf.v.median()) and np.isclose(one["q"], pdf.w.quantile(0.37))
+    empty = scale.exact_percentiles(base.limit(0), [], wanted, known_group_rows=10**9).first()
+    assert empty["m"] is None and empty["q"] is None
