@@ -331,6 +331,13 @@ def _learnable(spark, d):
     return out.withColumn("lst_celsius", F.col("prediction") + (F.col("cell_id") * 17 % 29) / F.lit(29.0)).drop("prediction")
 
 
+def _all_features(spark, d):
+    """The learnable cells with the model features that the fixture lacks, each by its own step through the ids."""
+    cells = _learnable(spark, d)
+    lacking = [f for f in S.MODEL_FEATURES if f not in cells.columns]
+    return cells.withColumns({f: (F.col("cell_id") * (61 + 2 * i) % 997) / F.lit(99.7) for i, f in enumerate(lacking)})
+
+
 def _small(**kw):
     from emberfield.models.trees import TreeParams
 
@@ -366,6 +373,42 @@ def m1_report(spark, d):
     return metrics.select("split", "rows", (F.col("r2") > 0.6).alias("fits"))
 
 
+@check(
+    "m1_train_stopped",
+    CELLS + """, n as (select count(*) as n from cells) select 'val' as split, cast(floor(n*0.9e0 + 1e-9) - floor(n*0.8e0 + 1e-9) as bigint) as rows, 24 as features, true as fits, true as stopped from n
+      union all select 'test', cast(n - floor(n*0.9e0 + 1e-9) as bigint), 24, true, true from n""",
+)
+def m1_stopped(spark, d):
+    """All features of the main trainer, up to 800 rounds of depth 6, ended by the validation rows."""
+    from emberfield.models.trees import TreeParams, train_lst
+
+    params = TreeParams(rounds=800, depth=6, rate=0.3, bins=32, stop_tol=0.01)
+    model, _, metrics = train_lst(_all_features(spark, d), ["cell_id"], S.MODEL_FEATURES, params=params)
+    return metrics.select(
+        "split", "rows", F.lit(len(model.features)).alias("features"), (F.col("r2") > 0.6).alias("fits"),
+        F.lit(model.stage.getNumTrees < params.rounds).alias("stopped"),
+    )
+
+
+@check(
+    "m2_train_dated",
+    f"""with {X.SERIES_CTE}, c as (select date, avg(lst_celsius) as m, stddev_samp(lst_celsius) as s from series group by date),
+      l as (select coalesce(cast(lst_celsius > m + 2e0*s as int), 0) as hotspot_label from series join c using (date)),
+      n as (select hotspot_label, count(*) as n from l group by 1)
+    select hotspot_label, cast(n - floor(n*0.8e0 + 1e-9) as bigint) as rows, cast(n - floor(n*0.8e0 + 1e-9) as bigint) as scored from n""",
+)
+def m2_dated(spark, d):
+    """Lags, trends and per-date labels of the observed histories; test rows of both classes, all of them scored."""
+    from emberfield.models.trees import TreeParams, prepare_future, train_future
+
+    series = X.view(spark, d, X.CELL_SERIES).drop("ts")
+    rows = prepare_future(series, "grid_id", ("date", "event_id"))
+    feats = ["NDVI", "NDBI", *[f"{v}_lag_{y}yr" for v in ("lst", "ndvi") for y in (1, 2, 5)], "lst_trend_5yr", "ndvi_trend_5yr", "ndbi_change_5yr"]
+    scored = train_future(rows, ["event_id"], feats, TreeParams(rounds=500, depth=5, rate=0.3, bins=32, stop_tol=0.01))[2]
+    known = F.col("predicted_lst").isNotNull() & F.col("predicted_label").isin(0, 1) & F.col("hotspot_prob").between(0, 1)
+    return scored.groupBy("hotspot_label").agg(F.count(F.lit(1)).alias("rows"), F.count_if(known).alias("scored"))
+
+
 @check("m3_reload_report", CELLS + "select count(*) as rows, cast(0 as bigint) as different from cells")
 def m3_report(spark, d):
     """A saved and reloaded model predicts every row exactly as the fitted one."""
@@ -546,3 +589,19 @@ def t3b(spark, d):
     out = scratch(spark, "windows")
     OB.run_available(windows, out, scratch(spark, "windows-state"))
     return spark.read.schema(windows.schema).parquet(out)
+
+
+@check("t3_windowed_closed", _WIN + " select * from w")
+def t3c(spark, d):
+    """Two runs of one checkpoint: what has landed, then the closing row. Every window of the batch comes out."""
+    landed, out, state = scratch(spark, "obs-in"), scratch(spark, "windows"), scratch(spark, "windows-state")
+    series = X.view(spark, d, X.CELL_SERIES).select("event_id", "grid_id", F.col("ts").cast("timestamp").alias("ts"), "lst_celsius")
+    series.write.parquet(landed)
+    windows = rounded(OB.windowed_observations(spark.readStream.schema(series.schema).parquet(landed)))
+    windows = windows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    OB.run_available(windows, out, state)
+    last = spark.read.schema(series.schema).parquet(landed).agg(F.max("ts")).first()[0]
+    if last is not None:
+        OB.closing_row(spark, series.schema, last).write.mode("append").parquet(landed)
+        OB.run_available(windows, out, state)
+    return spark.read.schema(windows.schema).parquet(out)

@@ -18,7 +18,7 @@ from emberfield.operators.columns import select_features
 from emberfield.operators.impute import apply_medians, fit_medians
 from emberfield.operators.stats import class_balance, regression_metrics
 from emberfield.operators.temporal import hotspot_label, proxy_lags, temporal_features, train_val_test_split
-from emberfield.scale import cut_lineage
+from emberfield.scale import cut_lineage, hash_uniform, shared_dir
 
 TARGET = "lst_celsius"
 
@@ -35,12 +35,16 @@ class TreeParams:
     min_leaf: int = 3
     bins: int = 64
     seed: int = 42
+    stop_tol: float | None = None
+    """Least relative gain on validation rows that another round must bring; None runs all rounds."""
 
     def settings(self) -> dict:
         return dict(
             maxIter=self.rounds, maxDepth=self.depth, stepSize=self.rate, subsamplingRate=self.row_share,
             featureSubsetStrategy=str(self.column_share), minInstancesPerNode=self.min_leaf, maxBins=self.bins,
-            seed=self.seed,
+            seed=self.seed, **({} if self.stop_tol is None else {"validationTol": self.stop_tol}),
+            # rounds restart from shared files: node ids are kept and checkpointed every tenth round
+            cacheNodeIds=True, checkpointInterval=10,
         )
 
 
@@ -86,11 +90,20 @@ class FittedTrees:
         return FittedTrees([r["feature"] for r in rows], {r["feature"]: r["median"] for r in rows}, stage)
 
 
-def _fit(train: DataFrame, features: list[str], label: str, maker, params: TreeParams) -> FittedTrees:
-    medians = fit_medians(train, features)
-    model = FittedTrees(features, medians, None)
-    ready = model.assemble(train).select("_features", F.col(label).cast("double").alias("_label"))
-    model.stage = maker(featuresCol="_features", labelCol="_label", **params.settings()).fit(ready)
+def _fit(
+    train: DataFrame, features: list[str], label: str, maker, params: TreeParams, held: DataFrame | None = None
+) -> FittedTrees:
+    """Medians and trees of the training rows. With ``held`` and a ``stop_tol``, rounds end when the error on the held
+    rows no longer falls by that share, and the model keeps the rounds up to its best one."""
+    shared_dir(train.sparkSession)
+    model = FittedTrees(features, fit_medians(train, features), None)
+    watched = held is not None and params.stop_tol is not None and not held.isEmpty()
+    rows = train.withColumn("_held", F.lit(False))
+    if watched:
+        rows = rows.unionByName(held.withColumn("_held", F.lit(True)))
+    ready = model.assemble(rows).select("_features", F.col(label).cast("double").alias("_label"), "_held")
+    settings = params.settings() | ({"validationIndicatorCol": "_held"} if watched else {})
+    model.stage = maker(featuresCol="_features", labelCol="_label", **settings).fit(ready)
     return model
 
 
@@ -109,12 +122,12 @@ def train_lst(
     params: TreeParams = TreeParams(),
 ) -> tuple[FittedTrees, DataFrame, DataFrame]:
     """Fit the surface-temperature regressor on 80 % of the rows; returns the model, validation and test
-    predictions, and their metrics."""
+    predictions, and their metrics. With ``params.stop_tol`` the validation rows end the fit."""
     rows = df.filter(F.col(TARGET).isNotNull())
     used = list(features) if features else select_features(rows, optional=optional)
     where = [c for c in ("lon", "lat") if c in df.columns and c not in used]
     parts = cut_lineage(train_val_test_split(rows, ids, seed=params.seed).select(*ids, *where, TARGET, "split", *used))
-    model = _fit(parts.filter("split = 'train'"), used, TARGET, GBTRegressor, params)
+    model = _fit(parts.filter("split = 'train'"), used, TARGET, GBTRegressor, params, parts.filter("split = 'val'"))
     predictions = prediction_frame(parts.filter("split <> 'train'"), model, ids)
     return model, predictions, regression_metrics(predictions)
 
@@ -131,7 +144,8 @@ def train_future(
 ) -> tuple[FittedTrees, FittedTrees, DataFrame]:
     """Regression and hotspot classification on an 80/20 split, stratified when both classes have two rows.
 
-    Returns both models and the scored test rows. A single class gives a constant predictor.
+    Returns both models and the scored test rows. A single class gives a constant predictor. With ``params.stop_tol``
+    a tenth of the training rows, by hash, is held back to end both fits.
     """
     rows = df.filter(F.col(TARGET).isNotNull())
     wanted = list(features) if features else S.FUTURE_BASE_FEATURES + S.FUTURE_TEMPORAL_FEATURES
@@ -141,10 +155,13 @@ def train_future(
     stratify = "hotspot_label" if both and balance[0]["can_stratify"] else None
     parts = train_val_test_split(rows, ids, (0.8, 0.0, 0.2), params.seed, stratify)
     parts = cut_lineage(parts.select(*ids, TARGET, "hotspot_label", "split", *[c for c in used if c not in ids]))
-    train = parts.filter("split = 'train'")
-    reg = _fit(train, used, TARGET, GBTRegressor, params)
+    train, held = parts.filter("split = 'train'"), None
+    if params.stop_tol is not None:
+        back = hash_uniform(list(ids), f"{params.seed}:stop") < 0.1
+        train, held = train.filter(~back), train.filter(back)
+    reg = _fit(train, used, TARGET, GBTRegressor, params, held)
     if both:
-        cls = _fit(train, used, "hotspot_label", GBTClassifier, params)
+        cls = _fit(train, used, "hotspot_label", GBTClassifier, params, held)
     else:
         cls = FittedTrees(used, {}, None, majority=int(balance[0]["hotspot_label"]) if balance else 0)
     test = reg(parts.filter("split = 'test'")).withColumnRenamed("prediction", "predicted_lst")

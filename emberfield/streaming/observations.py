@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def windowed_observations(
@@ -26,10 +29,26 @@ def windowed_observations(
     )
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what has landed and stop; exactly-once files plus a checkpoint in the shared folder."""
+def closing_row(
+    spark: SparkSession, schema: StructType, last: datetime.datetime, window: str = "1 hour", late: str = "2 hours"
+) -> DataFrame:
+    """One row that ends a stream whose last event was at ``last``: landed like any observation, it moves the watermark
+    past every open window and every remembered id, so that the next run writes the rest and empties the state.
+
+    All columns but ``ts`` are null. The row's own window lies beyond the watermark it sets and is never written;
+    observations that land afterwards are late.
+    """
+    at = F.lit(last) + F.expr(f"greatest(interval {window}, interval {late})") + F.expr(f"interval {late}") + F.expr("interval 1 second")
+    kinds = {f.name: f.dataType for f in schema.fields}
+    return spark.range(1).select(*[(at if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> list[dict]:
+    """Process what has landed and stop; exactly-once files plus a checkpoint in the shared folder. Returns the recent
+    progress reports (rows kept in state, watermark)."""
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query.recentProgress
