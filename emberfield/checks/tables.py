@@ -394,6 +394,19 @@ def p14a(spark, d):
     return bbox_filter(X.cells(spark, d), 73.75, 18.45, 73.9, 18.6).select("cell_id")
 
 
+@check(
+    "p14_bbox_kept",
+    CELLS + f"select cell_id, {q('lst_celsius', 'lst_celsius')} from cells where lon between 73.75e0 and 73.9e0 and lat between 18.45e0 and 18.6e0",
+)
+def p14_kept(spark, d):
+    from emberfield.operators.point_index import open_point_index, write_point_index
+    from emberfield.operators.spatial import bbox_filter
+
+    folder = scratch(spark, "place")
+    write_point_index(X.cells(spark, d).select("cell_id", "lon", "lat", "lst_celsius"), folder, node_rows=2_000)
+    return rounded(bbox_filter(open_point_index(spark, folder), 73.75, 18.45, 73.9, 18.6).select("cell_id", "lst_celsius"))
+
+
 @check(
     "p14_study_bounds",
     CELLS + f""", g as (select min(lon) as w, max(lon) as e, min(lat) as s, max(lat) as n from cells)

@@ -105,11 +105,20 @@ class PointIndex:
     def visited(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(the boxes wanted by each query, the cells of these boxes): no other node's files are read."""
         wanted = cut_lineage(_wanted(queries, self.nodes, ["node"]))
-        names = [r["node"] for r in wanted.select("node").distinct().limit(NAMED_NODES + 1).collect()]
-        cells = self.cells
+        return wanted, self._cells_of(wanted.select("node").distinct())
+
+    def _cells_of(self, nodes: DataFrame) -> DataFrame:
+        names = [r["node"] for r in nodes.limit(NAMED_NODES + 1).collect()]
         if len(names) <= NAMED_NODES:
-            return wanted, cells.filter(F.col("node").isin(names))
-        return wanted, cells.join(wanted.select("node").distinct(), "node", "left_semi")
+            return self.cells.filter(F.col("node").isin(names))
+        return self.cells.join(nodes, "node", "left_semi")
+
+    def in_box(self, west: float, south: float, east: float, north: float) -> DataFrame:
+        """The cells of a closed rectangle: only files of nodes whose bounds meet it are opened, and in these only row
+        groups whose coordinates can lie inside (cells are in curve order)."""
+        meets = (F.col("x1") >= west) & (F.col("x0") <= east) & (F.col("y1") >= south) & (F.col("y0") <= north)
+        near = self._cells_of(self.nodes.filter(meets).select("node"))
+        return near.filter(F.col("lon").between(west, east) & F.col("lat").between(south, north)).drop("node")
 
     def nearest(self, queries: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         wanted, cells = self.visited(queries)

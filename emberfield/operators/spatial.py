@@ -326,7 +326,10 @@ def nearest_cell(
     return asked.select("_own", qid).join(near, "_own").select(qid, cell_id, "d2", *[c for c in carry if c not in (qid, cell_id, "d2")])
 
 
-def bbox_filter(df: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+def bbox_filter(df: DataFrame | PointIndex, west: float, south: float, east: float, north: float) -> DataFrame:
+    """Rows inside the closed rectangle. A kept index reads only the files and row groups that can hold them."""
+    if isinstance(df, PointIndex):
+        return df.in_box(west, south, east, north)
     return df.filter(F.col("lon").between(west, east) & F.col("lat").between(south, north))
 
 

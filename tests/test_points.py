@@ -119,3 +119,23 @@ def test_points_near_several_areas(spark):
     got = sorted((r["x_m"], r["area_id"]) for r in spatial.within_areas(points, areas, 1.0).collect())
     assert got == [(0.0, 2), (1.9, 2), (3.05, 1), (4.0, 1)]
     assert spatial.within_areas(points, areas.limit(0), 1.0).count() == 0
+
+
+def test_rectangle_opens_the_files_of_its_nodes_only(spark, cells, tmp_path):
+    folder = str(tmp_path / "index")
+    point_index.write_point_index(cells[0], folder, node_rows=50)
+    index = point_index.open_point_index(spark, folder)
+    lo, hi = np.quantile(cells[1], [0.3, 0.45], axis=0)
+    met = {r["node"] for r in index.nodes.collect() if r["x1"] >= lo[0] and r["x0"] <= hi[0] and r["y1"] >= lo[1] and r["y0"] <= hi[1]}
+    assert 0 < len(met) < index.nodes.count() / 2
+    box = spatial.bbox_filter(index, lo[0], lo[1], hi[0], hi[1])
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(lon" in plan.split("PushedFilters: [")[1]  # down to the row groups
+    for other in glob.glob(f"{folder}/cells/node=*/*.parquet"):
+        if int(other.split("node=")[1].split("/")[0]) not in met:
+            with open(other, "r+b") as f:
+                f.truncate(3)  # no reader could open it
+    got = {r["cell_id"] for r in box.select("cell_id", "note").collect()}
+    inside = ((cells[1] >= lo) & (cells[1] <= hi)).all(1)
+    assert got == {int(i) for i in np.flatnonzero(inside)} and got
+    assert spatial.bbox_filter(index, 1e6, 1e6, 2e6, 2e6).count() == 0
