@@ -1,8 +1,10 @@
 """Near duplicates of embeddings with a forest of random-projection trees.
 
 Trees of random splits, fitted on a bounded sample, send every vector to the leaves it falls into; a vector close to
-a split goes to both sides. Vectors are compared within leaves, whatever the leaf's size, in bounded cells; a pair
-that shares several leaves is compared for the count in the first of them. Cells return counts and spanning links.
+a split goes to both sides. Leaves that hold too many of the table's vectors are split further, from samples of their
+own and in the tasks, as long as that parts them. Vectors are compared within leaves, whatever the leaf's size, in
+bounded cells; a pair that shares several leaves is compared for the count in the first of them. Cells return counts
+and spanning links.
 """
 
 from __future__ import annotations
@@ -17,13 +19,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.llm.cluster import CELL, block_pairs, cell_pairs, cells, column, components, earlier, forest, map_arrow, numbered, open_pairs, runs
-from emberfield.scale import cut_lineage
+from emberfield.scale import cut_lineage, ship_if_small
 
 THRESHOLD = 0.95
 TREES = 6
 # The forest is fitted on at most so many vectors, those of least hash; a leaf has about so many of them.
 SAMPLE_ROWS = 32_768
 SAMPLE_LEAF = 16
+# Leaves of more vectors are split further: so many levels a round, on about so many sample vectors of each leaf, at the
+# quantile that leaves the fewest pairs (not through a group of near copies). A node is split if at most this share of
+# its pairs is left.
+LEAF_ROWS = 1024
+SPLIT_LEVELS = 5
+SPLIT_SAMPLE = 1024
+SPLIT_AT = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+SPLIT_PAIRS = 0.75
+ROUNDS = 7
+# Leaves whose middles (31 numbers each) may be sent to every task: 8 MB.
+FITTED_ROWS = 32_768
 
 
 @dataclass
@@ -54,6 +67,15 @@ class Forest:
         return row[order], leaf[order]
 
 
+def _margin(threshold: float, dims: int) -> float:
+    return 0.5 * math.sqrt(2 - 2 * threshold) / math.sqrt(dims)
+
+
+def _directions(trees: int, nodes: int, dims: int, seed: int | list[int]) -> np.ndarray:
+    found = np.random.default_rng(seed).standard_normal((trees, nodes, dims))
+    return found / np.linalg.norm(found, axis=2, keepdims=True)
+
+
 def fit(sample: np.ndarray, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = SAMPLE_LEAF, seed: int = 5) -> Forest:
     """Random directions with the sample's median as the middle of each node.
 
@@ -62,11 +84,9 @@ def fit(sample: np.ndarray, threshold: float = THRESHOLD, trees: int = TREES, le
     """
     rows, dims = sample.shape
     depth = max(0, int(math.log2(max(1, rows / leaf))))
-    margin = 0.5 * math.sqrt(2 - 2 * threshold) / math.sqrt(dims)
-    rng = np.random.default_rng(seed)
+    margin = _margin(threshold, dims)
     nodes = (1 << depth) - 1
-    directions = rng.standard_normal((trees, max(1, nodes), dims))
-    directions /= np.linalg.norm(directions, axis=2, keepdims=True)
+    directions = _directions(trees, max(1, nodes), dims, seed)
     middles = np.zeros((trees, max(1, nodes)))
     for tree in range(trees):
         held = {0: np.arange(rows)}
@@ -114,6 +134,108 @@ def _assign(model: Forest):
     return work
 
 
+@dataclass
+class Splits:
+    """One round of further splits: the directions of a tree's nodes are the same in all its leaves, the middles aren't."""
+
+    margin: float
+    width: int  # leaf numbers of one tree
+    directions: np.ndarray  # trees x nodes x dims
+    leaf_rows: int
+
+    def tree(self, keys: np.ndarray) -> np.ndarray:
+        return np.clip(keys // self.width, 0, len(self.directions) - 1)
+
+    def fit(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, middles) of the leaves that can be split, from sample rows (key, n, vector) sorted by key; a node that
+        stays whole has no number as its middle."""
+        nodes, dims = self.directions.shape[1:]
+        for leaf in runs(batches, ["key"]):
+            key, n = int(leaf["key"][0].as_py()), int(leaf["n"][0].as_py())
+            m = _unit(_matrix(leaf["vector"].combine_chunks(), dims))
+            directions = self.directions[self.tree(np.array([key]))[0]]
+            middles = np.full(nodes, np.nan)
+            held = {0: np.arange(len(m))}
+            for node in range(nodes):
+                own = held.pop(node, None)
+                if own is None or len(own) < 16 or len(own) * n <= self.leaf_rows * len(m):
+                    continue
+                side = m[own] @ directions[node]
+                best = None
+                for middle in np.quantile(side, SPLIT_AT):
+                    left, right = side < middle + self.margin, side >= middle - self.margin
+                    pairs = (float(left.sum()) ** 2 + float(right.sum()) ** 2) / float(len(own)) ** 2
+                    if pairs <= SPLIT_PAIRS and (best is None or pairs < best[0]):
+                        best = pairs, middle, left, right
+                if best is None:
+                    continue
+                _, middles[node], left, right = best
+                held[2 * node + 1], held[2 * node + 2] = own[left], own[right]
+            if not math.isnan(middles[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([middles])], ["key", "middles"])
+
+    def assign(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(uid, key) of (uid, key, vector, middles): a vector's nodes below its leaf."""
+        nodes, dims = self.directions.shape[1:]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                uid, key = np.asarray(part.column(0)), np.asarray(part.column(1))
+                unit, middles = _unit(_matrix(part.column(2), dims)), _matrix(part.column(3), nodes)
+                tree = self.tree(key)
+                row, node = np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64)
+                done = []
+                for _ in range(SPLIT_LEVELS):
+                    middle = middles[row, node]
+                    ends = np.isnan(middle)
+                    done.append((row[ends], node[ends]))
+                    row, node, middle = row[~ends], node[~ends], middle[~ends]
+                    side = np.einsum("ij,ij->i", unit[row], self.directions[tree[row], node]) - middle
+                    left, right = side < self.margin, side >= -self.margin
+                    row = np.concatenate([row[left], row[right]])
+                    node = np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
+                row, node = (np.concatenate(c) for c in zip(*done, (row, node), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array(key[row] * _below() + node)], ["uid", "key"])
+
+
+def _below() -> int:
+    """Numbers of the nodes that a round may put in a leaf's place."""
+    return 2 << SPLIT_LEVELS
+
+
+def split_further(placed: DataFrame, model: Forest, threshold: float, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``placed`` (uid, size, vector, leaves) with leaves of at most about ``leaf_rows`` vectors, near copies apart.
+
+    A round takes the leaves that are too large, fits a small tree to a sample of each (in the task that has the
+    sample), and sends their vectors down; only leaf numbers are shuffled, then the vectors once by uid. Rounds end
+    when no leaf can be split. What can't be split is compared whole, in cells.
+    """
+    trees, width = len(model.middles), 2 << model.depth
+    for turn in range(ROUNDS):
+        found = placed.select("uid", "vector", F.explode("leaves").alias("key"))
+        counted = found.filter("key >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        large = cut_lineage(counted.filter(F.col("n") > leaf_rows))
+        many = large.count()
+        if not many:
+            return placed
+        splits = Splits(model.margin, width, _directions(trees, (1 << SPLIT_LEVELS) - 1, model.dims, [7, turn]), leaf_rows)
+        share = F.pmod(F.xxhash64("uid", F.lit(11 + turn)), F.lit(1 << 31)) * F.col("n") < F.lit(SPLIT_SAMPLE << 31)
+        sample = found.join(ship_if_small(large, many), "key").filter(share).select("key", "n", "vector")
+        sample = sample.repartition("key").sortWithinPartitions("key")
+        fitted = cut_lineage(map_arrow(sample, splits.fit, "key long, middles array<double>"))
+        several = fitted.count()
+        if not several:
+            return placed
+        fitted_small = ship_if_small(fitted, several, FITTED_ROWS)
+        down = map_arrow(found.join(fitted_small, "key").select("uid", "key", "vector", "middles"), splits.assign, "uid long, key long")
+        rest = found.select("uid", "key").join(ship_if_small(fitted.select("key"), several), "key", "left_anti")
+        leaves = down.unionByName(rest.select("uid", (F.col("key") * F.lit(_below())).alias("key")))
+        leaves = leaves.groupBy("uid").agg(F.sort_array(F.collect_list("key")).alias("leaves"))  # a row's leaves, by tree
+        placed = cut_lineage(placed.drop("leaves").join(leaves, "uid").select("uid", "size", "vector", "leaves"))
+        width *= _below()
+    return placed
+
+
 def _compare(threshold: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in runs(batches, CELL):
@@ -152,7 +274,7 @@ def _compare(threshold: float):
     return work
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors with a cosine of at least the threshold (in double precision) are linked where a leaf holds both; none
@@ -178,6 +300,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
         model = fit(_unit(_matrix(sample["vector"].combine_chunks(), usual["dims"])), threshold, trees)
         kind = leaders.schema["vector"].dataType.simpleString()
         placed = cut_lineage(map_arrow(leaders, _assign(model), f"uid long, size long, vector {kind}, leaves array<long>"))
+        placed = split_further(placed, model, threshold, leaf_rows)
         leaves = placed.select("uid", F.explode("leaves").alias("key"))
         sizes = leaves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         dealt = block_pairs(leaves, sizes, "key", "uid").join(placed, "uid")

@@ -1,3 +1,4 @@
+import collections
 import random
 import re
 import time
@@ -138,3 +139,36 @@ def test_planted_pairs_just_above_the_threshold_are_found(spark):
     assert found >= 0.99 * 3000
     assert all(r["component_id"] == r["vec_id"] % 3000 for r in out if r["n_links"])
     print("recall", found / 3000)
+
+
+def test_large_leaves_are_split_and_no_link_is_lost(spark):
+    """A small sample makes few, large leaves; a third of the vectors are near copies that no split can part."""
+    rng = np.random.default_rng(12)
+    a = rng.standard_normal((1500, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = a + 0.04 * rng.standard_normal(a.shape)
+    copies = a[0] + 0.001 * rng.standard_normal((1400, 32))
+    m = np.concatenate([a, b, copies])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    out = {r["vec_id"]: r for r in embed_dedup.near_duplicates(vectors, sample_rows=128, leaf_rows=100).collect()}
+    found = np.array([out[i]["n_links"] for i in range(len(m))])
+    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.99 * near.sum()
+    assert all(out[i]["component_id"] == out[i + 1500]["component_id"] for i in range(1500) if found[i] and near[i, i + 1500] and near[i].sum() == 1)
+
+    model = embed_dedup.fit(unit[:128], trees=2)
+    row, leaf = model.leaves(unit)
+    lists = [leaf[row == i].tolist() for i in range(len(m))]
+    placed = spark.createDataFrame([(i, 1, v.tolist(), lists[i]) for i, v in enumerate(m)], "uid long, size long, vector array<double>, leaves array<long>")
+    before, after = (collections.Counter(k for r in d.collect() for k in r["leaves"]) for d in (placed, embed_dedup.split_further(placed, model, 0.95, 100)))
+    assert max(before.values()) > 1500
+    only = embed_dedup.split_further(placed.filter("uid < 3000"), model, 0.95, 100)
+    sizes = collections.Counter(k for r in only.collect() for k in r["leaves"])
+    assert max(sizes.values()) <= 150  # sizes are estimated on samples
+    # the near copies stay together, in no more leaves than the first splits put them
+    large = [n for n in after.values() if n > 200]
+    assert 2 <= len(large) <= max(len(k) for k in lists[3000:]) and all(1400 <= n <= 2100 for n in large), large
+    again = {r["uid"]: r["leaves"] for r in embed_dedup.split_further(placed, model, 0.95, 100).collect()}
+    assert all(again[i] == sorted(again[i]) for i in again) and len(again) == len(m)
