@@ -207,13 +207,15 @@ def split_further(placed: DataFrame, model: Forest, threshold: float, leaf_rows:
     """``placed`` (uid, size, vector, leaves) with leaves of at most about ``leaf_rows`` vectors, near copies apart.
 
     A round takes the leaves that are too large, fits a small tree to a sample of each (in the task that has the
-    sample), and sends their vectors down; only leaf numbers are shuffled, then the vectors once by uid. Rounds end
-    when no leaf can be split. What can't be split is compared whole, in cells.
+    sample), and sends their vectors down; only leaf numbers are shuffled, then the vectors once by uid. A leaf that
+    ended above a round's last level is not tried again. What can't be split is compared whole, in cells.
     """
     trees, width = len(model.middles), 2 << model.depth
     for turn in range(ROUNDS):
         found = placed.select("uid", "vector", F.explode("leaves").alias("key"))
-        counted = found.filter("key >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        # later on, only nodes of the last level can be split; those that ended above it can't
+        open_ = F.col("key") >= 0 if not turn else F.pmod("key", F.lit(_below())) >= (1 << SPLIT_LEVELS) - 1
+        counted = found.filter(open_).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         large = cut_lineage(counted.filter(F.col("n") > leaf_rows))
         many = large.count()
         if not many:
