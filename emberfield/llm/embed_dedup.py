@@ -28,8 +28,8 @@ SAMPLE_ROWS = 32_768
 SAMPLE_LEAF = 16
 # Leaves of more vectors are split further: so many levels a round, on about so many sample vectors of each leaf, at the
 # quantile that leaves the fewest pairs (not through a group of near copies). A node is split if at most this share of
-# its pairs is left.
-LEAF_ROWS = 1024
+# its pairs is left. A round costs some ten jobs, so leaves whose pairs are compared in less time stay.
+LEAF_ROWS = 8192
 SPLIT_LEVELS = 5
 SPLIT_SAMPLE = 1024
 SPLIT_AT = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
