@@ -15,7 +15,7 @@ from emberfield.functions.bands import clip
 from emberfield.functions.scalars import intervention_color, intervention_label, lookup
 from emberfield.operators.actions import Model, delta_t
 from emberfield.operators.stats import gini
-from emberfield.scale import cut_lineage, hash_uniform, ship_if_small, ship_package, work_partitions
+from emberfield.scale import as_large, cut_lineage, hash_uniform, ship_if_small, ship_package, work_partitions
 
 
 def clean_types(plan: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def repair_budget(plan: DataFrame, budget: float = S.PLAN_BUDGET, area: Column |
     Plan totals are aggregated and joined back, so a plan of any length is summed in parts.
     """
     priced = plan_costs(plan, area)
-    totals = priced.groupBy("plan_id").agg(F.sum("cost").alias("_total"))
+    totals = as_large(priced.groupBy("plan_id").agg(F.sum("cost").alias("_total")))
     scaled = F.when(F.col("_total") > budget, F.col("frac") * (F.lit(float(budget)) / F.col("_total"))).otherwise(
         F.col("frac")
     )

@@ -72,6 +72,12 @@ def ship_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST
     return F.broadcast(df) if n <= limit else df
 
 
+def as_large(df: DataFrame) -> DataFrame:
+    """A table whose rows follow the input, for a join: sorted and merged, never sent to every executor. Spark's size
+    estimates of derived rows start from the pruned file and may be far too small."""
+    return df.hint("merge")
+
+
 def scalar_struct(df: DataFrame, aggs: Mapping[str, Column]) -> Column:
     """Global aggregates as one scalar subquery: no cross join and no single-partition window."""
     return df.agg(F.struct(*[c.alias(n) for n, c in aggs.items()]).alias("g")).scalar()
