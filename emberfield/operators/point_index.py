@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.operators.spatial_index import box_far_sq, curve_position
+from emberfield.operators.spatial_index import box_far_sq, with_curve
 from emberfield.scale import cut_lineage, ship_if_small, work_partitions
 
 # Most squares of the passing grid on each side; rows of a kept node; nodes that an index has at most (nodes grow beyond).
@@ -136,7 +136,7 @@ def write_point_index(cells: DataFrame, folder: str, cell_id: str = "cell_id", n
     count, w, e, s, n = held.agg(F.count(F.lit(1)), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
     each = max(node_rows, math.ceil(count / NODES))
     parts = max(1, math.ceil(count / (8 * each)))
-    coded = held.withColumn("_curve", curve_position(F.col("lon"), F.col("lat"), w or 0.0, e or 0.0, s or 0.0, n or 0.0))
+    coded = with_curve(held, F.col("lon"), F.col("lat"), w or 0.0, e or 0.0, s or 0.0, n or 0.0)
     spread = coded.repartition(1) if parts == 1 else coded.repartitionByRange(parts, "_curve", cell_id)
     at = F.monotonically_increasing_id()
     placed = spread.sortWithinPartitions("_curve", cell_id).withColumn("_at", at).withColumn(

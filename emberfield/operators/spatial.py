@@ -26,7 +26,7 @@ from emberfield.operators.spatial_index import (
     disk_sums,
     nearest,
 )
-from emberfield.scale import BROADCAST_ROWS, cut_lineage, scalar_struct, work_partitions
+from emberfield.scale import BROADCAST_ROWS, as_large, cut_lineage, scalar_struct, ship_if_small, work_partitions
 
 EDGES_PER_STRIP = 32
 # Queries that are answered in passes over the cells; strips that each row is tested against without a join.
@@ -178,9 +178,40 @@ def with_segment_distance(df: DataFrame) -> DataFrame:
     return at.withColumn("_d", ex * ex + ey * ey)
 
 
+def segment_pieces(segments: DataFrame) -> DataFrame:
+    """The segments, a long one once per piece with the piece's box: where many lie in little space, boxes of whole
+    segments overlap so much that a point would meet a number of them that grows with the table.
+
+    Pieces are about two mean spacings long, and at least an eighth of the mean length: at most nine rows a segment on
+    the average. Each carries the whole segment, so distances are those of the segment.
+    """
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    n, total, w, e, s, t = segments.agg(
+        F.count(length), F.sum(length), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")
+    ).first()
+    if not n or not total or not math.isfinite(total) or not all(map(math.isfinite, (w, e, s, t))):
+        return segments
+    longest = max(2 * math.sqrt((e - w) * (t - s) / n), total / n / 8)
+    k = F.greatest(F.ceil(length / F.lit(longest)), F.lit(1)).cast("int")
+    # rounding may put a piece's end beside the segment
+    pad = (F.abs("ax") + F.abs("ay") + F.abs("bx") + F.abs("by")) * F.lit(1e-12)
+    rows = segments.withColumn("_k", F.coalesce(k, F.lit(1)))
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+
+    def end(a: str, b: str, i: Column) -> Column:
+        return F.col(a) + (F.col(b) - F.col(a)) * (i / F.col("_k"))
+
+    boxes = {}
+    for a, b, low, high in (("ax", "bx", "x0", "x1"), ("ay", "by", "y0", "y1")):
+        here, there = end(a, b, F.col("_i")), end(a, b, F.col("_i") + 1)
+        boxes[low] = F.when(F.col("_k") == 1, F.col(low)).otherwise(F.least(here, there) - pad)
+        boxes[high] = F.when(F.col("_k") == 1, F.col(high)).otherwise(F.greatest(here, there) + pad)
+    return rows.withColumns(boxes).drop("_k", "_i")
+
+
 def nearest_segments(points: DataFrame, segments: DataFrame, pid: str, fid: str) -> DataFrame:
     """``pid``, ``dist_m`` and the nearest feature's id (smallest id on a tie), for points with px, py."""
-    tree = build_tree(segments, [fid], costly=True)
+    tree = build_tree(segment_pieces(segments), [fid], costly=True)
     if tree.tops is None:
         kind = dict(segments.dtypes)[fid]
         return points.select(pid, F.lit(None).cast("double").alias("dist_m"), F.lit(None).cast(kind).alias(fid))
@@ -203,14 +234,16 @@ def nearest_join(
     # rows are told apart by a number of their own, so that repeated ids stay apart
     held = cut_lineage(points.withColumn("_own", F.monotonically_increasing_id()))
     pts = _points(held, "_own", x, y)
-    near = nearest_segments(pts, feature_segments(features, fid), "_own", fid).select("_own", F.col("dist_m").alias("_d"))
     tree = build_tree(polygon_strips(features.filter(F.col("geom_type").isin(*POLYGONS)), [fid], "parts"), [fid], size=F.size("edges"), costly=True)
-    result = held.join(near, "_own", "left")
-    dist = F.col("_d")
+    inside = None
     if tree.tops is not None:
-        inside = _containing(pts, tree, "intersects").select("_own").distinct().withColumn("_in", F.lit(True))
-        result = result.join(inside, "_own", "left")
-        dist = F.when(F.col("_in"), F.lit(0.0)).otherwise(dist)
+        inside = cut_lineage(_containing(pts, tree, "intersects").select("_own").distinct())
+        pts = pts.join(as_large(inside), "_own", "left_anti")  # only points outside look for an outline
+    near = nearest_segments(pts, feature_segments(features, fid), "_own", fid).select("_own", F.col("dist_m").alias("_d"))
+    if inside is not None:
+        near = near.unionByName(inside.withColumn("_d", F.lit(0.0)))
+    result = held.join(as_large(near), "_own", "left")
+    dist = F.col("_d")
     if max_dist is not None:
         dist = F.when(dist <= F.lit(max_dist), dist)
     return result.select(*points.columns, dist.alias(out))
@@ -310,7 +343,7 @@ def nearest_cell(
     asked = numbered_queries(queries, qid)
     if isinstance(cells, PointIndex):
         near = cells.nearest(asked, carry)
-    elif asked.count() <= few:
+    elif (rows := asked.count()) <= few:
         near = nearest_by_passes(asked, cells, cell_id, carry)
     else:
         held = cells.filter(placed("lat") & placed("lon")).select(
@@ -320,9 +353,9 @@ def nearest_cell(
         tree = build_tree(held, [cell_id])
         dx, dy = F.col("x0") - F.col("px"), F.col("y0") - F.col("py")
         points = asked.select("_own", F.col("qx").alias("px"), F.col("qy").alias("py"))
-        near = nearest(points, tree, "_own", lambda df: df.withColumn("_d", dy * dy + dx * dx), tie=[cell_id])
+        near = nearest(points, tree, "_own", lambda df: df.withColumn("_d", dy * dy + dx * dx), tie=[cell_id], rows=rows)
         near = near.withColumnRenamed("dist_sq", "d2")
-        near = near.join(cells.select(cell_id, *carry), cell_id) if carry else near
+        near = ship_if_small(near, rows).join(cells.select(cell_id, *carry), cell_id) if carry else near
     return asked.select("_own", qid).join(near, "_own").select(qid, cell_id, "d2", *[c for c in carry if c not in (qid, cell_id, "d2")])
 
 

@@ -10,52 +10,74 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfield.scale import BROADCAST_ROWS, cut_lineage, work_partitions
+from emberfield.scale import BROADCAST_ROWS, as_large, cut_lineage, ship_if_small, work_partitions
 
 LEAF_BITS = 4  # items per leaf: 16
 FAN_BITS = 5  # children per node: 32
 ROWS_PER_PARTITION = 500_000
+LEVELS_A_STEP = 4  # of the curve
 BOX = ["x0", "y0", "x1", "y1"]
 
 
+def _hilbert_table() -> int:
+    """The curve's turns as 16 entries of four bits in one long: entry (turn, x bit, y bit) has the place among the four
+    quarters, then the turn inside it (bit 0: axes swapped, bit 1: both turned round)."""
+    table = 0
+    for entry in range(16):
+        turn, x, y = entry >> 2, entry >> 1 & 1, entry & 1
+        if turn & 2:
+            x, y = 1 - x, 1 - y
+        if turn & 1:
+            x, y = y, x
+        inside = turn if y else turn ^ 1 ^ (2 * x)
+        table |= ((3 * x ^ y) << 2 | inside) << 4 * entry
+    return table - 2**64 if table >= 2**63 else table
+
+
+HILBERT = _hilbert_table()
+
+
 @dataclass
 class BoxTree:
     items: DataFrame  # item columns + _leaf
     levels: list[DataFrame]  # top-down: _up, _node, box, sums
     tops: Column | None  # array of at most 64 top nodes; None when there are no items
     sums: list[str]
+    shipped: list[bool] = field(default_factory=list)  # which levels, and last the items, are sent to every executor
 
 
-def curve_position(x: Column, y: Column, x_lo: float, x_hi: float, y_lo: float, y_hi: float, levels: int = 20) -> Column:
-    """Position of a place along the Hilbert curve over the extent. Neighbours on the curve are neighbours in the
-    plane (the curve never jumps), so runs of items have compact boxes."""
+def with_curve(
+    df: DataFrame, x: Column, y: Column, x_lo: float, x_hi: float, y_lo: float, y_hi: float, levels: int = 20, name: str = "_curve"
+) -> DataFrame:
+    """Add the position of a place along the Hilbert curve over the extent. Neighbours on the curve are neighbours in the
+    plane (the curve never jumps), so runs of items have compact boxes.
+
+    One table look-up per level, in generated code; a few levels a step, since each look-up names the one before it.
+    """
     side = 2**levels
 
     def cell(v: Column, lo: float, hi: float) -> Column:
-        return ((v - F.lit(lo)) / F.lit(max(hi - lo, 1e-12)) * F.lit(float(side - 1))).cast("long")
-
-    def step(acc: Column, s: Column) -> Column:
-        rx = F.when(acc.x.bitwiseAND(s) != 0, 1).otherwise(0)
-        ry = F.when(acc.y.bitwiseAND(s) != 0, 1).otherwise(0)
-        turn, flip = ry == 0, (ry == 0) & (rx == 1)
-        fx = F.when(flip, F.lit(side - 1) - acc.x).otherwise(acc.x)
-        fy = F.when(flip, F.lit(side - 1) - acc.y).otherwise(acc.y)
-        return F.struct(
-            F.when(turn, fy).otherwise(fx).cast("long").alias("x"),
-            F.when(turn, fx).otherwise(fy).cast("long").alias("y"),
-            (acc.d + s * s * (rx * 3).bitwiseXOR(ry)).cast("long").alias("d"),
-        )
-
-    start = F.struct(
-        cell(x, x_lo, x_hi).alias("x"), cell(y, y_lo, y_hi).alias("y"), F.lit(0).cast("long").alias("d")
-    )
-    sides = F.array(*[F.lit(2**k).cast("long") for k in reversed(range(levels))])
-    return F.aggregate(sides, start, step)["d"]
+        share = (v - F.lit(lo)) / F.lit(max(hi - lo, 1e-12))
+        return F.coalesce((share * F.lit(float(side - 1))).cast("long"), F.lit(0).cast("long"))
+
+    zero = F.lit(0).cast("long")
+    out = df.withColumns({"_hx": cell(x, x_lo, x_hi), "_hy": cell(y, y_lo, y_hi), "_turn": zero, name: zero})
+    todo = list(reversed(range(levels)))
+    for at in range(0, levels, LEVELS_A_STEP):
+        turn, place = F.col("_turn"), F.col(name)
+        for k in todo[at : at + LEVELS_A_STEP]:
+            quarter = F.shiftleft(F.shiftright("_hx", k).bitwiseAND(1), 1).bitwiseOR(F.shiftright("_hy", k).bitwiseAND(1))
+            entry = F.shiftleft(F.shiftleft(turn, 2).bitwiseOR(quarter), 2).cast("int")
+            met = F.call_function("shiftrightunsigned", F.lit(HILBERT), entry).bitwiseAND(15)
+            place = place + F.shiftleft(F.shiftright(met, 2), 2 * k)
+            turn = met.bitwiseAND(3)
+        out = out.withColumns({"_turn": turn, name: place})
+    return out.drop("_hx", "_hy", "_turn")
 
 
 def build_tree(
@@ -81,7 +103,7 @@ def build_tree(
     ).first()
     if not n:
         return BoxTree(items.withColumn("_leaf", F.lit(0).cast("long")), [], None, list(sums))
-    coded = items.withColumn("_curve", curve_position(cx, cy, x_lo, x_hi, y_lo, y_hi))
+    coded = with_curve(items, cx, cy, x_lo, x_hi, y_lo, y_hi)
     parts = min(math.ceil(n / partition_rows), 20_000)
     spread = coded.repartition(1) if parts == 1 else coded.repartitionByRange(parts, "_curve", *id_cols)
     placed = cut_lineage(
@@ -113,13 +135,15 @@ def build_tree(
     for low, high in zip(shifts, shifts[1:]):
         stages.append(stages[-1].groupBy(F.shiftright("_node", high - low).alias("_node")).agg(*box))
     tops = stages[-1].agg(F.collect_list(F.struct("_node", *BOX, *sums))).scalar()
-    levels = []
+    levels, shipped = [], []
     for stage, low, high in reversed(list(zip(stages, shifts, shifts[1:]))):
         level = stage.withColumn("_up", F.shiftright("_node", high - low))
         bound = parts * math.ceil(longest / 2**low) if low < 33 else math.ceil(parts / 2 ** (low - 33))
-        levels.append(F.broadcast(level) if bound <= broadcast_rows else level)
+        shipped.append(bound <= broadcast_rows)
+        levels.append(F.broadcast(level) if shipped[-1] else as_large(level))
     held = placed.withColumn("_leaf", F.shiftright("_at", LEAF_BITS)).drop("_at")
-    return BoxTree(F.broadcast(held) if weight <= broadcast_rows else held, levels, tops, list(sums))
+    shipped.append(weight <= broadcast_rows)
+    return BoxTree(F.broadcast(held) if shipped[-1] else as_large(held), levels, tops, list(sums), shipped)
 
 
 def box_far_sq(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -138,15 +162,19 @@ def _box_cols() -> list[Column]:
     return [F.col(c) for c in BOX]
 
 
-def candidates(points: DataFrame, tree: BoxTree, keep: Callable[..., Column]) -> DataFrame:
-    """Points joined with every item whose box passes ``keep(x0, y0, x1, y1)``, tested on the whole way down."""
+def candidates(points: DataFrame, tree: BoxTree, keep: Callable[..., Column], few: bool = False) -> DataFrame:
+    """Points joined with every item whose box passes ``keep(x0, y0, x1, y1)``, tested on the whole way down. ``few``
+    points go to large levels and items, as long as their rows are few there; others meet them in a shuffle."""
     cols = points.columns
+
+    def sent(rows: DataFrame, shipped: bool) -> DataFrame:
+        return ship_if_small(cut_lineage(rows)) if few and not shipped else rows
+
     front = _tops(points, tree).filter(keep(*_box_cols())).select(*cols, "_node")
-    for level in tree.levels:
-        front = (
-            front.withColumnRenamed("_node", "_up").join(level, "_up").filter(keep(*_box_cols())).select(*cols, "_node")
-        )
-    found = front.withColumnRenamed("_node", "_leaf").join(tree.items, "_leaf").drop("_leaf")
+    for level, shipped in zip(tree.levels, tree.shipped):
+        front = sent(front.withColumnRenamed("_node", "_up"), shipped).join(level, "_up")
+        front = front.filter(keep(*_box_cols())).select(*cols, "_node")
+    found = sent(front.withColumnRenamed("_node", "_leaf"), tree.shipped[-1]).join(tree.items, "_leaf").drop("_leaf")
     return found.filter(keep(*_box_cols()))
 
 
@@ -156,14 +184,17 @@ def nearest(
     pid: str,
     measure: Callable[[DataFrame], DataFrame],
     tie: Sequence[str],
+    rows: int | None = None,
 ) -> DataFrame:
     """For each point (``pid``, ``px``, ``py``) its nearest item: ``pid``, ``dist_sq`` and the ``tie`` columns.
 
     ``measure`` adds the squared distance ``_d`` to rows of a point and an item. First a greedy walk down the tree
     (one child per level: the nearest box, of several the one with the nearest centre) gives an upper bound close
     to the answer; then the tree is searched again with that bound, and only items within it reach the final
-    aggregate. Box tests are plain comparisons, so the whole walk stays in small generated methods.
+    aggregate. Box tests are plain comparisons, so the whole walk stays in small generated methods. Where ``rows``, the
+    known number of points, is small, they are sent to a large tree's levels and items, which then stay where they are.
     """
+    few = rows is not None and rows <= BROADCAST_ROWS
     px, py = F.col("px"), F.col("py")
     x0, y0, x1, y1 = _box_cols()
     base = [pid, "px", "py"]
@@ -177,22 +208,27 @@ def nearest(
         )
 
     start = points.select(*base).repartition(work_partitions(points.sparkSession), pid)
+    def sent(front: DataFrame, shipped: bool) -> DataFrame:
+        return F.broadcast(front) if few and not shipped else front  # one row per point
+
     front = best_child(_tops(start, tree))
-    for level in tree.levels:
-        front = best_child(front.withColumnRenamed("_node", "_up").join(level, "_up"))
+    for level, shipped in zip(tree.levels, tree.shipped):
+        front = best_child(sent(front.withColumnRenamed("_node", "_up"), shipped).join(level, "_up"))
     bounded = (
-        measure(front.withColumnRenamed("_node", "_leaf").join(tree.items, "_leaf"))
+        measure(sent(front.withColumnRenamed("_node", "_leaf"), tree.shipped[-1]).join(tree.items, "_leaf"))
         .groupBy(pid)
         .agg(F.first("px").alias("px"), F.first("py").alias("py"), F.min("_d").alias("_ub"))
         .withColumn("_reach", F.sqrt("_ub") * F.lit(1.0 + 1e-9))
     )
     reach = F.col("_reach")
+    if few:
+        bounded = cut_lineage(bounded)
 
     def near(bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
         return (bx0 - reach <= px) & (px <= bx1 + reach) & (by0 - reach <= py) & (py <= by1 + reach)
 
     return (
-        measure(candidates(bounded, tree, near))
+        measure(candidates(bounded, tree, near, few))
         .filter(F.col("_d") <= F.col("_ub"))
         .groupBy(pid)
         .agg(F.min(F.struct(F.col("_d").alias("dist_sq"), *tie)).alias("_m"))

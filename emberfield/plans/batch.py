@@ -11,7 +11,7 @@ from emberfield.operators.impute import fill_albedo, fill_mode, impute_grouped_m
 from emberfield.operators.spatial import area_density, feature_segments, line_density, nearest_join
 from emberfield.operators.wards import hvi, ward_aggregate, ward_join
 from emberfield.operators.temporal import hotspot_label, lst_anomaly
-from emberfield.scale import cut_lineage
+from emberfield.scale import as_large, cut_lineage
 
 
 def clean_cells(raw: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def add_map_features(
     segments = feature_segments(roads).select("ax", "ay", "bx", "by")
     road = line_density(pts, segments, "_cell_row", radius).withColumnRenamed("line_density", "road_density")
     built = area_density(pts, buildings, "_cell_row", radius).withColumnRenamed("area_density", "building_density")
-    out = out.join(road, "_cell_row").join(built, "_cell_row")
+    out = out.join(as_large(road), "_cell_row").join(as_large(built), "_cell_row")
     for layer, name in ((roads, "dist_road_m"), (parks, "dist_park_m"), (water, "dist_water_m")):
         out = nearest_join(out, layer, cell_id, name, x, y)
     return out.drop("_cell_row").withColumn("impervious_ratio", impervious_ratio("building_density", "road_density"))

@@ -1,8 +1,11 @@
 """Joins of tables that grow with the input: no stale size estimate may send them to every executor."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from emberfield.operators import spatial, spatial_index
 from emberfield.plans import planning
 
 
@@ -19,3 +22,65 @@ def test_budget_repair_sends_no_plan_to_the_executors(spark):
     assert "SortMergeJoin" in _plan(out) and "BroadcastHashJoin" not in _plan(out)
     costs = out.groupBy("plan_id").agg(F.sum(F.col("cost") * F.col("frac_repaired") / F.col("frac")).alias("c")).collect()
     assert len(costs) == 20 and all(r["c"] == pytest.approx(1e7) for r in costs)
+
+
+@pytest.fixture(scope="module")
+def streets(spark):
+    """Long segments crossing a small place, some without length, and points among them."""
+    rng = np.random.default_rng(3)
+    a = rng.uniform(0, 1000, size=(600, 2))
+    b = a + rng.uniform(-400, 400, size=a.shape)
+    b[:20] = a[:20]
+    points = rng.uniform(-50, 1050, size=(200, 2))
+    points[0] = (a[30] + b[30]) / 2
+    segs = spark.createDataFrame(pd.DataFrame({"fid": range(600), "ax": a[:, 0], "ay": a[:, 1], "bx": b[:, 0], "by": b[:, 1]}))
+    pts = spark.createDataFrame(pd.DataFrame({"pid": range(200), "px": points[:, 0], "py": points[:, 1]}))
+    want = []
+    for p in points:
+        d = b - a
+        t = np.clip(((p - a) * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+        want.append(np.sqrt(((p - (a + t[:, None] * d)) ** 2).sum(1)).min())
+    return pts, segs, np.array(want)
+
+
+def test_pieces_keep_the_distance_of_the_whole_segment(streets):
+    pts, segs, want = streets
+    boxes = spatial.segment_boxes(segs)
+    pieces = spatial.segment_pieces(boxes)
+    assert 600 < pieces.count() <= 9 * 600
+    area = lambda df: df.agg(F.avg((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))).first()[0]
+    assert area(pieces) < area(boxes) / 4
+    got = spatial.nearest_segments(pts, boxes, "pid", "fid").orderBy("pid").toPandas()
+    assert len(got) == 200 and np.allclose(got["dist_m"], want, atol=1e-6)
+
+
+@pytest.mark.parametrize("rows", [None, 200])
+def test_large_trees_are_not_sent_whole(streets, rows):
+    pts, segs, want = streets
+    tree = spatial_index.build_tree(spatial.segment_boxes(segs), ["fid"], partition_rows=50, broadcast_rows=0)
+    assert not any(tree.shipped)
+    got = spatial_index.nearest(pts, tree, "pid", spatial.with_segment_distance, ["fid"], rows)
+    if rows is None:
+        assert "BroadcastHashJoin" not in _plan(got)
+    found = got.orderBy("pid").toPandas()
+    assert np.allclose(np.sqrt(found["dist_sq"]), want, atol=1e-6)
+
+
+def test_the_curve_visits_every_square_and_never_jumps(spark):
+    side = 16
+    squares = spark.range(side * side).select((F.col("id") % side).alias("x"), F.floor(F.col("id") / side).alias("y"))
+    placed = spatial_index.with_curve(squares, F.col("x"), F.col("y"), 0.0, side - 1.0, 0.0, side - 1.0, levels=4)
+    path = placed.orderBy("_curve").collect()
+    assert [r["_curve"] for r in path] == list(range(side * side))
+    assert all(abs(p["x"] - q["x"]) + abs(p["y"] - q["y"]) == 1 for p, q in zip(path, path[1:]))
+
+
+def test_points_inside_a_polygon_stay_beside_those_outside(spark):
+    ring = lambda *c: [[{"x": x, "y": y} for x, y in c]]
+    kinds = "feature_id long, geom_type string, parts array<array<struct<x:double,y:double>>>"
+    square = ring((0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0))
+    feats = spark.createDataFrame([(1, "Polygon", square), (2, "LineString", ring((4.0, 4.0), (6.0, 6.0)))], kinds)
+    rows = [(1, 5.0, 5.0), (1, 13.0, 14.0), (2, 2.0, 3.0), (3, None, 1.0)]
+    got = spatial.nearest_join(spark.createDataFrame(rows, "pid long, x_m double, y_m double"), feats, "pid").collect()
+    assert sorted((r["pid"], r["x_m"] or 0.0, r["dist_m"]) for r in got if r["dist_m"] is not None) == [(1, 5.0, 0.0), (1, 13.0, 5.0), (2, 2.0, 0.0)]
+    assert len(got) == 4
