@@ -140,10 +140,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 SPREAD = {"orders": "o_orderkey", "part": "p_partkey", "lineitem": "l_orderkey"}
 
 
+# Rows of a source table in one task: a few narrow, well packed columns become some fifty doubles a row.
+TASK_ROWS = 250_000
+
+
 def wide(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table over all cores: a small test table is one file and would be one task; large tables stay as read."""
+    """The table over all cores, in tasks of bounded rows: a small test table is one file and would be one task, and
+    files of a large one are far smaller than what is derived from them."""
     df, cores = table(spark, folder, name), spark.sparkContext.defaultParallelism
-    return df.repartition(cores, SPREAD[name]) if name in SPREAD and len(df.inputFiles()) < cores else df
+    if name not in SPREAD:
+        return df
+    parts = max(cores, -(-df.count() // TASK_ROWS))  # counted from the files' footers
+    return df.repartition(parts, SPREAD[name]) if len(df.inputFiles()) < parts else df
 
 
 def view(spark: SparkSession, folder: str, text: str) -> DataFrame:

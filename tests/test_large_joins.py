@@ -1,10 +1,13 @@
 """Joins of tables that grow with the input: no stale size estimate may send them to every executor."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from emberfield.checks import fixtures
 from emberfield.operators import spatial, spatial_index
 from emberfield.plans import planning
 
@@ -84,3 +87,10 @@ def test_points_inside_a_polygon_stay_beside_those_outside(spark):
     got = spatial.nearest_join(spark.createDataFrame(rows, "pid long, x_m double, y_m double"), feats, "pid").collect()
     assert sorted((r["pid"], r["x_m"] or 0.0, r["dist_m"]) for r in got if r["dist_m"] is not None) == [(1, 5.0, 0.0), (1, 13.0, 5.0), (2, 2.0, 0.0)]
     assert len(got) == 4
+
+
+def test_tasks_of_source_tables_are_bounded_in_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 100)
+    spark.range(5000).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    orders = fixtures.wide(spark, str(tmp_path), "orders")
+    assert orders.count() == 5000 and orders.rdd.getNumPartitions() == math.ceil(5000 / 100)
