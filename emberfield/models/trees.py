@@ -91,12 +91,14 @@ class FittedTrees:
 
 
 def _fit(
-    train: DataFrame, features: list[str], label: str, maker, params: TreeParams, held: DataFrame | None = None
+    train: DataFrame, features: list[str], label: str, maker, params: TreeParams, held: DataFrame | None = None,
+    medians: dict[str, float] | None = None,
 ) -> FittedTrees:
     """Medians and trees of the training rows. With ``held`` and a ``stop_tol``, rounds end when the error on the held
-    rows no longer falls by that share, and the model keeps the rounds up to its best one."""
+    rows no longer falls by that share, and the model keeps the rounds up to its best one. ``medians`` of the same rows
+    that another fit has found are taken over."""
     shared_dir(train.sparkSession)
-    model = FittedTrees(features, fit_medians(train, features), None)
+    model = FittedTrees(features, fit_medians(train, features) if medians is None else dict(medians), None)
     watched = held is not None and params.stop_tol is not None and not held.isEmpty()
     rows = train.withColumn("_held", F.lit(False))
     if watched:
@@ -126,7 +128,8 @@ def train_lst(
     rows = df.filter(F.col(TARGET).isNotNull())
     used = list(features) if features else select_features(rows, optional=optional)
     where = [c for c in ("lon", "lat") if c in df.columns and c not in used]
-    parts = cut_lineage(train_val_test_split(rows, ids, seed=params.seed).select(*ids, *where, TARGET, "split", *used))
+    narrow = rows.select(*dict.fromkeys([*ids, *where, TARGET, *used]))  # the split writes what it is given
+    parts = cut_lineage(train_val_test_split(narrow, ids, seed=params.seed).select(*ids, *where, TARGET, "split", *used))
     model = _fit(parts.filter("split = 'train'"), used, TARGET, GBTRegressor, params, parts.filter("split = 'val'"))
     predictions = prediction_frame(parts.filter("split <> 'train'"), model, ids)
     return model, predictions, regression_metrics(predictions)
@@ -146,9 +149,12 @@ def train_future(
 
     Returns both models and the scored test rows. A single class gives a constant predictor. With ``params.stop_tol``
     a tenth of the training rows, by hash, is held back to end both fits.
+
+    The rows are made once, with no more columns than the models need: features, classes and split are read from there.
     """
-    rows = df.filter(F.col(TARGET).isNotNull())
     wanted = list(features) if features else S.FUTURE_BASE_FEATURES + S.FUTURE_TEMPORAL_FEATURES
+    needed = dict.fromkeys([*ids, TARGET, "hotspot_label", *[c for c in wanted if c in df.columns]])
+    rows = cut_lineage(df.filter(F.col(TARGET).isNotNull()).select(*needed))
     used = select_features(rows, wanted)
     balance = class_balance(rows).collect()
     both = len(balance) > 1
@@ -161,7 +167,7 @@ def train_future(
         train, held = train.filter(~back), train.filter(back)
     reg = _fit(train, used, TARGET, GBTRegressor, params, held)
     if both:
-        cls = _fit(train, used, "hotspot_label", GBTClassifier, params, held)
+        cls = _fit(train, used, "hotspot_label", GBTClassifier, params, held, reg.medians)
     else:
         cls = FittedTrees(used, {}, None, majority=int(balance[0]["hotspot_label"]) if balance else 0)
     test = reg(parts.filter("split = 'test'")).withColumnRenamed("prediction", "predicted_lst")

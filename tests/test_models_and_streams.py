@@ -70,3 +70,29 @@ def test_closing_row_writes_every_window_and_empties_the_state(spark, tmp_path):
     assert key(three) == [("a", 1, 2, 34.0), ("a", 6, 2, 20.0), ("b", 5, 1, 40.0), ("b", 9, 1, 50.0)]
     assert open_rows == [1, 3]  # watermark 7:59: the window of 9:59, and the ids of 6:30, 6:40 and 9:59
     assert closed == [1, 1]  # only the closing row's own window and id stay
+
+
+def test_future_rows_are_made_once_and_narrow(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    n = F.col("id")
+    rows = spark.range(200).select(n.alias("cell_id"), (n % 40).cast("double").alias("lst_celsius"), (n % 40 == 39).cast("int").alias("hotspot_label"))
+    rows = rows.withColumns({"a": (F.col("cell_id") % 7) / F.lit(7.0), **{f"unused{i}": F.col("cell_id") * i for i in range(20)}})
+    rows = rows.mapInArrow(count, rows.schema)
+    split, medians, given, fits = trees.train_val_test_split, trees.fit_medians, [], []
+    monkeypatch.setattr(trees, "train_val_test_split", lambda df, *a, **k: given.append(df.columns) or split(df, *a, **k))
+    monkeypatch.setattr(trees, "fit_medians", lambda df, cols: fits.append(cols) or medians(df, cols))
+    params = trees.TreeParams(rounds=1, depth=1, bins=8)
+    reg, cls, scored = trees.train_future(rows, ["cell_id"], ["a"], params)
+    assert scored.count() == 40 and scored.filter("hotspot_label = 1").count() == 1
+    assert cls.medians == reg.medians and cls.medians.keys() == {"a"}
+    assert seen.value == 200 and fits == [["a"]]
+    assert given == [["cell_id", "lst_celsius", "hotspot_label", "a"]]
+    given.clear()
+    trees.train_lst(rows, ["cell_id"], ["a"], params=params)
+    assert set(given[0]) == {"cell_id", "lst_celsius", "a"}
