@@ -24,6 +24,8 @@ from emberfield.operators.spatial_index import (
     candidates,
     disk_parts,
     disk_sums,
+    full_squares,
+    in_full_square,
     nearest,
 )
 from emberfield.scale import BROADCAST_ROWS, as_large, cut_lineage, scalar_struct, ship_if_small, work_partitions
@@ -293,6 +295,9 @@ def area_density(points: DataFrame, polygons: DataFrame, pid: str, r: float, emp
 
     Polygons: ``parts`` wound consistently (outlines one way, holes the other) + an id. Only polygons cut by the
     circle are opened into edges; the edge formula then runs in generated code.
+
+    Where polygons wholly inside the disk already add up to its area, the share is 1 and the rest isn't looked at. So a
+    point meets no more polygons than fill about a disk, however many lie on one another.
     """
     turned = F.transform(
         "edges", lambda e: F.struct(e.bx.alias("ax"), e.by.alias("ay"), e.ax.alias("bx"), e.ay.alias("by"))
@@ -313,10 +318,14 @@ def area_density(points: DataFrame, polygons: DataFrame, pid: str, r: float, emp
     if tree.tops is None:
         return points.select(pid, F.lit(empty).cast("double").alias("area_density"))
     px, py, box = F.col("px"), F.col("py"), [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    limit = F.lit(r * r)
+    limit, disk = F.lit(r * r), math.pi * r * r
+    full = full_squares(tree, r, "area", disk * (1 + 1e-9))
+    known = None
+    if full is not None:
+        points, known = in_full_square(points.select(pid, "px", "py"), full, r), F.when(F.col("_full"), F.lit(disk))
     inside = box_far_sq(px, py, *box) <= limit
     cut = F.col("_sum").isNull() & ~inside
-    parts = disk_parts(points, tree, pid, r, "area").select(
+    parts = disk_parts(points, tree, pid, r, "area", known).select(
         pid, "px", "py",
         F.coalesce(F.col("_sum"), F.when(inside, F.col("area")), F.lit(0.0)).alias("_whole"),
         F.when(cut, F.col("edges")).alias("_edges"),
@@ -325,7 +334,7 @@ def area_density(points: DataFrame, polygons: DataFrame, pid: str, r: float, emp
     rows = parts.select(pid, "px", "py", "_whole", F.expr("inline_outer(_edges)"))
     shares = with_edge_disk_share(rows, r)
     sums = shares.groupBy(pid).agg(F.sum(F.coalesce("share", "_whole")).alias("value"))
-    value = F.greatest(F.col("value") / F.lit(math.pi * r * r), F.lit(0.0))
+    value = F.greatest(F.col("value") / F.lit(disk), F.lit(0.0))
     return sums.select(pid, F.least(value, F.lit(1.0)).alias("area_density"))
 
 

@@ -21,6 +21,7 @@ LEAF_BITS = 4  # items per leaf: 16
 FAN_BITS = 5  # children per node: 32
 ROWS_PER_PARTITION = 500_000
 LEVELS_A_STEP = 4  # of the curve
+SQUARES = 8  # squares to a disk's radius
 BOX = ["x0", "y0", "x1", "y1"]
 
 
@@ -236,13 +237,61 @@ def nearest(
     )
 
 
-def disk_parts(points: DataFrame, tree: BoxTree, pid: str, r: float, total: str) -> DataFrame:
+def full_squares(tree: BoxTree, r: float, total: str, limit: float) -> DataFrame | None:
+    """Squares of the plane whose every point has items of ``limit`` or more in ``total`` wholly inside its disk of radius
+    ``r``, 64 to a row: ``_bx``, ``_by`` and the bits ``_mask``. None where there is no such square.
+
+    An item counts for the squares that lie within reach of all of its box, a hundred or so, whatever the density.
+    The items come in curve order, so that a task's partial sums are of few squares.
+    """
+    side, reach, bound = r / SQUARES, r * (1 - 1e-6), r * 1e9
+    x0, y0, x1, y1 = _box_cols()
+    near = (F.abs(x0) <= bound) & (F.abs(x1) <= bound) & (F.abs(y0) <= bound) & (F.abs(y1) <= bound)
+
+    def squares(low: Column, high: Column, out: str) -> list[Column]:
+        return [F.ceil(low / F.lit(side)).alias(f"{out}0"), (F.floor(high / F.lit(side)) - 1).alias(f"{out}1")]
+
+    rows = tree.items.filter(near & (F.col(total) > 0)).select(*BOX, total, *squares(x1 - reach, x0 + reach, "_i"))
+    rows = rows.filter("_i0 <= _i1").select(*BOX, total, F.explode(F.sequence("_i0", "_i1")).alias("_tx"))
+    left = F.col("_tx") * F.lit(side)
+    across = F.greatest(x1 - left, left + F.lit(side) - x0)
+    rows = rows.withColumn("_h", F.sqrt(F.greatest(F.lit(reach * reach) - across * across, F.lit(0.0))))
+    rows = rows.select("_tx", total, *squares(y1 - F.col("_h"), y0 + F.col("_h"), "_j"))
+    rows = rows.filter("_j0 <= _j1").select("_tx", total, F.explode(F.sequence("_j0", "_j1")).alias("_ty"))
+    full = rows.groupBy("_tx", "_ty").agg(F.sum(total).alias("_s")).filter(F.col("_s") >= F.lit(limit))
+    block, place = square_block()
+    masks = full.select(*block, place.alias("_p")).groupBy("_bx", "_by").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_p"))).alias("_mask")
+    )
+    masks = cut_lineage(masks)
+    n = masks.count()
+    return (ship_if_small(masks, n) if n <= BROADCAST_ROWS else as_large(masks)) if n else None
+
+
+def square_block() -> tuple[list[Column], Column]:
+    """Of the square ``_tx``, ``_ty``: the block of 8 by 8 squares that holds it, and its bit there."""
+    block = [F.shiftright("_tx", 3).alias("_bx"), F.shiftright("_ty", 3).alias("_by")]
+    place = F.shiftleft(F.col("_tx").bitwiseAND(7), 3).bitwiseOR(F.col("_ty").bitwiseAND(7)).cast("int")
+    return block, place
+
+
+def in_full_square(points: DataFrame, squares: DataFrame, r: float) -> DataFrame:
+    """The points with ``_full``, true where the square of (``px``, ``py``) is one of ``full_squares``."""
+    known = ~(F.isnan("px") | F.isnan("py"))
+    square = {f"_t{a}": F.when(known, F.floor(F.col(f"p{a}") / F.lit(r / SQUARES))) for a in "xy"}
+    block, place = square_block()
+    met = points.withColumns(square).select(*points.columns, *block, place.alias("_p")).join(squares, ["_bx", "_by"], "left")
+    return met.select(*points.columns, F.coalesce(F.call_function("getbit", "_mask", "_p") == 1, F.lit(False)).alias("_full"))
+
+
+def disk_parts(points: DataFrame, tree: BoxTree, pid: str, r: float, total: str, known: Column | None = None) -> DataFrame:
     """What each point's disk of radius ``r`` takes from the tree: rows of ``pid``, ``px``, ``py``, ``_sum`` and the
     item columns.
 
     A node that lies wholly inside the disk counts with its total (``_sum``, item columns null) and is not opened;
     a node outside is dropped; the items of leaves cut by the circle come one by one with ``_sum`` null. Every
-    point has at least one row. All rows of a point stay in the partition of its id.
+    point has at least one row. All rows of a point stay in the partition of its id. Points whose ``known`` sum is not
+    null are not searched: it is their one row.
     """
     px, py = F.col("px"), F.col("py")
     base = [pid, "px", "py"]
@@ -260,15 +309,20 @@ def disk_parts(points: DataFrame, tree: BoxTree, pid: str, r: float, total: str)
             F.when(done, F.col("_sum")).when(inside, F.col(total)).otherwise(F.lit(0.0)).alias("_sum"),
         )
 
-    start = points.select(*base).repartition(work_partitions(points.sparkSession), pid)
+    given = [] if known is None else [known.alias("_known")]
+    start = points.select(*base, *given).repartition(work_partitions(points.sparkSession), pid)
     # one empty entry next to the top nodes, so that points with nothing near still come out
     far = float("inf")
     empty = F.struct(
         F.lit(-1).cast("long").alias("_node"), *[F.lit(far).alias(c) for c in BOX], *[F.lit(0.0).alias(c) for c in tree.sums]
     )
-    opened = start.select("*", F.explode(F.concat(tree.tops, F.array(empty))).alias("_t")).select(
+    entries, first = F.concat(tree.tops, F.array(empty)), F.lit(0.0)
+    if given:
+        entries = F.when(F.col("_known").isNull(), entries).otherwise(F.array(empty))
+        first = F.coalesce("_known", first)
+    opened = start.select("*", F.explode(entries).alias("_t")).select(
         *base, F.col("_t._node").alias("_node"), *[F.col(f"_t.{c}").alias(c) for c in [*BOX, *tree.sums]],
-        F.lit(0.0).alias("_sum"),
+        first.alias("_sum"),
     )
     front = settle(opened, F.col("_node") < 0)
     for level in tree.levels:

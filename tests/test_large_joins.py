@@ -94,3 +94,33 @@ def test_tasks_of_source_tables_are_bounded_in_rows(spark, tmp_path, monkeypatch
     spark.range(5000).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     orders = fixtures.wide(spark, str(tmp_path), "orders")
     assert orders.count() == 5000 and orders.rdd.getNumPartitions() == math.ceil(5000 / 100)
+
+
+def test_disks_full_of_polygons_are_not_searched(spark, monkeypatch):
+    """Points among piled polygons have one row each, and the same shares as when all polygons are looked at."""
+    rng = np.random.default_rng(8)
+    half, at = rng.uniform(5, 30, 4000), rng.uniform(-600, 600, (4000, 2))
+
+    def ring(x, y, h, turned):
+        corners = [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h), (x - h, y - h)]
+        return [[{"x": float(a), "y": float(b)} for a, b in (corners[::-1] if turned else corners)]]
+
+    rows = [(i, ring(*at[i], half[i], i % 2 == 1)) for i in range(4000)]
+    rows += [(4000, ring(5e3, 0.0, 200.0, False)), (4001, ring(1e300, 0.0, 10.0, False))]
+    polys = spark.createDataFrame(rows, "fid long, parts array<array<struct<x:double,y:double>>>")
+    inner = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-200, 200, (100, 2)))]
+    edge = [(100 + i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-900, 900, (200, 2)))]
+    odd = [(0, 5e3, 0.0), (300, 5e3, 0.0), (301, None, 0.0), (302, float("nan"), 0.0), (303, float("inf"), 0.0), (304, 1e300, 0.0), (None, 0.0, 0.0)]
+    pts = spark.createDataFrame(inner + edge + odd, "pid long, px double, py double")
+    taken, disk_parts = [], spatial.disk_parts
+    monkeypatch.setattr(spatial, "disk_parts", lambda *a, **k: taken.append(disk_parts(*a, **k)) or taken[-1])
+    got = {r["pid"]: r["area_density"] for r in spatial.area_density(pts, polys, "pid", 250.0).collect()}
+    assert len(got) == 306 and all(got[i] == 1.0 for i in range(100))
+    per_point = taken[0].filter("pid between 1 and 99").groupBy("pid").count().agg(F.max("count")).first()[0]
+    assert per_point == 1
+    assert got[300] == pytest.approx(400.0**2 / (math.pi * 250**2), abs=0.05) and got[None] == 1.0
+    assert got[301] == got[302] == got[303] == 0.0
+    monkeypatch.setattr(spatial, "full_squares", lambda *a: None)
+    whole = {r["pid"]: r["area_density"] for r in spatial.area_density(pts, polys, "pid", 250.0).collect()}
+    assert whole.keys() == got.keys() and all(got[p] == pytest.approx(whole[p], abs=1e-12) for p in got)
+    assert any(0.1 < got[p] < 0.9 for p in range(100, 300))
