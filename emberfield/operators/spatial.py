@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from emberfield.functions.geometry import (
     line_segments,
@@ -17,6 +22,7 @@ from emberfield.functions.geometry import (
     with_edge_disk_share,
 )
 from emberfield.operators.point_index import PointIndex, nearest_by_passes, numbered_queries
+from emberfield.operators.regions import SEGMENT, deal, finite, inside_strips, meet, nearest_segment
 from emberfield.operators.spatial_index import (
     BoxTree,
     box_far_sq,
@@ -51,10 +57,11 @@ def polygon_strips(polygons: DataFrame, keep: list[str], parts: str = "rings") -
 
     The even-odd test needs no other edges, so its cost does not grow with the outline of a detailed polygon.
     """
-    whole = polygons.select(*keep, ring_edges(parts).alias("_e")).filter(F.size("_e") > 0)
+    whole = polygons.select(*keep, ring_edges(parts).alias("_e"))
     lo = F.array_min(F.transform("_e", lambda e: F.least(e.ay, e.by)))
     hi = F.array_max(F.transform("_e", lambda e: F.greatest(e.ay, e.by)))
-    count = F.greatest(F.ceil(F.size("_e") / F.lit(EDGES_PER_STRIP)), F.lit(1)).cast("int")
+    # no edges, no strip; a filter on the edges would be moved down to the scan of the polygons, into its few tasks
+    count = F.when(F.size("_e") > 0, F.greatest(F.ceil(F.size("_e") / F.lit(EDGES_PER_STRIP)), F.lit(1)).cast("int"))
     cut = (
         whole.withColumns({"_lo": lo, "_hi": hi, "_k": count})
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
@@ -211,6 +218,26 @@ def segment_pieces(segments: DataFrame) -> DataFrame:
     return rows.withColumns(boxes).drop("_k", "_i")
 
 
+def _crosses(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The segment (ax, ay, bx, by) meets the box: their extents do, and the box isn't on one side of the line."""
+    ax, ay, bx, by = (F.col(c) for c in SEGMENT)
+    over = (F.least(ax, bx) <= x1) & (F.greatest(ax, bx) >= x0) & (F.least(ay, by) <= y1) & (F.greatest(ay, by) >= y0)
+    dx, dy, wide, high = F.abs(bx - ax), F.abs(by - ay), x1 / 2 - x0 / 2, y1 / 2 - y0 / 2
+    sx, sy = x0 / 2 + x1 / 2 - ax, y0 / 2 + y1 / 2 - ay
+    reach = dx * (high + F.abs(sy) * F.lit(1e-9)) + dy * (wide + F.abs(sx) * F.lit(1e-9))
+    return over & (F.abs((bx - ax) * sy - (by - ay) * sx) <= reach)
+
+
+def _array(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([table[c].to_numpy() for c in names], axis=1)
+
+
+def _measured(places: DataFrame, *more: Column) -> Row:
+    """Number and extent of the places ``_x``, ``_y`` that are not null."""
+    ends = [F.min("_x"), F.min("_y"), F.max("_x"), F.max("_y")]
+    return places.agg(F.count("_x"), *ends, *more).first()
+
+
 def nearest_segments(points: DataFrame, segments: DataFrame, pid: str, fid: str) -> DataFrame:
     """``pid``, ``dist_m`` and the nearest feature's id (smallest id on a tie), for points with px, py."""
     tree = build_tree(segment_pieces(segments), [fid], costly=True)
@@ -221,6 +248,59 @@ def nearest_segments(points: DataFrame, segments: DataFrame, pid: str, fid: str)
     return near.select(pid, F.sqrt("dist_sq").alias("dist_m"), fid)
 
 
+def _feature_items(features: DataFrame) -> DataFrame:
+    """What distances are measured to: segments of lines (``_c`` null) and strips of polygons with their edges (``_c``, four
+    numbers an edge); ax to by is the first edge, ``_x0`` to ``_y1`` the box and ``_fill`` whether it has an inside."""
+    polygon = F.coalesce(F.col("geom_type").isin(*POLYGONS), F.lit(False))
+    box = ["x0", "y0", "x1", "y1"]
+    strips = polygon_strips(features.filter(polygon), [], "parts")
+    strips = strips.withColumn("edges", F.filter("edges", lambda e: finite(e.ax, e.ay, e.bx, e.by))).filter(F.size("edges") > 0)
+    whole = finite(*box)
+
+    def bound(c: str, end: Callable[[Column], Column], pick: Callable[[Column, Column], Column], a: str, b: str) -> Column:
+        rest = end(F.transform("edges", lambda e: pick(e[a], e[b])))
+        return F.when(whole, F.col(c)).otherwise(rest).alias(f"_{c}")
+
+    low, high = (F.array_min, F.least), (F.array_max, F.greatest)
+    bounds = [bound(c, *how, *ends) for c, how, ends in zip(box, (low, low, high, high), (("ax", "bx"), ("ay", "by")) * 2)]
+    numbers = F.flatten(F.transform("edges", lambda e: F.array(e.ax, e.ay, e.bx, e.by)))
+    filled = strips.select(*[F.col("edges")[0][c].alias(c) for c in SEGMENT], numbers.alias("_c"), whole.alias("_fill"), *bounds)
+    lines = features.filter(~polygon).select(F.inline(line_segments("parts"))).filter(finite(*SEGMENT))
+    lines = segment_boxes(lines).select(
+        *SEGMENT, F.lit(None).cast("array<double>").alias("_c"), F.lit(False).alias("_fill"), *[F.col(c).alias(f"_{c}") for c in box]
+    )
+    return filled.unionByName(lines)
+
+
+def _feature_places(features: DataFrame) -> DataFrame:
+    """One place ``_x``, ``_y`` on each feature: the start of its first edge, or of the first whole one; null without any."""
+    polygon = F.coalesce(F.col("geom_type").isin(*POLYGONS), F.lit(False))
+    run = F.get(F.filter("parts", lambda r: F.size(r) >= F.when(polygon, 3).otherwise(1)), F.lit(0))
+    a, b = F.get(run, F.lit(0)), F.get(run, F.lit(1))
+    simple = finite(a.x, a.y) & (finite(b.x, b.y) | (F.size(run) == 1))
+    edges = F.when(polygon, ring_edges("parts")).otherwise(line_segments("parts"))
+    first = F.get(F.filter(edges, lambda e: finite(e.ax, e.ay, e.bx, e.by)), F.lit(0))
+    at = F.when(simple, F.struct(a.x.alias("_x"), a.y.alias("_y"))).otherwise(F.struct(first.ax.alias("_x"), first.ay.alias("_y")))
+    return features.select(at.alias("_at")).select("_at._x", "_at._y")
+
+
+def _feature_distance_sq(px: np.ndarray, py: np.ndarray, items: pa.Table) -> dict[str, pa.Array]:
+    """``_d``: 0 in a polygon, or the squared distance from the nearest outline or line; null where there is none."""
+    line = items["_c"].is_null().combine_chunks()
+    segments = _array(items.filter(line), SEGMENT)
+    strips = items.filter(pc.invert(line))
+    lists = strips["_c"].combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    edges = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+    first = np.cumsum(size) - size
+    box = _array(strips, ["_x0", "_y0", "_x1", "_y1"])
+    box[~strips["_fill"].combine_chunks().to_numpy(zero_copy_only=False)] = np.nan  # holds no point
+    near = np.zeros(len(px))
+    outside = np.flatnonzero(~inside_strips(px, py, box, edges, first))
+    near[outside], _ = nearest_segment(px[outside], py[outside], np.concatenate([segments, edges]))
+    return {"_d": pa.array(near, mask=np.isinf(near))}
+
+
 def nearest_join(
     points: DataFrame,
     features: DataFrame,
@@ -230,25 +310,32 @@ def nearest_join(
     y: str = "y_m",
     max_dist: float | None = None,
     fid: str = "feature_id",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Left outer nearest join: planar distance to the nearest feature, 0 inside a polygon, null for no feature
-    (or none within ``max_dist``). ``features``: feature id, geom_type, parts."""
-    # rows are told apart by a number of their own, so that repeated ids stay apart
-    held = cut_lineage(points.withColumn("_own", F.monotonically_increasing_id()))
-    pts = _points(held, "_own", x, y)
-    tree = build_tree(polygon_strips(features.filter(F.col("geom_type").isin(*POLYGONS)), [fid], "parts"), [fid], size=F.size("edges"), costly=True)
-    inside = None
-    if tree.tops is not None:
-        inside = cut_lineage(_containing(pts, tree, "intersects").select("_own").distinct())
-        pts = pts.join(as_large(inside), "_own", "left_anti")  # only points outside look for an outline
-    near = nearest_segments(pts, feature_segments(features, fid), "_own", fid).select("_own", F.col("dist_m").alias("_d"))
-    if inside is not None:
-        near = near.unionByName(inside.withColumn("_d", F.lit(0.0)))
-    result = held.join(as_large(near), "_own", "left")
-    dist = F.col("_d")
+    (or none within ``max_dist``). ``features``: feature id, geom_type, parts.
+
+    Every row keeps its columns and is moved once. The points' places are read once before that, from ``counted`` where
+    the same points are at hand in a cheaper form.
+    """
+    items = _feature_items(features)
+    dist = F.sqrt("_d")
+    at = _feature_places(features)
+    known, *extent = _measured(at)
+    if not known:
+        return points.withColumn(out, F.lit(None).cast("double"))
+    regions = deal(points if counted is None else counted, x, y, at, tuple(extent), most=max_dist)
+
+    def near(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        over = (F.col("_x0") <= x1) & (F.col("_x1") >= x0) & (F.col("_y0") <= y1) & (F.col("_y1") >= y0)
+        return over & (F.col("_c").isNotNull() | _crosses(x0, y0, x1, y1))
+
+    found = meet(points, x, y, items, near, regions, _feature_distance_sq, {"_d": DoubleType()})
+    # nothing is nearer to a point at infinity
+    dist = F.when(placed(x) & placed(y) & ~finite(x, y), F.lit(float("inf"))).otherwise(dist)
     if max_dist is not None:
         dist = F.when(dist <= F.lit(max_dist), dist)
-    return result.select(*points.columns, dist.alias(out))
+    return found.select(*points.columns, dist.alias(out))
 
 
 def within_areas(points: DataFrame, areas: DataFrame, buffer_m: float, key: str = "area_id", x: str = "x_m", y: str = "y_m", rings: str = "rings") -> DataFrame:
