@@ -239,13 +239,33 @@ def _measured(places: DataFrame, *more: Column) -> Row:
 
 
 def nearest_segments(points: DataFrame, segments: DataFrame, pid: str, fid: str) -> DataFrame:
-    """``pid``, ``dist_m`` and the nearest feature's id (smallest id on a tie), for points with px, py."""
-    tree = build_tree(segment_pieces(segments), [fid], costly=True)
-    if tree.tops is None:
-        kind = dict(segments.dtypes)[fid]
-        return points.select(pid, F.lit(None).cast("double").alias("dist_m"), F.lit(None).cast(kind).alias(fid))
-    near = nearest(points, tree, pid, with_segment_distance, tie=[fid])
-    return near.select(pid, F.sqrt("dist_sq").alias("dist_m"), fid)
+    """``pid``, ``dist_m`` and the nearest feature's id (smallest id on a tie), for points with px, py, one row per id.
+
+    Points without coordinates are left out. The points are read twice, and have to be the same then.
+    """
+    points = points.select(pid, *[F.col(c).cast("double").alias(c) for c in ("px", "py")])
+    kind = dict(segments.dtypes)[fid]
+    held = segments.filter(finite(*SEGMENT)).select(*SEGMENT, F.col(fid).alias("_fid"))
+    known, *extent, least = _measured(held.withColumnsRenamed({"ax": "_x", "ay": "_y"}), F.min("_fid"))
+    if not known:
+        none = points.select(pid, F.lit(None).cast("double").alias("dist_m"), F.lit(None).cast(kind).alias(fid))
+        return none if segments.isEmpty() else none.limit(0)
+    regions = deal(points, "px", "py", held.select(F.col("ax").alias("_x"), F.col("ay").alias("_y")), tuple(extent))
+
+    def nearest(px: np.ndarray, py: np.ndarray, items: pa.Table) -> dict[str, pa.Array]:
+        items = items.take(pc.sort_indices(items, sort_keys=[("_fid", "ascending")], null_placement="at_start"))
+        near, at = nearest_segment(px, py, _array(items, SEGMENT))
+        none = at < 0
+        return {"_d": pa.array(near, mask=none), "_fid": items["_fid"].combine_chunks().take(pa.array(at, mask=none))}
+
+    found = meet(points, "px", "py", held, _crosses, regions, nearest, {"_d": DoubleType(), "_fid": segments.schema[fid].dataType})
+    # nothing is nearer to a point at infinity
+    beyond = F.col("_d").isNull()
+    found = found.filter(placed("px") & placed("py")).select(
+        pid, F.coalesce("_d", F.lit(float("inf"))).alias("_d"), F.when(beyond, F.lit(least).cast(kind)).otherwise(F.col("_fid")).alias("_fid")
+    )
+    best = found.groupBy(pid).agg(F.min(F.struct("_d", "_fid")).alias("_m"))
+    return best.select(pid, F.sqrt("_m._d").alias("dist_m"), F.col("_m._fid").alias(fid))
 
 
 def _feature_items(features: DataFrame) -> DataFrame:

@@ -62,8 +62,29 @@ def frames(spark, town):
     return pts, segs
 
 
+def test_nearest_segments_by_regions(spark, town, small_regions):
+    points, a, b = town
+    pts, segs = frames(spark, town)
+    odd = spark.createDataFrame([(-1, None, 1.0), (-2, float("nan"), 1.0), (-3, float("inf"), 1.0), (0, *map(float, points[0]))], pts.schema)
+    hole = spark.createDataFrame([(-9, None, 0.0, 1.0, 1.0), (-8, float("nan"), 0.0, 1.0, 1.0)], segs.schema)
+    got = {r["pid"]: r for r in spatial.nearest_segments(pts.union(odd), segs.union(hole), "pid", "fid").collect()}
+    assert got.keys() == {-3, *range(len(points))} and got[-3]["dist_m"] == math.inf
+    for i, p in enumerate(points):
+        d = segment_distance(p, a, b)
+        assert got[i]["dist_m"] == pytest.approx(d.min(), rel=1e-12, abs=1e-9)
+        assert d[got[i]["fid"]] == pytest.approx(d.min(), rel=1e-12, abs=1e-9)
+    # of copies in one spot the lowest id wins
+    dots = spark.createDataFrame([(7, 1.0, 1.0, 1.0, 1.0), (3, 1.0, 1.0, 1.0, 1.0), (5, 9.0, 9.0, 9.0, 9.0)], segs.schema)
+    assert {r["fid"] for r in spatial.nearest_segments(pts.filter("pid < 9").selectExpr("pid", "1d px", "1d py"), dots, "pid", "fid").collect()} == {3}
+    assert [r["dist_m"] for r in spatial.nearest_segments(pts.limit(2), segs.limit(0), "pid", "fid").collect()] == [None] * 2
 
 
+def test_points_of_roads_are_moved_once_and_nothing_of_them_is_kept(spark, town):
+    """Each point goes to its region and each result to its id; no join on tree levels, no checkpoint of points."""
+    pts, segs = frames(spark, town)
+    plan = spatial.nearest_segments(pts, segs, "pid", "fid")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan
+    assert plan.count("REPARTITION_BY_NUM") == 2  # points and segments
 
 
 
@@ -142,3 +163,17 @@ def test_few_points_among_many_items_do_not_bring_all_of_them_to_one_task(spark)
     at = np.array([(r["_x"], r["_y"]) for r in items.collect()])
     w, s, e, n = dealt.reached.T[:, :, None]
     assert ((at[:, 0] >= w) & (at[:, 0] <= e) & (at[:, 1] >= s) & (at[:, 1] <= n)).sum(1).max() < 8_000
+
+
+def test_points_that_change_between_readings_are_an_error(spark, town):
+    _, segs = frames(spark, town)
+    pts = spark.range(2000).select(F.col("id").alias("pid"), (F.rand() * 4000 - 2000).alias("px"), F.lit(0.0).alias("py"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def shifted(batches):
+        for t in batches:
+            seen.add(1)
+            yield t.assign(px=np.random.default_rng().uniform(-2000, 2000, len(t)))
+
+    with pytest.raises(Exception, match="not the same"):
+        spatial.nearest_segments(pts.mapInPandas(shifted, pts.schema), segs, "pid", "fid").collect()
