@@ -16,20 +16,19 @@ from emberfield.functions.geometry import (
     line_segments,
     point_in_edges,
     ring_edges,
-    segment_disk_length,
+    segment_disk_length,  # noqa: F401  the disk sums of a box tree are made with it
     segment_position,
     signed_area,
     with_edge_disk_share,
 )
 from emberfield.operators.point_index import PointIndex, nearest_by_passes, numbered_queries
-from emberfield.operators.regions import SEGMENT, deal, finite, inside_strips, meet, nearest_segment
+from emberfield.operators.regions import SEGMENT, deal, finite, inside_strips, length_in_disk, meet, nearest_segment
 from emberfield.operators.spatial_index import (
     BoxTree,
     box_far_sq,
     build_tree,
     candidates,
     disk_parts,
-    disk_sums,
     full_squares,
     in_full_square,
     nearest,
@@ -381,20 +380,43 @@ def within_areas(points: DataFrame, areas: DataFrame, buffer_m: float, key: str
     return held.join(found, "_own").select(*points.columns, key)
 
 
+def with_disk_length(
+    points: DataFrame, segments: DataFrame, r: float, out: str, x: str = "px", y: str = "py", counted: DataFrame | None = None
+) -> DataFrame:
+    """The points with ``out``, the length of all segments inside their disk; null if there are no segments at all.
+
+    Every row keeps its columns and is moved once; ``counted`` as in ``nearest_join``.
+    """
+    held = segments.filter(finite(*SEGMENT)).select(*SEGMENT)
+    at = held.select(F.col("ax").alias("_x"), F.col("ay").alias("_y"))
+    known, *extent = _measured(at)
+    if not known:
+        return points.withColumn(out, F.lit(None if segments.isEmpty() else 0.0).cast("double"))
+    regions = deal(points if counted is None else counted, x, y, at, tuple(extent), reach=r)
+
+    def lengths(px: np.ndarray, py: np.ndarray, items: pa.Table) -> dict[str, pa.Array]:
+        return {out: pa.array(length_in_disk(px, py, _array(items, SEGMENT), r))}
+
+    return meet(points, x, y, held, _crosses, regions, lengths, {out: DoubleType()})
+
+
+def density_of_length(length: Column, r: float) -> Column:
+    """Kilometres per square kilometre of the disk, from metres inside it."""
+    return length / F.lit(1000.0) / F.lit(math.pi * r * r / 1e6)
+
+
 def line_density(points: DataFrame, segments: DataFrame, pid: str, r: float, empty: float | None = None) -> DataFrame:
-    """Kilometres of line per square kilometre inside the disk: ``pid``, ``line_density``.
+    """Kilometres of line per square kilometre inside the disk: ``pid``, ``line_density``; lengths of rows with the same
+    id are added up.
 
-    Segments: ax, ay, bx, by (+ an id). With no segments at all the result is ``empty``.
+    Segments: ax, ay, bx, by (+ an id). With no segments at all the result is ``empty``. The points are read twice, and
+    have to be the same then.
     """
-    length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
-    items = segment_boxes(segments).withColumn("len", length)
-    tree = build_tree(items, ["ax", "ay", "bx", "by"], sums=["len"])
-    if tree.tops is None:
+    points = points.select(pid, *[F.col(c).cast("double").alias(c) for c in ("px", "py")])
+    if segments.isEmpty():
         return points.select(pid, F.lit(empty).cast("double").alias("line_density"))
-    share = segment_disk_length("px", "py", "ax", "ay", "bx", "by", r)
-    area_km2 = math.pi * r * r / 1e6
-    sums = disk_sums(points, tree, pid, r, "len", F.coalesce(share, F.lit(0.0)))
-    return sums.select(pid, (F.col("value") / F.lit(1000.0) / F.lit(area_km2)).alias("line_density"))
+    sums = with_disk_length(points, segments, r, "_length").groupBy(pid).agg(F.sum("_length").alias("_length"))
+    return sums.select(pid, density_of_length(F.col("_length"), r).alias("line_density"))
 
 
 def area_density(points: DataFrame, polygons: DataFrame, pid: str, r: float, empty: float | None = None) -> DataFrame:

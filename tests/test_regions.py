@@ -87,10 +87,35 @@ def test_points_of_roads_are_moved_once_and_nothing_of_them_is_kept(spark, town)
     assert plan.count("REPARTITION_BY_NUM") == 2  # points and segments
 
 
+def test_line_density_by_regions(spark, town, small_regions):
+    points, a, b = town
+    pts, segs = frames(spark, town)
+    odd = [(-1, None, 1.0), (-2, float("nan"), 1.0), (-3, float("inf"), 1.0), (0, *map(float, points[0])), (None, *map(float, points[1]))]
+    got = spatial.line_density(pts.union(spark.createDataFrame(odd, pts.schema)), segs, "pid", 250.0).collect()
+    got = {r["pid"]: r["line_density"] * math.pi * 0.25**2 * 1000 for r in got}
+    want = [length_inside(p, a, b, 250.0).sum() for p in points]
+    assert len(got) == len(points) + 4 and got[-1] == got[-2] == got[-3] == 0.0
+    assert got[0] == pytest.approx(2 * want[0]) and got[None] == pytest.approx(want[1])
+    assert np.allclose([got[i] for i in range(1, len(points))], want[1:], rtol=1e-9, atol=1e-6)
+    none = spatial.line_density(pts.limit(3), segs.limit(0), "pid", 250.0, empty=7.0)
+    assert [r["line_density"] for r in none.collect()] == [7.0] * 3
+
+
+def test_line_density_moves_no_point_along_a_tree(spark, town):
+    pts, segs = frames(spark, town)
+    plan = spatial.line_density(pts, segs, "pid", 250.0)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan
+    assert plan.count("REPARTITION_BY_NUM") == 2
 
 
-
-
+def test_segments_inside_all_disks_of_a_group_are_not_opened(monkeypatch):
+    """Segments near the middle of the disk of all points are added as totals; no pair of point and segment is made."""
+    rng = np.random.default_rng(2)
+    p, a = rng.uniform(-10, 10, (4000, 2)), rng.uniform(-50, 50, (3000, 2))
+    seg = np.concatenate([a, a + rng.uniform(-20, 20, a.shape)], 1)
+    monkeypatch.setattr(regions, "_halves", lambda *_: pytest.fail("opened"))
+    length = np.hypot(seg[:, 2] - seg[:, 0], seg[:, 3] - seg[:, 1])
+    assert np.allclose(regions.length_in_disk(p[:, 0], p[:, 1], seg, 250.0), length.sum())
 
 
 def test_nearest_join_by_regions(spark, town, small_regions):
