@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberfield.functions.bands import impervious_ratio
 from emberfield.operators.columns import align_columns, cast_types, drop_missing_target, nan_to_null, require_columns, with_indices
 from emberfield.operators.impute import fill_albedo, fill_mode, impute_grouped_median
-from emberfield.operators.spatial import area_density, feature_segments, line_density, nearest_join
+from emberfield.operators.spatial import area_density, density_of_length, feature_segments, nearest_join, with_disk_length
 from emberfield.operators.wards import hvi, ward_aggregate, ward_join
 from emberfield.operators.temporal import hotspot_label, lst_anomaly
 from emberfield.scale import as_large, cut_lineage
@@ -33,15 +33,16 @@ def add_map_features(
     """
     cells = cells.drop("road_density", "building_density", "impervious_ratio", "dist_road_m", "dist_park_m", "dist_water_m")
     # rows are told apart by a number of their own, so that repeated ids stay apart
-    out = cut_lineage(cells.withColumn("_cell_row", F.monotonically_increasing_id()))
-    pts = out.select("_cell_row", F.col(x).alias("px"), F.col(y).alias("py"))
-    segments = feature_segments(roads).select("ax", "ay", "bx", "by")
-    road = line_density(pts, segments, "_cell_row", radius).withColumnRenamed("line_density", "road_density")
-    built = area_density(pts, buildings, "_cell_row", radius).withColumnRenamed("area_density", "building_density")
-    out = out.join(as_large(road), "_cell_row").join(as_large(built), "_cell_row")
+    held = cut_lineage(cells.withColumn("_cell_row", F.monotonically_increasing_id()))
+    built = area_density(held.select("_cell_row", F.col(x).alias("px"), F.col(y).alias("py")), buildings, "_cell_row", radius)
+    # the rows go from step to step; their places are always counted in the kept table
+    out = with_disk_length(held, feature_segments(roads), radius, "_length", x, y, counted=held)
     for layer, name in ((roads, "dist_road_m"), (parks, "dist_park_m"), (water, "dist_water_m")):
-        out = nearest_join(out, layer, cell_id, name, x, y)
-    return out.drop("_cell_row").withColumn("impervious_ratio", impervious_ratio("building_density", "road_density"))
+        out = nearest_join(out, layer, cell_id, name, x, y, counted=held)
+    out = out.withColumn("road_density", density_of_length(F.col("_length"), radius))
+    out = out.join(as_large(built.withColumnRenamed("area_density", "building_density")), "_cell_row")
+    columns = ["road_density", "building_density", "dist_road_m", "dist_park_m", "dist_water_m"]
+    return out.select(*cells.columns, *columns).withColumn("impervious_ratio", impervious_ratio("building_density", "road_density"))
 
 
 def ward_table(cells: DataFrame, wards: DataFrame, cell_id: str, to_plane) -> DataFrame:

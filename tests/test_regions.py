@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberfield.operators import regions, spatial
+from emberfield.plans import batch
 
 FEATURES = "feature_id long, geom_type string, parts array<array<struct<x:double,y:double>>>"
 
@@ -176,6 +177,26 @@ def test_rows_of_the_nearest_join_are_moved_once(spark, town, tmp_path):
     assert not sizes and plan.count("REPARTITION_BY_NUM") == 2 and "SortMergeJoin" not in plan
 
 
+def test_batch_rows_go_from_step_to_step(spark, town):
+    """One kept copy of the cells; distances and road lengths ride along, only the area density is joined."""
+    points, a, b = town
+    cells = spark.createDataFrame(pd.DataFrame({"cell_id": [i // 2 for i in range(len(points))], "x_m": points[:, 0], "y_m": points[:, 1]}))
+    roads = spark.createDataFrame([(i, "LineString", [[tuple(map(float, a[i])), tuple(map(float, b[i]))]]) for i in range(len(a))], FEATURES)
+    houses = spark.createDataFrame([(i, "Polygon", ring(100 * i - 2000, 10, 30)) for i in range(40)], FEATURES)
+    water = spark.createDataFrame([(1, "Point", [[(0.0, 0.0)]])], FEATURES)
+    kept, cut = [], batch.cut_lineage
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(spatial, "cut_lineage", lambda df: kept.append(df.count()) or cut(df))
+        out = batch.add_map_features(cells, "cell_id", roads, houses, houses, water)
+    assert not kept and out._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") == 4
+    assert out.columns == ["cell_id", "x_m", "y_m", "road_density", "building_density", "dist_road_m", "dist_park_m", "dist_water_m", "impervious_ratio"]
+    got = {(r["cell_id"], r["x_m"], r["y_m"]): r for r in out.collect()}
+    for i in range(0, len(points), 7):
+        p, r = points[i], got[i // 2, points[i, 0], points[i, 1]]
+        assert r["dist_road_m"] == pytest.approx(segment_distance(p, a, b).min(), rel=1e-9, abs=1e-9)
+        assert r["dist_water_m"] == pytest.approx(math.hypot(*p), rel=1e-9)
+        assert r["road_density"] == pytest.approx(length_inside(p, a, b, 250.0).sum() / 1000 / (math.pi * 0.0625), rel=1e-9, abs=1e-9)
+    assert len(got) == len(np.unique(np.c_[np.arange(len(points)) // 2, points], axis=0)) and out.count() == len(points)
 
 
 def test_few_points_among_many_items_do_not_bring_all_of_them_to_one_task(spark):
